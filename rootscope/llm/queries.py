@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, secret_scan
+from . import bpe, exact_dedup, language_id, line_dedup, near_dedup, secret_scan
 from .oracles import ORACLES
 
 
@@ -24,5 +25,20 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scans, op3_exact_dedup)}
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.digest(bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, decoded=True))
+
+
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.train(docs.filter(~language_id.held_out()))
+    return language_id.identify(docs, model, keep=[language_id.held_out().alias("held_out")])
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scans, op3_exact_dedup, op6_bpe, op9_minhash_near_dedup, op10_language_id)}
 ORACLE_SQL = ORACLES
