@@ -20,7 +20,8 @@ def frequent_digests(keyed: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """At most `counters` verified winners: digest, keep_id, group_size (exact, over all rows)."""
     sketch = f"approx_top_k_accumulate(item, {counters})"
     parts = keyed.select(F.xxhash64("digest").alias("item"), (F.spark_partition_id() % 64).alias("part")).groupBy("part").agg(F.expr(sketch).alias("sketch"))
-    one = parts.agg(F.expr(f"approx_top_k_combine(sketch, {counters})").alias("sketch"))
+    # grouped by a constant: partitions without rows, and empty tables, then give no summary
+    one = parts.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_combine(sketch, {counters})").alias("sketch"))
     named = one.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {counters})")).alias("top")).select(F.col("top.item").alias("item"))
     rows = keyed.withColumn("item", F.xxhash64("digest")).join(F.broadcast(named), "item", "left_semi")
     exact = rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
