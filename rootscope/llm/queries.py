@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language_id, line_dedup, near_dedup, secret_scan
+from . import bpe, exact_dedup, language_id, line_dedup, near_dedup, packing, secret_scan, topk_search
 from .oracles import ORACLES
 
 
@@ -25,11 +25,20 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.digest(bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, decoded=True))
 
 
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return topk_search.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), size=4, percent=80)
 
@@ -40,5 +49,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model, keep=[language_id.held_out().alias("held_out")])
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scans, op3_exact_dedup, op6_bpe, op9_minhash_near_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scans, op3_exact_dedup, op5_best_fit_packing, op6_bpe, op8_topk_search, op9_minhash_near_dedup, op10_language_id)}
 ORACLE_SQL = ORACLES
