@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language_id, line_dedup, near_dedup, packing, secret_scan, topk_search
+from . import bpe, exact_dedup, language_id, line_dedup, near_dedup, packing, pitman_yor, secret_scan, topk_search
 from .oracles import ORACLES
 
 
@@ -25,6 +25,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.perplexity(_table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -49,5 +53,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model, keep=[language_id.held_out().alias("held_out")])
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scans, op3_exact_dedup, op5_best_fit_packing, op6_bpe, op8_topk_search, op9_minhash_near_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scans, op3_exact_dedup, op4_pitman_yor, op5_best_fit_packing, op6_bpe, op8_topk_search, op9_minhash_near_dedup, op10_language_id)}
 ORACLE_SQL = ORACLES
