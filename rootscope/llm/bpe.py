@@ -20,10 +20,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries of the memo, after which it starts anew.
-MEMO = 250_000
-#: White space as the Unicode property has it; Python's own class has four control characters more.
-SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Entries of either generation of the memo.
+MEMO = 300_000
+AFTER, BEFORE = list(range(1, 257)), list(range(-1, 255))
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -69,7 +68,7 @@ class Coder:
     """Ranks, their perfect hash and the pairs of tokens that merge into a token. Made once; restore() takes its plain parts."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.pattern = pattern.replace(r"\S", f"[^{SPACE}]").replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]")
+        self.pattern = pattern
         self.hash = PerfectHash(list(ranks))
         self.rank_of_slot = [ranks.get(k, 0) for k in self.hash.keys]
         self.byte_id = [ranks[bytes([b])] for b in range(256)]
@@ -93,25 +92,24 @@ class Coder:
 
     def merge(self, piece: bytes) -> list[int]:
         """Merges of lowest rank first, leftmost among equals; a byte's node stays linked to its neighbours."""
-        n, pairs = len(piece), self.pairs
+        n, rank, pop, push = len(piece), self.pairs.get, heapq.heappop, heapq.heappush
         ids = [self.byte_id[b] for b in piece]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [r << 32 | i for i in range(n - 1) if (r := pairs.get(ids[i] << 32 | ids[i + 1])) is not None]
+        after, before = (AFTER[:n], BEFORE[:n]) if n <= len(AFTER) else (list(range(1, n + 1)), list(range(-1, n - 1)))
+        heap = [r << 32 | i for i, (a, b) in enumerate(zip(ids, ids[1:], strict=False)) if (r := rank(a << 32 | b)) is not None]
         heapq.heapify(heap)
         while heap:
-            top = heapq.heappop(heap)
-            r, i = top >> 32, top & 0xFFFFFFFF
+            top = pop(heap)
+            i, r = top & 0xFFFFFFFF, top >> 32
             j = after[i]
-            if ids[i] < 0 or j >= n or pairs.get(ids[i] << 32 | ids[j]) != r:
+            if j >= n or (a := ids[i]) < 0 or rank(a << 32 | ids[j]) != r:
                 continue  # one of the two has merged meanwhile
-            ids[i], ids[j], k = r, -1, after[j]
-            after[i] = k
+            ids[i], ids[j], after[i] = r, -1, (k := after[j])
             if k < n:
                 before[k] = i
-                if (x := pairs.get(r << 32 | ids[k])) is not None:
-                    heapq.heappush(heap, x << 32 | i)
-            if (h := before[i]) >= 0 and (x := pairs.get(ids[h] << 32 | r)) is not None:
-                heapq.heappush(heap, x << 32 | h)
+                if (x := rank(r << 32 | ids[k])) is not None:
+                    push(heap, x << 32 | i)
+            if (h := before[i]) >= 0 and (x := rank(ids[h] << 32 | r)) is not None:
+                push(heap, x << 32 | h)
         return [x for x in ids if x >= 0]
 
     def encode_piece(self, piece: str) -> list[int]:
@@ -124,17 +122,25 @@ class Coder:
 
 
 class Memo(dict):
-    """pre-token -> ids as little-endian 32-bit integers."""
+    """pre-token -> ids as little-endian 32-bit integers; of entries that weren't used since the last turn, nothing is kept."""
 
     def __init__(self, coder: Coder):
         super().__init__()
-        self.coder = coder
+        self.coder, self.old = coder, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.coder.encode_piece(piece)
-        self[piece] = out = struct.pack(f"<{len(ids)}I", *ids)
+        out = self.old.get(piece)
+        if out is None:
+            ids = self.coder.encode_piece(piece)
+            out = struct.pack(f"<{len(ids)}I", *ids)
+        self[piece] = out
         return out
 
+    def turn(self) -> None:
+        if len(self) > MEMO:
+            self.old = dict(self)
+            self.clear()
+
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """One row for each row of docs: doc_id, ids (binary: little-endian unsigned 32-bit) and, if asked, decoded (binary).
@@ -154,8 +160,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 part = batch.slice(lo, 512)
                 ids = []
                 for text in part.column(1).to_pylist():
-                    if len(memo) > MEMO:
-                        memo.clear()
+                    memo.turn()
                     ids.append(b"".join(map(memo.__getitem__, split(text or ""))))
                 back = [coder.decode(x) for x in ids] if decoded else [None] * len(ids)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(back, pa.binary())], names=["doc_id", "ids", "decoded"])
