@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language_id, line_dedup, near_dedup, packing, pitman_yor, secret_scan, topk_search
+from . import bpe, exact_dedup, language_id, line_dedup, near_dedup, packing, pitman_yor, secret_scan, suffix_dedup, topk_search
 from .oracles import ORACLES
 
 
@@ -38,6 +38,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, decoded=True))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), length=100))
+
+
 def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return topk_search.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
@@ -53,5 +57,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model, keep=[language_id.held_out().alias("held_out")])
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scans, op3_exact_dedup, op4_pitman_yor, op5_best_fit_packing, op6_bpe, op8_topk_search, op9_minhash_near_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scans, op3_exact_dedup, op4_pitman_yor, op5_best_fit_packing, op6_bpe, op7_suffix_array_dedup, op8_topk_search, op9_minhash_near_dedup, op10_language_id)}
 ORACLE_SQL = ORACLES
