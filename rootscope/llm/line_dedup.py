@@ -4,9 +4,10 @@ Two lines within one edit are equal once a character at one place is deleted fro
 the longer one (an insertion). Such variants are emitted as hashed keys and met by grouping; within a key only
 the earliest line is wanted, so that no pairs of a group are formed. The edit distance to it is then verified.
 
-A line of n characters has n variants of n characters. But two lines within one edit share their first or their
-last half exactly, so a half that only one line has needs no variants, and a half that is shared is the fixed
-part of the key while characters are deleted from the other half. This loses no pair.
+A line of n characters has n variants of n characters. But of two lines within one edit, the first or the last half
+is the same, and so on within the other half. So a half that only one line has needs no variants; where it is
+shared, it becomes a fixed part of the key, and after LEVELS halvings only the short segment that is left has
+characters deleted. This loses no pair: of any two lines within one edit the same halves stay at every level.
 """
 
 from __future__ import annotations
@@ -20,67 +21,78 @@ from .common import cut, text_key, whole
 MIN_CHARS = 16
 #: White space that does not count at the ends of a line.
 BLANKS = " \t\n\x0b\x0c\r"
+#: Times that the place of the edit is halved.
+LEVELS = 4
+#: Up to so many lines that share a half, their places are broadcast to the documents (about 100 bytes each); beyond, both are shuffled.
+BROADCAST_LINES = 200_000
+
+
+def _row_key(text: Column) -> Column:
+    return F.xxhash64(text)
 
 
 def corpus_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """doc_id, key (of the document's text), place (line from 0), line, lk (key of the line), n: lines that may be compared."""
-    t = docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("key"), whole(text_col).alias("text"))
-    each = t.select("doc_id", "key", F.posexplode(F.split("text", "\n", -1)).alias("place", "raw"))
-    each = each.select("doc_id", "key", "place", F.trim(F.col("raw"), F.lit(BLANKS)).alias("line"))
+    """me (doc_id, key of the document's text, place of the line from 0), line, n, lk (key of the line): lines that may be compared."""
+    t = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text")).filter("doc_id IS NOT NULL")
+    each = t.select("doc_id", _row_key(F.col("text")).alias("key"), F.posexplode(F.split("text", "\n", -1)).alias("place", "raw"))
+    each = each.select(F.struct("doc_id", "key", "place").alias("me"), F.trim(F.col("raw"), F.lit(BLANKS)).alias("line"))
     return each.withColumn("n", F.length("line")).filter(F.col("n") >= min_chars).withColumn("lk", text_key("line"))
 
 
-def _first(id_col: str = "doc_id") -> Column:
-    """Order of lines: doc_id (null last), then the text's key, then the line's place."""
-    return F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("doc_id"), "key", "place")
+def _halves(seg: Column, m: Column, longer: Column | int, fixed: Column) -> list[tuple[Column, Column, Column]]:
+    """(fixed, seg, m) with the first, then the last half of seg fixed; m: its length in the shorter of two lines."""
+    n, h = m + longer, F.floor(m / 2).cast("int")
+    first, last = F.substring(seg, F.lit(1), h), F.substring(seg, n - (m - h) + 1, m - h)
+    key = lambda half, side: F.xxhash64(fixed, m, F.lit(side), half)
+    return [(key(first, 0), F.substring(seg, h + 1, n - h), m - h), (key(last, 1), F.substring(seg, F.lit(1), n - (m - h)), h)]
+
+
+def _half_keys() -> Column:
+    """Keys of both halves of a line as the shorter of two lines (or one of equal length), then as the longer one."""
+    n, nothing = F.col("n"), F.lit(0).cast("long")
+    return F.array(*(k[0] for longer in (0, 1) for k in _halves(F.col("line"), n - longer, F.lit(longer), nothing)))
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """Rows (me, fixed, longer, ...) whose fixed part another line has as well; one of them must be the shorter."""
+    keys = rows.groupBy("fixed").agg(F.count("*").alias("c"), F.min("longer").alias("l")).filter("c > 1 AND l = 0").select("fixed")
+    return rows.join(keys, "fixed", "left_semi")
 
 
 def near_lines(docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """lk of distinct lines that have an earlier line at one edit; firsts: lk, first, n, halves (keys of halves)."""
-    halves = firsts.select("lk", "first", "n", F.posexplode("halves").alias("role", "half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("m")).filter("m > 1").select("half")
-    wanted = halves.join(shared, "half", "left_semi").groupBy("lk").agg(F.first("first").alias("first"), F.collect_list(F.struct("role", "half")).alias("active"))
+    """me (first place) of distinct lines that have an earlier line at one edit; firsts: me, halves."""
+    halves = firsts.select("me", F.posexplode("halves").alias("role", "fixed")).withColumn("longer", F.floor(F.col("role") / 2).cast("int"))
+    wanted = cut(_shared(halves).select("me", "role"), "halves")
     # the texts of these lines, read again from their first document
-    of_doc = wanted.groupBy(F.col("first.doc_id").alias("w_id"), F.col("first.key").alias("w_key")).agg(F.collect_list(F.struct("lk", "first", "active")).alias("lines"))
-    t = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text")).withColumn("key", text_key("text"))
-    t = t.join(of_doc, t.doc_id.eqNullSafe(of_doc.w_id) & (t.key == of_doc.w_key))
-    one = t.select(F.split("text", "\n", -1).alias("parts"), F.explode("lines").alias("l")).select("l.*", F.get("parts", F.col("l.first.place")).alias("raw"))
-    one = one.select("lk", "first", "active", F.trim(F.col("raw"), F.lit(BLANKS)).alias("line")).dropDuplicates(["lk"])
-    one = cut(one.withColumn("n", F.length("line")), "near-lines")
-    # role: 0, 1 first half (as the shorter or of equal length; as the longer), 2, 3 last half
-    a = one.select("lk", "first", "line", "n", F.explode("active").alias("a")).select("lk", "first", "line", "n", "a.role", "a.half")
-    m = F.col("n") - (F.col("role") % 2)
-    h = F.floor(m / 2).cast("int")
-    a = a.withColumn("other", F.when(F.col("role") < 2, F.expr("substring(line, cast(floor((n - role % 2) / 2) as int) + 1)")).otherwise(F.substring(F.col("line"), F.lit(1), F.col("n") - (m - h))))
-    a = a.withColumn("len", F.length("other"))
-    # the shorter emits itself whole and, for replacements, with each character deleted; the longer emits deletions
-    at = F.when(F.col("role") % 2 == 0, F.sequence(F.lit(0), F.col("len"))).otherwise(F.when(F.col("len") > 0, F.sequence(F.lit(1), F.col("len"))).otherwise(F.array().cast("array<int>")))
-    v = a.select("lk", "first", "line", "role", "half", "other", F.explode(at).alias("at"))
-    v = v.withColumn("variant", F.when(F.col("at") == 0, F.col("other")).otherwise(F.concat(F.expr("substring(other, 1, at - 1)"), F.expr("substring(other, at + 1)"))))
-    whole_line, longer = (F.col("role") % 2 == 0) & (F.col("at") == 0), F.col("role") % 2 == 1
-    # place -1: an insertion (whole line against deletions); else a replacement at that place
-    spot = F.when(whole_line | longer, F.lit(-1)).otherwise(F.col("at"))
-    v = v.select("lk", "first", "line", longer.cast("int").alias("side"), spot.alias("spot"), F.struct("half", F.xxhash64("variant").alias("a"), F.xxhash64(F.lit("salt"), "variant").alias("b"), spot.alias("spot")).alias("vkey"))
-    best = v.groupBy("vkey", "side").agg(F.min(F.struct("first", "lk")).alias("best"), F.count("*").alias("m"))
+    of_doc = wanted.groupBy(F.col("me.doc_id").alias("w_id"), F.col("me.key").alias("w_key")).agg(F.collect_list(F.struct("me", "role")).alias("lines"))
+    if wanted.count() <= BROADCAST_LINES:
+        of_doc = F.broadcast(of_doc)
+    t = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text"))
+    t = t.join(of_doc, (t.doc_id == of_doc.w_id) & (_row_key(t.text) == of_doc.w_key))
+    one = t.select(F.split("text", "\n", -1).alias("parts"), F.explode("lines").alias("l")).select("l.*", F.trim(F.get("parts", F.col("l.me.place")), F.lit(BLANKS)).alias("line")).distinct()
+    one = cut(one.withColumn("longer", F.floor(F.col("role") / 2).cast("int")), "near-lines")
+    whole_line = F.length("line") - F.col("longer")
+    step = _halves(F.col("line"), whole_line, F.col("longer"), F.lit(0).cast("long"))
+    pick = lambda k: F.when(F.col("role") % 2 == 0, step[0][k]).otherwise(step[1][k])
+    seg = one.select("me", "longer", pick(0).alias("fixed"), pick(1).alias("seg"), pick(2).alias("m"))
+    for _ in range(LEVELS - 1):
+        both = [F.struct(f.alias("fixed"), s.alias("seg"), m.alias("m")) for f, s, m in _halves(F.col("seg"), F.col("m"), F.col("longer"), F.col("fixed"))]
+        seg = cut(_shared(seg.select("me", "longer", F.explode(F.array(*both)).alias("h")).select("me", "longer", "h.*")), "segments")
+    # the shorter emits its segment whole and, for replacements, with each character deleted; the longer emits deletions
+    size = F.col("m") + F.col("longer")
+    v = seg.select("me", "longer", "fixed", "seg", F.explode(F.sequence(F.col("longer"), size)).alias("at")).filter("at > 0 OR longer = 0")
+    v = v.withColumn("variant", F.when(F.col("at") == 0, F.col("seg")).otherwise(F.concat(F.expr("substring(seg, 1, at - 1)"), F.expr("substring(seg, at + 1)"))))
+    # spot -1: an insertion (a whole segment against deletions); else a replacement at that place
+    spot = F.when((F.col("longer") == 1) | (F.col("at") == 0), F.lit(-1)).otherwise(F.col("at"))
+    key = F.struct(F.xxhash64("fixed", "variant", spot).alias("a"), F.xxhash64(F.lit("salt"), "fixed", "variant", spot).alias("b"))
+    v = v.select("me", "longer", spot.alias("spot"), key.alias("vkey"))
+    best = v.groupBy("vkey", "longer").agg(F.min("me").alias("earliest"), F.min("spot").alias("spot"))
     # a replacement meets its own side, an insertion the other one
-    meets = best.select("vkey", F.when(F.col("vkey.spot") == -1, 1 - F.col("side")).otherwise(F.col("side")).alias("side"), F.col("best.first").alias("e_first"), F.col("best.lk").alias("e_lk"))
-    pairs = v.select("vkey", "side", "lk", "first").join(meets, ["vkey", "side"]).filter(F.col("e_first") < F.col("first")).select("lk", "e_lk").distinct()
-    texts = one.select("lk", "line")
-    pairs = pairs.join(texts, "lk").join(texts.select(F.col("lk").alias("e_lk"), F.col("line").alias("e_line")), "e_lk")
-    return pairs.filter(F.levenshtein("line", "e_line", 1).between(0, 1)).select("lk").distinct()
-
-
-def _halves() -> Column:
-    """Keys of the first and the last half, for a pair whose shorter line has n and for one whose shorter has n - 1 characters."""
-    line, n = F.col("line"), F.col("n")
-    keys = []
-    for first in (True, False):
-        for less in (0, 1):
-            m = n - less
-            h = F.floor(m / 2).cast("int")
-            half = F.substring(line, F.lit(1), h) if first else F.substring(line, n - (m - h) + 1, m - h)
-            keys.append(F.xxhash64(half, m, F.lit(first)))
-    return F.array(*keys)
+    meets = best.select("vkey", F.when(F.col("spot") == -1, 1 - F.col("longer")).otherwise(F.col("longer")).alias("longer"), "earliest")
+    pairs = v.join(meets, ["vkey", "longer"]).filter(F.col("earliest") < F.col("me")).select("me", "earliest").distinct()
+    texts = one.select("me", "line").distinct()
+    pairs = pairs.join(texts, "me").join(texts.select(F.col("me").alias("earliest"), F.col("line").alias("e_line")), "earliest")
+    return pairs.filter(F.levenshtein("line", "e_line", 1).between(0, 1)).select("me").distinct()
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -88,24 +100,24 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A line (outer white space aside) goes if an earlier one, by doc_id, then place, is within max_edits (0 or 1)
     insertions, deletions or replacements of a character, judged on the input. Lines under min_chars characters,
-    null and empty texts lose nothing. Rows that repeat a doc_id with another text are ordered by the text's
-    hash; rows equal in both are one document and lose the same lines.
+    null and empty texts lose nothing. Rows without a doc_id have no place in the order: their lines stay and make
+    none go. Rows that repeat a doc_id with another text are ordered by the text's hash; rows equal in both are one
+    document and lose the same lines.
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
     rows = corpus_lines(docs, id_col, text_col, min_chars)
-    slim = rows.select("doc_id", "key", "place", "n", "lk", _halves().alias("halves"))
-    firsts = slim.groupBy("lk").agg(F.min(_first()).alias("first"), F.first("n").alias("n"), F.first("halves").alias("halves"))
+    slim = rows.select("me", "lk", *([_half_keys().alias("halves")] if max_edits else []))
+    firsts = slim.groupBy("lk").agg(F.min("me").alias("me"), *([F.first("halves").alias("halves")] if max_edits else []))
+    stays = firsts.select(F.col("lk").alias("f_lk"), F.col("me").alias("f_me"))
+    near = F.lit(False)
     if max_edits:
         firsts = cut(firsts, "lines")
-        near = near_lines(docs, firsts, id_col, text_col).withColumn("near", F.lit(True))
-        firsts = firsts.join(near, "lk", "left")
-    else:
-        firsts = firsts.withColumn("near", F.lit(None).cast("boolean"))
-    stays = firsts.select(F.col("lk").alias("f_lk"), F.col("first").alias("f_first"), F.coalesce("near", F.lit(False)).alias("near"))
-    all_rows = rows.select("doc_id", "key", "place", "lk", _first().alias("me"))
-    gone = all_rows.join(stays, F.col("lk") == F.col("f_lk")).filter(F.col("near") | (F.col("me") != F.col("f_first")))
-    return gone.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("place")).alias("gone"))
+        found = near_lines(docs, firsts.select("me", "halves"), id_col, text_col).select(F.col("me").alias("n_me"))
+        stays = firsts.select(F.col("lk").alias("f_lk"), F.col("me").alias("f_me")).join(found, F.col("f_me") == F.col("n_me"), "left")
+        near = F.col("n_me").isNotNull()
+    gone = rows.select("me", "lk").join(stays, F.col("lk") == F.col("f_lk")).filter(near | (F.col("me") != F.col("f_me")))
+    return gone.groupBy("me.doc_id", "me.key").agg(F.array_sort(F.collect_set("me.place")).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1, min_chars: int = MIN_CHARS, drop_emptied: bool = True) -> DataFrame:
@@ -121,7 +133,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _with_gone(docs: DataFrame, id_col: str, text_col: str, max_edits: int, min_chars: int) -> DataFrame:
     gone = removed_lines(docs, id_col, text_col, max_edits, min_chars).select(F.col("doc_id").alias("__l_id"), F.col("key").alias("__l_key"), F.col("gone").alias("__l_gone"))
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__l_id"]) & (text_key(text_col) == gone["__l_key"]), "left")
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["__l_id"]) & (_row_key(whole(text_col)) == gone["__l_key"]), "left")
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1, min_chars: int = MIN_CHARS) -> DataFrame:
