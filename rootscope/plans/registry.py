@@ -1,5 +1,533 @@
-"""Registered queries over the driver tables, and the SQL that they are held against."""
+"""Registered queries over the driver tables, and the SQL that they are held against.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Each reads its tables whole. START is the service from which the upstream search of the examples begins.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.columns import clip_middle, is_request, redact, strip_ansi
+from ..operators import causal, detect, facts, forest, graph, infra, logs, memory, mitigate, rca, report, spans
+from . import oracles, views
+
+START = "svc-5-1"
 FLAGSHIP = "d7_detect_anomalies"
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+class Run:
+    """The tables that most queries build on, each made on demand; all lazy DataFrames."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+        self.raw = views.raw_spans(spark, sf_dir)
+        self.spans = spans.dedup_spans(self.raw)
+
+    @property
+    def stats(self) -> DataFrame:
+        return spans.service_stats(self.spans)
+
+    @property
+    def base(self) -> DataFrame:
+        return detect.ewma_baseline(self.spans)
+
+    @property
+    def alerts(self) -> DataFrame:
+        return detect.detect_anomalies(self.spans, self.stats, self.base)
+
+    @property
+    def edges(self) -> DataFrame:
+        return graph.call_edges(self.spans)
+
+    @property
+    def nodes(self) -> DataFrame:
+        return graph.service_nodes(self.edges, self.stats)
+
+    def small(self) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+        """stats, baselines, alerts, edges and nodes, written once: one row for each service or pair of services."""
+        stats, base, edges = graph.cut(self.stats, "stats"), graph.cut(self.base, "base"), graph.cut(self.edges, "edges")
+        alerts = graph.cut(detect.detect_anomalies(self.spans, stats, base), "alerts")
+        return stats, base, alerts, edges, graph.cut(graph.service_nodes(edges, stats), "nodes")
+
+    def ranked(self) -> tuple[DataFrame, ...]:
+        """Ranked candidates, then what small() gives."""
+        parts = stats, base, alerts, edges, nodes = self.small()
+        cands = rca.candidates(rca.upstream_paths(edges, START), START)
+        return graph.cut(rca.rank(rca.score_candidates(cands, nodes, base, alerts)), "ranked"), *parts
+
+
+# I: spans
+
+
+@query
+def i6_dedup_spans(spark, sf):
+    return Run(spark, sf).spans.select("trace_id", "span_id", "service_name", "start_time", "duration", "has_error", "response", "ingest_seq")
+
+
+@query
+def i7_dedup_stats(spark, sf):
+    return spans.dedup_stats(Run(spark, sf).raw)
+
+
+@query
+def i8_validate_spans(spark, sf):
+    return spans.validate_spans(Run(spark, sf).raw).select("is_valid", "valid_count", "total_count", "validation_rate", F.size("errors").alias("n_errors"))
+
+
+@query
+def i9_orphan_spans(spark, sf):
+    return spans.orphan_spans(Run(spark, sf).spans).select("trace_id", "span_id", "parent_span")
+
+
+@query
+def i10_service_stats(spark, sf):
+    return Run(spark, sf).stats
+
+
+@query
+def i10_service_stats_by_month(spark, sf):
+    s = Run(spark, sf).spans.withColumn("month", F.date_format(F.timestamp_micros("start_time"), "yyyy-MM"))
+    return spans.service_stats(s, by=["month"]).select("month", "service", "span_count", "error_count", "duration_p95_ms")
+
+
+@query
+def i12_overall_stats(spark, sf):
+    return spans.overall_stats(Run(spark, sf).spans)
+
+
+@query
+def i13_ingest_summary(spark, sf):
+    return spans.ingest_summary(Run(spark, sf).raw)
+
+
+@query
+def i19_discover_services(spark, sf):
+    return spans.discover_services(views.pods(spark, sf), Run(spark, sf).spans)
+
+
+# G: graph
+
+
+@query
+def g1_call_edges(spark, sf):
+    return Run(spark, sf).edges
+
+
+@query
+def g2_service_nodes(spark, sf):
+    return Run(spark, sf).nodes
+
+
+@query
+def g3_cycles(spark, sf):
+    return graph.cycles(Run(spark, sf).edges, 6)
+
+
+@query
+def g4_pagerank(spark, sf):
+    return graph.pagerank(graph.cut(Run(spark, sf).edges)).select("id", F.round("score", 6).alias("score"))
+
+
+@query
+def g5_personal_pagerank(spark, sf):
+    r = Run(spark, sf)
+    bad = graph.error_services(r.spans).select(F.col("service").alias("id"))
+    return graph.pagerank(graph.cut(r.edges), restart=bad).select("id", F.round("score", 6).alias("score"))
+
+
+@query
+def g6_fact_pagerank(spark, sf):
+    f = facts.trace_facts(Run(spark, sf).spans).withColumn("seq", F.xxhash64("source", "relationship", "target"))
+    return graph.pagerank(graph.cut(graph.fact_edges(f, facts.emit_weight(F.col("target")))), weight="w").select("id", F.round("score", 6).alias("score"))
+
+
+@query
+def g7_error_services(spark, sf):
+    return graph.error_services(Run(spark, sf).spans)
+
+
+@query
+def g8_column_call_graph(spark, sf):
+    return graph.column_call_graph(Run(spark, sf).spans)
+
+
+@query
+def g9_graph_json(spark, sf):
+    r = Run(spark, sf)
+    return graph.graph_json(r.nodes, r.edges)
+
+
+@query
+def g10_graph_summary(spark, sf):
+    _, _, _, edges, nodes = Run(spark, sf).small()
+    return graph.graph_summary(nodes, edges, graph.pagerank(edges)).drop("top")
+
+
+# D: detection
+
+
+@query
+def d1_request_spans(spark, sf):
+    return Run(spark, sf).spans.groupBy(F.col("service_name").alias("service")).agg(F.count_if(is_request(F.col("operation_name"))).alias("requests"), F.count("*").alias("spans"))
+
+
+@query
+def d2_ewma_baseline(spark, sf):
+    return Run(spark, sf).base
+
+
+@query
+def d3_current_latency(spark, sf):
+    return detect.current_latency(Run(spark, sf).spans).select("service", F.round("current_value", 4).alias("current_value"))
+
+
+@query
+def d7_detect_anomalies(spark, sf):
+    return Run(spark, sf).alerts.withColumn("current_value", F.round("current_value", 4))
+
+
+@query
+def d8_forest_features(spark, sf):
+    r = Run(spark, sf)
+    return detect.forest_features(r.stats, r.base)
+
+
+@query
+def d9_forest_alerts(spark, sf):
+    stats, base, *_ = Run(spark, sf).small()
+    return forest.forest_alerts(graph.cut(detect.forest_features(stats, base)), stats, base)
+
+
+@query
+def d11_primary_service(spark, sf):
+    r = Run(spark, sf)
+    return detect.primary_service(r.alerts, r.stats)
+
+
+@query
+def d12_apply_labels(spark, sf):
+    a = Run(spark, sf).alerts
+    labels = a.select("service", F.when(F.col("service").endswith("-1"), "SYMPTOM").otherwise("ROOT_CAUSE").alias("label"))
+    return detect.apply_labels(a, labels).select("service", "label", "score")
+
+
+@query
+def d13_column_means(spark, sf):
+    return detect.column_means_over(views.table(spark, sf, "lineitem")).withColumn("mean", F.round("mean", 4))
+
+
+@query
+def d16_confirm_anomaly(spark, sf):
+    return detect.confirm_anomaly(Run(spark, sf).alerts)
+
+
+@query
+def d17_alert_context(spark, sf):
+    r = Run(spark, sf)
+    return detect.alert_context(r.edges, r.alerts)
+
+
+# R, C: root cause
+
+
+@query
+def r1_upstream_paths(spark, sf):
+    return rca.upstream_paths(Run(spark, sf).edges, START).select("path_no", F.array_join("path", ">").alias("path"))
+
+
+@query
+def r2_candidates(spark, sf):
+    return rca.candidates(rca.upstream_paths(Run(spark, sf).edges, START), START)
+
+
+@query
+def r3_adaptive_weights(spark, sf):
+    return rca.adaptive_weights(Run(spark, sf).alerts)
+
+
+@query
+def r4_score_candidates(spark, sf):
+    return Run(spark, sf).ranked()[0].select("service", "confidence", "error_rate", "latency_z_score", "traversal_depth")
+
+
+@query
+def r7_silent_bottlenecks(spark, sf):
+    r = Run(spark, sf)
+    return rca.silent_bottlenecks(r.edges, r.nodes)
+
+
+@query
+def r8_boost_silent(spark, sf):
+    cands, _, _, _, edges, nodes = Run(spark, sf).ranked()
+    return rca.boost_silent(cands, rca.silent_bottlenecks(edges, nodes)).select("service", "confidence")
+
+
+@query
+def r9_rank(spark, sf):
+    return Run(spark, sf).ranked()[0].select("service", "confidence", "rank")
+
+
+@query
+def r10_shortest_path(spark, sf):
+    cands, _, _, _, edges, _ = Run(spark, sf).ranked()
+    return rca.shortest_path(edges, cands.filter("rank = 1").first()["service"], START).select(F.array_join("path", ">").alias("path"))
+
+
+@query
+def r11_fault_tree(spark, sf):
+    cands, _, _, _, edges, _ = Run(spark, sf).ranked()
+    nodes, links = rca.fault_tree(cands, edges, START)
+    return links.union(nodes.select("service", F.lit("")))
+
+
+@query
+def r15_pick_start(spark, sf):
+    r = Run(spark, sf)
+    errors = graph.cut(graph.error_services(r.spans))
+    return rca.pick_start(graph.pagerank(graph.cut(r.edges), restart=errors.select(F.col("service").alias("id"))), errors)
+
+
+@query
+def c1_temporal_order(spark, sf):
+    r = Run(spark, sf)
+    return causal.temporal_order(r.spans, r.alerts)
+
+
+def _strength(spark, sf, more=False):
+    r = Run(spark, sf)
+    ranked = r.ranked()
+    s = graph.cut(causal.lagged_strength(r.spans, ranked[0].filter("rank <= 4").select("service")))
+    return (r, ranked, s) if more else s
+
+
+@query
+def c2_lagged_strength(spark, sf):
+    return _strength(spark, sf)
+
+
+@query
+def c3_causal_totals(spark, sf):
+    return causal.causal_totals(_strength(spark, sf))
+
+
+@query
+def c4_fuse_rank(spark, sf):
+    r, ranked, s = _strength(spark, sf, True)
+    return causal.fuse_rank(ranked[0], causal.temporal_order(r.spans, ranked[3]), causal.causal_totals(s)).select("service", "combined", "rank")
+
+
+# N: infrastructure
+
+
+@query
+def n5_infra_edges(spark, sf):
+    r = Run(spark, sf)
+    return infra.infra_edges(r.nodes, views.pods(spark, sf), views.machines(spark, sf), r.alerts)
+
+
+@query
+def n8_noisy_neighbors(spark, sf):
+    return infra.noisy_neighbors(views.pods(spark, sf), Run(spark, sf).alerts).select("pod_a", "pod_b", "shared_node", "alerted_service")
+
+
+# T, S: facts and suspects
+
+
+@query
+def t3_trace_facts(spark, sf):
+    return facts.trace_facts(Run(spark, sf).spans)
+
+
+@query
+def t6_pod_facts(spark, sf):
+    return facts.pod_facts(views.pods(spark, sf))
+
+
+@query
+def t9_peer_outliers(spark, sf):
+    return facts.peer_outliers(views.metrics(spark, sf)).drop("citation_quote")
+
+
+@query
+def t10_own_outliers(spark, sf):
+    return facts.own_outliers(views.metrics(spark, sf)).drop("citation_quote")
+
+
+@query
+def t11_metric_facts(spark, sf):
+    return facts.metric_facts(views.metrics(spark, sf)).drop("citation_quote")
+
+
+@query
+def t12_log_facts(spark, sf):
+    f = facts.log_facts(views.log_lines(spark, sf))
+    return f.filter("target IN ('LOG_ERROR', 'TIMEOUT')")
+
+
+@query
+def t18_decide_incident(spark, sf):
+    f = facts.trace_facts(Run(spark, sf).spans).unionByName(facts.metric_facts(views.metrics(spark, sf)))
+    return facts.decide_incident(f)
+
+
+def _all_facts(spark, sf):
+    f = facts.trace_facts(Run(spark, sf).spans).unionByName(facts.pod_facts(views.pods(spark, sf))).unionByName(facts.metric_facts(views.metrics(spark, sf))).unionByName(facts.log_facts(views.log_lines(spark, sf)))
+    return graph.cut(facts.merge_facts(f, "analysis").withColumn("seq", F.xxhash64("source", "relationship", "target")))
+
+
+@query
+def t17_merge_facts(spark, sf):
+    return _all_facts(spark, sf).drop("seq")
+
+
+@query
+def t19_fact_rows(spark, sf):
+    return facts.fact_rows(_all_facts(spark, sf), "s1").drop("extracted_at")
+
+
+@query
+def t22_neighbourhood(spark, sf):
+    rows = graph.cut(facts.fact_rows(_all_facts(spark, sf), "s1"))
+    return facts.fact_lines(facts.neighbourhood(rows, "svc-5", 1))
+
+
+@query
+def s1_rank_suspects(spark, sf):
+    return facts.rank_suspects(_all_facts(spark, sf)).withColumn("pagerank", F.round("pagerank", 6))
+
+
+@query
+def s7_rank_facts(spark, sf):
+    return facts.rank_facts(facts.rank_suspects(_all_facts(spark, sf)))
+
+
+# L: logs
+
+
+@query
+def l1_error_lines(spark, sf):
+    r = Run(spark, sf)
+    return logs.error_lines(r.spans, r.ranked()[0].filter("rank <= 5"))
+
+
+@query
+def l3_top_patterns(spark, sf):
+    return logs.top_patterns(views.log_lines(spark, sf))
+
+
+@query
+def l4_fault_type(spark, sf):
+    return logs.fault_type(views.log_lines(spark, sf))
+
+
+@query
+def l5_clusters(spark, sf):
+    return logs.clusters(views.log_lines(spark, sf))
+
+
+@query
+def l8_redact(spark, sf):
+    text = redact(strip_ansi(F.coalesce("text", F.lit(""))))
+    return views.table(spark, sf, "documents").select("doc_id", F.sha2(text, 256).alias("sha"))
+
+
+@query
+def l9_clip_middle(spark, sf):
+    return views.table(spark, sf, "documents").select("doc_id", clip_middle(F.coalesce("text", F.lit("")), 200).alias("clipped"))
+
+
+# M, A, E: memory, mitigation, reports
+
+
+@query
+def m1_signature(spark, sf):
+    s, a = F.col("service"), F.col("anomaly_type")
+    return Run(spark, sf).alerts.select("service", memory.signature(s, a).alias("signature"), memory.signature(s, a, s).alias("signature_full"))
+
+
+def _incidents(spark, sf):
+    """An incident for each order."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    o = views.table(spark, sf, "orders").select(
+        F.concat(F.lit("o"), k.cast("string")).alias("id"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.concat(F.lit("svc-"), (c % 50).cast("string")).alias("service"), F.col("o_orderpriority").alias("anomaly_type"),
+        F.concat(F.lit("svc-"), (c % 7).cast("string")).alias("root_cause"), F.lit(None).cast("array<string>").alias("affected_services"), F.when(k % 3 == 0, "kubectl rollout restart").alias("resolution"), F.lit(0.5).alias("confidence"),
+        F.when(F.col("o_orderstatus") == "P", "false_positive").when(k % 3 == 0, "resolved").alias("outcome"), F.create_map().cast("map<string,string>").alias("metadata"), (k % 50 == 0).alias("asked"),
+    )
+    return o
+
+
+@query
+def m3_find_similar(spark, sf):
+    o = _incidents(spark, sf).withColumn("anomaly_type", F.lit(""))
+    rows = memory.incident_rows(o)
+    asked = o.filter("asked").select(F.col("id").alias("case_id"), memory.signature(F.col("service"), F.lit("")).alias("signature"), "root_cause")
+    return memory.find_similar(rows, asked).select("case_id", "id", "rank")
+
+
+@query
+def m5_false_positives(spark, sf):
+    return memory.false_positives(memory.incident_rows(_incidents(spark, sf)))
+
+
+@query
+def m6_incident_count(spark, sf):
+    return memory.incident_count(memory.incident_rows(_incidents(spark, sf)))
+
+
+@query
+def a1_mitigation_plan(spark, sf):
+    ranked = Run(spark, sf).ranked()[0]
+    cases = memory.incident_rows(_incidents(spark, sf)).withColumn("root_cause", F.concat("root_cause", F.lit("-1")))
+    plan = mitigate.approve(mitigate.mitigation_plan(ranked, cases))
+    return mitigate.screen_commands(plan)
+
+
+@query
+def a4_health(spark, sf):
+    r = Run(spark, sf)
+    a = r.alerts.groupBy("service").agg(F.count("*").alias("alerts"))
+    p = views.pods(spark, sf).filter("status <> 'Running'").groupBy(F.col("service_name").alias("service")).agg(F.count("*").alias("unhealthy"))
+    counts = r.stats.select("service", F.col("error_count").alias("violations")).join(a, "service", "left").join(p, "service", "left").fillna(0)
+    return mitigate.health(counts).select("service", "alerts", "violations", "unhealthy", "score")
+
+
+@query
+def a6_revert_commands(spark, sf):
+    plan = mitigate.mitigation_plan(Run(spark, sf).ranked()[0])
+    return mitigate.undo_order(mitigate.revert_commands(plan.withColumn("seq", F.col("sequence"))))
+
+
+@query
+def e1_incident_report(spark, sf):
+    r = Run(spark, sf)
+    cands, stats, _, alerts, edges, nodes = r.ranked()
+    summary = nodes.agg(F.count("*").alias("node_count")).crossJoin(edges.agg(F.count("*").alias("edge_count")))  # one row each
+    found = logs.clusters(logs.error_lines(r.spans, cands.filter("rank <= 5")))
+    cases = memory.incident_rows(_incidents(spark, sf)).join(cands.filter("rank = 1").select(F.col("service").alias("root_cause")), "root_cause", "left_semi")
+    return report.incident_report("INC-1", alerts, cands, found, mitigate.mitigation_plan(cands), summary, cases, detect.primary_service(alerts, stats))
+
+
+@query
+def e5_token_usage(spark, sf):
+    c = views.table(spark, sf, "conversations").select(F.col("role").alias("caller"), F.lit("conversation").alias("model"), F.length("text").cast("long").alias("in_tokens"), F.col("turn").alias("out_tokens"), (F.col("turn") / 10.0).alias("elapsed"))
+    return report.token_usage(c)
+
+
+@query
+def e6_run_rollup(spark, sf):
+    k = F.col("event_id") % 3
+    runs = views.table(spark, sf, "events").select(F.col("event_type").alias("task_type"), F.when(k == 0, "passed").when(k == 1, "failed").otherwise("skipped").alias("status"), F.col("value").alias("seconds"))
+    return report.run_rollup(runs)
+
+
+ORACLE_SQL = {k: v for k, v in oracles.build().items() if k in QUERIES}
