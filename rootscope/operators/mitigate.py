@@ -134,10 +134,10 @@ def screen_commands(actions: DataFrame, policy: DataFrame | None = None) -> Data
     """Actions with `blocked`: the reason of the built-in lists, or of a policy table (no, pattern, regex, reason), the lowest no first."""
     if policy is None:
         return actions.withColumn("blocked", screen(F.col("command")))
-    a = actions.withColumn("__id", F.monotonically_increasing_id())
-    hit = F.when(F.col("regex"), F.col("command").rlike(F.col("pattern"))).otherwise(F.col("command").contains(F.col("pattern")))
-    found = a.select("__id", "command").join(F.broadcast(policy), hit).groupBy("__id").agg(F.min_by("reason", "no").alias("blocked"))  # a short list of rules
-    return a.join(found, "__id", "left").drop("__id")
+    p = policy.select("no", "pattern", "regex", "reason")
+    hit = F.when(F.col("regex"), F.rlike("__cmd", "pattern")).otherwise(F.contains("__cmd", "pattern"))
+    found = actions.select(F.col("command").alias("__cmd")).distinct().join(F.broadcast(p), hit).groupBy("__cmd").agg(F.min_by("reason", "no").alias("blocked"))  # a short list of rules
+    return actions.join(found, F.col("command") == F.col("__cmd"), "left").drop("__cmd")
 
 
 def render_actions(actions: DataFrame, namespace: str, root: str = "unknown") -> DataFrame:
