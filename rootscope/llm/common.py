@@ -41,3 +41,11 @@ def text_key(text: str | Column) -> Column:
     """128 bits that stand for a text, as two longs: rows that repeat a doc_id are told apart by it."""
     t = whole(text)
     return F.struct(F.xxhash64(t).alias("a"), F.xxhash64(F.lit("salt"), t).alias("b"))
+
+
+def bucketed(df: DataFrame, col: str, label: str) -> DataFrame:
+    """df as a table of the warehouse, bucketed by col, a file for each bucket: later joins on col move only the other side."""
+    spark, name = df.sparkSession, f"{label}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, col).write.bucketBy(n, col).saveAsTable(name)
+    return spark.table(name)

@@ -3,11 +3,13 @@
 Two permutations make the whole signature: shingles are placed by the first on a circle of 2^32, and coordinate k
 is the least value that the second gives to the places shifted by k. Bands of coordinates are bucket keys.
 
-Documents with equal shingle sets are one class and are searched once. A class is first compared with the least
-class of its buckets, and what is linked is merged. Then, in every bucket that still holds more than one component,
-all its members outside of the bucket's largest component are compared with the members of other components. So
-every pair that shares a bucket and isn't joined already is confirmed on its full shingle sets, but a group of
-thousands of copies costs as many comparisons as it has members. No pair is left out by a cap.
+Documents with equal shingle sets are one class and are searched once. The hub of a bucket is its member that meets
+most others in all its buckets: in a group of copies, the text that they were made from. A class is compared with its
+best hub first, then with the hubs of all its buckets that still hold more than one component. At last, in buckets
+that still do, all members outside of the bucket's largest component are compared with the members of other
+components, block by block. So every pair that shares a bucket and isn't joined is decided on its full shingle sets
+and no pair is left out by a cap, while a group of thousands of copies costs about as many comparisons as it has
+members.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import bucketed, cut
 from .components import components
 from .tokens import chunks, mix, words
 
@@ -99,14 +101,16 @@ def sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
     return src.mapInArrow(run, schema)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (hub, doc) whose sets have 100 * intersection >= percent * union. A hub's documents are dealt to tasks by PER_TASK."""
+def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """hub, doc, both, linked of the pairs (hub, doc): the size of their intersection, and whether 100 * it >= percent * union.
+
+    A hub's documents are dealt to tasks by PER_TASK.
+    """
     many = pairs.groupBy("hub").agg(F.ceil(F.count("*") / PER_TASK).cast("int").alias("parts"))
     dealt = pairs.join(many, "hub").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")))
     hubs = many.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1).cast("array<long>")).alias("part"))
     need = dealt.select(F.col("doc").alias("need"), "hub", "part", F.lit(1).alias("role")).union(hubs.select("hub", "hub", "part", F.lit(0)))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = texts.join(need, F.col("doc_id") == F.col("need")).select("hub", "part", "role", "doc_id", "text")
+    rows = texts.join(need.hint("shuffle_hash"), F.col("doc_id") == F.col("need")).select("hub", "part", "role", "doc_id", "text")
     rows = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,15 +128,74 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_col
                         sets.append(s)
                         continue
                     for t in sets:
-                        if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
+                        both = len(np.intersect1d(s, t, assume_unique=True))
+                        linked.append((hub[i], doc[i], both, 100 * both >= percent * (len(s) + len(t) - both) > 0))
+            ints = [pa.array([x[k] for x in linked], pa.int64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*ints, pa.array([x[3] for x in linked], pa.bool_())], names=["hub", "doc", "both", "linked"])
+
+    # more than one row of a pair: versions of a document
+    return rows.mapInArrow(run, "hub long, doc long, both long, linked boolean").groupBy("hub", "doc").agg(F.max("both").alias("both"), F.bool_or("linked").alias("linked"))
+
+
+def confirmed_in_blocks(seen: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Linked pairs (hub, doc) of different components of a bucket, one of them outside of the bucket's largest component.
+
+    seen: bucket, doc, comp. Both sides of a bucket are dealt into blocks of about PER_TASK documents, and each pair of
+    blocks is compared where its texts meet: no pair is a row before it is found linked, and none is compared whose
+    components have met in the block.
+    """
+    sized = seen.groupBy("bucket", "comp").agg(F.count("*").alias("m"))
+    major = sized.groupBy("bucket").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("all"))
+    parts = lambda n: F.ceil(n / PER_TASK).cast("int")
+    major = cut(major.select("bucket", F.col("top.comp").alias("major"), parts(F.col("all") - F.col("top.m")).alias("a_parts"), parts(F.col("all")).alias("m_parts")), "major")
+    rows = seen.join(major, "bucket").withColumn("astray", F.col("comp") != F.col("major"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
+    left = rows.filter("astray").select("bucket", "doc", "comp", "astray", F.lit(0).alias("role"), own("a_parts").alias("a"), spread("m_parts").alias("b"))
+    right = rows.select("bucket", "doc", "comp", "astray", F.lit(1).alias("role"), spread("a_parts").alias("a"), own("m_parts").alias("b"))
+    need = left.unionByName(right).withColumnRenamed("doc", "need")
+    met = texts.join(need.hint("shuffle_hash"), F.col("doc_id") == F.col("need")).select("bucket", "a", "b", "role", "doc_id", "comp", "astray", "text")
+    met = met.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b", "role", "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, firsts, up = None, [], {}
+
+        def root(c: int) -> int:
+            while up.setdefault(c, c) != c:
+                c = up[c]
+            return c
+
+        for batch in batches:
+            bucket, a, b, role, doc, comp, astray = (batch.column(k).to_pylist() for k in range(7))
+            linked: list[tuple] = []
+            for lo, hi, data, at in chunks(batch.column(7)):
+                w, first = words(data, at)
+                for i in range(lo, hi):
+                    s = shingles(w[first[i - lo] : first[i - lo + 1]], size)
+                    if (bucket[i], a[i], b[i]) != now:
+                        now, firsts, up = (bucket[i], a[i], b[i]), [], {}
+                    if role[i] == 0:
+                        firsts.append((doc[i], comp[i], s))
+                        continue
+                    for other, c, t in firsts:
+                        # of two that are both astray, the smaller one is the first
+                        if root(c) == root(comp[i]) or astray[i] and other >= doc[i] or 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
                             continue
                         both = len(np.intersect1d(s, t, assume_unique=True))
                         if 100 * both >= percent * (len(s) + len(t) - both) > 0:
-                            linked.append((hub[i], doc[i]))
-                            break
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in linked], pa.int64()) for k in (0, 1)], names=["hub", "doc"])
+                            linked.append((other, doc[i]))
+                            up[root(c)] = root(comp[i])
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in linked], pa.int64()) for k in range(2)], names=["hub", "doc"])
 
-    return rows.mapInArrow(run, "hub long, doc long").distinct()
+    return met.mapInArrow(run, "hub long, doc long").distinct()
+
+
+def _with_components(lsh: DataFrame, links: DataFrame) -> DataFrame:
+    """bucket, doc, hub, comp of the buckets that hold more than one component."""
+    comp = components(links.select(F.col("hub").alias("a"), F.col("doc").alias("b")))
+    seen = lsh.join(comp, F.col("doc") == F.col("node"), "left").select("bucket", "doc", "hub", F.coalesce("comp", "doc").alias("comp"))
+    mixed = seen.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("bucket")
+    return cut(seen.join(mixed, "bucket", "left_semi"), "open")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -145,28 +208,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component and is kept. Ids are longs.
     """
     sk = cut(sketches(docs, size, id_col, text_col), "sketches")
+    texts = bucketed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL"), "doc_id", "near_dedup")
     real = sk.filter("n > 0 AND doc_id IS NOT NULL")
     classes = real.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
     members = cut(real.select("doc_id", "s1", "s2").join(classes, ["s1", "s2"]).select("doc_id", "rep").distinct(), "members")
     reps = real.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     lsh = reps.select(F.col("doc_id").alias("doc"), F.explode("bands").alias("bucket")).distinct()
-    full = lsh.groupBy("bucket").agg(F.min("doc").alias("hub"), F.max("doc").alias("other")).filter("hub <> other").select("bucket", "hub")
+    full = lsh.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1")
     lsh = cut(lsh.join(full, "bucket"), "buckets")
-    check = lambda pairs: confirmed(pairs, docs, size, percent, id_col, text_col)
-    links = cut(check(lsh.groupBy("doc").agg(F.min("hub").alias("hub")).filter("doc <> hub")), "links")
+    met = lsh.groupBy("doc").agg(F.sum("m").alias("met"))
+    hubs = lsh.join(met, "doc").groupBy("bucket").agg(F.max(F.struct("met", (-F.col("doc")).alias("less"))).alias("top")).select("bucket", (-F.col("top.less")).alias("hub"), F.col("top.met").alias("met"))
+    lsh = cut(lsh.select("bucket", "doc").join(hubs, "bucket"), "hubs")
+    check = lambda pairs: cut(confirmed(pairs, texts, size, percent), "links")
+    # first: each document and the hub of most of its buckets
+    best = lsh.filter("doc <> hub").groupBy("doc", "hub").agg(F.count("*").alias("m"), F.max("met").alias("met"))
+    best = cut(best.groupBy("doc").agg(F.max(F.struct("m", "met", "hub")).alias("top")).select("doc", "top.hub"), "pairs")
+    tested = check(best)
+    of = lambda t: t.filter("linked").select("hub", "doc")
+    # then: all hubs of buckets that hold several components
+    seen = _with_components(lsh, of(tested))
+    of_hub = seen.filter("doc = hub").select("bucket", F.col("comp").alias("h_comp"))
+    pairs = seen.join(of_hub, "bucket").filter("comp <> h_comp").select("doc", "hub").distinct().join(best, ["doc", "hub"], "left_anti")
+    links = cut(of(tested).union(of(check(pairs))), "links")
+    # at last: who is outside of a bucket's largest component, and the members of others
+    seen = _with_components(lsh, links)
     same = members.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    # the second round: buckets that hold several components so far
-    comp = components(links.select(F.col("hub").alias("a"), F.col("doc").alias("b")))
-    seen = lsh.select("bucket", "doc").join(comp, F.col("doc") == F.col("node"), "left").select("bucket", "doc", F.coalesce("comp", "doc").alias("comp"))
-    mixed = seen.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("bucket")
-    seen = cut(seen.join(mixed, "bucket", "left_semi"), "open")
-    sized = seen.groupBy("bucket", "comp").agg(F.count("*").alias("m"))
-    major = sized.groupBy("bucket").agg(F.max(F.struct("m", "comp")).alias("top")).select("bucket", F.col("top.comp").alias("major"))
-    astray = seen.join(major, "bucket").filter("comp <> major").select("bucket", F.col("doc").alias("hub"), F.col("comp").alias("h_comp"), "major")
-    # of two that are both astray, the smaller one is the hub
-    pairs = astray.join(seen, "bucket").filter("comp <> h_comp AND (comp = major OR hub < doc)").select("hub", "doc").distinct()
-    pairs = cut(pairs, "pairs")
-    more = check(pairs) if pairs.head(1) else pairs
+    more = confirmed_in_blocks(seen.select("bucket", "doc", "comp"), texts, size, percent)
     edges = links.union(more).select(F.col("hub").alias("a"), F.col("doc").alias("b")).union(same)
     final = components(edges).select(F.col("node").alias("c_id"), "comp")
     out = sk.join(final, F.col("doc_id") == F.col("c_id"), "left")
