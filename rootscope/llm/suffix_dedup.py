@@ -14,15 +14,14 @@ A trigger with very many different phrases is resolved by grouping hashes of the
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, whole
+from .common import bucketed, cut, whole
 from .tokens import chunks, mix
 
 #: Bytes under a trigger's hash; starts worked on at once; phrases of a trigger that one task sorts; bytes sorted at once.
@@ -129,11 +128,16 @@ def _occurrences(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("doc_id", "tag", "text").mapInArrow(run, f"trigger long, phrase long, doc_id {id_type}, tag long, start long, n int")
 
 
+def _same(a: Column, b: Column) -> Column:
+    """a = b, but no join key: documents are bucketed by doc_id alone."""
+    return a.bitwiseXOR(b) == 0
+
+
 def _contents(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """trigger, doc_id, tag, start, content of the wanted phrases (trigger, doc_id, tag, start, n), read from their documents."""
     per = wanted.groupBy(F.col("doc_id").alias("w_id"), F.col("tag").alias("w_tag")).agg(F.collect_list(F.struct("trigger", "start", "n")).alias("want"))
     raw = F.col("text").cast("binary")
-    rows = docs.join(per, (docs.doc_id == per.w_id) & (docs.tag == per.w_tag)).select("doc_id", "tag", raw.alias("raw"), F.explode("want").alias("w"))
+    rows = docs.join(per, (docs.doc_id == per.w_id) & _same(docs.tag, per.w_tag)).select("doc_id", "tag", raw.alias("raw"), F.explode("want").alias("w"))
     return rows.select("w.trigger", "doc_id", "tag", "w.start", F.expr(f"substring(raw, int(w.start + 1), w.n + {length - 1})").alias("content")).distinct()
 
 
@@ -199,13 +203,14 @@ def _hashed_repeats(contents: DataFrame, length: int) -> DataFrame:
 def repeats(docs: DataFrame, length: int) -> DataFrame:
     """doc_id, tag, lo, hi: byte ranges of docs (doc_id, tag, text) that are to go; they may overlap."""
     occ = _occurrences(docs, length)
-    again = occ.groupBy("trigger").agg(F.count("*").alias("c")).filter("c > 1").select("trigger")
+    # written before they are joined: both sides are then plain exchanges, of which Spark splits a hot trigger's partition
+    again = cut(occ.groupBy("trigger").agg(F.count("*").alias("c")).filter("c > 1").select("trigger"), "triggers")
     parse = cut(occ.join(again, "trigger", "left_semi"), "parse")
     me = F.struct("doc_id", "tag", "start")
     entries = cut(parse.groupBy("trigger", "phrase").agg(F.min(me).alias("first"), F.max("n").alias("n")), "dictionary")
     later = parse.join(entries.select("trigger", "phrase", "first"), ["trigger", "phrase"]).filter(me != F.col("first"))
     later = later.select("doc_id", "tag", F.col("start").alias("lo"), (F.col("start") + F.col("n") + length - 1).alias("hi"))
-    many = entries.groupBy("trigger").agg(F.count("*").alias("m")).filter("m > 1")
+    many = cut(entries.groupBy("trigger").agg(F.count("*").alias("m")).filter("m > 1"), "many")
     wanted = entries.join(many, "trigger").select("trigger", "first.doc_id", "first.tag", "first.start", "n", "m")
     contents = cut(_contents(docs, wanted.select("trigger", "doc_id", "tag", "start", "n"), length), "contents")
     hot = cut(many.filter(F.col("m") > HOT).select("trigger"), "hot")
@@ -223,14 +228,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if length < K + 8:
         raise ValueError(f"length is {K + 8} at least")
-    spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(whole(text_col)).alias("tag"), whole(text_col).alias("text"))
     # bucketed by doc_id: the two joins with documents below then move no text
-    name = f"suffix_dedup_{uuid.uuid4().hex}"
-    src.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").saveAsTable(name)
-    src = spark.table(name)
+    src = bucketed(src, "doc_id", "suffix_dedup")
     ranges = repeats(src.filter("doc_id IS NOT NULL"), length).groupBy(F.col("doc_id").alias("r_id"), F.col("tag").alias("r_tag")).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    both = src.join(ranges, (src.doc_id == ranges.r_id) & (src.tag == ranges.r_tag), "left").select("doc_id", "text", F.col("ranges.lo").alias("lo"), F.col("ranges.hi").alias("hi"))
+    both = src.join(ranges, (src.doc_id == ranges.r_id) & _same(src.tag, ranges.r_tag), "left").select("doc_id", "text", F.col("ranges.lo").alias("lo"), F.col("ranges.hi").alias("hi"))
     schema = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
