@@ -1,14 +1,15 @@
 """A hierarchical Pitman-Yor language model over words, and perplexity scores.
 
-Restaurants: one for each context (the CONTEXTS most frequent words, the start of a text, and one that all rarer words
-share), whose dishes are the same words and `rare`; they share one parent, whose base is uniform over the words. What
-is rare is told apart by a restaurant over all other words of the corpus. So the table of contexts has a fixed bound,
-while word counts, and what is joined with them, grow with the corpus.
-
-Seating is sampled by Gibbs, all restaurants at once on Spark, given the parent's predictive probabilities: customers
-of a dish with up to SMALL customers leave and sit down again one by one; a dish with more is seated anew in blocks of
-customers. The parent then gets one customer for each table and is sampled too. Predictive probabilities are averaged
-over the sweeps after the first ones.
+Restaurants: one for each word that stands before another one (END stands before the first), whose dishes are the words
+that follow it. They share one parent over all words, whose base is uniform over the words and one unknown word. No word
+is merged with another: pairs (context, word, count) are a Spark table that grows with the corpus.
+
+Seating is sampled by Gibbs, all cells (context and dish) at once on Spark, given the tables of the context and the
+parent's probability of the word from the turn before: the number of tables of a cell with up to SMALL customers is drawn
+from its exact distribution, a larger one is seated in blocks of customers. So a hot context is parted over tasks like
+any other cells. A pair seen once always has one table and is left out of the turns. The parent gets one customer for
+each table; its base is uniform, so that its tables hang on a word's customers alone and are drawn by count.
+Tables and the parent's probabilities are averaged over the turns after the first ones; what comes out is a distribution.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .tokens import END, chunks, mix, words
+from .tokens import _R, END, chunks, mix, words
 
-#: Words that are contexts and dishes; counts that are broadcast (16 bytes each); customers seated singly; sweeps in all and dropped.
+#: Most frequent words that are joined with cells by broadcast; words, and pairs, that scoring gets by broadcast (24 bytes each); customers of a cell whose tables are drawn exactly; sweeps in all and dropped.
 CONTEXTS, TOP, SMALL, SWEEPS, BURN_IN = 1024, 1 << 18, 64, 4, 2
 THETA = 1.0
 
@@ -81,15 +82,11 @@ def _find(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(sorted_keys[i] == x, i, -1)
 
 
-def _classes(t: np.ndarray, starts: np.ndarray, dishes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Context and dish of each token; dish len(dishes): rare; context len(dishes) + 1: the start of a text."""
-    g = len(dishes)
-    dish = _find(dishes, t)
-    dish[dish < 0] = g
-    context = np.empty_like(dish)
-    context[1:] = dish[:-1]
-    context[starts[:-1]] = g + 1
-    return context, dish
+def pair_keys(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Context and key of the pair for each token; the context of a text's first token is END, which closes the one before."""
+    context = np.empty_like(t)
+    context[:1], context[1:] = END, t[:-1]
+    return context, mix(context * _R + t)
 
 
 def seat_blocks(c: np.ndarray, p: np.ndarray, strength: float, d: float, rng: np.random.Generator) -> np.ndarray:
@@ -142,157 +139,237 @@ def _discount(ones: float, twos: float) -> float:
     return float(np.clip(ones / max(1.0, ones + 2 * twos), 0.1, 0.95))
 
 
-class Model:
-    """What scoring needs, of bounded size: dishes, log10 probabilities by context and dish, frequent words' counts."""
+def stirling(d: float) -> np.ndarray:
+    """log of the generalised Stirling numbers: row c, column t - 1, for up to SMALL customers at t tables of a dish."""
+    out = np.full((SMALL + 1, SMALL), -np.inf)
+    out[1, 0] = 0
+    for c in range(1, SMALL):
+        t = np.arange(1, c + 1)
+        out[c + 1, :c] = out[c, :c] + np.log(c - t * d)
+        out[c + 1, 1 : c + 1] = np.logaddexp(out[c + 1, 1 : c + 1], out[c, :c])
+    return out
+
+
+def draw(c: np.ndarray, a: np.ndarray, d: float, logs: np.ndarray, u: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Tables of cells with c customers; a: strength of the restaurant times the parent's probability; u: a number in [0, 1) for each."""
+    t = np.minimum(c, 1)
+    for k in np.unique(c[(c > 1) & (c <= SMALL)]):
+        at = np.flatnonzero(c == k)
+        w = logs[k, :k] + np.log(a[at])[:, None] * np.arange(1, k + 1)
+        w = np.exp(w - w.max(axis=1, keepdims=True)).cumsum(axis=1)
+        t[at] = 1 + np.minimum((w < (u[at] * w[:, -1])[:, None]).sum(axis=1), k - 1)
+    big = np.flatnonzero(c > SMALL)
+    if len(big):
+        t[big] = seat_blocks(c[big], a[big], 1.0, d, rng)
+    return t
+
+
+def _pairs(docs: DataFrame, text_col: str) -> DataFrame:
+    """k, u, w, c: each pair of neighbouring tokens and how often it stands, summed in each partition and then over all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def summed(pieces: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+            k, u, w, n = (np.concatenate(x) for x in zip(*pieces, strict=True))
+            k, first, place = np.unique(k, return_index=True, return_inverse=True)
+            return k, u[first], w[first], np.bincount(place, weights=n, minlength=len(k)).astype(np.int64)
+
+        def out() -> pa.RecordBatch:
+            k, u, w, n = summed(held)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (k, u, w, n)], names=["k", "u", "w", "c"])
+
+        for batch in batches:
+            for _, _, data, at in chunks(batch.column(0)):
+                t = tokens(data, at)[0]
+                u, k = pair_keys(t)
+                held.append(summed([(k, u, t, np.ones(len(t)))]))
+                if sum(len(x[0]) for x in held) > 1 << 20:
+                    yield out()
+        if held:
+            yield out()
 
-    def __init__(self, dishes, matrix, top_keys, top_n, rare_logp, n, v):
-        self.dishes, self.matrix, self.top_keys, self.top_n, self.rare_logp, self.n, self.v = dishes, matrix, top_keys, top_n, rare_logp, n, v
+    n = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "k long, u long, w long, c long")
+    return n.groupBy("k").agg(F.first("u").alias("u"), F.first("w").alias("w"), F.sum("c").alias("c"))
 
 
-def _restaurants(docs: DataFrame, text_col: str, dishes: np.ndarray) -> DataFrame:
-    """u, w, c: one row for each context, with at most len(dishes) + 1 dishes."""
-    g = len(dishes)
+def _counts(df: DataFrame, col: str) -> pd.DataFrame:
+    """How many rows have each count, the largest first: at most the square root of twice the tokens."""
+    return df.groupBy(F.col(col).alias("n")).agg(F.count("*").alias("m")).toPandas().sort_values("n", ascending=False)
 
-    def cells(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        context, dish = _classes(*tokens(data, at), dishes)
-        return context * (g + 1) + dish
 
-    n = _counted(docs, text_col, cells, "cell")
-    by = n.groupBy(F.floor(F.col("cell") / (g + 1)).alias("u")).agg(F.sort_array(F.collect_list(F.struct((F.col("cell") % (g + 1)).alias("w"), F.col("n").alias("c")))).alias("d"))
-    return by.select("u", F.col("d.w").alias("w"), F.col("d.c").alias("c"))
+def _least(coc: pd.DataFrame, most: int) -> int:
+    """The least count that at most `most` rows reach."""
+    below = coc[coc["m"].cumsum() <= most]["n"]
+    return int(below.min()) if len(below) else int(coc["n"].max() + 1) if len(coc) else 1
 
 
-def _swept(state: DataFrame, p: np.ndarray, d: float, g: int, turn: int) -> DataFrame:
-    schema = "u long, w array<long>, c array<long>, t array<long>, sizes array<array<int>>, prob array<double>"
+def parent_by_count(c: np.ndarray, m: np.ndarray, b: float, d: float = 0.5) -> dict[int, float]:
+    """The parent's probability of a word by its customers (0: an unknown word), m words having c; b: the base. Tables are averaged over draws."""
+    tables, rng, draws = np.minimum(c, 1).astype(float), np.random.default_rng(5), 32
+    for _ in range(3):
+        strength = THETA + d * float((m * tables).sum())
+        if len(c):
+            tables = seat_blocks(np.tile(c, draws), np.full(draws * len(c), b), strength, d, rng).reshape(draws, -1).mean(axis=0)
+    strength, customers = THETA + d * float((m * tables).sum()), THETA + float((m * c).sum())
+    return {0: strength * b / customers} | {int(n): float(x) for n, x in zip(c, (c - d * tables + strength * b) / customers, strict=True)}
+
+
+def _ends(cells: DataFrame, t: Column) -> DataFrame:
+    """h, tu, cw: tables of each word as a context and as a dish."""
+    zero = F.lit(0).cast("long")
+    as_context = F.struct(F.col("u").alias("h"), t.alias("tu"), zero.alias("cw"))
+    as_dish = F.struct(F.col("w").alias("h"), zero.alias("tu"), t.alias("cw"))
+    each = cells.select(F.explode(F.array(as_context, as_dish)).alias("x")).select("x.*")
+    return each.groupBy("h").agg(F.sum("tu").alias("tu"), F.sum("cw").alias("cw"))
+
+
+def _plus(base: DataFrame, ends: DataFrame) -> DataFrame:
+    e = ends.select("h", F.col("tu").alias("tu2"), F.col("cw").alias("cw2"))
+    return base.join(e, "h", "left").select("h", "n", *((F.col(x) + F.coalesce(f"{x}2", F.lit(0))).alias(x) for x in ("tu", "cw")))
+
+
+def _met(cells: DataFrame, words: DataFrame, by: str, val: str, hot: int, missing: float) -> DataFrame:
+    """cells with the value of the word in column `by`; words of `hot` tokens or more by broadcast, so that no task gets all their cells."""
+    v = words.select(F.col("h").alias(by), F.col(val), "n")
+    top = F.broadcast(v.filter(F.col("n") >= hot).drop("n"))
+    cold = cells.join(top.drop(val), by, "left_anti").join(v.filter(F.col("n") < hot).drop("n"), by, "left")
+    return cells.join(top, by).unionByName(cold.withColumn(val, F.coalesce(val, F.lit(missing))))
+
+
+def _drawn(cells: DataFrame, d: float, turn: int) -> DataFrame:
+    """k, u, w, c, t, acc of cells with s, p: tables drawn once more; acc sums those of the turns that count."""
+    logs = stirling(d)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in batch.to_pylist():
-                w, c = np.array(x["w"], np.int64), np.array(x["c"], np.int64)
-                t = np.array(x.get("t") or np.minimum(c, 1), np.int64)
-                sizes = x.get("sizes") or [[int(n)] if n <= SMALL else [] for n in c]
-                sweep(c, t, sizes, p[w], d, 1000 * turn + int(x["u"]))
-                full_c, full_t = np.zeros(g + 1, np.int64), np.zeros(g + 1, np.int64)
-                full_c[w], full_t[w] = c, t
-                yield pa.RecordBatch.from_pylist([{"u": x["u"], "w": x["w"], "c": x["c"], "t": t.tolist(), "sizes": sizes, "prob": predictive(full_c, full_t, d, p).tolist()}], schema=kind)
-
-    ints = pa.list_(pa.int64())
-    kind = pa.schema([("u", pa.int64()), ("w", ints), ("c", ints), ("t", ints), ("sizes", pa.list_(pa.list_(pa.int32()))), ("prob", pa.list_(pa.float64()))])
-    return cut(state.mapInArrow(run, schema), "seating")
-
-
-def train(docs: DataFrame, vocab: DataFrame, text_col: str = "text") -> Model:
-    """Learn from docs; vocab: h, n of all their tokens."""
-    n_all, v = (int(x or 0) for x in vocab.agg(F.sum("n"), F.count("*")).first())
-    # counts of counts: at most the square root of twice the tokens
-    coc = vocab.groupBy("n").agg(F.count("*").alias("m")).toPandas().sort_values("n", ascending=False)
-    below = coc[coc["m"].cumsum() <= TOP]["n"]
-    least = int(below.min()) if len(below) else 1
-    top = vocab.filter(F.col("n") >= least).toPandas()
-    keys, counts = top["h"].to_numpy(np.int64).astype(np.uint64), top["n"].to_numpy(np.int64)
-    order = np.lexsort((keys, -counts))[:CONTEXTS]
-    dishes = np.union1d(keys[order], [END])
-    place = np.argsort(keys)
-    keys, counts = keys[place], counts[place]
-    g = len(dishes)
-
-    rooms = cut(_restaurants(docs, text_col, dishes), "restaurants")
-    ones, twos = (float(x or 0) for x in rooms.select(F.explode("c").alias("c")).agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first())
-    d = _discount(ones, twos)
-    base = np.append(np.full(g, 1 / (v + 1)), max(1, v + 1 - g) / (v + 1))
-    base /= base.sum()
-    i = _find(keys, dishes)
-    own = np.where(i >= 0, counts[np.maximum(i, 0)] if len(counts) else 0, 0)
-    start = np.append(own, max(0, n_all - own.sum())) + 0.5
-    parent, state, total = start / start.sum(), rooms, np.zeros((g + 2, g + 1))
-    top_sizes: list[list[int]] | None = None
-    for turn in range(SWEEPS):
-        state = _swept(state, parent, d, g, turn)
-        seats = state.select(F.explode(F.arrays_zip("w", "t")).alias("x")).groupBy("x.w").agg(F.sum("x.t").alias("t")).toPandas()
-        if turn >= BURN_IN:  # contexts x dishes numbers: a fixed bound
-            probs = np.tile(parent, (g + 2, 1))
-            for u, prob in state.select("u", "prob").toPandas().itertuples(index=False):
-                probs[u] = prob
-            total += probs
-        c = np.zeros(g + 1, np.int64)
-        c[seats["w"].to_numpy(np.int64)] = seats["t"].to_numpy(np.int64)
-        t = np.minimum(c, 1)
-        top_sizes = [[int(x)] if 0 < x <= SMALL else [] for x in c]
-        for inner in range(3):
-            sweep(c, t, top_sizes, base, 0.5, 7919 * turn + inner)
-        parent = predictive(c, t, 0.5, base)
-    matrix = np.log10(total / (SWEEPS - BURN_IN))
-
-    # the restaurant of the rare words: tables by count, averaged over draws
-    in_g = pd.Series(own[own > 0]).value_counts()
-    rare = coc.assign(m=coc["m"] - coc["n"].map(in_g).fillna(0)).query("m > 0")
-    n_rare, m_rare = rare["n"].to_numpy(np.int64), rare["m"].to_numpy(np.float64)
-    dr = _discount(float(m_rare[n_rare == 1].sum()), float(m_rare[n_rare == 2].sum()))
-    b, types, draws, rng = 1 / max(1, v + 1 - g), float(m_rare.sum()), 32, np.random.default_rng(5)
-    tables = np.minimum(n_rare, 1).astype(float)
-    for _ in range(3):
-        strength = THETA + dr * float((m_rare * tables).sum())
-        if len(n_rare):
-            tables = seat_blocks(np.tile(n_rare, draws), np.full(draws * len(n_rare), b), strength, dr, rng).reshape(draws, -1).mean(axis=0)
-    strength, customers = THETA + dr * float((m_rare * tables).sum()), THETA + float((m_rare * n_rare).sum())
-    by_n = {int(n): float(x) for n, x in zip(n_rare, np.log10((n_rare - dr * tables + strength * b) / customers), strict=True)}
-    by_n[0] = float(np.log10(strength * b / customers)) if types else float(np.log10(b))
-    return Model(dishes, matrix, keys, counts, by_n, n_all, v)
+            k, c, acc, s, p = (np.asarray(batch.column(x)) for x in ("k", "c", "acc", "s", "p"))
+            h = mix(k.view(np.uint64) + np.uint64((turn + 1) * int(_R) % 2**64))
+            rng = np.random.default_rng(int(np.bitwise_xor.reduce(h)) if len(h) else 0)
+            t = draw(c, s * p, d, logs, (h >> np.uint64(11)).astype(np.float64) / 2**53, rng)
+            new = acc + t if turn >= BURN_IN else acc
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("u"), batch.column("w"), batch.column("c"), pa.array(t), pa.array(new)], names=["k", "u", "w", "c", "t", "acc"])
+
+    return cut(cells.select("k", "u", "w", "c", "acc", "s", "p").mapInArrow(run, "k long, u long, w long, c long, t long, acc long"), "seating")
 
 
-def score(docs: DataFrame, model: Model, vocab: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def train(docs: DataFrame, vocab: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame, float]:
+    """Learn from docs; vocab: h, n of all their tokens. Both tables grow with the corpus.
+
+    words: h, n, p: the word's probability in the parent, back: its back-off weight as a context, gain: log10 of both.
+    pairs: k, c, gain: what a pair that was seen adds to the gains of its words. Last, the gain of an unknown word.
+    """
+    v = vocab.count()
+    pairs = cut(_pairs(docs, text_col), "pairs")
+    ones, twos = (float(x or 0) for x in pairs.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first())
+    d, b = _discount(ones, twos), 1 / (v + 1)
+    hot = _least(_counts(vocab, "n"), CONTEXTS)
+    # a word seen once has one table as a context and as a dish; the others, with their tables of pairs seen once
+    single = vocab.filter("n = 1")
+    n_single = single.count()
+    solo = pairs.filter("c = 1")
+    none = vocab.filter("n > 1").select("h", "n", F.lit(0).cast("long").alias("tu"), F.lit(0).cast("long").alias("cw"))
+    base = cut(_plus(none, _ends(solo, F.lit(1).cast("long"))), "words")
+    cells = pairs.filter("c > 1").withColumn("acc", F.lit(0).cast("long"))
+    words = cut(_plus(base, _ends(cells, F.lit(1).cast("long"))), "words")
+
+    def with_values(words: DataFrame) -> tuple[DataFrame, dict[int, float]]:
+        coc = _counts(words, "cw").groupby("n")["m"].sum()
+        if n_single:
+            coc[1] = coc.get(1, 0) + n_single
+        p = parent_by_count(np.array(coc.index, np.int64), coc.to_numpy(np.float64), b)
+        by = words.sparkSession.createDataFrame(list(p.items()), "cw long, p double")  # counts of counts: bounded as above
+        return words.join(F.broadcast(by), "cw").select("h", "n", (THETA + d * F.col("tu")).alias("s"), "p"), p
+
+    kept, p0, p1 = [], 0.0, 0.0
+    for turn in range(SWEEPS):
+        values, _ = with_values(words)
+        cells = _drawn(_met(_met(cells, values, "u", "s", hot, THETA), values, "w", "p", hot, b), d, turn)
+        words = cut(_plus(base, _ends(cells, F.col("t"))), "words")
+        if turn >= BURN_IN:
+            values, p = with_values(words)
+            kept.append(values)
+            p0, p1 = p0 + p[0] / (SWEEPS - BURN_IN), p1 + p.get(1, p[0]) / (SWEEPS - BURN_IN)
+    all_kept = kept[0]
+    for x in kept[1:]:
+        all_kept = all_kept.unionByName(x)
+    values = cut(all_kept.groupBy("h").agg(F.first("n").alias("n"), F.avg("s").alias("s"), F.avg("p").alias("p")), "words")
+    s1 = THETA + d
+    seen = values.unionByName(single.select("h", "n", F.lit(s1).alias("s"), F.lit(p1).alias("p")))
+    gains = seen.withColumn("back", F.col("s") / (THETA + F.col("n"))).select("h", "n", "p", "back", F.log10(F.col("p") * F.col("back")).alias("gain"))
+    rest = solo.select("k", "u", "w", "c", F.lit(1 - d).alias("x")).unionByName(cells.select("k", "u", "w", "c", (F.col("c") - d * F.col("acc") / (SWEEPS - BURN_IN)).alias("x")))
+    met = _met(_met(rest, values, "u", "s", hot, s1), values, "w", "p", hot, p1)
+    return gains, cut(met.select("k", "c", F.log10(1 + F.col("x") / (F.col("s") * F.col("p"))).alias("gain")), "pair-gains"), float(np.log10(p0))
+
+
+def _runs(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each document and key once, and how often they stand."""
+    order = np.lexsort((key, doc))
+    key, doc = key[order], doc[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(new)
+    return doc[at], key[at], np.diff(np.append(at, len(key)))
+
+
+def score(docs: DataFrame, trained: tuple[DataFrame, DataFrame, float], vocab: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(vars(model))
+    word_gains, pair_gains, unknown = trained
+    coc = _counts(vocab, "n")
+    n_all, v = int((coc["n"] * coc["m"]).sum()), int(coc["m"].sum())
+    spread = n_all + 0.5 * (v + 1)
+    # the most frequent words and pairs are broadcast, all others are joined
+    least, least_pair = _least(coc, TOP), _least(_counts(pair_gains, "c"), TOP)
+    top = word_gains.filter(F.col("n") >= least).select("h", "n", "gain").toPandas()
+    pairs = pair_gains.filter(F.col("c") >= least_pair).select("k", "gain").toPandas()
+
+    def by_key(df: pd.DataFrame, key: str, *more: str) -> list[np.ndarray]:
+        keys = df[key].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        return [keys[order], *(df[x].to_numpy()[order] for x in more)]
+
+    shared = spark.sparkContext.broadcast((by_key(top, "h", "n", "gain"), by_key(pairs, "k", "gain")))
     src = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"))
     id_type = src.schema["doc_id"].dataType.simpleString()
-    spread = model.n + 0.5 * (model.v + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        g, top_keys, top_n = len(m["dishes"]), m["top_keys"], m["top_n"]
-        logp = np.array([m["rare_logp"].get(int(n), 0.0) for n in top_n])
+        (top_keys, top_n, top_gain), (top_pairs, pair_gain) = shared.value
         log_base = np.log10((top_n + 0.5) / spread)
         for batch in batches:
             for lo, hi, data, at in chunks(batch.column(1)):
                 t, starts = tokens(data, at)
-                context, dish = _classes(t, starts, m["dishes"])
-                i = _find(top_keys, t)
-                common, rare = i >= 0, dish == g
-                gain, base = m["matrix"][context, dish], np.zeros(len(t))
-                base[common] = log_base[i[common]]
-                both = common & rare
-                gain[both] += logp[i[both]]
+                _, pk = pair_keys(t)
+                i, j = _find(top_keys, t), _find(top_pairs, pk)
+                common, hot = i >= 0, j >= 0
+                gain, base = np.zeros(len(t)), np.zeros(len(t))
+                base[common], gain[common] = log_base[i[common]], top_gain[i[common]]
+                gain[hot] += pair_gain[j[hot]]
                 sums = lambda x: np.add.reduceat(x, starts[:-1])  # noqa: E731, B023  each text has its END
                 rid = np.array(batch.column(0).slice(lo, hi - lo), np.int64)
-                # the words that aren't broadcast: one row for each text and word
-                left = np.flatnonzero(~common)
-                doc = np.repeat(np.arange(hi - lo), np.diff(starts))[left]
-                order = np.lexsort((t[left], doc))
-                h, doc = t[left][order], doc[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                at_new = np.flatnonzero(new)
-                cnt = np.diff(np.append(at_new, len(h)))
-                n, k = hi - lo, len(at_new)
+                # what isn't broadcast: one row for each text and word, and one for each text and pair
+                doc = np.repeat(np.arange(hi - lo), np.diff(starts))
+                w_doc, w_key, w_cnt = _runs(doc[~common], t[~common])
+                p_doc, p_key, p_cnt = _runs(doc[~hot], pk[~hot])
+                n, k = hi - lo, len(w_key) + len(p_key)
                 ints = lambda x, y: pa.array(np.concatenate([x, y]).astype(np.int64))
                 floats = lambda x: pa.array(np.concatenate([x, np.zeros(k)]))  # noqa: E731, B023
                 none = np.zeros(k, np.int64)
-                # a text's own row goes to a place of its own; cnt 0 keeps it apart from words
-                yield pa.RecordBatch.from_arrays([ints(rid, rid[doc[at_new]]), pa.concat_arrays([batch.column(2).slice(lo, n), pa.nulls(k, batch.column(2).type)]), pa.array(np.concatenate([mix(rid.astype(np.uint64) + np.uint64(1)), h[at_new]]).view(np.int64)), ints(np.zeros(n), cnt), ints(np.diff(starts), none), ints(sums(common.astype(np.int64)), none), floats(sums(base)), floats(sums(gain))], names=["rid", "doc_id", "h", "cnt", "n_tokens", "n_known", "base", "gain"])
+                # a text's own row goes to a place of its own; cnt 0 keeps it apart from words, and pairs have cnt below 0
+                yield pa.RecordBatch.from_arrays([ints(rid, rid[np.concatenate([w_doc, p_doc])]), pa.concat_arrays([batch.column(2).slice(lo, n), pa.nulls(k, batch.column(2).type)]), pa.array(np.concatenate([mix(rid.astype(np.uint64) + np.uint64(1)), w_key, p_key]).view(np.int64)), ints(np.zeros(n), np.concatenate([w_cnt, -p_cnt])), ints(np.diff(starts), none), ints(sums(common.astype(np.int64)), none), floats(sums(base)), floats(sums(gain))], names=["rid", "doc_id", "h", "cnt", "n_tokens", "n_known", "base", "gain"])
 
     # rid holds within this one pass: a text's own row brings its doc_id along
     rows = src.mapInArrow(run, f"rid long, doc_id {id_type}, h long, cnt long, n_tokens long, n_known long, base double, gain double")
-    least = int(model.top_n.min()) if len(model.top_n) else 1
-    table = spark.createDataFrame([(n, x) for n, x in model.rare_logp.items()], "n long, logp double")  # counts of counts: bounded as above
-    small = vocab.filter(F.col("n") < least).join(F.broadcast(table), "n").select("h", "n", "logp")
+    small = word_gains.filter(F.col("n") < least).select("h", "n", F.col("gain").alias("logp"))
+    small = small.unionByName(pair_gains.filter(F.col("c") < least_pair).select(F.col("k").alias("h"), F.lit(None).cast("long").alias("n"), F.col("gain").alias("logp")))
     both = rows.join(small, "h", "left")
     word = F.col("cnt") > 0
     known = F.when(word & F.col("n").isNotNull(), F.col("cnt")).otherwise(F.col("n_known"))
     base = F.when(word, F.col("cnt") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(spread))).otherwise(F.col("base"))
-    gain = F.when(word, F.col("cnt") * F.coalesce("logp", F.lit(model.rare_logp[0]))).otherwise(F.col("gain"))
+    gain = F.when(word, F.col("cnt") * F.coalesce("logp", F.lit(unknown))).when(F.col("cnt") < 0, -F.col("cnt") * F.coalesce("logp", F.lit(0.0))).otherwise(F.col("gain"))
     out = both.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum(known).alias("n_known"), F.sum(base).alias("base_score"), F.sum(gain).alias("score"))
-    return out.select("doc_id", (~training("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+    return out.select("doc_id", (~training("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def perplexity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

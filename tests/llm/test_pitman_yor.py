@@ -62,3 +62,51 @@ def test_predictive_is_a_distribution():
         assert all(sum(s) == n and len(s) == m for s, n, m in zip(sizes, c, t, strict=True) if 0 < n <= M.SMALL)
         assert (t <= c).all() and (t[c > 0] >= 1).all()
     assert abs(M.predictive(c, t, 0.7, parent).sum() - 1) < 1e-9
+
+
+def test_rare_pairs_keep_their_identity(spark, monkeypatch):
+    monkeypatch.setattr(M, "CONTEXTS", 3)
+    monkeypatch.setattr(M, "TOP", 3)
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
+    own, other = [d for d in range(400) if not held(d)][:200], [d for d in range(400) if held(d)][:2]
+    # rare words of equal counts: left{k} is always followed by right{k}
+    texts = [(d, f"the of and left{d % 40} right{d % 40} the of and") for d in own]
+    texts += [(other[0], "left7 right7"), (other[1], "left7 right8")]
+    out = M.perplexity(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect()
+    by = {x.doc_id: x.score for x in out}
+    assert by[other[0]] > by[other[1]] + 1
+
+
+def test_whole_model_is_a_distribution(spark):
+    rng = random.Random(3)
+    texts = [(d, " ".join(f"w{int(rng.paretovariate(0.7)) % 30}" for _ in range(12))) for d in range(60)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    vocab = M._counted(df, "text", lambda data, at: M.tokens(data, at)[0].view(np.int64), "h")
+    words, pairs, unknown = M.train(df, vocab)
+    word, pair = words.toPandas(), {r.k: r.gain for r in pairs.collect()}
+    seen = Counter(p for _, t in texts for p in zip([None, *toks(t)[:-1]], toks(t), strict=True))
+    assert len(pair) == len(seen)
+    h = word["h"].to_numpy(np.int64).view(np.uint64)
+    assert abs(word["p"].sum() + 10**unknown - 1) < 1e-6
+    for u, back in zip(h, word["back"], strict=True):  # the words and the unknown one after each context
+        extra = [pair.get(int(k), 0.0) for k in M.mix(np.full(len(h), u) * M._R + h).view(np.int64)]
+        assert any(extra) and abs((word["p"] * back * 10 ** np.array(extra)).sum() + back * 10**unknown - 1) < 1e-6
+
+
+def test_drawn_tables_follow_their_distribution():
+    d, a, rng = 0.6, 0.8, np.random.default_rng(1)
+    logs = M.stirling(d)
+    for c in (2, 3, 7):
+        t = M.draw(np.full(40_000, c), np.full(40_000, a), d, logs, rng.random(40_000), rng)
+        # brute force: all seatings, customer by customer, weighted by a for a table and size - d for a seat
+        weight = Counter({(1,): a})
+        for _ in range(c - 1):
+            nxt = Counter()
+            for sizes, w in weight.items():
+                nxt[(*sizes, 1)] += w * a
+                for i, n in enumerate(sizes):
+                    nxt[(*sizes[:i], n + 1, *sizes[i + 1 :])] += w * (n - d)
+            weight = nxt
+        total = sum(weight.values())
+        want = sum(len(s) * w for s, w in weight.items()) / total
+        assert abs(t.mean() - want) < 0.03
