@@ -17,7 +17,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that repeat an earlier one but for one edit; a document that keeps no visible line goes."""
-    return line_dedup.dedup_lines(docs)
+    return line_dedup.dedup_lines(docs, min_chars=line_dedup.ALL_LINES)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

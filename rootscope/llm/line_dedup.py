@@ -17,8 +17,12 @@ from pyspark.sql import functions as F
 
 from .common import cut, text_key, whole
 
-#: Lines of fewer characters (without outer blanks) are never compared: brackets, bullets, blank lines.
+#: Default of min_chars: lines of fewer characters (without outer blanks) are not compared. The query and the stage of the pipeline use ALL_LINES.
 MIN_CHARS = 16
+#: min_chars that leaves out blank lines only.
+ALL_LINES = 1
+#: Lines of so many characters have near copies: one edit makes a line of one character any other one, while from two on a character is shared.
+NEAR_CHARS = 2
 #: White space that does not count at the ends of a line.
 BLANKS = " \t\n\x0b\x0c\r"
 #: Times that the place of the edit is halved.
@@ -99,15 +103,16 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, key, gone: for each document that loses lines their places, from 0.
 
     A line (outer white space aside) goes if an earlier one, by doc_id, then place, is within max_edits (0 or 1)
-    insertions, deletions or replacements of a character, judged on the input. Lines under min_chars characters,
-    null and empty texts lose nothing. Rows without a doc_id have no place in the order: their lines stay and make
+    insertions, deletions or replacements of a character, judged on the input; lines of one character go as exact
+    repeats only, and none makes a longer one go. Lines under min_chars characters, null and empty texts lose nothing. Rows without a doc_id have no place in the order: their lines stay and make
     none go. Rows that repeat a doc_id with another text are ordered by the text's hash; rows equal in both are one
     document and lose the same lines.
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
     rows = corpus_lines(docs, id_col, text_col, min_chars)
-    slim = rows.select("me", "lk", *([_half_keys().alias("halves")] if max_edits else []))
+    halves = F.when(F.col("n") >= NEAR_CHARS, _half_keys()).otherwise(F.array().cast("array<bigint>"))
+    slim = rows.select("me", "lk", *([halves.alias("halves")] if max_edits else []))
     firsts = slim.groupBy("lk").agg(F.min("me").alias("me"), *([F.first("halves").alias("halves")] if max_edits else []))
     stays = firsts.select(F.col("lk").alias("f_lk"), F.col("me").alias("f_me"))
     near = F.lit(False)

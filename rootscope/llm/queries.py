@@ -14,7 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.digest(_table(spark, sf_dir, "documents"))
+    return line_dedup.digest(_table(spark, sf_dir, "documents"), min_chars=line_dedup.ALL_LINES)
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

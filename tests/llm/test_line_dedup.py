@@ -72,3 +72,22 @@ def test_text_that_stays(spark):
     assert {r.doc_id: r.text for r in L.dedup_lines(df).collect()} == {1: "first line of some length\nshort", 2: "x"}
     sha = {r.doc_id: r.kept_sha256 for r in L.digest(df).collect()}
     assert sha[2] == hashlib.sha256(b"x").hexdigest()
+
+
+def test_query_and_stage_compare_short_lines(spark, tmp_path):
+    import corpus_pipeline
+    from rootscope.llm import queries
+
+    rng = random.Random(11)
+    rows = [(d, "\n".join("".join(rng.choice("ab{é日") for _ in range(rng.choice((0, 1, 1, 2, 3, 5, 8, 12, 15, 17)))) + " " * rng.randrange(2) for _ in range(3))) for d in range(60)]
+    lines = sorted((d, p, x.strip(BLANKS)) for d, t in rows for p, x in enumerate(t.split("\n")) if x.strip(BLANKS))
+    want = {}
+    for k, (d, p, x) in enumerate(lines):
+        if any(x == y or min(len(x), len(y)) > 1 and within_one(x, y) for _, _, y in lines[:k]):
+            want.setdefault(d, []).append(p)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: [int(p) for p in r.removed.split(",")] for r in queries.op1_line_dedup(spark, str(tmp_path)).collect() if r.removed}
+    assert found == want and len(want) > 20
+    staged = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)).collect()}
+    left = {d: "\n".join(x for p, x in enumerate(t.split("\n")) if p not in want.get(d, [])) for d, t in rows}
+    assert staged == {d: t for d, t in left.items() if d not in want or t.strip(BLANKS)}
