@@ -306,7 +306,7 @@ def c1_temporal_order(spark, sf):
 def _strength(spark, sf, more=False):
     r = Run(spark, sf)
     ranked = r.ranked()
-    s = graph.cut(causal.lagged_strength(r.spans, ranked[0].filter("rank <= 4").select("service")))
+    s = graph.cut(causal.lagged_strength(r.spans, ranked[0].filter("rank <= 8").select("service")))
     return (r, ranked, s) if more else s
 
 

@@ -153,3 +153,14 @@ def test_sinks_write_once(spark, tmp_path):
     assert {r.edge_type: r["count"] for r in t.groupBy("edge_type").count().collect()} == {"CONTAINS": 2, "EXECUTED_BY": 2, "CHILD_OF": 1}
     c = spark.createDataFrame([("a", 1), ("b", 20)], "service string, rank int")
     assert tables.append_rca(c, "i", str(tmp_path / "r")).count() == 1 and tables.append_rca(c, "i", str(tmp_path / "r")).count() == 1
+
+
+def test_causal_pairs_of_the_first_eight(spark, monkeypatch):
+    from rootscope.plans import registry
+
+    cands = spark.createDataFrame([(f"s{i}", i) for i in range(1, 10)], "service string, rank int")
+    spans = spark.createDataFrame([(f"s{i}", float((i * k) % 7), 100 * i + k) for i in range(1, 10) for k in range(20)], "service_name string, duration_ms double, ingest_seq long")
+    monkeypatch.setattr(registry, "Run", lambda spark, sf: type("R", (), {"spans": spans, "ranked": lambda self: (cands,)})())
+    pairs = registry.c2_lagged_strength(spark, "").collect()
+    assert len(pairs) == 56 and {p.a for p in pairs} == {f"s{i}" for i in range(1, 9)}
+    assert registry.c3_causal_totals(spark, "").count() == 8
