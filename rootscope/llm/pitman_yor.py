@@ -2,33 +2,44 @@
 
 Restaurants: one for each word that stands before another one (END stands before the first), whose dishes are the words
 that follow it. They share one parent over all words, whose base is uniform over the words and one unknown word. No word
-is merged with another: pairs (context, word, count) are a Spark table that grows with the corpus.
-
-Seating is sampled by Gibbs, all cells (context and dish) at once on Spark, given the tables of the context and the
-parent's probability of the word from the turn before: the number of tables of a cell with up to SMALL customers is drawn
-from its exact distribution, a larger one is seated in blocks of customers. So a hot context is parted over tasks like
-any other cells. A pair seen once always has one table and is left out of the turns. The parent gets one customer for
-each table; its base is uniform, so that its tables hang on a word's customers alone and are drawn by count.
-Tables and the parent's probabilities are averaged over the turns after the first ones; what comes out is a distribution.
+is merged with another, and every pair (context, word) keeps its own tables.
+
+Seating is sampled by blocked Gibbs. A restaurant of T tables gets an auxiliary Gamma(theta / d + T) variable z; given
+all z, the numbers of tables of its dishes are independent, each in proportion to S(c, t) (d z p) ** t, where c are the
+dish's customers, p is the parent's probability and S are generalised Stirling numbers. So a hot context is parted over
+tasks like any other pairs. Up to ROW customers the number is drawn from that distribution itself; beyond, by a Metropolis step,
+whose proposals are exact draws of a Pitman-Yor process of the matching strength. The parent gets a customer for each
+table and is sampled in the same way. Predictive probabilities are averaged over the sweeps after the first ones.
+
+Where things are: texts become chunks (a dictionary of word hashes, tokens by their place in it). Words are parted by
+hash; a part numbers its words by frequency, and number and part make a word's id. Pairs are parted into blocks by the
+hash of both ids. In each sweep blocks tell parts the tables of their words, and parts answer with what they sum up to.
+Rows that travel hold packed arrays, a row for each sender and receiver.
 """
 
 from __future__ import annotations
 
-import random
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from math import lgamma, log
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import drop, shared_dir
 from .tokens import _R, END, chunks, mix, words
 
-#: Most frequent words that are joined with cells by broadcast; words, and pairs, that scoring gets by broadcast (24 bytes each); customers of a cell whose tables are drawn exactly; sweeps in all and dropped.
-CONTEXTS, TOP, SMALL, SWEEPS, BURN_IN = 1024, 1 << 18, 64, 4, 2
+#: Tokens of a chunk, unless one text has more; words of a part and tokens of a block, on average (they set how many there are).
+CHUNK, PART, BLOCK = 1 << 21, 1 << 17, 1 << 21
+#: Customers of a dish up to which tables are drawn from the whole distribution; Metropolis steps of larger ones in a sweep; sweeps in all and dropped ones.
+ROW, STEPS, SWEEPS, BURN_IN = 256, 3, 4, 2
 THETA = 1.0
+#: Rows between chunks, parts and blocks: kind, receiver, sender, arrays.
+PACKED = "kind string, at long, sender long, a binary, b binary, c binary, d binary, n1 double, n2 double"
+_NAMES = ["kind", "at", "sender", "a", "b", "c", "d", "n1", "n2"]
 
 
 def training(id_col: str = "doc_id") -> Column:
@@ -45,331 +56,505 @@ def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, first + np.arange(n + 1)
 
 
-def _tally(pieces: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, place = np.unique(np.concatenate([k for k, _ in pieces]), return_inverse=True)
-    return keys, np.bincount(place, weights=np.concatenate([n for _, n in pieces]), minlength=len(keys)).astype(np.int64)
+# Arrays in rows
 
 
-def _counted(docs: DataFrame, text_col: str, of: callable, name: str) -> DataFrame:
-    """name, n: how often of(bytes, offsets) gives each integer, summed in each partition and then over all."""
+def pack(x: np.ndarray) -> bytes:
+    """An array as bytes: integers in the shortest type that holds them, compressed."""
+    if x.dtype.kind in "iu" and len(x) and x.dtype != np.uint64:
+        x = x.astype(np.result_type(np.min_scalar_type(x.min()), np.min_scalar_type(x.max())))
+    head = f"{x.dtype.str}:{x.nbytes}:".encode()
+    return head + (pa.compress(np.ascontiguousarray(x).tobytes(), codec="zstd", asbytes=True) if x.nbytes else b"")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def out() -> pa.RecordBatch:
-            keys, n = _tally(held)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=[name, "n"])
+def unpack(raw: bytes | None) -> np.ndarray:
+    if raw is None:
+        return np.zeros(0, np.int64)
+    kind, size, data = raw.split(b":", 2)
+    x = np.frombuffer(pa.decompress(data, decompressed_size=int(size), codec="zstd", asbytes=True) if int(size) else b"", np.dtype(kind.decode()))
+    return x.astype(np.int64) if x.dtype.kind in "iu" and x.dtype != np.uint64 else x
 
-        for batch in batches:
-            for _, _, data, at in chunks(batch.column(0)):
-                held.append(np.unique(of(data, at), return_counts=True))
-                if len(held) > 1 and sum(len(k) for k, _ in held) > 1 << 20:
-                    held[:] = [_tally(held)]
-                    if len(held[0][0]) > 1 << 19:
-                        yield out()
-        if held:
-            yield out()
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, f"{name} long, n long").groupBy(name).agg(F.sum("n").alias("n"))
+def row(kind: str, at: int, sender: int = 0, a=None, b=None, c=None, d=None, n1: float = 0.0, n2: float = 0.0) -> tuple:
+    return (kind, int(at), int(sender), *(None if x is None else pack(x) for x in (a, b, c, d)), float(n1), float(n2))
 
 
-def _find(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The place of each x among sorted_keys, -1 if it isn't there."""
-    if not len(sorted_keys):
-        return np.full(len(x), -1)
-    i = np.minimum(np.searchsorted(sorted_keys, x), len(sorted_keys) - 1)
-    return np.where(sorted_keys[i] == x, i, -1)
+def batch_of(rows: list[tuple]) -> pa.Table:
+    types = [pa.string(), pa.int64(), pa.int64(), *[pa.binary()] * 4, pa.float64(), pa.float64()]
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=_NAMES)
 
 
-def pair_keys(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Context and key of the pair for each token; the context of a text's first token is END, which closes the one before."""
-    context = np.empty_like(t)
-    context[:1], context[1:] = END, t[:-1]
-    return context, mix(context * _R + t)
-
-
-def seat_blocks(c: np.ndarray, p: np.ndarray, strength: float, d: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of dishes with c customers each: new tables are drawn in blocks of an eighth of those seated so far."""
-    t, seated = np.minimum(c, 1).astype(np.float64), 1
-    while (act := np.flatnonzero(c > seated)).size:
-        size = max(1, seated // 8)
-        new = strength * p[act]
-        old = np.maximum(1e-9, seated + size / 2 - d * t[act])
-        t[act] += rng.binomial(np.minimum(size, c[act] - seated), np.clip(new / (new + old), 0, 1))
-        seated += size
-    return t.astype(np.int64)
-
-
-def sweep(c: np.ndarray, t: np.ndarray, sizes: list[list[int]], p: np.ndarray, d: float, seed: int) -> None:
-    """One Gibbs sweep over a restaurant: c customers and t tables by dish; sizes: tables of dishes with up to SMALL customers. t and sizes change."""
-    draw, rng = random.Random(seed).random, np.random.default_rng(seed)
-    tables = int(t.sum())
-    for k in np.flatnonzero((c > 1) & (c <= SMALL)):
-        n, own, base = int(c[k]), sizes[k], float(p[k])
-        tables -= len(own)
-        for _ in range(n):
-            at, j = draw() * n, 0
-            while (at := at - own[j]) >= 0 and j < len(own) - 1:
-                j += 1
-            own[j] -= 1
-            if not own[j]:
-                del own[j]
-            new = (THETA + d * (tables + len(own))) * base
-            at = draw() * (new + n - 1 - d * len(own))
-            if at < new or not own:
-                own.append(1)
-                continue
-            at, j = at - new, 0
-            while (at := at - own[j] + d) >= 0 and j < len(own) - 1:
-                j += 1
-            own[j] += 1
-        tables += len(own)
-        t[k] = len(own)
-    big = np.flatnonzero(c > SMALL)
-    if len(big):
-        t[big] = seat_blocks(c[big], p[big], THETA + d * tables, d, rng)
+class Group:
+    """The rows that one receiver got."""
 
+    def __init__(self, table: pa.Table):
+        self.rows = table.select(_NAMES).to_pylist()
+        self.at = self.rows[0]["at"]
 
-def predictive(c: np.ndarray, t: np.ndarray, d: float, parent: np.ndarray) -> np.ndarray:
-    return (c - d * t + (THETA + d * t.sum()) * parent) / (THETA + c.sum())
+    def of(self, kind: str) -> list[dict]:
+        return sorted((r for r in self.rows if r["kind"] == kind), key=lambda r: r["sender"])
 
+    def one(self, kind: str) -> dict | None:
+        return next((r for r in self.rows if r["kind"] == kind), None)
+
+
+def met(rows: DataFrame, f: Callable[[Group], list[tuple]], receivers: int) -> DataFrame:
+    """What f makes of the rows of each receiver."""
+    return rows.repartition(receivers, "at").groupBy("at").applyInArrow(lambda t: batch_of(f(Group(t))), PACKED)
 
-def _discount(ones: float, twos: float) -> float:
-    return float(np.clip(ones / max(1.0, ones + 2 * twos), 0.1, 0.95))
 
+class Kept:
+    """Rows written to the shared folder, in a folder for each kind; drop() frees them once they aren't needed."""
 
-def stirling(d: float) -> np.ndarray:
-    """log of the generalised Stirling numbers: row c, column t - 1, for up to SMALL customers at t tables of a dish."""
-    out = np.full((SMALL + 1, SMALL), -np.inf)
+    def __init__(self, df: DataFrame, label: str):
+        self.spark, self.path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+        df.write.partitionBy("kind").parquet(self.path)
+        names = [n.strip().split(" ") for n in PACKED.split(",")]
+        self.schema = ", ".join(" ".join(n) for n in [*names[1:], names[0]])
+
+    def of(self, *kinds: str) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path).filter(F.col("kind").isin(*kinds)).select(*_NAMES)
+
+    def drop(self) -> None:
+        drop(self.spark, self.path)
+
+
+# Sampling
+
+
+def stirling(d: float, most: int) -> np.ndarray:
+    """log of the generalised Stirling numbers: row c, column t - 1, for up to `most` customers at t tables of a dish."""
+    out = np.full((most + 1, most), -np.inf)
     out[1, 0] = 0
-    for c in range(1, SMALL):
+    for c in range(1, most):
         t = np.arange(1, c + 1)
         out[c + 1, :c] = out[c, :c] + np.log(c - t * d)
         out[c + 1, 1 : c + 1] = np.logaddexp(out[c + 1, 1 : c + 1], out[c, :c])
     return out
 
 
-def draw(c: np.ndarray, a: np.ndarray, d: float, logs: np.ndarray, u: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Tables of cells with c customers; a: strength of the restaurant times the parent's probability; u: a number in [0, 1) for each."""
+def _pick(logw: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A column for each row, in proportion to exp(logw)."""
+    w = np.exp(logw - logw.max(axis=1, keepdims=True)).cumsum(axis=1)
+    return np.minimum((w < (rng.random(len(w)) * w[:, -1])[:, None]).sum(axis=1), w.shape[1] - 1)
+
+
+def process_tables(c: np.ndarray, strength: np.ndarray, d: float, logs: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Tables of c customers in a Pitman-Yor process, drawn exactly: ROW customers are seated, a Beta variable tells how many
+    of the others sit elsewhere, and those make a process of their own whose strength grew by d for each table."""
+    c, strength, t = c.copy(), strength.astype(np.float64).copy(), np.zeros(len(c), np.int64)
+    while (act := np.flatnonzero(c > 0)).size:
+        m = np.minimum(c[act], ROW)
+        k = np.zeros(len(act), np.int64)
+        for size in np.unique(m):
+            at = np.flatnonzero(m == size)
+            grow = np.log(strength[act[at]][:, None] + d * np.arange(1, size)).cumsum(axis=1)
+            k[at] = 1 + _pick(logs[size, :size] + np.concatenate([np.zeros((len(at), 1)), grow], axis=1), rng)
+        t[act] += k
+        strength[act] += d * k
+        away = rng.beta(np.maximum(strength[act], 1e-12), m - d * k)
+        c[act] = rng.binomial(c[act] - m, away)
+    return t
+
+
+def matching_strength(c: int, a: float, d: float) -> float:
+    """The strength whose process of c customers has strength + d * (expected tables) = a."""
+    lo, hi = -d * (1 - 1e-9), max(a, 1.0)
+    for _ in range(50):
+        x = (lo + hi) / 2
+        f = lgamma(x + 1) + lgamma(x + d + c) - lgamma(x + d) - lgamma(x + c)
+        lo, hi = (x, hi) if f < log(a) else (lo, x)
+    return (lo + hi) / 2
+
+
+def draw(c: np.ndarray, a: np.ndarray, d: float, logs: np.ndarray, rng: np.random.Generator, before: np.ndarray | None = None) -> np.ndarray:
+    """Tables of dishes with c customers, in proportion to S(c, t) a ** t; before: what they were, the state of the Metropolis steps."""
     t = np.minimum(c, 1)
-    for k in np.unique(c[(c > 1) & (c <= SMALL)]):
-        at = np.flatnonzero(c == k)
-        w = logs[k, :k] + np.log(a[at])[:, None] * np.arange(1, k + 1)
-        w = np.exp(w - w.max(axis=1, keepdims=True)).cumsum(axis=1)
-        t[at] = 1 + np.minimum((w < (u[at] * w[:, -1])[:, None]).sum(axis=1), k - 1)
-    big = np.flatnonzero(c > SMALL)
+    order = np.argsort(c, kind="stable")
+    sizes, first = np.unique(c[order], return_index=True)
+    for k, lo, hi in zip(sizes, first, np.append(first[1:], len(c)), strict=True):
+        if 1 < k <= ROW:
+            for at in np.array_split(order[lo:hi], max(1, (hi - lo) * int(k) >> 21)):
+                t[at] = 1 + _pick(logs[k, :k] + np.log(a[at])[:, None] * np.arange(1, k + 1), rng)
+    big = np.flatnonzero(c > ROW)
     if len(big):
-        t[big] = seat_blocks(c[big], a[big], 1.0, d, rng)
+        s = np.array([matching_strength(int(n), float(x), d) for n, x in zip(c[big], a[big], strict=True)])
+        # a proposal is taken or not by how its weight compares with that of the state; without a state, the first one is it
+        weight = lambda t: t * np.log(a[big]) - (t - 1) * log(d) - np.array([lgamma(x / d + n) - lgamma(x / d + 1) for x, n in zip(s, t, strict=True)])
+        now = process_tables(c[big], s, d, logs, rng) if before is None else before[big]
+        w_now = weight(now)
+        for _ in range(STEPS):
+            new = process_tables(c[big], s, d, logs, rng)
+            w_new = weight(new)
+            yes = np.log(rng.random(len(big))) < w_new - w_now
+            now, w_now = np.where(yes, new, now), np.where(yes, w_new, w_now)
+        t[big] = now
     return t
 
 
-def _pairs(docs: DataFrame, text_col: str) -> DataFrame:
-    """k, u, w, c: each pair of neighbouring tokens and how often it stands, summed in each partition and then over all."""
+def discount(ones: float, twos: float) -> float:
+    return float(np.clip(ones / max(1.0, ones + 2 * twos), 0.1, 0.95))
+
+
+# Chunks, parts and blocks
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
 
-        def summed(pieces: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-            k, u, w, n = (np.concatenate(x) for x in zip(*pieces, strict=True))
-            k, first, place = np.unique(k, return_index=True, return_inverse=True)
-            return k, u[first], w[first], np.bincount(place, weights=n, minlength=len(k)).astype(np.int64)
+def chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The texts: chunk, ids, held, lens (tokens of each text), dictionary (sorted hashes), own (how often training has each), spot (place by frequency), toks."""
+    src = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"), (~training(id_col)).alias("held"))
+    id_type = src.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, made = TaskContext.get().partitionId(), 0
+        toks: list[np.ndarray] = []
+        lens: list[np.ndarray] = []
+        held: list[np.ndarray] = []
+        ids: list[pa.Array] = []
 
         def out() -> pa.RecordBatch:
-            k, u, w, n = summed(held)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (k, u, w, n)], names=["k", "u", "w", "c"])
+            nonlocal made
+            t, n, h = np.concatenate(toks), np.concatenate(lens), np.concatenate(held)
+            keys, place, count = np.unique(t, return_inverse=True, return_counts=True)
+            spot = np.empty(len(keys), np.int64)
+            spot[np.argsort(-count, kind="stable")] = np.arange(len(keys))
+            own = np.bincount(place[np.repeat(~h, n)], minlength=len(keys))
+            of = pa.concat_arrays(ids)
+            cols = [pa.array([(part << 32) + made], pa.int64()), pa.ListArray.from_arrays([0, len(of)], of), *(pa.array([pack(x)], pa.binary()) for x in (h.astype(np.int64), n, keys, own, spot, spot[place])), pa.array([len(t)], pa.int64()), pa.array([len(keys)], pa.int64())]
+            made += 1
+            for x in (toks, lens, held, ids):
+                x.clear()
+            return pa.RecordBatch.from_arrays(cols, names=["chunk", "ids", "held", "lens", "dictionary", "own", "spot", "toks", "n", "v"])
 
         for batch in batches:
-            for _, _, data, at in chunks(batch.column(0)):
-                t = tokens(data, at)[0]
-                u, k = pair_keys(t)
-                held.append(summed([(k, u, t, np.ones(len(t)))]))
-                if sum(len(x[0]) for x in held) > 1 << 20:
+            flags = np.array(batch.column(2), bool)
+            for lo, hi, data, at in chunks(batch.column(0)):
+                t, starts = tokens(data, at)
+                toks.append(t), lens.append(np.diff(starts)), held.append(flags[lo:hi]), ids.append(batch.column(1).slice(lo, hi - lo))
+                if sum(map(len, toks)) >= CHUNK:
                     yield out()
-        if held:
+        if toks:
             yield out()
 
-    n = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "k long, u long, w long, c long")
-    return n.groupBy("k").agg(F.first("u").alias("u"), F.first("w").alias("w"), F.sum("c").alias("c"))
+    return src.mapInArrow(run, f"chunk long, ids array<{id_type}>, held binary, lens binary, dictionary binary, own binary, spot binary, toks binary, n long, v long")
+
 
+def part_of(h: np.ndarray, bits: int) -> np.ndarray:
+    """Parts are ranges of hashes, so that a sorted dictionary is cut into runs."""
+    return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
 
-def _counts(df: DataFrame, col: str) -> pd.DataFrame:
-    """How many rows have each count, the largest first: at most the square root of twice the tokens."""
-    return df.groupBy(F.col(col).alias("n")).agg(F.count("*").alias("m")).toPandas().sort_values("n", ascending=False)
 
+def _asking(table: DataFrame, bits: int) -> DataFrame:
+    """ask rows: a part's run of each chunk's dictionary, and how often training has each word."""
 
-def _least(coc: pd.DataFrame, most: int) -> int:
-    """The least count that at most `most` rows reach."""
-    below = coc[coc["m"].cumsum() <= most]["n"]
-    return int(below.min()) if len(below) else int(coc["n"].max() + 1) if len(coc) else 1
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, keys, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys, own = unpack(keys), unpack(own)
+                edges = np.searchsorted(part_of(keys, bits), np.arange((1 << bits) + 1))
+                rows = [row("ask", j, chunk, keys[lo:hi], own[lo:hi]) for j, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)) if hi > lo]
+                yield from batch_of(rows).to_batches()
 
+    return table.select("chunk", "dictionary", "own").mapInArrow(run, PACKED)
 
-def parent_by_count(c: np.ndarray, m: np.ndarray, b: float, d: float = 0.5) -> dict[int, float]:
-    """The parent's probability of a word by its customers (0: an unknown word), m words having c; b: the base. Tables are averaged over draws."""
-    tables, rng, draws = np.minimum(c, 1).astype(float), np.random.default_rng(5), 32
-    for _ in range(3):
-        strength = THETA + d * float((m * tables).sum())
-        if len(c):
-            tables = seat_blocks(np.tile(c, draws), np.full(draws * len(c), b), strength, d, rng).reshape(draws, -1).mean(axis=0)
-    strength, customers = THETA + d * float((m * tables).sum()), THETA + float((m * c).sum())
-    return {0: strength * b / customers} | {int(n): float(x) for n, x in zip(c, (c - d * tables + strength * b) / customers, strict=True)}
 
+def _number(bits: int) -> Callable[[Group], list[tuple]]:
+    """ask rows of a part -> part: its words of training (sorted hashes) with their ranks by frequency and counts by rank; id: the ids of each ask's words, -1 if unknown."""
+    step = 1 << bits
 
-def _ends(cells: DataFrame, t: Column) -> DataFrame:
-    """h, tu, cw: tables of each word as a context and as a dish."""
-    zero = F.lit(0).cast("long")
-    as_context = F.struct(F.col("u").alias("h"), t.alias("tu"), zero.alias("cw"))
-    as_dish = F.struct(F.col("w").alias("h"), zero.alias("tu"), t.alias("cw"))
-    each = cells.select(F.explode(F.array(as_context, as_dish)).alias("x")).select("x.*")
-    return each.groupBy("h").agg(F.sum("tu").alias("tu"), F.sum("cw").alias("cw"))
+    def f(g: Group) -> list[tuple]:
+        asks = [(r["sender"], unpack(r["a"]).astype(np.uint64), unpack(r["b"])) for r in g.of("ask")]
+        keys, place = np.unique(np.concatenate([k for _, k, _ in asks]), return_inverse=True)
+        count = np.bincount(place, weights=np.concatenate([n for *_, n in asks]), minlength=len(keys)).astype(np.int64)
+        keys, count = keys[count > 0], count[count > 0]
+        order = np.argsort(-count, kind="stable")
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = np.arange(len(keys))
+        out = [row("part", g.at, 0, keys, rank, count[order], n1=count.sum(), n2=len(keys))]
+        return out + [row("id", chunk, g.at, np.where((i := find(keys, k)) >= 0, rank[i] * step + g.at, -1) if len(keys) else np.full(len(k), -1)) for chunk, k, _ in asks]
 
+    return f
 
-def _plus(base: DataFrame, ends: DataFrame) -> DataFrame:
-    e = ends.select("h", F.col("tu").alias("tu2"), F.col("cw").alias("cw2"))
-    return base.join(e, "h", "left").select("h", "n", *((F.col(x) + F.coalesce(f"{x}2", F.lit(0))).alias(x) for x in ("tu", "cw")))
 
+def find(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The place of each x among sorted_keys, -1 if it isn't there."""
+    if not len(sorted_keys):
+        return np.full(len(x), -1)
+    i = np.minimum(np.searchsorted(sorted_keys, x), len(sorted_keys) - 1)
+    return np.where(sorted_keys[i] == x, i, -1)
 
-def _met(cells: DataFrame, words: DataFrame, by: str, val: str, hot: int, missing: float) -> DataFrame:
-    """cells with the value of the word in column `by`; words of `hot` tokens or more by broadcast, so that no task gets all their cells."""
-    v = words.select(F.col("h").alias(by), F.col(val), "n")
-    top = F.broadcast(v.filter(F.col("n") >= hot).drop("n"))
-    cold = cells.join(top.drop(val), by, "left_anti").join(v.filter(F.col("n") < hot).drop("n"), by, "left")
-    return cells.join(top, by).unionByName(cold.withColumn(val, F.coalesce(val, F.lit(missing))))
 
+def _chunk_pairs(ids: np.ndarray, toks: np.ndarray, end: int, n_blocks: int) -> tuple[np.ndarray, ...]:
+    """Of a chunk's neighbouring tokens: the pair of each token, u and w of each pair of known words, its block, and the pairs in order of blocks."""
+    context = np.empty_like(toks)
+    context[:1], context[1:] = end, toks[:-1]
+    pairs, place = np.unique(context * len(ids) + toks, return_inverse=True)
+    u, w = ids[pairs // max(1, len(ids))], ids[pairs % max(1, len(ids))]
+    block = (mix(u.astype(np.uint64) * _R + w.astype(np.uint64)) % np.uint64(n_blocks)).astype(np.int64)
+    block[(u < 0) | (w < 0)] = n_blocks  # nobody has seen them
+    return place, u, w, block, np.argsort(block, kind="stable")
 
-def _drawn(cells: DataFrame, d: float, turn: int) -> DataFrame:
-    """k, u, w, c, t, acc of cells with s, p: tables drawn once more; acc sums those of the turns that count."""
-    logs = stirling(d)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k, c, acc, s, p = (np.asarray(batch.column(x)) for x in ("k", "c", "acc", "s", "p"))
-            h = mix(k.view(np.uint64) + np.uint64((turn + 1) * int(_R) % 2**64))
-            rng = np.random.default_rng(int(np.bitwise_xor.reduce(h)) if len(h) else 0)
-            t = draw(c, s * p, d, logs, (h >> np.uint64(11)).astype(np.float64) / 2**53, rng)
-            new = acc + t if turn >= BURN_IN else acc
-            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("u"), batch.column("w"), batch.column("c"), pa.array(t), pa.array(new)], names=["k", "u", "w", "c", "t", "acc"])
+def _opened(chunk: dict, replies: list[dict]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Ids by place, tokens and the place of END."""
+    spot, keys = unpack(chunk["spot"]), unpack(chunk["dictionary"])
+    ids = np.empty(len(spot), np.int64)
+    ids[spot] = np.concatenate([unpack(r["a"]) for r in replies])
+    return ids, unpack(chunk["toks"]), int(spot[int(find(keys.astype(np.uint64), np.array([END]))[0])])
 
-    return cut(cells.select("k", "u", "w", "c", "acc", "s", "p").mapInArrow(run, "k long, u long, w long, c long, t long, acc long"), "seating")
 
+def _with_replies(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """Each chunk and what was answered to it, in one row."""
+    per = rows.groupBy(F.col("at").alias("chunk")).agg(F.collect_list(F.struct("kind", "sender", "a", "b", "c", "d")).alias("got"))
+    return table.join(per, "chunk")
 
-def train(docs: DataFrame, vocab: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame, float]:
-    """Learn from docs; vocab: h, n of all their tokens. Both tables grow with the corpus.
 
-    words: h, n, p: the word's probability in the parent, back: its back-off weight as a context, gain: log10 of both.
-    pairs: k, c, gain: what a pair that was seen adds to the gains of its words. Last, the gain of an unknown word.
-    """
-    v = vocab.count()
-    pairs = cut(_pairs(docs, text_col), "pairs")
-    ones, twos = (float(x or 0) for x in pairs.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first())
-    d, b = _discount(ones, twos), 1 / (v + 1)
-    hot = _least(_counts(vocab, "n"), CONTEXTS)
-    # a word seen once has one table as a context and as a dish; the others, with their tables of pairs seen once
-    single = vocab.filter("n = 1")
-    n_single = single.count()
-    solo = pairs.filter("c = 1")
-    none = vocab.filter("n > 1").select("h", "n", F.lit(0).cast("long").alias("tu"), F.lit(0).cast("long").alias("cw"))
-    base = cut(_plus(none, _ends(solo, F.lit(1).cast("long"))), "words")
-    cells = pairs.filter("c > 1").withColumn("acc", F.lit(0).cast("long"))
-    words = cut(_plus(base, _ends(cells, F.lit(1).cast("long"))), "words")
-
-    def with_values(words: DataFrame) -> tuple[DataFrame, dict[int, float]]:
-        coc = _counts(words, "cw").groupby("n")["m"].sum()
-        if n_single:
-            coc[1] = coc.get(1, 0) + n_single
-        p = parent_by_count(np.array(coc.index, np.int64), coc.to_numpy(np.float64), b)
-        by = words.sparkSession.createDataFrame(list(p.items()), "cw long, p double")  # counts of counts: bounded as above
-        return words.join(F.broadcast(by), "cw").select("h", "n", (THETA + d * F.col("tu")).alias("s"), "p"), p
-
-    kept, p0, p1 = [], 0.0, 0.0
-    for turn in range(SWEEPS):
-        values, _ = with_values(words)
-        cells = _drawn(_met(_met(cells, values, "u", "s", hot, THETA), values, "w", "p", hot, b), d, turn)
-        words = cut(_plus(base, _ends(cells, F.col("t"))), "words")
-        if turn >= BURN_IN:
-            values, p = with_values(words)
-            kept.append(values)
-            p0, p1 = p0 + p[0] / (SWEEPS - BURN_IN), p1 + p.get(1, p[0]) / (SWEEPS - BURN_IN)
-    all_kept = kept[0]
-    for x in kept[1:]:
-        all_kept = all_kept.unionByName(x)
-    values = cut(all_kept.groupBy("h").agg(F.first("n").alias("n"), F.avg("s").alias("s"), F.avg("p").alias("p")), "words")
-    s1 = THETA + d
-    seen = values.unionByName(single.select("h", "n", F.lit(s1).alias("s"), F.lit(p1).alias("p")))
-    gains = seen.withColumn("back", F.col("s") / (THETA + F.col("n"))).select("h", "n", "p", "back", F.log10(F.col("p") * F.col("back")).alias("gain"))
-    rest = solo.select("k", "u", "w", "c", F.lit(1 - d).alias("x")).unionByName(cells.select("k", "u", "w", "c", (F.col("c") - d * F.col("acc") / (SWEEPS - BURN_IN)).alias("x")))
-    met = _met(_met(rest, values, "u", "s", hot, s1), values, "w", "p", hot, p1)
-    return gains, cut(met.select("k", "c", F.log10(1 + F.col("x") / (F.col("s") * F.col("p"))).alias("gain")), "pair-gains"), float(np.log10(p0))
-
-
-def _runs(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each document and key once, and how often they stand."""
-    order = np.lexsort((key, doc))
-    key, doc = key[order], doc[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-    at = np.flatnonzero(new)
-    return doc[at], key[at], np.diff(np.append(at, len(key)))
-
-
-def score(docs: DataFrame, trained: tuple[DataFrame, DataFrame, float], vocab: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
-    spark = docs.sparkSession
-    word_gains, pair_gains, unknown = trained
-    coc = _counts(vocab, "n")
-    n_all, v = int((coc["n"] * coc["m"]).sum()), int(coc["m"].sum())
-    spread = n_all + 0.5 * (v + 1)
-    # the most frequent words and pairs are broadcast, all others are joined
-    least, least_pair = _least(coc, TOP), _least(_counts(pair_gains, "c"), TOP)
-    top = word_gains.filter(F.col("n") >= least).select("h", "n", "gain").toPandas()
-    pairs = pair_gains.filter(F.col("c") >= least_pair).select("k", "gain").toPandas()
-
-    def by_key(df: pd.DataFrame, key: str, *more: str) -> list[np.ndarray]:
-        keys = df[key].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(keys)
-        return [keys[order], *(df[x].to_numpy()[order] for x in more)]
-
-    shared = spark.sparkContext.broadcast((by_key(top, "h", "n", "gain"), by_key(pairs, "k", "gain")))
-    src = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"))
-    id_type = src.schema["doc_id"].dataType.simpleString()
+def _pairs(table: DataFrame, ids: DataFrame, n_blocks: int) -> DataFrame:
+    """pair rows: u, w and c (times in training, maybe 0) of each pair that a chunk has, by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (top_keys, top_n, top_gain), (top_pairs, pair_gain) = shared.value
-        log_base = np.log10((top_n + 0.5) / spread)
         for batch in batches:
-            for lo, hi, data, at in chunks(batch.column(1)):
-                t, starts = tokens(data, at)
-                _, pk = pair_keys(t)
-                i, j = _find(top_keys, t), _find(top_pairs, pk)
-                common, hot = i >= 0, j >= 0
-                gain, base = np.zeros(len(t)), np.zeros(len(t))
-                base[common], gain[common] = log_base[i[common]], top_gain[i[common]]
-                gain[hot] += pair_gain[j[hot]]
-                sums = lambda x: np.add.reduceat(x, starts[:-1])  # noqa: E731, B023  each text has its END
-                rid = np.array(batch.column(0).slice(lo, hi - lo), np.int64)
-                # what isn't broadcast: one row for each text and word, and one for each text and pair
-                doc = np.repeat(np.arange(hi - lo), np.diff(starts))
-                w_doc, w_key, w_cnt = _runs(doc[~common], t[~common])
-                p_doc, p_key, p_cnt = _runs(doc[~hot], pk[~hot])
-                n, k = hi - lo, len(w_key) + len(p_key)
-                ints = lambda x, y: pa.array(np.concatenate([x, y]).astype(np.int64))
-                floats = lambda x: pa.array(np.concatenate([x, np.zeros(k)]))  # noqa: E731, B023
-                none = np.zeros(k, np.int64)
-                # a text's own row goes to a place of its own; cnt 0 keeps it apart from words, and pairs have cnt below 0
-                yield pa.RecordBatch.from_arrays([ints(rid, rid[np.concatenate([w_doc, p_doc])]), pa.concat_arrays([batch.column(2).slice(lo, n), pa.nulls(k, batch.column(2).type)]), pa.array(np.concatenate([mix(rid.astype(np.uint64) + np.uint64(1)), w_key, p_key]).view(np.int64)), ints(np.zeros(n), np.concatenate([w_cnt, -p_cnt])), ints(np.diff(starts), none), ints(sums(common.astype(np.int64)), none), floats(sums(base)), floats(sums(gain))], names=["rid", "doc_id", "h", "cnt", "n_tokens", "n_known", "base", "gain"])
-
-    # rid holds within this one pass: a text's own row brings its doc_id along
-    rows = src.mapInArrow(run, f"rid long, doc_id {id_type}, h long, cnt long, n_tokens long, n_known long, base double, gain double")
-    small = word_gains.filter(F.col("n") < least).select("h", "n", F.col("gain").alias("logp"))
-    small = small.unionByName(pair_gains.filter(F.col("c") < least_pair).select(F.col("k").alias("h"), F.lit(None).cast("long").alias("n"), F.col("gain").alias("logp")))
-    both = rows.join(small, "h", "left")
-    word = F.col("cnt") > 0
-    known = F.when(word & F.col("n").isNotNull(), F.col("cnt")).otherwise(F.col("n_known"))
-    base = F.when(word, F.col("cnt") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(spread))).otherwise(F.col("base"))
-    gain = F.when(word, F.col("cnt") * F.coalesce("logp", F.lit(unknown))).when(F.col("cnt") < 0, -F.col("cnt") * F.coalesce("logp", F.lit(0.0))).otherwise(F.col("gain"))
-    out = both.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum(known).alias("n_known"), F.sum(base).alias("base_score"), F.sum(gain).alias("score"))
-    return out.select("doc_id", (~training("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
+            for x in batch.to_pylist():
+                own, toks, end = _opened(x, sorted(x["got"], key=lambda r: r["sender"]))
+                place, u, w, block, order = _chunk_pairs(own, toks, end, n_blocks)
+                count = np.bincount(place[np.repeat(unpack(x["held"]) == 0, unpack(x["lens"]))], minlength=len(u))
+                edges = np.searchsorted(block[order], np.arange(n_blocks + 1))
+                for b, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
+                    if hi > lo:
+                        at = order[lo:hi]
+                        yield from batch_of([row("pair", b, x["chunk"], u[at], w[at], count[at])]).to_batches()
+
+    return _with_replies(table.select("chunk", "held", "lens", "dictionary", "spot", "toks"), ids).mapInArrow(run, PACKED)
+
+
+def _runs(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part and where it stands, in order."""
+    order = np.argsort(part, kind="stable")
+    parts, first = np.unique(part[order], return_index=True)
+    for j, lo, hi in zip(parts, first, np.append(first[1:], len(part)), strict=True):
+        yield int(j), order[lo:hi]
+
+
+def _block(n_parts: int) -> Callable[[Group], list[tuple]]:
+    """pair rows of a block -> block: u (differences), w, c; solo and cell: u and w of its pairs seen once, or more often; base and
+    link: of each part and role (sender: 2 * block + role; 0 context, 1 dish), words with their tables of pairs seen once, and words of cells."""
+
+    def f(g: Group) -> list[tuple]:
+        got = [[unpack(r[k]) for k in "abc"] for r in g.of("pair")]
+        u, w, c = (np.concatenate([x[k] for x in got]) for k in range(3))
+        u, w, c = u[c > 0], w[c > 0], c[c > 0]
+        us, iu = np.unique(u, return_inverse=True)
+        ws, iw = np.unique(w, return_inverse=True)
+        key, place = np.unique(iu * max(1, len(ws)) + iw, return_inverse=True)
+        c = np.bincount(place, weights=c, minlength=len(key)).astype(np.int64)
+        u, w = us[key // max(1, len(ws))], ws[key % max(1, len(ws))]
+        out = [row("block", g.at, 0, np.diff(u, prepend=0), w, c, n1=(c == 1).sum(), n2=(c == 2).sum())]
+        for kind, at in (("base", c == 1), ("cell", c > 1)):
+            for role, x in ((0, u[at]), (1, w[at])):
+                own, n = np.unique(x, return_counts=True)
+                for j, to in _runs(own % n_parts):
+                    out.append(row("link" if kind == "cell" else kind, j, 2 * g.at + role, np.diff(own[to] // n_parts, prepend=0), n[to]))
+        cells = c > 1
+        return [*out, row("cell", g.at, 0, np.diff(u[cells], prepend=0), w[cells], c[cells])]
+
+    return f
+
+
+def _summed(d0: float, b: float, z0: float, d: float, seed: int) -> Callable[[Group], list[tuple]]:
+    """A part's turn. base: tables of pairs seen once; link: the words that each block asks for; sum: their tables now.
+
+    state: tables tu of each word as a context and cw as a dish (the parent's customers), its tables tw in the parent.
+    value: for each link, z of a context, or cw and tw of a dish.
+    """
+    logs = stirling(d0, ROW)
+
+    def f(g: Group) -> list[tuple]:
+        size = int(g.one("part")["n2"])
+        tables = [np.zeros(size, np.int64), np.zeros(size, np.int64)]
+        for r in g.of("base"):
+            tables[r["sender"] % 2][np.cumsum(unpack(r["a"]))] += unpack(r["b"])
+        links = {r["sender"]: (np.cumsum(unpack(r["a"])), unpack(r["b"])) for r in g.of("link")}
+        now = {r["sender"]: unpack(r["a"]) for r in g.of("sum")}
+        for k, (at, first) in links.items():
+            tables[k % 2][at] += now.get(k, first)
+        tu, cw = tables
+        rng = np.random.default_rng([seed, g.at])
+        last = g.one("state")
+        tw = draw(cw, np.full(size, d0 * z0 * b), d0, logs, rng, last and np.minimum(unpack(last["c"]), cw))
+        z = rng.gamma(THETA / d + tu).astype(np.float32)
+        out = [row("state", g.at, 0, tu, cw, tw, n1=cw.sum(), n2=tw.sum())]
+        return out + [row("value", k // 2, 2 * g.at + k % 2, *((z[at],) if k % 2 == 0 else (cw[at], tw[at]))) for k, (at, _) in links.items()]
+
+    return f
+
+
+def parent(cw: np.ndarray, tw: np.ndarray, d0: float, b: float, customers: float, tables: float) -> np.ndarray:
+    """The parent's probability of words with cw customers at tw tables."""
+    return (cw - d0 * tw + (THETA + d0 * tables) * b) / (THETA + customers)
+
+
+def _seated(n_parts: int, d: float, d0: float, b: float, totals: tuple[float, float], seed: int) -> Callable[[Group], list[tuple]]:
+    """A block's turn: cell and value rows -> seat: the tables of each cell; sum: those of each word that it asks for."""
+    logs = stirling(d, ROW)
+
+    def f(g: Group) -> list[tuple]:
+        cell = g.one("cell")
+        u, w, c = np.cumsum(unpack(cell["a"])), unpack(cell["b"]), unpack(cell["c"])
+        values = {r["sender"]: r for r in g.of("value")}
+        per = []
+        for role, x in ((0, u), (1, w)):
+            own, place = np.unique(x, return_inverse=True)
+            parts, value = list(_runs(own % n_parts)), np.empty(len(own))
+            for j, to in parts:
+                r = values[2 * j + role]
+                value[to] = d * unpack(r["a"]) if role == 0 else parent(unpack(r["a"]), unpack(r["b"]), d0, b, *totals)
+            per.append((place, parts, value))
+        last = g.one("seat")
+        t = draw(c, per[0][2][per[0][0]] * per[1][2][per[1][0]], d, logs, np.random.default_rng([seed, g.at]), last and unpack(last["a"]))
+        out = [row("seat", g.at, 0, t)]
+        for role, (place, parts, value) in enumerate(per):
+            sums = np.bincount(place, weights=t, minlength=len(value)).astype(np.int64)
+            out += [row("sum", j, 2 * g.at + role, sums[to]) for j, to in parts]
+        return out
+
+    return f
+
+
+def _lookup(d: float, turns: int) -> Callable[[Group], list[tuple]]:
+    """block, seat and pair rows -> weight: c - d * (mean of its tables) of each pair asked for, 0 if it was never seen."""
+
+    def f(g: Group) -> list[tuple]:
+        block = g.one("block")
+        u, w, c = np.cumsum(unpack(block["a"])), unpack(block["b"]), unpack(block["c"])
+        t = np.ones(len(c))
+        t[c > 1] = sum(unpack(r["a"]) for r in g.of("seat")) / turns
+        weight = np.append(c - d * t, 0.0)
+        us, ws = np.unique(u), np.unique(w)
+        keys = find(us, u) * max(1, len(ws)) + find(ws, w)
+        out = []
+        for r in g.of("pair"):
+            iu, iw = find(us, unpack(r["a"])), find(ws, unpack(r["b"]))
+            out.append(row("weight", r["sender"], g.at, weight[np.where((iu < 0) | (iw < 0), -1, find(keys, iu * max(1, len(ws)) + iw))]))
+        return out
+
+    return f
+
+
+def _told(g: Group) -> list[tuple]:
+    """part, state and ask rows -> word: count, and for each kept turn tu, cw and tw of each word asked for (0 for unknown ones)."""
+    p, states = g.one("part"), [[unpack(r[k]) for k in "abc"] for r in g.of("state")]
+    keys, rank, n = unpack(p["a"]).astype(np.uint64), unpack(p["b"]), unpack(p["c"])
+    out = []
+    for r in g.of("ask"):
+        i = find(keys, unpack(r["a"]).astype(np.uint64))
+        at = np.where(i >= 0, rank[i], -1) if len(keys) else i
+        tell = lambda x: np.append(x, 0)[at]  # noqa: B023, E731
+        out.append(row("word", r["sender"], g.at, tell(n), *(np.concatenate([tell(s[k]) for s in states]) for k in range(3))))
+    return out
+
+
+class Model:
+    """What training leaves: tables in the shared folder and a few totals."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str):
+        spark = docs.sparkSession
+        self.spark, self.chunks_path = spark, f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
+        table = chunked(docs, id_col, text_col)
+        table.write.parquet(self.chunks_path)
+        self.table = table = spark.read.schema(table.schema).parquet(self.chunks_path)
+        n, v = table.agg(F.sum("n"), F.sum("v")).first()
+        bits = max(0, int(np.ceil(np.log2(max(1, (v or 0) / PART)))))
+        self.n_parts, self.n_blocks = 1 << bits, max(1, -(-(n or 0) // BLOCK))
+        self.ask = _asking(table, bits)
+        self.parts = Kept(met(self.ask, _number(bits), self.n_parts), "parts")
+        own, v = self.parts.of("part").agg(F.sum("n1"), F.sum("n2")).first()
+        self.n_train, self.v = int(own or 0), int(v or 0)
+        self.b = 1 / (self.v + 1)
+        self.pairs = Kept(_pairs(table, self.parts.of("id"), self.n_blocks), "pairs")
+        self.blocks = Kept(met(self.pairs.of("pair"), _block(self.n_parts), self.n_blocks), "blocks")
+        self.d = discount(*(x or 0.0 for x in self.blocks.of("block").agg(F.sum("n1"), F.sum("n2")).first()))
+        self.d0 = discount(*(x or 0.0 for x in self.singles()))
+        self.seats: list[Kept] = []
+        self.states: list[tuple[Kept, tuple[float, float]]] = []
+        rng, tables = np.random.default_rng(11), float(self.v)
+        fixed, state, seats = self.parts.of("part").unionByName(self.blocks.of("base", "link")), None, None
+        for turn in range(SWEEPS + 1):
+            z0 = float(rng.gamma(THETA / self.d0 + tables))
+            rows = fixed if seats is None else fixed.unionByName(seats.of("sum")).unionByName(state.of("state"))
+            last, state = state, Kept(met(rows, _summed(self.d0, self.b, z0, self.d, 2 * turn), self.n_parts), "state")
+            totals = tuple(x or 0.0 for x in state.of("state").agg(F.sum("n1"), F.sum("n2")).first())
+            tables = totals[1]
+            if last and turn - 1 <= BURN_IN:
+                last.drop()
+            if turn > BURN_IN:
+                self.states.append((state, totals))
+            if turn < SWEEPS:
+                rows = self.blocks.of("cell").unionByName(state.of("value"))
+                rows = rows if seats is None else rows.unionByName(seats.of("seat"))
+                last, seats = seats, Kept(met(rows, _seated(self.n_parts, self.d, self.d0, self.b, totals, 2 * turn + 1), self.n_blocks), "seats")
+                if last and turn - 1 < BURN_IN:
+                    last.drop()
+                if turn >= BURN_IN:
+                    self.seats.append(seats)
+
+    def singles(self) -> tuple[float, float]:
+        """Words that follow one word only, and two."""
+
+        def f(g: Group) -> list[tuple]:
+            cw = np.zeros(int(g.one("part")["n2"]), np.int64)
+            for r in g.of("base") + g.of("link"):
+                if r["sender"] % 2:
+                    cw[np.cumsum(unpack(r["a"]))] += unpack(r["b"])
+            return [row("n", g.at, n1=(cw == 1).sum(), n2=(cw == 2).sum())]
+
+        return met(self.parts.of("part").unionByName(self.blocks.of("base", "link")), f, self.n_parts).agg(F.sum("n1"), F.sum("n2")).first()
+
+    def score(self) -> DataFrame:
+        """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each text."""
+        turns, d, d0, b, n_blocks, n_train, v = len(self.states), self.d, self.d0, self.b, self.n_blocks, self.n_train, self.v
+        states, seats = self.states[0][0].of("state"), self.seats[0].of("seat")
+        states, seats = states.withColumn("sender", F.lit(0).cast("long")), seats.withColumn("sender", F.lit(0).cast("long"))
+        for k in range(1, turns):
+            states = states.unionByName(self.states[k][0].of("state").withColumn("sender", F.lit(k).cast("long")))
+            seats = seats.unionByName(self.seats[k].of("seat").withColumn("sender", F.lit(k).cast("long")))
+        totals = [t for _, t in self.states]
+        word = met(self.parts.of("part").unionByName(states).unionByName(self.ask), _told, self.n_parts)
+        weight = met(self.blocks.of("block").unionByName(seats).unionByName(self.pairs.of("pair")), _lookup(d, turns), n_blocks)
+        rows = _with_replies(self.table.select("chunk", "ids", "held", "lens", "dictionary", "spot", "toks"), self.parts.of("id").unionByName(word).unionByName(weight))
+        id_type = self.table.schema["ids"].dataType.elementType.simpleString()
+        spread = n_train + 0.5 * (v + 1)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    x = batch.slice(i, 1).drop_columns(["ids"]).to_pylist()[0]
+                    got = {k: sorted((r for r in x["got"] if r["kind"] == k), key=lambda r: r["sender"]) for k in ("id", "word", "weight")}
+                    ids, toks, end = _opened(x, got["id"])
+                    place, u, w, block, order = _chunk_pairs(ids, toks, end, n_blocks)
+                    extra = np.zeros(len(u))
+                    seen = order[: int((block < n_blocks).sum())]
+                    if len(seen):
+                        extra[seen] = np.concatenate([unpack(r["a"]) for r in got["weight"]])
+                    spot = unpack(x["spot"])
+                    told = np.zeros((1 + 3 * turns, len(spot)))
+                    told[0, spot] = np.concatenate([unpack(r["a"]) for r in got["word"]])
+                    for k, key in enumerate("bcd"):
+                        both = [unpack(r[key]).reshape(turns, -1) for r in got["word"]]
+                        told[1 + k * turns : 1 + (k + 1) * turns, spot] = np.concatenate(both, axis=1)
+                    n, tu, cw, tw = told[0], *(told[1 + k * turns : 1 + (k + 1) * turns] for k in range(3))
+                    p = np.stack([parent(cw[k], tw[k], d0, b, *totals[k]) for k in range(turns)])
+                    s = THETA + d * tu
+                    context = np.empty_like(toks)
+                    context[:1], context[1:] = end, toks[:-1]
+                    back = sum(s[k][context] * p[k][toks] for k in range(turns)) / turns
+                    gain = np.log10((extra[place] + back) / (THETA + n[context]))
+                    base = np.log10((n + 0.5) / spread)[toks]
+                    lens, held = unpack(x["lens"]), unpack(x["held"])
+                    at = np.cumsum(lens) - lens
+                    sums = lambda y: pa.array(np.add.reduceat(y, at))  # noqa: B023, E731
+                    cols = [batch.column("ids").slice(i, 1).flatten(), pa.array(held == 1), pa.array(lens), sums((n[toks] > 0).astype(np.int64)), pa.array(np.full(len(at), n_train)), sums(base), sums(gain)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+        return rows.mapInArrow(run, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def perplexity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -380,6 +565,4 @@ def perplexity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Without rows to learn from, all words are unknown and the base is uniform. A text's perplexity is
     10 ** (-score / n_tokens).
     """
-    own = docs.filter(training(id_col))
-    vocab = cut(_counted(own, text_col, lambda data, at: tokens(data, at)[0].view(np.int64), "h"), "vocabulary")
-    return score(docs, train(own, vocab, text_col), vocab, id_col, text_col)
+    return Model(docs, id_col, text_col).score()
