@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 WS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of input for a bucket.
+BUCKET = 256 << 20
+
 _unset: dict[str, str] = {}
 
 
@@ -38,6 +41,11 @@ def drop(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+def free(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of jobs that nothing refers to any more; Spark removes them when the driver collects garbage."""
+    spark._jvm.System.gc()
+
+
 def whole(text: str | Column) -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
@@ -49,9 +57,15 @@ def text_key(text: str | Column) -> Column:
     return F.struct(F.xxhash64(t).alias("a"), F.xxhash64(F.lit("salt"), t).alias("b"))
 
 
-def bucketed(df: DataFrame, col: str, label: str) -> DataFrame:
-    """df as a table of the warehouse, bucketed by col, a file for each bucket: later joins on col move only the other side."""
+def bucketed(df: DataFrame, col: str, label: str) -> tuple[DataFrame, str]:
+    """df as a table of the warehouse, bucketed by col, a file for each bucket: later joins on col move only the other side.
+
+    Buckets hold about BUCKET bytes of the input, as Spark estimates it. Also returns the table's name, to drop it by.
+    """
     spark, name = df.sparkSession, f"{label}_{uuid.uuid4().hex}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    size = size if size < 1 << 60 else 0  # Spark's default where it knows nothing
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    n = min(most, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET)))
     df.repartition(n, col).write.bucketBy(n, col).saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), name

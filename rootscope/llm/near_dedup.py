@@ -208,7 +208,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component and is kept. Ids are longs.
     """
     sk = cut(sketches(docs, size, id_col, text_col), "sketches")
-    texts = bucketed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL"), "doc_id", "near_dedup")
+    texts, texts_name = bucketed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL"), "doc_id", "near_dedup")
     real = sk.filter("n > 0 AND doc_id IS NOT NULL")
     classes = real.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
     members = cut(real.select("doc_id", "s1", "s2").join(classes, ["s1", "s2"]).select("doc_id", "rep").distinct(), "members")
@@ -235,7 +235,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = members.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     more = confirmed_in_blocks(seen.select("bucket", "doc", "comp"), texts, size, percent)
     edges = links.union(more).select(F.col("hub").alias("a"), F.col("doc").alias("b")).union(same)
-    final = components(edges).select(F.col("node").alias("c_id"), "comp")
+    final = components(edges).select(F.col("node").alias("c_id"), "comp")  # written, so that the texts aren't needed any more
+    docs.sparkSession.sql(f"DROP TABLE {texts_name}")
     out = sk.join(final, F.col("doc_id") == F.col("c_id"), "left")
     component = F.coalesce("comp", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -29,11 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, shared_dir
+from .common import bucketed, cut, drop, free, shared_dir
 from .tokens import _R, END, chunks, mix, words
 
 #: Tokens of a chunk, unless one text has more; words of a part and tokens of a block, on average (they set how many there are).
-CHUNK, PART, BLOCK = 1 << 21, 1 << 17, 1 << 21
+CHUNK, PART, BLOCK = 1 << 20, 1 << 17, 1 << 20
 #: Customers of a dish up to which tables are drawn from the whole distribution; Metropolis steps of larger ones in a sweep; sweeps in all and dropped ones.
 ROW, STEPS, SWEEPS, BURN_IN = 256, 3, 4, 2
 THETA = 1.0
@@ -172,7 +172,7 @@ def draw(c: np.ndarray, a: np.ndarray, d: float, logs: np.ndarray, rng: np.rando
     t = np.minimum(c, 1)
     order = np.argsort(c, kind="stable")
     sizes, first = np.unique(c[order], return_index=True)
-    for k, lo, hi in zip(sizes, first, np.append(first[1:], len(c)), strict=True):
+    for k, lo, hi in zip(sizes, first, np.append(first, len(c))[1:], strict=True):
         if 1 < k <= ROW:
             for at in np.array_split(order[lo:hi], max(1, (hi - lo) * int(k) >> 21)):
                 t[at] = 1 + _pick(logs[k, :k] + np.log(a[at])[:, None] * np.arange(1, k + 1), rng)
@@ -330,7 +330,7 @@ def _runs(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each part and where it stands, in order."""
     order = np.argsort(part, kind="stable")
     parts, first = np.unique(part[order], return_index=True)
-    for j, lo, hi in zip(parts, first, np.append(first[1:], len(part)), strict=True):
+    for j, lo, hi in zip(parts, first, np.append(first, len(part))[1:], strict=True):
         yield int(j), order[lo:hi]
 
 
@@ -456,11 +456,10 @@ class Model:
     """What training leaves: tables in the shared folder and a few totals."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str):
-        spark = docs.sparkSession
-        self.spark, self.chunks_path = spark, f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
-        table = chunked(docs, id_col, text_col)
-        table.write.parquet(self.chunks_path)
-        self.table = table = spark.read.schema(table.schema).parquet(self.chunks_path)
+        self.spark = docs.sparkSession
+        # bucketed by chunk: what is answered to chunks comes to them, and they stay where they are
+        self.table, self.name = bucketed(chunked(docs, id_col, text_col), "chunk", "pitman_yor")
+        table = self.table
         n, v = table.agg(F.sum("n"), F.sum("v")).first()
         bits = max(0, int(np.ceil(np.log2(max(1, (v or 0) / PART)))))
         self.n_parts, self.n_blocks = 1 << bits, max(1, -(-(n or 0) // BLOCK))
@@ -470,7 +469,9 @@ class Model:
         self.n_train, self.v = int(own or 0), int(v or 0)
         self.b = 1 / (self.v + 1)
         self.pairs = Kept(_pairs(table, self.parts.of("id"), self.n_blocks), "pairs")
+        free(self.spark)
         self.blocks = Kept(met(self.pairs.of("pair"), _block(self.n_parts), self.n_blocks), "blocks")
+        free(self.spark)
         self.d = discount(*(x or 0.0 for x in self.blocks.of("block").agg(F.sum("n1"), F.sum("n2")).first()))
         self.d0 = discount(*(x or 0.0 for x in self.singles()))
         self.seats: list[Kept] = []
@@ -496,6 +497,13 @@ class Model:
                 if turn >= BURN_IN:
                     self.seats.append(seats)
 
+        free(self.spark)
+
+    def drop(self) -> None:
+        for kept in (self.parts, self.pairs, self.blocks, *self.seats, *(s for s, _ in self.states)):
+            kept.drop()
+        self.spark.sql(f"DROP TABLE {self.name}")
+
     def singles(self) -> tuple[float, float]:
         """Words that follow one word only, and two."""
 
@@ -565,4 +573,7 @@ def perplexity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Without rows to learn from, all words are unknown and the base is uniform. A text's perplexity is
     10 ** (-score / n_tokens).
     """
-    return Model(docs, id_col, text_col).score()
+    model = Model(docs, id_col, text_col)
+    out = cut(model.score(), "scores")  # a few numbers for each text; what they were made of goes
+    model.drop()
+    return out

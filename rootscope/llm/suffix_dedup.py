@@ -230,7 +230,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError(f"length is {K + 8} at least")
     src = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(whole(text_col)).alias("tag"), whole(text_col).alias("text"))
     # bucketed by doc_id: the two joins with documents below then move no text
-    src = bucketed(src, "doc_id", "suffix_dedup")
+    src, _ = bucketed(src, "doc_id", "suffix_dedup")
     ranges = repeats(src.filter("doc_id IS NOT NULL"), length).groupBy(F.col("doc_id").alias("r_id"), F.col("tag").alias("r_tag")).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     both = src.join(ranges, (src.doc_id == ranges.r_id) & _same(src.tag, ranges.r_tag), "left").select("doc_id", "text", F.col("ranges.lo").alias("lo"), F.col("ranges.hi").alias("hi"))
     schema = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary"
