@@ -1,8 +1,8 @@
 """Secret scans by corpus-wide ownership frequency.
 
 Every text is searched for candidates. Their values' hashes are counted over distinct documents (repositories)
-and owners. A value of many owners is a widely copied example; one of few owners looks live. A loose kind of
-candidate, too noisy alone, becomes a span only where the counts say that it belongs to one owner.
+and owners. A value of many owners is a widely copied example, and so is one of two owners in very many repositories; the
+others look live. A loose kind of candidate, too noisy alone, becomes a span only where the counts say that it is live.
 """
 
 from __future__ import annotations
@@ -27,8 +27,10 @@ KINDS = (
 #: The method's own kind: long runs that mix capital and small letters with digits.
 LOOSE = ("mixed", r"[A-Za-z0-9+/_-]{24,}", 0, 24)
 SPAN = "array<struct<start:int,no:int,end:int,kind:string,value:string>>"
-#: A value of so many owners is an example.
-EXAMPLE_OWNERS = 3
+#: A value of so many owners is an example; so is one of two owners or more that stands in so many repositories.
+EXAMPLE_OWNERS, EXAMPLE_REPOS = 3, 16
+#: Hits whose places are summed up at once: a fold copies its array with each step.
+RUN = 256
 
 
 def _spans(no: int, hits: Column, values: Column, gaps: Column, kind: str, least: int) -> Column:
@@ -40,8 +42,15 @@ def _spans(no: int, hits: Column, values: Column, gaps: Column, kind: str, least
         span = F.struct(start.alias("start"), F.lit(no).alias("no"), end.alias("end"), F.lit(kind).alias("kind"), F.get(values, i).alias("value"))
         return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    found = F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), begin, step, lambda acc: acc["out"])
+    def within(b: Column) -> Column:
+        return F.sequence(b * RUN, F.least((b + 1) * RUN, F.size(hits)) - 1)
+
+    # where each run of hits starts, then the hits of each run
+    runs = F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / RUN).cast("int"))
+    length = lambda acc, i: acc + F.length(F.get(gaps, i)) + F.length(F.get(hits, i))
+    offsets = F.aggregate(runs, F.array(F.lit(0)), lambda acc, b: F.array_append(acc, F.aggregate(within(b), F.element_at(acc, -1), length)))
+    out = lambda at, b: F.aggregate(within(b), F.struct(at.alias("at"), F.array().cast(SPAN).alias("out")), step, lambda acc: acc["out"])
+    found = F.flatten(F.zip_with(offsets, runs, lambda at, b: F.when(b.isNotNull(), out(at, b)).otherwise(F.array().cast(SPAN))))
     return F.filter(found, lambda s: F.length(s["value"]) >= least)
 
 
@@ -75,21 +84,22 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("vh").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_owners"))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """One row for each row of docs: doc_id, key, base (spans), all_spans: array of (start, no, end, kind, value, n_owners, live).
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
+    """One row for each row of docs: doc_id, key, base (spans), all_spans: array of (start, no, end, kind, value, n_docs, n_owners, live).
 
     A null or empty text has no spans; a null owner counts as one owner named ''. Base spans always stay; a loose
-    span is added if its value has one owner only. live: fewer than `example_owners` owners. Rows that repeat a
-    doc_id are told apart by their text; equal ones count once.
+    span is added if its value is live. live: one owner, or fewer than `example_owners` owners and fewer than
+    `example_repos` repositories (n_docs). Rows that repeat a doc_id are told apart by their text; equal ones count once.
     """
     found = cut(candidates(docs, id_col, text_col, owner_col), "secrets")
     some = found.filter((F.size("base") > 0) | (F.size("loose") > 0))
     each = some.select("doc_id", "key", F.explode(F.concat("base", "loose")).alias("s")).distinct().withColumn("vh", F.sha2("s.value", 256))
-    judged = each.join(ownership(some), "vh").filter((F.col("s.no") < len(KINDS)) | (F.col("n_owners") == 1))
-    span = F.struct("s.start", "s.no", "s.end", "s.kind", "s.value", "n_owners", (F.col("n_owners") < example_owners).alias("live"))
+    live = (F.col("n_owners") == 1) | ((F.col("n_owners") < example_owners) & (F.col("n_docs") < example_repos))
+    judged = each.join(ownership(some), "vh").withColumn("live", live).filter((F.col("s.no") < len(KINDS)) | F.col("live"))
+    span = F.struct("s.start", "s.no", "s.end", "s.kind", "s.value", "n_docs", "n_owners", "live")
     per_doc = judged.groupBy(F.col("doc_id").alias("j_id"), F.col("key").alias("j_key")).agg(F.array_sort(F.collect_list(span)).alias("all_spans"))
     out = found.join(per_doc, found.doc_id.eqNullSafe(per_doc.j_id) & (found.key == per_doc.j_key), "left")
-    empty = F.array().cast("array<struct<start:int,no:int,end:int,kind:string,value:string,n_owners:bigint,live:boolean>>")
+    empty = F.array().cast("array<struct<start:int,no:int,end:int,kind:string,value:string,n_docs:bigint,n_owners:bigint,live:boolean>>")
     return out.select("doc_id", "key", "base", F.coalesce("all_spans", empty).alias("all_spans"))
 
 
