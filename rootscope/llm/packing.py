@@ -1,7 +1,7 @@
 """Conflict-constrained best-fit packing of documents into bins of a fixed number of tokens.
 
-Documents are dealt to shards by a hash of their id, so that a source's or a cluster's documents spread evenly; a
-shard packs its items, longest first. Its bins are ordered by what is left in them and carry bitmaps of the sources
+Pieces of documents are dealt to shards by a hash of their id, text, place and number among equal ones, so that a
+source's, a cluster's or a long document's pieces spread evenly; a shard packs its items, longest first. Its bins are ordered by what is left in them and carry bitmaps of the sources
 and duplicate clusters that they hold. The search starts at the first bin that is large enough and goes on to its
 successors until one holds neither the item's source nor its cluster; if there is none, a bin is opened.
 """
@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,36 +48,44 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int) ->
     return out
 
 
-def items(docs: DataFrame, capacity: int, id_col: str, text_col: str, source_col: str, cluster: Column | None) -> DataFrame:
-    """doc_id, key, source, cluster, piece, start, n_tokens: documents longer than a bin are cut into full bins and a rest."""
+def items(docs: DataFrame, capacity: int, id_col: str, text_col: str, source_col: str, cluster: Column | None, tokens: Column | None = None) -> DataFrame:
+    """doc_id, key, source, cluster, piece, start, n_tokens, copy: documents longer than a bin are cut into full bins and a rest."""
     text = whole(text_col)
+    size = tokens.cast("long") if tokens is not None else (F.regexp_count(text, F.lit(WORD)) + 1).cast("long")
     own = cluster if cluster is not None else F.xxhash64(F.regexp_replace(text, WS, " "))
-    t = docs.select(F.col(id_col).alias("doc_id"), text_key(text)["a"].alias("key"), F.col(source_col).cast("string").alias("source"), own.cast("string").alias("cluster"), (F.regexp_count(text, F.lit(WORD)) + 1).cast("long").alias("all"))
+    t = docs.select(F.col(id_col).alias("doc_id"), text_key(text)["a"].alias("key"), F.col(source_col).cast("string").alias("source"), own.cast("string").alias("cluster"), size.alias("all"))
+    # rows that repeat in all of this are counted, then dealt out again by their number
+    t = t.groupBy("doc_id", "key", "source", "cluster", "all").agg(F.count("*").alias("times"))
+    t = t.filter("all > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     t = t.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("all") - 1) / capacity))))
-    return t.select("doc_id", "key", "source", "cluster", "piece", (F.col("piece") * capacity).alias("start"), F.least(F.lit(capacity).cast("long"), F.col("all") - F.col("piece") * capacity).alias("n_tokens"))
+    return t.select("doc_id", "key", "source", "cluster", "piece", (F.col("piece") * capacity).alias("start"), F.least(F.lit(capacity).cast("long"), F.col("all") - F.col("piece") * capacity).alias("n_tokens"), "copy")
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster: Column | None = None, shard: int = SHARD) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster: Column | None = None, shard: int = SHARD, tokens: Column | None = None) -> DataFrame:
     """One row for each piece of each row of docs: doc_id, piece, start, n_tokens, source, bin_id, bin_start.
 
-    Tokens: words parted by white space, and one end for each document; so a null or empty text is one token. No bin
+    tokens: how many tokens a row has (as an encoder counts them; rows of none or null are left out). By default: words
+    parted by white space, and one end for each document; so a null or empty text is one token. No bin
     holds more than `capacity` tokens, two pieces of one source, or two of one cluster (by default: the same text but
     for white space). A null source or cluster conflicts with nothing. Order in a shard: longer first, then doc_id
-    (null last), text, piece; rows that repeat a document are items of their own.
+    (null last), text, piece, source, cluster; rows that repeat a document are items of their own.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = cut(items(docs, capacity, id_col, text_col, source_col, cluster), "items")
+    rows = cut(items(docs, capacity, id_col, text_col, source_col, cluster, tokens), "items")
     shards = max(1, -(-rows.count() // shard))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "key"), F.lit(shards)))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "key", "piece", "copy"), F.lit(shards)))
     schema = f"doc_id {id_type}, piece long, start long, n_tokens long, source string, bin_id long, bin_start long"
+    order = [("n_tokens", "descending"), *((c, "ascending") for c in ("doc_id", "key", "piece", "source", "cluster"))]
 
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["n_tokens", "doc_id", "key", "piece"], ascending=[False, True, True, True], kind="stable", na_position="last")
-        plain = lambda c: [None if pd.isna(x) else x for x in part[c]]
-        bins = best_fit(part["n_tokens"].tolist(), plain("source"), plain("cluster"), capacity)
-        part = part.assign(bin_id=bins)
-        part["bin_start"] = part.groupby("bin_id")["n_tokens"].cumsum() - part["n_tokens"]
-        part["bin_id"] += int(key[0]) << 32
-        return part[["doc_id", "piece", "start", "n_tokens", "source", "bin_id", "bin_start"]]
+    def run(part: pa.Table) -> pa.Table:
+        part = part.take(pc.sort_indices(part, sort_keys=order, null_placement="at_end"))
+        sizes = np.array(part.column("n_tokens"), np.int64)
+        bins = np.array(best_fit(sizes.tolist(), part.column("source").to_pylist(), part.column("cluster").to_pylist(), capacity), np.int64)
+        by_bin = np.argsort(bins, kind="stable")
+        end, new = np.cumsum(sizes[by_bin]), np.diff(bins[by_bin], prepend=-1) > 0
+        start = np.empty(len(bins), np.int64)
+        start[by_bin] = end - sizes[by_bin] - (end - sizes[by_bin])[new][np.cumsum(new) - 1]
+        out = part.select(["doc_id", "piece", "start", "n_tokens", "source"])
+        return out.append_column("bin_id", pa.array(bins + (part.column("shard")[0].as_py() << 32))).append_column("bin_start", pa.array(start))
 
-    return rows.groupBy("shard").applyInPandas(run, schema)
+    return rows.groupBy("shard").applyInArrow(run, schema)

@@ -1,6 +1,8 @@
 import random
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from rootscope.llm import packing as P
 
 SCHEMA = "doc_id long, text string, source string, key string, piece string, shard string"
@@ -47,3 +49,20 @@ def test_pack(spark):
         named = [r.source for r in part if r.source is not None]
         assert len(named) == len(set(named))
     assert P.pack(df.limit(0)).count() == 0
+
+
+def test_ids_stay_whole(spark):
+    """Ids beyond 2^53, with a null id beside them."""
+    ids = [2**53 + 1, 2**53, 2**63 - 1, None, 5]
+    df = spark.createDataFrame([(i, "a b", "s", "", "", "") for i in ids], SCHEMA)
+    assert sorted((r.doc_id for r in P.pack(df).collect()), key=str) == sorted(ids, key=str)
+
+
+def test_given_counts_and_repeats(spark):
+    """Counts of an encoder decide; a row that repeats very often and a very long one spread over shards."""
+    rows = [(1, "same", "a", 3)] * 500 + [(2, "long", "b", 64 * 400), (3, "none", "c", 0), (4, "null", "c", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n long")
+    got = P.pack(df, capacity=64, shard=100, tokens=F.col("n")).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in got) == {(1, 3): 500, (2, 64): 400}
+    shards = Counter((r.doc_id, r.bin_id >> 32) for r in got)
+    assert len(shards) == 18 and max(shards.values()) < 150
