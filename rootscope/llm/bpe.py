@@ -20,8 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries of either generation of the memo.
-MEMO = 300_000
+#: Bytes of either generation of the memo, with what an entry costs besides; characters of the longest pre-token that it keeps.
+MEMO, ENTRY, LONGEST = 64 << 20, 200, 64
 AFTER, BEFORE = list(range(1, 257)), list(range(-1, 255))
 
 
@@ -122,24 +122,25 @@ class Coder:
 
 
 class Memo(dict):
-    """pre-token -> ids as little-endian 32-bit integers; of entries that weren't used since the last turn, nothing is kept."""
+    """pre-token -> ids as little-endian 32-bit integers. Past MEMO bytes it turns: entries not used until the next turn go. Long pre-tokens aren't kept."""
 
     def __init__(self, coder: Coder):
         super().__init__()
-        self.coder, self.old = coder, {}
+        self.coder, self.old, self.size = coder, {}, 0
 
     def __missing__(self, piece: str) -> bytes:
         out = self.old.get(piece)
         if out is None:
             ids = self.coder.encode_piece(piece)
             out = struct.pack(f"<{len(ids)}I", *ids)
+            if len(piece) > LONGEST:
+                return out
         self[piece] = out
-        return out
-
-    def turn(self) -> None:
-        if len(self) > MEMO:
-            self.old = dict(self)
+        self.size += ENTRY + 4 * len(piece) + len(out)
+        if self.size > MEMO:
+            self.old, self.size = dict(self), 0
             self.clear()
+        return out
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
@@ -158,10 +159,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                ids = []
-                for text in part.column(1).to_pylist():
-                    memo.turn()
-                    ids.append(b"".join(map(memo.__getitem__, split(text or ""))))
+                ids = [b"".join(map(memo.__getitem__, split(text or ""))) for text in part.column(1).to_pylist()]
                 back = [coder.decode(x) for x in ids] if decoded else [None] * len(ids)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(back, pa.binary())], names=["doc_id", "ids", "decoded"])
 

@@ -29,19 +29,23 @@ def test_perfect_hash():
     assert all(h.slot(str(i).encode()) == -1 for i in range(2000, 3000))
 
 
-def test_memo_turns(monkeypatch):
-    monkeypatch.setattr(bpe, "MEMO", 2)
+def test_memo_is_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 2 * bpe.ENTRY + 60)
 
     class One:
         calls = 0
 
         def encode_piece(self, piece):
             self.calls += 1
-            return [len(piece)]
+            return [len(piece)] * len(piece)
 
     coder = One()
     memo = bpe.Memo(coder)
-    for piece in ["a", "bb", "ccc", "a", "bb"]:
-        assert memo[piece] == len(piece).to_bytes(4, "little")
-        memo.turn()
+    want = lambda p: len(p).to_bytes(4, "little") * len(p)
+    for piece in ["a", "bb", "ccc", "a", "bb"]:  # the third one turns the memo, within one text as well
+        assert memo[piece] == want(piece)
     assert coder.calls == 3
+    for k in range(1000):
+        assert memo[f"{k:05d}"] == want("00000") and memo.size <= bpe.MEMO and len(memo) + len(memo.old) <= 6
+    before = len(memo)
+    assert memo["x" * 100_000] == want("x" * 100_000) and len(memo) == before
