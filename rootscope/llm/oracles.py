@@ -5,11 +5,11 @@ WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FRO
 lines AS (
   SELECT doc_id, i - 1 AS place, trim(p[i], E' \t\n\x0b\x0c\r') AS line
   FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM parts)),
-long AS (SELECT *, length(line) AS n FROM lines WHERE length(line) >= 16),
+long AS (SELECT *, length(line) AS n FROM lines WHERE length(line) >= 1),
 firsts AS (SELECT line, n, min((doc_id, place)) AS first FROM long GROUP BY line, n),
 -- within one edit: what the two lines share at their start and at their end leaves at most one character of either
 near AS (
-  SELECT DISTINCT b.line FROM firsts a JOIN firsts b ON a.first < b.first AND b.n BETWEEN a.n - 1 AND a.n + 1
+  SELECT DISTINCT b.line FROM firsts a JOIN firsts b ON a.first < b.first AND b.n BETWEEN a.n - 1 AND a.n + 1 AND a.n >= 2 AND b.n >= 2
     AND (left(a.line, least(a.n, b.n) // 2) = left(b.line, least(a.n, b.n) // 2)
       OR right(a.line, least(a.n, b.n) - least(a.n, b.n) // 2) = right(b.line, least(a.n, b.n) - least(a.n, b.n) // 2))
   WHERE list_bool_or(list_transform(range(0, greatest(a.n, b.n)), lambda i:
@@ -45,13 +45,13 @@ spans AS (
   SELECT * FROM good WHERE no < 3
   UNION ALL SELECT * FROM good m WHERE no = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')
     AND NOT EXISTS (SELECT 1 FROM good b WHERE b.no < 3 AND b.doc_id = m.doc_id AND b.s < m.e AND m.s < b.e)),
-owners AS (SELECT v, count(DISTINCT owner) AS n_owners FROM spans GROUP BY v),
-judged AS (SELECT spans.*, n_owners FROM spans JOIN owners USING (v) WHERE no < 3 OR n_owners = 1),
+owners AS (SELECT v, count(DISTINCT owner) = 1 OR (count(DISTINCT owner) < 3 AND count(DISTINCT doc_id) < 16) AS live FROM spans GROUP BY v),
+judged AS (SELECT spans.*, live FROM spans JOIN owners USING (v) WHERE no < 3 OR live),
 per AS (
   SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
     string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, no) FILTER (no < 3) AS base,
     string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, no) AS spans,
-    count(*) FILTER (n_owners < 3) AS n_live, count(*) FILTER (n_owners >= 3) AS n_example
+    count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example
   FROM judged GROUP BY doc_id)
 SELECT docs.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_example, 0)::BIGINT AS n_example
