@@ -33,7 +33,7 @@ from .common import bucketed, cut, drop, free, shared_dir
 from .tokens import _R, END, chunks, mix, words
 
 #: Tokens of a chunk, unless one text has more; words of a part and tokens of a block, on average (they set how many there are).
-CHUNK, PART, BLOCK = 1 << 20, 1 << 17, 1 << 20
+CHUNK, PART, BLOCK = 3 << 19, 1 << 17, 1 << 21
 #: Customers of a dish up to which tables are drawn from the whole distribution; Metropolis steps of larger ones in a sweep; sweeps in all and dropped ones.
 ROW, STEPS, SWEEPS, BURN_IN = 256, 3, 4, 2
 THETA = 1.0
@@ -115,8 +115,10 @@ class Kept:
     def of(self, *kinds: str) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path).filter(F.col("kind").isin(*kinds)).select(*_NAMES)
 
-    def drop(self) -> None:
-        drop(self.spark, self.path)
+    def drop(self, *kinds: str) -> None:
+        """Without kinds, all of them."""
+        for path in [f"{self.path}/kind={k}" for k in kinds] or [self.path]:
+            drop(self.spark, path)
 
 
 # Sampling
@@ -295,11 +297,11 @@ def _chunk_pairs(ids: np.ndarray, toks: np.ndarray, end: int, n_blocks: int) ->
 
 
 def _opened(chunk: dict, replies: list[dict]) -> tuple[np.ndarray, np.ndarray, int]:
-    """Ids by place, tokens and the place of END."""
-    spot, keys = unpack(chunk["spot"]), unpack(chunk["dictionary"])
+    """Ids by place, tokens and the place of END, whose hash is the least."""
+    spot = unpack(chunk["spot"])
     ids = np.empty(len(spot), np.int64)
     ids[spot] = np.concatenate([unpack(r["a"]) for r in replies])
-    return ids, unpack(chunk["toks"]), int(spot[int(find(keys.astype(np.uint64), np.array([END]))[0])])
+    return ids, unpack(chunk["toks"]), int(spot[0])
 
 
 def _with_replies(table: DataFrame, rows: DataFrame) -> DataFrame:
@@ -323,7 +325,7 @@ def _pairs(table: DataFrame, ids: DataFrame, n_blocks: int) -> DataFrame:
                         at = order[lo:hi]
                         yield from batch_of([row("pair", b, x["chunk"], u[at], w[at], count[at])]).to_batches()
 
-    return _with_replies(table.select("chunk", "held", "lens", "dictionary", "spot", "toks"), ids).mapInArrow(run, PACKED)
+    return _with_replies(table.select("chunk", "held", "lens", "spot", "toks"), ids).mapInArrow(run, PACKED)
 
 
 def _runs(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -496,8 +498,9 @@ class Model:
                     last.drop()
                 if turn >= BURN_IN:
                     self.seats.append(seats)
-
-        free(self.spark)
+                state.drop("value")
+            free(self.spark)
+        self.blocks.drop("base", "link", "cell")
 
     def drop(self) -> None:
         for kept in (self.parts, self.pairs, self.blocks, *self.seats, *(s for s, _ in self.states)):
@@ -517,7 +520,7 @@ class Model:
         return met(self.parts.of("part").unionByName(self.blocks.of("base", "link")), f, self.n_parts).agg(F.sum("n1"), F.sum("n2")).first()
 
     def score(self) -> DataFrame:
-        """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each text."""
+        """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each text, as a written table."""
         turns, d, d0, b, n_blocks, n_train, v = len(self.states), self.d, self.d0, self.b, self.n_blocks, self.n_train, self.v
         states, seats = self.states[0][0].of("state"), self.seats[0].of("seat")
         states, seats = states.withColumn("sender", F.lit(0).cast("long")), seats.withColumn("sender", F.lit(0).cast("long"))
@@ -525,9 +528,10 @@ class Model:
             states = states.unionByName(self.states[k][0].of("state").withColumn("sender", F.lit(k).cast("long")))
             seats = seats.unionByName(self.seats[k].of("seat").withColumn("sender", F.lit(k).cast("long")))
         totals = [t for _, t in self.states]
+        weight = Kept(met(self.blocks.of("block").unionByName(seats).unionByName(self.pairs.of("pair")), _lookup(d, turns), n_blocks), "weights")
+        free(self.spark)
         word = met(self.parts.of("part").unionByName(states).unionByName(self.ask), _told, self.n_parts)
-        weight = met(self.blocks.of("block").unionByName(seats).unionByName(self.pairs.of("pair")), _lookup(d, turns), n_blocks)
-        rows = _with_replies(self.table.select("chunk", "ids", "held", "lens", "dictionary", "spot", "toks"), self.parts.of("id").unionByName(word).unionByName(weight))
+        rows = _with_replies(self.table.select("chunk", "ids", "held", "lens", "spot", "toks"), self.parts.of("id").unionByName(word).unionByName(weight.of("weight")))
         id_type = self.table.schema["ids"].dataType.elementType.simpleString()
         spread = n_train + 0.5 * (v + 1)
 
@@ -562,7 +566,9 @@ class Model:
                     cols = [batch.column("ids").slice(i, 1).flatten(), pa.array(held == 1), pa.array(lens), sums((n[toks] > 0).astype(np.int64)), pa.array(np.full(len(at), n_train)), sums(base), sums(gain)]
                     yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-        return rows.mapInArrow(run, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        out = cut(rows.mapInArrow(run, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "scores")
+        weight.drop()
+        return out
 
 
 def perplexity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -574,6 +580,6 @@ def perplexity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     10 ** (-score / n_tokens).
     """
     model = Model(docs, id_col, text_col)
-    out = cut(model.score(), "scores")  # a few numbers for each text; what they were made of goes
+    out = model.score()  # a few numbers for each text; what they were made of goes
     model.drop()
     return out
