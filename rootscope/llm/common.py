@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,8 +43,10 @@ def drop(spark: SparkSession, path: str) -> None:
 
 
 def free(spark: SparkSession) -> None:
-    """Lets go of the shuffle files of jobs that nothing refers to any more; Spark removes them when the driver collects garbage."""
-    spark._jvm.System.gc()
+    """Lets go of the shuffle files of jobs that nothing refers to any more; Spark removes them when the driver collects garbage (twice: the last job's plan is still held at first)."""
+    for _ in range(2):
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def whole(text: str | Column) -> Column:

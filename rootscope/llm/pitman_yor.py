@@ -502,11 +502,6 @@ class Model:
             free(self.spark)
         self.blocks.drop("base", "link", "cell")
 
-    def drop(self) -> None:
-        for kept in (self.parts, self.pairs, self.blocks, *self.seats, *(s for s, _ in self.states)):
-            kept.drop()
-        self.spark.sql(f"DROP TABLE {self.name}")
-
     def singles(self) -> tuple[float, float]:
         """Words that follow one word only, and two."""
 
@@ -520,7 +515,7 @@ class Model:
         return met(self.parts.of("part").unionByName(self.blocks.of("base", "link")), f, self.n_parts).agg(F.sum("n1"), F.sum("n2")).first()
 
     def score(self) -> DataFrame:
-        """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each text, as a written table."""
+        """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each text, as a written table. The model's own tables go."""
         turns, d, d0, b, n_blocks, n_train, v = len(self.states), self.d, self.d0, self.b, self.n_blocks, self.n_train, self.v
         states, seats = self.states[0][0].of("state"), self.seats[0].of("seat")
         states, seats = states.withColumn("sender", F.lit(0).cast("long")), seats.withColumn("sender", F.lit(0).cast("long"))
@@ -529,9 +524,12 @@ class Model:
             seats = seats.unionByName(self.seats[k].of("seat").withColumn("sender", F.lit(k).cast("long")))
         totals = [t for _, t in self.states]
         weight = Kept(met(self.blocks.of("block").unionByName(seats).unionByName(self.pairs.of("pair")), _lookup(d, turns), n_blocks), "weights")
+        for kept in (self.pairs, self.blocks, *self.seats):
+            kept.drop()
         free(self.spark)
-        word = met(self.parts.of("part").unionByName(states).unionByName(self.ask), _told, self.n_parts)
-        rows = _with_replies(self.table.select("chunk", "ids", "held", "lens", "spot", "toks"), self.parts.of("id").unionByName(word).unionByName(weight.of("weight")))
+        word = Kept(met(self.parts.of("part").unionByName(states).unionByName(self.ask), _told, self.n_parts), "words")
+        free(self.spark)
+        rows = _with_replies(self.table.select("chunk", "ids", "held", "lens", "spot", "toks"), self.parts.of("id").unionByName(word.of("word")).unionByName(weight.of("weight")))
         id_type = self.table.schema["ids"].dataType.elementType.simpleString()
         spread = n_train + 0.5 * (v + 1)
 
@@ -567,7 +565,9 @@ class Model:
                     yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
         out = cut(rows.mapInArrow(run, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "scores")
-        weight.drop()
+        for kept in (self.parts, *(s for s, _ in self.states), word, weight):
+            kept.drop()
+        self.spark.sql(f"DROP TABLE {self.name}")
         return out
 
 
@@ -579,7 +579,4 @@ def perplexity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Without rows to learn from, all words are unknown and the base is uniform. A text's perplexity is
     10 ** (-score / n_tokens).
     """
-    model = Model(docs, id_col, text_col)
-    out = model.score()  # a few numbers for each text; what they were made of goes
-    model.drop()
-    return out
+    return Model(docs, id_col, text_col).score()
