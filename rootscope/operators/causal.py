@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+from .order import numbered
+
 
 def temporal_order(spans: DataFrame, alerts: DataFrame) -> DataFrame:
     """service, first_seen, idx: alerted services by their earliest span, idx from 0; ties by name."""
@@ -18,18 +21,20 @@ def _correlation(x, y):
     return F.coalesce(F.try_divide(cov, F.when((a > 1e-9) & (b > 1e-9), a * b)), F.lit(0.0))
 
 
-def lagged_strength(spans: DataFrame, services: DataFrame, lag: int = 5) -> DataFrame:
+def lagged_strength(spans: DataFrame, services: DataFrame, lag: int = 5, most: int = 1000) -> DataFrame:
     """a, b, strength for ordered pairs of the services: how much more a's durations lead b's than the reverse, 0 to 1.
 
     Series are in order of arrival (ingest_seq). Of two, the first n = least length count; under max(lag + 2, 5) or
-    for constant series the strength is 0. Pairs meet on positions: an equi-join for each pair, n rows long.
+    for constant series the strength is 0. Places are given by ranges, so that no task sorts a service; pairs meet on them:
+    an equi-join for each pair, n rows long. At most `most` services, since their pairs are listed.
     """
     names = services.select("service").distinct()
+    if len(names.head(most + 1)) > most:
+        raise ValueError(f"more than {most} services")
     s = spans.select(F.col("service_name").alias("service"), F.coalesce("duration_ms", F.lit(0.0)).alias("d"), "ingest_seq").join(F.broadcast(names), "service", "left_semi")
-    s = s.withColumn("pos", F.row_number().over(Window.partitionBy("service").orderBy("ingest_seq")))
-    n = s.groupBy("service").agg(F.count("*").alias("n"))
-    a = s.join(n, "service").select(F.col("service").alias("a"), F.col("d").alias("da"), "pos", F.col("n").alias("na"))
-    b = s.join(n, "service").select(F.col("service").alias("b"), F.col("d").alias("db"), (F.col("pos") - lag).alias("pos"), F.col("n").alias("nb"))
+    s = cut(numbered(s, ["service"], ["ingest_seq"]), "series")
+    a = s.select(F.col("service").alias("a"), F.col("d").alias("da"), "pos", F.col("n").alias("na"))
+    b = s.select(F.col("service").alias("b"), F.col("d").alias("db"), (F.col("pos") - lag).alias("pos"), F.col("n").alias("nb"))
     # row (a at pos, b at pos + lag), as far as both lie in the first n
     both = a.join(b, "pos").filter((F.col("a") != F.col("b")) & (F.col("pos") + lag <= F.least("na", "nb")))
     c = both.groupBy("a", "b").agg(_correlation(F.col("da"), F.col("db")).alias("c"), F.max(F.least("na", "nb")).alias("n"))

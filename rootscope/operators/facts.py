@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import INFRA_SERVICES, ROLE_PRIORS, canonical_service, filled, is_token, linear_relevance, log_relevance, ratio_relevance, service_role, usage_kind
 from .graph import cut, fact_edges, pagerank
+from .order import numbered, percentiles
 
 # Signals that decide at any count; words of failed connections; healthy pod states.
 DECISIVE = ("CONNECTION_REFUSED", "LOG_ERROR", "TIMEOUT", "POD_UNHEALTHY")
@@ -34,7 +35,7 @@ def trace_facts(spans: DataFrame) -> DataFrame:
     out = calls.select(*_fact("calls", F.col("service"), quote, linear_relevance(F.col("vol")), "caller"))
     errs = s.filter("bad").groupBy("service").agg(F.count("*").alias("n"))
     out = out.union(errs.select(*_fact("emits", "HTTP_ERROR", F.concat(F.lit("trace error_spans="), F.col("n").cast("string")), log_relevance(F.col("n"), 100.0))))
-    med = s.agg(F.expr("percentile(d, 0.5)").alias("med"))
+    med = percentiles(s.withColumn("all", F.lit(0)), ["all"], "d", {"med": 0.5}, between=True).select("med")
     avg = s.groupBy("service").agg(F.avg("d").alias("avg")).crossJoin(F.broadcast(med))  # one row
     slow = avg.filter(F.col("avg") >= F.greatest(F.lit(100.0), 2 * F.col("med"))).withColumn("ratio", F.col("avg") / F.greatest("med", F.lit(1.0)))
     return out.union(slow.select(*_fact("blocks", "HIGH_LATENCY", F.format_string("trace avg_duration=%.0f median=%.0f (%.1fx)", "avg", "med", "ratio"), ratio_relevance(F.col("ratio")))))
@@ -77,8 +78,7 @@ def own_outliers(metrics: DataFrame, z_min: float = 3.0, saturate: float = 15.0)
     """Series whose last 30 % (3 points at least, 6 in all) left the rest by z_min deviations; a floor of 5 % of the mean holds for the deviation."""
     m = _usage(metrics)
     keys = ["metric", "kind", "service"]
-    w = Window.partitionBy(*keys)
-    m = m.withColumn("i", F.row_number().over(w.orderBy("ts", "value"))).withColumn("n", F.count("*").over(w)).filter("n >= 6")
+    m = numbered(m.select(*keys, "ts", "value"), keys, ["ts", "value"], "i", "n").filter("n >= 6")
     m = m.withColumn("cur", F.least(F.greatest(F.lit(3), F.floor(F.col("n") * 0.3)), F.col("n") - 3)).filter("cur >= 3")
     now = F.col("i") > F.col("n") - F.col("cur")
     s = m.groupBy(*keys).agg(F.avg(F.when(now, F.col("value"))).alias("c"), F.avg(F.when(~now, F.col("value"))).alias("b"), F.stddev_pop(F.when(~now, F.col("value"))).alias("sd")).filter("NOT (b = 0 AND sd = 0)")
@@ -197,20 +197,20 @@ def anomaly_scores(facts: DataFrame, suppression: float = 0.5) -> DataFrame:
     return s.join(callers, "source", "left").select("source", "role", (F.col("score") * F.when(F.col("calls_bad"), suppression).otherwise(F.lit(1.0))).alias("score"))
 
 
-def rank_suspects(facts: DataFrame, k: int = 8, alpha: float = 0.85, parity: bool = False) -> DataFrame:
+def rank_suspects(facts: DataFrame, k: int = 8, alpha: float = 0.85, parity: bool = False, tol: float = 1e-6, max_iter: int = 100) -> DataFrame:
     """service, score, pagerank, rank: anomalous services and their neighbours, by (score, PageRank of the reversed graph).
 
     facts need `seq`, the order in which they came. Names of signals are never suspects; parity: but CONNECTION_REFUSED,
-    which some tools let through.
+    which some tools let through. Scores count to nine digits, so that the order doesn't hang on the order of sums.
     """
     scores = cut(anomaly_scores(facts))
     bad = facts.filter(F.col("relationship").isin("emits", "blocks")).filter(~is_token(F.col("source"))).select(F.col("source").alias("name")).distinct()
     e = cut(fact_edges(facts, emit_weight(F.col("target"))))
     near = e.join(bad, e.src == bad.name, "left_semi").select("dst").union(e.join(bad, e.dst == bad.name, "left_semi").select("src"))
     cands = bad.union(near).distinct().filter(~_not_service(F.col("name"), parity))
-    ranks = pagerank(e, alpha, "w").withColumnRenamed("score", "pagerank")
+    ranks = pagerank(e, alpha, "w", tol=tol, max_iter=max_iter).withColumnRenamed("score", "pagerank")
     out = cands.join(scores, F.col("name") == F.col("source"), "left").join(ranks, F.col("name") == F.col("id"), "left")
-    out = out.select(F.col("name").alias("service"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("pagerank", F.lit(0.0)).alias("pagerank"), F.coalesce("role", F.lit("UNKNOWN")).alias("role"))
+    out = out.select(F.col("name").alias("service"), F.round(F.coalesce("score", F.lit(0.0)), 9).alias("score"), F.round(F.coalesce("pagerank", F.lit(0.0)), 9).alias("pagerank"), F.coalesce("role", F.lit("UNKNOWN")).alias("role"))
     top = out.orderBy(F.desc("score"), F.desc("pagerank"), "service").limit(k)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("pagerank"), "service")))
 

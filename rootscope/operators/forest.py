@@ -30,11 +30,33 @@ def _grow(x: np.ndarray, depth: int, rng: np.random.Generator) -> list:
     return [f, cut, _grow(x[low], depth - 1, rng), _grow(x[~low], depth - 1, rng)]
 
 
-def _depth(tree: list, x: np.ndarray) -> float:
-    d = 0
-    while len(tree) > 1:
-        tree, d = tree[2] if x[tree[0]] < tree[1] else tree[3], d + 1
-    return d + _path_norm(tree[0])
+def _flat(trees: list[list]) -> tuple[np.ndarray, ...]:
+    """Nodes of all trees as arrays (feature, -1 for a leaf; cut; left and right child; what a leaf adds to the depth), and the roots."""
+    rows: list[list] = []
+
+    def put(node: list) -> int:
+        at = len(rows)
+        rows.append([-1, 0.0, at, at, 0.0] if len(node) > 1 else [-1, 0.0, at, at, _path_norm(node[0])])
+        if len(node) > 1:
+            rows[at] = [node[0], node[1], put(node[2]), put(node[3]), 0.0]
+        return at
+
+    roots = np.array([put(t) for t in trees], np.int64)
+    f, c, left, right, more = (np.array(x) for x in zip(*rows, strict=True)) if rows else (np.zeros(0),) * 5
+    return f.astype(np.int64), c.astype(np.float64), left.astype(np.int64), right.astype(np.int64), more.astype(np.float64), roots
+
+
+def _mean_depth(flat: tuple[np.ndarray, ...], x: np.ndarray) -> np.ndarray:
+    """Mean depth of each row over the trees: all rows go down all trees level by level."""
+    feature, cut, left, right, more, roots = flat
+    at = np.broadcast_to(roots, (len(x), len(roots))).copy()
+    depth = np.zeros(at.shape)
+    while (inner := feature[at] >= 0).any():
+        row, tree = np.nonzero(inner)
+        node = at[row, tree]
+        at[row, tree] = np.where(x[row, feature[node]] < cut[node], left[node], right[node])
+        depth[row, tree] += 1
+    return (depth + more[at]).mean(axis=1)
 
 
 def forest_alerts(features: DataFrame, stats: DataFrame, baselines: DataFrame, trees: int = 100, contamination: float = 0.1, err: float = 0.05, seed: int = 42, raw_scores: bool = False) -> DataFrame:
@@ -62,12 +84,12 @@ def forest_alerts(features: DataFrame, stats: DataFrame, baselines: DataFrame, t
         return pd.DataFrame({"tree": [key[0]], "size": [len(x)], "body": [json.dumps(tree)]})
 
     grown = picks.groupBy("tree").applyInPandas(grow, "tree long, size long, body string").toPandas()  # `trees` rows, each of at most 2 * SAMPLE nodes
-    bodies, size = [json.loads(b) for b in grown["body"]], float(grown["size"].max()) if len(grown) else 1.0
+    flat, size = _flat([json.loads(b) for b in grown["body"]]), float(grown["size"].max()) if len(grown) else 1.0
 
     def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             x = part[cols].to_numpy(np.float64)
-            mean = np.array([np.mean([_depth(t, r) for t in bodies]) for r in x]) if len(x) else np.zeros(0)
+            mean = np.concatenate([_mean_depth(flat, x[lo : lo + 4096]) for lo in range(0, len(x), 4096)]) if len(x) else np.zeros(0)
             yield pd.DataFrame({"service": part["service"], "iso": np.power(2.0, -mean / max(_path_norm(size), 1e-9))})
 
     iso = features.select("service", *cols).mapInPandas(score, "service string, iso double")

@@ -2,31 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import filled
+from ..sources.shared import cut
 
 NODE_STATS = ("span_count", "error_count", "error_rate", "unknown_response_pct", "duration_mean_ms", "duration_p50_ms", "duration_p95_ms", "duration_p99_ms", "duration_std_ms", "duration_min_ms", "duration_max_ms", "operations")
-_unset: dict[str, str] = {}
 
 
-def cut(df: DataFrame, label: str = "graph") -> DataFrame:
-    """df written to the folder that all machines share (spark.checkpoint.dir) and read again, so that loops have no lineage."""
-    spark = df.sparkSession
-    conf = spark.sparkContext.getConf()
-    base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
-    if not base:
-        if not conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = _unset.setdefault("dir", tempfile.mkdtemp(prefix="spark-"))
-    path = f"{base}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Edges and nodes of a graph whose PageRank is one job.
+SMALL = 20_000
 
 
 def call_edges(spans: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -79,12 +67,13 @@ def cycles(edges: DataFrame, max_len: int = 8) -> DataFrame:
     return found
 
 
-def pagerank(edges: DataFrame, alpha: float = 0.85, weight: str | None = None, restart: DataFrame | None = None, tol: float = 1e-6, max_iter: int = 100, nodes: DataFrame | None = None, every: int = 3) -> DataFrame:
+def pagerank(edges: DataFrame, alpha: float = 0.85, weight: str | None = None, restart: DataFrame | None = None, tol: float = 1e-6, max_iter: int = 100, nodes: DataFrame | None = None, every: int = 3, small: int = SMALL) -> DataFrame:
     """id, score, scores sum to 1.
 
     weight: a column of edges (default 1). restart: id; its nodes share the restart mass, else all do. Nodes without
-    edges out spread theirs by the restart shares. Each `every`-th round is written to the shared folder; the loop ends
-    there if the scores changed by less than nodes * tol in all.
+    edges out spread theirs by the restart shares. The loop ends if the scores changed by less than nodes * tol in all.
+    Each `every`-th round is written to the shared folder and looked at; a graph of up to `small` edges, as counted once
+    they are written, is one row instead, and all its rounds one job.
     """
     e = edges.select("src", "dst", (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
     ids = e.select(F.col("src").alias("id")).union(e.select("dst"))
@@ -101,6 +90,8 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, weight: str | None = None, r
         ids = cut(ids.join(marks, "id", "left"))
         start = F.coalesce("mark", F.lit(0.0))
     rank = cut(ids.select("id", F.coalesce("sends", F.lit(False)).alias("sends"), start.alias("jump"), F.lit(1.0 / n).alias("score")))
+    if e.count() + n <= small:
+        return _folded(e, rank, alpha, n * tol, max_iter)
     for k in range(max_iter):
         lost = rank.filter("NOT sends").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
         got = e.join(rank.select(F.col("id").alias("src"), "score"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("share") * F.col("score")).alias("got"))
@@ -117,6 +108,29 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, weight: str | None = None, r
     return rank.select("id", "score")
 
 
+def _folded(e: DataFrame, rank: DataFrame, alpha: float, least: float, rounds: int) -> DataFrame:
+    """The rounds of pagerank over a small graph: an array of nodes, each with the places and shares of those that send to it."""
+    places = cut(rank.withColumn("i", F.row_number().over(Window.orderBy("id")) - 1), "places")
+    at = lambda c, name: places.select(F.col("id").alias(c), F.col("i").alias(name))
+    into = e.join(at("src", "s"), "src").join(at("dst", "i"), "dst").groupBy("i").agg(F.array_sort(F.collect_list(F.struct("s", "share"))).alias("into"))
+    node = F.struct("i", "id", "jump", "sends", "score", F.coalesce("into", F.array().cast("array<struct<s:int,share:double>>")).alias("into"))
+    one = places.join(into, "i", "left").agg(F.array_sort(F.collect_list(node)).alias("g"))
+    # sums of lambdas over places: what nodes without edges out hold, and how far two rounds are apart
+    lost = lambda scores: F.aggregate("g", F.lit(0.0), lambda a, x: a + F.when(x["sends"], F.lit(0.0)).otherwise(F.get(scores, x["i"])))
+    apart = lambda new, old: F.aggregate(F.zip_with(new, old, lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, x: a + x)
+
+    def step(acc: Column, _: Column) -> Column:
+        got = lambda x: F.aggregate(x["into"], F.lit(0.0), lambda a, y: a + y["share"] * F.get(acc["score"], y["s"]))
+        new = F.transform("g", lambda x: alpha * (got(x) + acc["lost"] * x["jump"]) + (1 - alpha) * x["jump"])
+        made = F.get(F.transform(F.array(new), lambda s: F.struct(s.alias("score"), lost(s).alias("lost"), apart(s, acc["score"]).alias("apart"))), F.lit(0))
+        return F.when(acc["apart"] < least, acc).otherwise(made)
+
+    first = F.transform("g", lambda x: x["score"])
+    begin = F.get(F.transform(F.array(first), lambda s: F.struct(s.alias("score"), lost(s).alias("lost"), F.lit(float("inf")).alias("apart"))), F.lit(0))
+    final = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), begin, step, lambda acc: acc["score"])
+    return cut(one.withColumn("final", final).select(F.explode(F.arrays_zip(F.transform("g", lambda x: x["id"]).alias("id"), F.col("final").alias("score"))).alias("x")).select("x.id", "x.score"), "rank")
+
+
 def fact_edges(facts: DataFrame, weight: Column) -> DataFrame:
     """src, dst, w of facts (source, relationship, target): calls turned round, signals to services, others as they are.
 

@@ -37,11 +37,19 @@ def store_incidents(old: DataFrame, new: DataFrame) -> DataFrame:
 def find_similar(incidents: DataFrame, asked: DataFrame, limit: int = 5) -> DataFrame:
     """For each row of asked (case_id, signature, root_cause) its incidents of that signature or root cause, the newest first.
 
-    Two equi-joins and a union; an OR would compare all with all.
+    Each key's incidents are cut to the newest `limit` ids before they are joined: a case's best ones are among the best
+    of each of its keys. Of an id that repeats its latest row counts.
     """
-    by_sig = asked.select("case_id", "signature").join(incidents, "signature")
-    by_full = asked.select("case_id", F.col("signature").alias("signature_full")).join(incidents, "signature_full")
-    by_root = asked.filter("root_cause IS NOT NULL AND root_cause <> ''").select("case_id", "root_cause").join(incidents, "root_cause")
+    key = F.col("__key")
+
+    def newest(col: str) -> DataFrame:
+        latest = incidents.withColumn("__key", F.col(col)).filter(key.isNotNull()).groupBy(key, F.col("id").alias("__id")).agg(F.max("ts").alias("__ts"), F.max_by(F.struct(*incidents.columns), "ts").alias("__i"))
+        w = Window.partitionBy("__key").orderBy(F.desc("__ts"), "__id")
+        return latest.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= limit).select("__key", "__i.*")
+
+    by_sig = asked.select("case_id", F.col("signature").alias("__key")).join(newest("signature"), "__key")
+    by_full = asked.select("case_id", F.col("signature").alias("__key")).join(newest("signature_full"), "__key")
+    by_root = asked.filter("root_cause IS NOT NULL AND root_cause <> ''").select("case_id", F.col("root_cause").alias("__key")).join(newest("root_cause"), "__key")
     cols = ["case_id", *incidents.columns]
     both = by_sig.select(cols).union(by_full.select(cols)).union(by_root.select(cols)).dropDuplicates(["case_id", "id"])
     w = Window.partitionBy("case_id").orderBy(F.desc("ts"), "id")

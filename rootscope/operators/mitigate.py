@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The rules of a plan (lowest and highest error rate, step, action, command, title, description, category), block list, templates.
+from .order import numbered
+
+# The rules of a plan (lowest and highest error rate, step, action, command, title, description, category), block list, commands that can be undone, templates.
 RULES = (
     (0.5, None, 0.0, "restart", "kubectl rollout restart deployment/{s}", "Restart {s}", "Restart {s} due to high error rate ({e})", "remediation"),
     (0.5, None, 0.5, "check_logs", "kubectl logs -l app={s} --tail=100", "Check logs for {s}", "Check logs for {s}", "diagnostic"),
@@ -26,6 +28,14 @@ BLOCKED = (
     ("||", "compound shell operator — not permitted"),
     ("; rm", "destructive compound — not permitted"),
 )
+REVERTS = {
+    "scale": r"^kubectl scale deployment/(\S+) --replicas=(\d+)",
+    "restart": r"^kubectl rollout restart deployment/(\S+)",
+    "configmap": r"^kubectl patch configmap (\S+)",
+    "env": r"^kubectl set env deployment/(\S+) (.+)",
+    "helm": r"^helm upgrade (\S+) (\S+)",
+    "apply": r"^kubectl apply -f (.+)",
+}
 FORBIDDEN = (r"rm\s+-rf", r"drop\s+database", r"delete\s+ns", r"delete\s+namespace", r"sudo\s+rm")
 TEMPLATES = (
     ("rollout_restart", "kubectl rollout restart deployment/{deployment} -n {namespace}"),
@@ -95,7 +105,7 @@ def revert_command(cmd: Column) -> Column:
     """The command that undoes cmd; a comment where there is none."""
     c = F.trim(cmd)
     get = lambda p, k=1: F.regexp_extract(c, p, k)
-    scale, restart, cm, env, helm, apply_f = r"^kubectl scale deployment/(\S+) --replicas=(\d+)", r"^kubectl rollout restart deployment/(\S+)", r"^kubectl patch configmap (\S+)", r"^kubectl set env deployment/(\S+) (.+)", r"^helm upgrade (\S+) (\S+)", r"^kubectl apply -f (.+)"
+    scale, restart, cm, env, helm, apply_f = REVERTS.values()
     fewer = F.greatest(F.lit(1), get(scale, 2).try_cast("int") - 2)
     keys = F.array_join(F.transform(F.regexp_extract_all(get(env, 2), F.lit(r"(\w+)=\S+"), F.lit(1)), lambda k: F.concat(k, F.lit("-"))), " ")
     return (
@@ -117,7 +127,8 @@ def revert_commands(actions: DataFrame) -> DataFrame:
 
 def undo_order(undo: DataFrame) -> DataFrame:
     """What is left to revert, the newest first (a plan; nothing is executed)."""
-    return undo.filter("NOT reverted").withColumn("step", F.row_number().over(Window.orderBy(F.desc("seq")))).orderBy("step")
+    left = undo.filter("NOT reverted").withColumns({"__log": F.lit(0), "__back": -F.col("seq")})
+    return numbered(left, ["__log"], ["__back"], "step", "__rows").drop("__log", "__back", "__rows").orderBy("step")
 
 
 def screen(cmd: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import failed, filled, unknown_response
+from .order import percentiles
 
 
 def span_key() -> Column:
@@ -22,9 +23,11 @@ def span_key() -> Column:
 
 
 def dedup_spans(spans: DataFrame) -> DataFrame:
-    """Of the spans of a key the one that came in first (ingest_seq)."""
-    w = Window.partitionBy("__key").orderBy("ingest_seq")
-    return spans.withColumn("__key", span_key()).withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__key", "__n")
+    """Of the spans of a key the one that came in first (ingest_seq). The long key is made for the few spans without an id only."""
+    span = filled(F.col("span_id"))
+    keys = {"__trace": F.coalesce(filled(F.col("trace_id")), F.lit("")), "__span": span, "__rest": F.when(span.isNull(), span_key())}
+    w = Window.partitionBy(*keys).orderBy("ingest_seq")
+    return spans.withColumns(keys).withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop(*keys, "__n")
 
 
 def dedup_stats(raw: DataFrame) -> DataFrame:
@@ -56,16 +59,22 @@ def orphan_spans(spans: DataFrame) -> DataFrame:
 
 
 def service_stats(spans: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """One row for each service (of each incident, with by): counts, rates, durations (nearest-rank percentiles, population deviation), operations."""
+    """One row for each service (of each incident, with by): counts, rates, durations (nearest-rank percentiles, population deviation), operations.
+
+    Percentiles come from counted values in ranges, so that no buffer holds a service's values.
+    """
     service = F.coalesce(filled(F.col("service_name")), F.lit("unknown"))
     d = F.coalesce(F.col("duration_ms"), F.lit(0.0))
     s = spans.select(*by, service.alias("service"), d.alias("d"), failed(F.col("has_error"), F.col("response")).alias("bad"), unknown_response(F.col("response")).alias("unk"), filled(F.col("operation_name")).alias("op"))
-    pct = lambda p, name: F.expr(f"round(percentile_disc({p}) WITHIN GROUP (ORDER BY d), 2)").alias(name)
     g = s.groupBy(*by, "service").agg(
         F.count("*").alias("span_count"), F.count_if("bad").alias("error_count"), F.count_if("unk").alias("unknown_response_count"),
         F.round(F.min("d"), 2).alias("duration_min_ms"), F.round(F.max("d"), 2).alias("duration_max_ms"), F.round(F.avg("d"), 2).alias("duration_mean_ms"), F.round(F.stddev_pop("d"), 2).alias("duration_std_ms"),
-        pct(0.5, "duration_p50_ms"), pct(0.95, "duration_p95_ms"), pct(0.99, "duration_p99_ms"), F.array_sort(F.collect_set("op")).alias("operations"),
+        F.array_sort(F.collect_set("op")).alias("operations"),
     )
+    keys = [*by, "service"]
+    names = {"duration_p50_ms": 0.5, "duration_p95_ms": 0.95, "duration_p99_ms": 0.99}
+    p = percentiles(s, keys, "d", names).select(*keys, *(F.round(c, 2).alias(c) for c in names))
+    g = g.join(p, keys).select(*keys, *g.columns[len(keys) : -1], *names, "operations")
     return g.withColumn("error_rate", F.round(F.col("error_count") / F.col("span_count"), 4)).withColumn("unknown_response_pct", F.round(F.col("unknown_response_count") / F.col("span_count") * 100, 1))
 
 

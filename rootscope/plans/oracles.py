@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+from . import oracles_wider
+
 CTE = {
     "raw": """SELECT 't' || l_orderkey AS trace_id, 's' || l_orderkey || '-' || l_linenumber AS span_id,
   CASE WHEN l_linenumber > 1 THEN 's' || l_orderkey || '-' || (l_linenumber - 1) ELSE 'ROOT' END AS parent_span,
@@ -49,7 +53,7 @@ CTE = {
     "bottle": """SELECT src AS parent, dst AS child, round(a, 3)::DOUBLE AS absorption, round(err, 4)::DOUBLE AS child_error_rate, CASE WHEN a >= 0.75 AND err < 0.05 THEN 'SILENT_BOTTLENECK' WHEN a >= 0.6 THEN 'POSSIBLE_BOTTLENECK' END AS verdict
   FROM (SELECT src, dst, least(1.5, avg_duration_ms / p.duration_mean_ms) AS a, c.error_rate AS err FROM edges JOIN nodes p ON p.id = src JOIN nodes c ON c.id = dst WHERE p.duration_mean_ms > 0 AND avg_duration_ms > 0) WHERE a >= 0.6""",
     "torder": "SELECT service_name AS service, min(start_time) AS first_seen, (row_number() OVER (ORDER BY min(start_time), service_name) - 1)::INT AS idx FROM spans WHERE service_name IN (SELECT service FROM alerts) GROUP BY 1",
-    "pos": "SELECT service_name AS service, duration_ms AS d, row_number() OVER (PARTITION BY service_name ORDER BY ingest_seq) AS pos, count(*) OVER (PARTITION BY service_name) AS n FROM spans WHERE service_name IN (SELECT service FROM ranked WHERE rank <= 4)",
+    "pos": "SELECT service_name AS service, duration_ms AS d, row_number() OVER (PARTITION BY service_name ORDER BY ingest_seq) AS pos, count(*) OVER (PARTITION BY service_name) AS n FROM spans WHERE service_name IN (SELECT service FROM ranked WHERE rank <= 8)",
     "corrs": "SELECT a.service AS a, b.service AS b, coalesce(covar_pop(a.d, b.d) / nullif(stddev_pop(a.d) * stddev_pop(b.d), 0), 0) AS c, max(least(a.n, b.n)) AS n FROM pos a JOIN pos b ON b.pos = a.pos + 5 AND a.service <> b.service WHERE b.pos <= least(a.n, b.n) GROUP BY 1, 2",
     "lead": "SELECT x.a, x.b, round(CASE WHEN x.n >= 7 AND x.c > y.c AND x.c > 0 THEN greatest(0, least(1, (x.c - y.c) / greatest(abs(x.c) + abs(y.c), 1e-9))) ELSE 0 END, 4)::DOUBLE AS strength FROM corrs x JOIN corrs y ON y.a = x.b AND y.b = x.a",
     "totals": "SELECT a AS service, CASE WHEN max(sum(strength)) OVER () > 0 THEN round(sum(strength) / max(sum(strength)) OVER (), 4) ELSE 0 END::DOUBLE AS score FROM lead GROUP BY 1",
@@ -73,30 +77,35 @@ CTE = {
   JOIN (SELECT span_id AS p_id, max_by(regexp_replace(service_name, '-\d+$', ''), ingest_seq) AS svc FROM spans GROUP BY 1) p ON parent_span = p_id WHERE p.svc <> s.svc GROUP BY 1, 2""",
 }
 
-#: CTEs in an order in which each comes after those that it reads.
-_ORDER = ["raw", "resp", "spans", "stats", "series", "base", "baselines", "current_lat", "scored", "alerts", "parents", "edges", "nodes", "primary_s", "walk", "ended", "paths", "cands", "kinds", "weights", "parts", "scores", "ranked", "bottle", "torder", "pos", "corrs", "lead", "totals", "pod", "alerted", "metric", "peer", "hist", "own", "lines", "norm", "tmed", "edges2", "tfacts"]
+CTE |= oracles_wider.CTE
+
+
+def _reads(text: str) -> set[str]:
+    return set(re.findall(r"\b[a-z_0-9]+\b", text)) & CTE.keys()
 
 
 def sql(statement: str) -> str:
-    """The statement with the CTEs that it needs, directly or through others."""
-    import re
+    """The statement with the CTEs that it needs, directly or through others, each after those that it reads."""
+    order: list[str] = []
+
+    def take(name: str, above: tuple[str, ...] = ()) -> None:
+        for other in sorted(_reads(CTE[name]) - {name}):
+            if other not in above and other not in order:
+                take(other, (*above, name))
+        if name not in order:
+            order.append(name)
 
-    need: set[str] = set()
-    todo = [statement]
-    while todo:
-        for name in set(re.findall(r"\b[a-z_0-9]+\b", todo.pop())) & CTE.keys() - need:
-            need.add(name)
-            todo.append(CTE[name])
-    if not need and not statement.startswith(", "):
+    for name in sorted(_reads(statement)):
+        take(name)
+    if not order and not statement.startswith(", "):
         return statement
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({CTE[n]})" for n in _ORDER if n in need) + "\n" + statement
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({CTE[n]})" for n in order) + "\n" + statement
 
 
 _STATS = "span_count, error_count, error_rate, unknown_response_pct, duration_mean_ms, duration_p50_ms, duration_p95_ms, duration_p99_ms, duration_std_ms, duration_min_ms, duration_max_ms, operations"
 STATEMENTS = {
     "i6_dedup_spans": "SELECT trace_id, span_id, service_name, start_time, duration, has_error, response, ingest_seq FROM spans",
     "i7_dedup_stats": "SELECT (SELECT count(*) FROM resp) AS original_count, (SELECT count(*) FROM spans) AS unique_count, (SELECT count(*) FROM resp) - (SELECT count(*) FROM spans) AS duplicates_removed",
-    "i8_validate_spans": "SELECT true AS is_valid, count(*) AS valid_count, count(*) AS total_count, 100.0::DOUBLE AS validation_rate, 0 AS n_errors FROM resp",
     "i9_orphan_spans": "SELECT trace_id, span_id, parent_span FROM spans WHERE parent_span <> 'ROOT' AND parent_span NOT IN (SELECT span_id FROM spans)",
     "i10_service_stats": "SELECT * FROM stats",
     "i10_service_stats_by_month": """SELECT strftime(make_timestamp(start_time), '%Y-%m') AS month, service_name AS service, count(*) AS span_count, count(*) FILTER (has_error OR response = '500') AS error_count, round(quantile_disc(duration_ms, 0.95), 2) AS duration_p95_ms FROM spans GROUP BY 1, 2""",
@@ -108,7 +117,6 @@ STATEMENTS = {
     "g2_service_nodes": f"SELECT id, {_STATS}, 'service' AS node_type FROM nodes",
     "g7_error_services": "SELECT DISTINCT service_name AS service FROM spans WHERE has_error",
     "g8_column_call_graph": "SELECT DISTINCT parent_span AS src, service_name AS dst FROM spans WHERE parent_span <> service_name",
-    "g10_graph_summary": "SELECT (SELECT count(*) FROM nodes) AS node_count, (SELECT count(*) FROM edges) AS edge_count, 0::BIGINT AS cycle_count",
     "d1_request_spans": "SELECT service_name AS service, count(*) FILTER (operation_name LIKE '/%') AS requests, count(*) AS spans FROM spans GROUP BY 1",
     "d2_ewma_baseline": "SELECT * FROM baselines",
     "d3_current_latency": "SELECT service, round(current_value, 4) AS current_value FROM current_lat",
@@ -142,15 +150,13 @@ SELECT array_to_string(path, '>') AS path FROM fw WHERE last = 'svc-5-1' ORDER B
     "t9_peer_outliers": "SELECT * FROM peer",
     "t10_own_outliers": "SELECT * FROM own",
     "t11_metric_facts": "SELECT source, relationship, target, max(relevance) AS relevance FROM (SELECT * FROM peer UNION ALL SELECT * FROM own) GROUP BY 1, 2, 3",
-    "t12_log_facts": """SELECT service AS source, 'emits' AS relationship, 'LOG_ERROR' AS target, 'logs error_lines=' || count(*) AS citation_quote, round_even(least(1.0, ln(1 + count(*)) / ln(101)), 3)::DOUBLE AS relevance FROM lines WHERE regexp_matches(line, '(?i)ERROR|FATAL|EXCEPTION|PANIC|TRACEBACK') GROUP BY 1
-  UNION ALL SELECT service, 'blocks', 'TIMEOUT', 'logs timeout_lines=' || count(*), round_even(least(1.0, ln(1 + count(*)) / ln(51)), 3)::DOUBLE FROM lines WHERE regexp_matches(line, '(?i)TIMEOUT|TIMED OUT|DEADLINE') GROUP BY 1""",
     "t18_decide_incident": """, shaped AS (SELECT source, target, relevance FROM tfacts WHERE relationship <> 'calls' UNION ALL SELECT source, target, relevance FROM (SELECT source, target, max(relevance) AS relevance FROM (SELECT * FROM peer UNION ALL SELECT * FROM own) GROUP BY 1, 2))
 SELECT count(*) FILTER (relevance >= 0.3) > 0 AND count(DISTINCT source) FILTER (relevance >= 0.3) / greatest(count(DISTINCT source), 1) <= 0.3 AS anomaly, round(count(DISTINCT source) FILTER (relevance >= 0.3) / greatest(count(DISTINCT source), 1), 4) AS concentration FROM shaped""",
     "l1_error_lines": "SELECT service_name AS service, printf('[%s] op=%s response=%s duration=%.0fms trace=%s', service_name, operation_name, response, duration_ms, left(trace_id, 8)) AS line FROM (SELECT * FROM spans WHERE has_error AND service_name IN (SELECT service FROM ranked WHERE rank <= 5) ORDER BY ingest_seq LIMIT 60)",
     "l3_top_patterns": """SELECT service, pattern, count, round(count / total, 4) AS share, rank FROM (SELECT *, row_number() OVER (PARTITION BY service ORDER BY count DESC, pattern)::INT AS rank, sum(count) OVER (PARTITION BY service) AS total FROM (SELECT service, pattern, count(*) AS count FROM norm GROUP BY 1, 2)) WHERE rank <= 5""",
     "l4_fault_type": """SELECT service, (['Misconfiguration', 'ImagePullFailure', 'ResourceExhaustion', 'CrashLoopFailure', 'NetworkFailure', 'CertificateFailure', 'DatabaseFailure', 'TimeoutFailure'])[min(k)] AS fault_type, (['Application', 'Infrastructure', 'Application', 'Application', 'Network', 'Security', 'DataLayer', 'Application'])[min(k)] AS fault_layer FROM (
   SELECT service, CASE WHEN regexp_matches(l, 'containerport|targetport|port.*mismatch|connection refused.*port') THEN 1 WHEN regexp_matches(l, 'imagepullbackoff|errimagepull|no such image|image.*not found') THEN 2 WHEN regexp_matches(l, 'oomkilled|out of memory|memory limit') THEN 3 WHEN regexp_matches(l, 'crashloopbackoff|exit code [1-9]') THEN 4
-    WHEN regexp_matches(l, 'connection refused|connection timed out|dial tcp.*refused') THEN 5 WHEN regexp_matches(l, 'certificate.*expired|x509|tls.*error') THEN 6 WHEN regexp_matches(l, 'database.*connection|sql.*error|pg.*error|mongo.*error') THEN 7 WHEN regexp_matches(l, 'timeout|deadline exceeded|context deadline') THEN 8 END AS k FROM (SELECT service, lower(line) AS l FROM lines)) WHERE k IS NOT NULL GROUP BY 1""",
+    WHEN regexp_matches(l, 'connection refused|connection timed out|dial tcp.*refused') THEN 5 WHEN regexp_matches(l, 'certificate.*expired|x509|tls.*error') THEN 6 WHEN regexp_matches(l, 'database.*connection|sql.*error|pg.*error|mongo.*error') THEN 7 WHEN regexp_matches(l, 'timeout|deadline exceeded|context deadline') THEN 8 END AS k FROM (SELECT service, lower(line) AS l FROM flines)) WHERE k IS NOT NULL GROUP BY 1""",
     "l8_redact": r"SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), 'sk-[A-Za-z0-9]{16,}', 'sk-[REDACTED]', 'g'), '(?i)(api[_-]?key\s*[:=]\s*)([^\s,''\x22]+)', '\1[REDACTED]', 'g'), '(?i)(password\s*[:=]\s*)([^\s,''\x22]+)', '\1[REDACTED]', 'g')) AS sha FROM documents",
     "l9_clip_middle": "SELECT doc_id, CASE WHEN length(t) <= 200 THEN t ELSE left(t, 100) || chr(10) || '...[TRUNCATED ' || (length(t) - 200) || ' chars]...' || chr(10) || right(t, 100) END AS clipped FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
     "m1_signature": "SELECT service, md5('service:' || service || '|anomaly:' || anomaly_type) AS signature, md5('service:' || service || '|anomaly:' || anomaly_type || '|root_cause:' || service) AS signature_full FROM alerts",
@@ -162,6 +168,7 @@ SELECT case_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY case_id
     "e6_run_rollup": """SELECT event_type AS task_type, count(*) FILTER (event_id % 3 = 0) AS passed, count(*) FILTER (event_id % 3 = 1) AS failed, count(*) FILTER (event_id % 3 = 2) AS skipped, round(sum(value), 3)::DOUBLE AS seconds FROM events GROUP BY ROLLUP (event_type)""",
     "e5_token_usage": "SELECT role AS caller, 'conversation' AS model, count(*) AS calls, sum(length(text))::BIGINT AS in_tokens, sum(turn)::BIGINT AS out_tokens, round(sum(turn) / 10.0, 3)::DOUBLE AS seconds FROM conversations GROUP BY 1",
 }
+STATEMENTS |= oracles_wider.STATEMENTS
 
 
 def build() -> dict[str, str]:

@@ -1,4 +1,4 @@
-"""Registered queries over the driver tables, and the SQL that they are held against.
+"""Registered queries over the driver tables.
 
 Each reads its tables whole. START is the service from which the upstream search of the examples begins.
 """
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clip_middle, is_request, redact, strip_ansi
 from ..operators import causal, detect, facts, forest, graph, infra, logs, memory, mitigate, rca, report, spans
-from . import oracles, views
+from . import views
 
 START = "svc-5-1"
 FLAGSHIP = "d7_detect_anomalies"
@@ -31,7 +31,14 @@ class Run:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self.raw = views.raw_spans(spark, sf_dir)
-        self.spans = spans.dedup_spans(self.raw)
+        self.spans, self.is_written = spans.dedup_spans(self.raw), False
+
+    def written(self) -> DataFrame:
+        """The spans, deduplicated and written once."""
+        if not self.is_written:
+            keep = ("trace_id", "span_id", "parent_span", "service_name", "operation_name", "start_time", "duration", "duration_ms", "has_error", "response", "status", "ingest_seq")
+            self.spans, self.is_written = graph.cut(self.spans.select(*keep), "spans"), True
+        return self.spans
 
     @property
     def stats(self) -> DataFrame:
@@ -54,7 +61,8 @@ class Run:
         return graph.service_nodes(self.edges, self.stats)
 
     def small(self) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-        """stats, baselines, alerts, edges and nodes, written once: one row for each service or pair of services."""
+        """stats, baselines, alerts, edges and nodes, written once: one row for each service or pair of services. The spans that they read are written first."""
+        self.written()
         stats, base, edges = graph.cut(self.stats, "stats"), graph.cut(self.base, "base"), graph.cut(self.edges, "edges")
         alerts = graph.cut(detect.detect_anomalies(self.spans, stats, base), "alerts")
         return stats, base, alerts, edges, graph.cut(graph.service_nodes(edges, stats), "nodes")
@@ -81,7 +89,7 @@ def i7_dedup_stats(spark, sf):
 
 @query
 def i8_validate_spans(spark, sf):
-    return spans.validate_spans(Run(spark, sf).raw).select("is_valid", "valid_count", "total_count", "validation_rate", F.size("errors").alias("n_errors"))
+    return spans.validate_spans(views.flawed_spans(spark, sf)).select("is_valid", "valid_count", "total_count", "validation_rate", F.array_join("errors", "; ").alias("errors"))
 
 
 @query
@@ -128,27 +136,40 @@ def g2_service_nodes(spark, sf):
     return Run(spark, sf).nodes
 
 
+#: Rounds of the PageRank queries: as many in their SQL.
+ROUNDS = 40
+
+
+def _ring(r: Run) -> DataFrame:
+    return graph.call_edges(views.ring(r.spans))
+
+
+def _ranks(edges: DataFrame, **more) -> DataFrame:
+    return graph.pagerank(edges, tol=0.0, max_iter=ROUNDS, **more)
+
+
 @query
 def g3_cycles(spark, sf):
-    return graph.cycles(Run(spark, sf).edges, 6)
+    edges = graph.cut(_ring(Run(spark, sf)))
+    most = edges.select("src").union(edges.select("dst")).distinct().count()  # no simple cycle is longer
+    return graph.cycles(edges, most).select(F.array_join("cycle", ">").alias("cycle"))
 
 
 @query
 def g4_pagerank(spark, sf):
-    return graph.pagerank(graph.cut(Run(spark, sf).edges)).select("id", F.round("score", 6).alias("score"))
+    return _ranks(graph.cut(Run(spark, sf).edges)).select("id", F.round("score", 6).alias("score"))
 
 
 @query
 def g5_personal_pagerank(spark, sf):
-    r = Run(spark, sf)
-    bad = graph.error_services(r.spans).select(F.col("service").alias("id"))
-    return graph.pagerank(graph.cut(r.edges), restart=bad).select("id", F.round("score", 6).alias("score"))
+    _, _, alerts, edges, _ = Run(spark, sf).small()
+    return _ranks(edges, restart=alerts.select(F.col("service").alias("id"))).select("id", F.round("score", 6).alias("score"))
 
 
 @query
 def g6_fact_pagerank(spark, sf):
-    f = facts.trace_facts(Run(spark, sf).spans).withColumn("seq", F.xxhash64("source", "relationship", "target"))
-    return graph.pagerank(graph.cut(graph.fact_edges(f, facts.emit_weight(F.col("target")))), weight="w").select("id", F.round("score", 6).alias("score"))
+    f = facts.trace_facts(Run(spark, sf).written()).withColumn("seq", F.concat_ws("|", "source", "relationship", "target"))
+    return _ranks(graph.cut(graph.fact_edges(f, facts.emit_weight(F.col("target")))), weight="w").select("id", F.round("score", 6).alias("score"))
 
 
 @query
@@ -163,14 +184,17 @@ def g8_column_call_graph(spark, sf):
 
 @query
 def g9_graph_json(spark, sf):
-    r = Run(spark, sf)
-    return graph.graph_json(r.nodes, r.edges)
+    *_, edges, nodes = Run(spark, sf).small()
+    return graph.graph_json(nodes, edges)
 
 
 @query
 def g10_graph_summary(spark, sf):
-    _, _, _, edges, nodes = Run(spark, sf).small()
-    return graph.graph_summary(nodes, edges, graph.pagerank(edges)).drop("top")
+    r = Run(spark, sf)
+    *_, nodes = r.small()
+    edges = graph.cut(_ring(r))
+    ranks = _ranks(edges).withColumn("score", F.round("score", 9))
+    return graph.graph_summary(nodes, edges, ranks).withColumn("top", F.array_join("top", ","))
 
 
 # D: detection
@@ -210,8 +234,8 @@ def d9_forest_alerts(spark, sf):
 
 @query
 def d11_primary_service(spark, sf):
-    r = Run(spark, sf)
-    return detect.primary_service(r.alerts, r.stats)
+    stats, _, alerts, *_ = Run(spark, sf).small()
+    return detect.primary_service(alerts, stats)
 
 
 @query
@@ -233,8 +257,8 @@ def d16_confirm_anomaly(spark, sf):
 
 @query
 def d17_alert_context(spark, sf):
-    r = Run(spark, sf)
-    return detect.alert_context(r.edges, r.alerts)
+    _, _, alerts, edges, _ = Run(spark, sf).small()
+    return detect.alert_context(edges, alerts)
 
 
 # R, C: root cause
@@ -262,8 +286,8 @@ def r4_score_candidates(spark, sf):
 
 @query
 def r7_silent_bottlenecks(spark, sf):
-    r = Run(spark, sf)
-    return rca.silent_bottlenecks(r.edges, r.nodes)
+    *_, edges, nodes = Run(spark, sf).small()
+    return rca.silent_bottlenecks(edges, nodes)
 
 
 @query
@@ -293,8 +317,9 @@ def r11_fault_tree(spark, sf):
 @query
 def r15_pick_start(spark, sf):
     r = Run(spark, sf)
-    errors = graph.cut(graph.error_services(r.spans))
-    return rca.pick_start(graph.pagerank(graph.cut(r.edges), restart=errors.select(F.col("service").alias("id"))), errors)
+    errors = graph.cut(graph.error_services(r.written()))
+    ranks = _ranks(graph.cut(r.edges), restart=errors.select(F.col("service").alias("id")))
+    return rca.pick_start(ranks.withColumn("score", F.round("score", 9)), errors)
 
 
 @query
@@ -331,8 +356,8 @@ def c4_fuse_rank(spark, sf):
 
 @query
 def n5_infra_edges(spark, sf):
-    r = Run(spark, sf)
-    return infra.infra_edges(r.nodes, views.pods(spark, sf), views.machines(spark, sf), r.alerts)
+    _, _, alerts, _, nodes = Run(spark, sf).small()
+    return infra.infra_edges(nodes, views.pods(spark, sf), views.machines(spark, sf), alerts)
 
 
 @query
@@ -370,8 +395,7 @@ def t11_metric_facts(spark, sf):
 
 @query
 def t12_log_facts(spark, sf):
-    f = facts.log_facts(views.log_lines(spark, sf))
-    return f.filter("target IN ('LOG_ERROR', 'TIMEOUT')")
+    return facts.log_facts(views.fault_lines(spark, sf))
 
 
 @query
@@ -380,35 +404,41 @@ def t18_decide_incident(spark, sf):
     return facts.decide_incident(f)
 
 
-def _all_facts(spark, sf):
-    f = facts.trace_facts(Run(spark, sf).spans).unionByName(facts.pod_facts(views.pods(spark, sf))).unionByName(facts.metric_facts(views.metrics(spark, sf))).unionByName(facts.log_facts(views.log_lines(spark, sf)))
-    return graph.cut(facts.merge_facts(f, "analysis").withColumn("seq", F.xxhash64("source", "relationship", "target")))
+def _all_facts(spark, sf, metrics=True):
+    f = facts.trace_facts(Run(spark, sf).written()).unionByName(facts.pod_facts(views.pods(spark, sf))).unionByName(facts.log_facts(views.fault_lines(spark, sf)))
+    if metrics:
+        f = f.unionByName(facts.metric_facts(views.metrics(spark, sf)))
+    return graph.cut(facts.merge_facts(f, "analysis").withColumn("seq", F.concat_ws("|", "source", "relationship", "target")))
 
 
 @query
 def t17_merge_facts(spark, sf):
-    return _all_facts(spark, sf).drop("seq")
+    return _all_facts(spark, sf).drop("seq", "citation_quote")
 
 
 @query
 def t19_fact_rows(spark, sf):
-    return facts.fact_rows(_all_facts(spark, sf), "s1").drop("extracted_at")
+    return facts.fact_rows(_all_facts(spark, sf), "s1").drop("extracted_at", "citation_quote")
 
 
 @query
 def t22_neighbourhood(spark, sf):
-    rows = graph.cut(facts.fact_rows(_all_facts(spark, sf), "s1"))
+    rows = graph.cut(facts.fact_rows(_all_facts(spark, sf, False), "s1"))
     return facts.fact_lines(facts.neighbourhood(rows, "svc-5", 1))
 
 
+def _suspects(spark, sf):
+    return graph.cut(facts.rank_suspects(_all_facts(spark, sf), tol=0.0, max_iter=ROUNDS))
+
+
 @query
 def s1_rank_suspects(spark, sf):
-    return facts.rank_suspects(_all_facts(spark, sf)).withColumn("pagerank", F.round("pagerank", 6))
+    return _suspects(spark, sf).withColumns({"score": F.round("score", 6), "pagerank": F.round("pagerank", 6)})
 
 
 @query
 def s7_rank_facts(spark, sf):
-    return facts.rank_facts(facts.rank_suspects(_all_facts(spark, sf)))
+    return facts.rank_facts(_suspects(spark, sf)).drop("citation_quote")
 
 
 # L: logs
@@ -427,12 +457,12 @@ def l3_top_patterns(spark, sf):
 
 @query
 def l4_fault_type(spark, sf):
-    return logs.fault_type(views.log_lines(spark, sf))
+    return logs.fault_type(views.fault_lines(spark, sf))
 
 
 @query
 def l5_clusters(spark, sf):
-    return logs.clusters(views.log_lines(spark, sf))
+    return logs.clusters(views.fault_lines(spark, sf)).withColumn("services", F.array_join("services", ","))
 
 
 @query
@@ -503,8 +533,7 @@ def a4_health(spark, sf):
 
 @query
 def a6_revert_commands(spark, sf):
-    plan = mitigate.mitigation_plan(Run(spark, sf).ranked()[0])
-    return mitigate.undo_order(mitigate.revert_commands(plan.withColumn("seq", F.col("sequence"))))
+    return mitigate.revert_commands(views.action_log(spark, sf))
 
 
 @query
@@ -513,8 +542,12 @@ def e1_incident_report(spark, sf):
     cands, stats, _, alerts, edges, nodes = r.ranked()
     summary = nodes.agg(F.count("*").alias("node_count")).crossJoin(edges.agg(F.count("*").alias("edge_count")))  # one row each
     found = logs.clusters(logs.error_lines(r.spans, cands.filter("rank <= 5")))
-    cases = memory.incident_rows(_incidents(spark, sf)).join(cands.filter("rank = 1").select(F.col("service").alias("root_cause")), "root_cause", "left_semi")
-    return report.incident_report("INC-1", alerts, cands, found, mitigate.mitigation_plan(cands), summary, cases, detect.primary_service(alerts, stats))
+    cases = memory.incident_rows(_incidents(spark, sf)).withColumn("root_cause", F.concat("root_cause", F.lit("-1"))).join(cands.filter("rank = 1").select(F.col("service").alias("root_cause")), "root_cause", "left_semi")
+    one = report.incident_report("INC-1", alerts, cands, found, mitigate.mitigation_plan(cands), summary, cases, detect.primary_service(alerts, stats))
+    line = lambda col, f: F.array_join(F.transform(col, f), ",")
+    causes = line("rca.top_3_causes", lambda x: F.concat(x["service"], F.lit("="), x["confidence"].cast("string")))
+    actions = line("mitigation.actions", lambda x: F.concat_ws(":", x["sequence"].cast("string"), x["action"], x["service"]))
+    return one.select("incident_id", "summary.*", "graph.*", causes.alias("causes"), line("log_analysis.clusters", lambda x: x["pattern"]).alias("patterns"), "mitigation.action_count", actions.alias("actions"), "memory.similar_cases")
 
 
 @query
@@ -530,4 +563,3 @@ def e6_run_rollup(spark, sf):
     return report.run_rollup(runs)
 
 
-ORACLE_SQL = {k: v for k, v in oracles.build().items() if k in QUERIES}

@@ -81,13 +81,13 @@ def _mixed(lines: DataFrame) -> DataFrame:
 
 
 def read_spans(spark: SparkSession, path: str, fmt: str = "auto") -> DataFrame:
-    """SPAN of the CSV or JSON files of a folder. fmt: standard, mixed, json, or auto (CSV files, each by its own look).
+    """SPAN of the CSV or JSON files of a folder. fmt: standard, mixed, json, jsonl, or auto (CSV files, each by its own look).
 
     Files of a folder may have different headers: each header's files are read together. JSON: an array, or an object
-    with `data` or `traces`.
+    with `data` or `traces`; one in each file (json), or in each line (jsonl: files that Spark can split).
     """
-    if fmt == "json":
-        raw = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
+    if fmt in ("json", "jsonl"):
+        raw = spark.read.option("multiLine", fmt == "json").option("primitivesAsString", True).json(path)
         for key in ("data", "traces"):
             if key in raw.columns:
                 raw = raw.select(F.explode(key).alias("x")).select("x.*")

@@ -1,34 +1,81 @@
-"""Sinks: tables of graphs, traces, candidates, facts and incidents as Parquet. Writing twice is writing once."""
+"""Sinks: tables of graphs, traces, candidates, facts and incidents as Parquet. Writing twice is writing once.
+
+A table is a folder of parts, one for each write, and a log: the entry of the highest number lists the parts that make
+the table. A write adds a part of its own rows and then an entry; so a lost driver or executor leaves the table as it was
+or as it should be, and what a write costs hangs on its rows. After MERGE parts they are merged into one.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Parts of a table before they are merged.
+MERGE = 16
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
-def upsert(new: DataFrame, path: str, keys: list[str], order: str, partition: str | None = None) -> DataFrame:
-    """The table at path with new's rows put in: of the rows of a key the one of latest `order`, of equal ones the new one.
 
-    The result is written beside the old table and then takes its place, so that a lost executor leaves either whole.
-    """
+def _entry(spark: SparkSession, path: str) -> tuple[int, list[str]]:
+    """Number and parts of the last entry of the log; 0 and none without a table."""
+    log, fs = _fs(spark, f"{path}/_log")
+    if not fs.exists(log):
+        return 0, []
+    last = max((f.getPath().getName() for f in fs.listStatus(log) if not f.getPath().getName().startswith(".")), default=None)
+    if last is None:
+        return 0, []
+    return int(last), [r.value for r in spark.read.text(f"{path}/_log/{last}").collect()]  # at most MERGE names
+
+
+def _commit(spark: SparkSession, path: str, number: int, parts: list[str]) -> None:
+    """The entry appears whole or not at all; two writers of one number can't both succeed."""
+    tmp, fs = _fs(spark, f"{path}/.{uuid.uuid4().hex}")
+    out = fs.create(tmp)
+    out.write(bytearray("\n".join(parts).encode()))
+    out.close()
+    log, _ = _fs(spark, f"{path}/_log")
+    fs.mkdirs(log)
+    entry, _ = _fs(spark, f"{path}/_log/{number:08d}")
+    if fs.exists(entry) or not fs.rename(tmp, entry):
+        fs.delete(tmp, False)
+        raise RuntimeError(f"{path} was changed by another writer")
+
+
+def read_table(spark: SparkSession, path: str, keys: list[str], order: str) -> DataFrame:
+    """The table at path: of the rows of a key the one of latest `order`, of equal ones that of the later write."""
+    _, parts = _entry(spark, path)
+    if not parts:
+        raise ValueError(f"no table at {path}")
+    return _latest(spark, path, parts, keys, order)
+
+
+def _latest(spark: SparkSession, path: str, parts: list[str], keys: list[str], order: str) -> DataFrame:
+    rows = None
+    for k, part in enumerate(parts):
+        p = spark.read.parquet(f"{path}/{part}").withColumn("__write", F.lit(k))
+        rows = p if rows is None else rows.unionByName(p, allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy(F.desc(order), F.desc("__write"))
+    return rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n", "__write")
+
+
+def upsert(new: DataFrame, path: str, keys: list[str], order: str, partition: str | None = None) -> DataFrame:
+    """The table at path with new's rows put in (see read_table). new: one row at most counts for a key, that of the latest `order`."""
     spark = new.sparkSession
-    both = new.withColumn("__new", F.lit(1))
-    if _exists(spark, path):
-        both = both.unionByName(spark.read.parquet(path).withColumn("__new", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(F.desc(order), F.desc("__new"))
-    out = both.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n", "__new")
-    writer = out.write.mode("overwrite")
-    (writer.partitionBy(partition) if partition else writer).parquet(f"{path}.next")
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    old, nxt = spark._jvm.org.apache.hadoop.fs.Path(path), spark._jvm.org.apache.hadoop.fs.Path(f"{path}.next")
-    fs.delete(old, True)
-    fs.rename(nxt, old)
-    return spark.read.parquet(path)
+    number, parts = _entry(spark, path)
+    for _ in range(2):
+        part = f"part-{number + 1:08d}-{uuid.uuid4().hex}"
+        (new.write.partitionBy(partition) if partition else new.write).parquet(f"{path}/{part}")
+        merged = len(parts) >= MERGE
+        if not merged:
+            break
+        new, parts = _latest(spark, path, [*parts, part], keys, order), []
+    _commit(spark, path, number + 1, [*parts, part])
+    return read_table(spark, path, keys, order)
 
 
 def upsert_graph(nodes: DataFrame, edges: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
