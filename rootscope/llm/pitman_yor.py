@@ -33,7 +33,7 @@ from .common import bucketed, cut, drop, free, shared_dir
 from .tokens import _R, END, chunks, mix, words
 
 #: Tokens of a chunk, unless one text has more; words of a part and tokens of a block, on average (they set how many there are).
-CHUNK, PART, BLOCK = 3 << 19, 1 << 17, 1 << 21
+CHUNK, PART, BLOCK = 1 << 20, 1 << 17, 3 << 19
 #: Customers of a dish up to which tables are drawn from the whole distribution; Metropolis steps of larger ones in a sweep; sweeps in all and dropped ones.
 ROW, STEPS, SWEEPS, BURN_IN = 256, 3, 4, 2
 THETA = 1.0
@@ -100,7 +100,11 @@ class Group:
 
 def met(rows: DataFrame, f: Callable[[Group], list[tuple]], receivers: int) -> DataFrame:
     """What f makes of the rows of each receiver."""
-    return rows.repartition(receivers, "at").groupBy("at").applyInArrow(lambda t: batch_of(f(Group(t))), PACKED)
+    def run(table: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()  # what the group before needed
+        return batch_of(f(Group(table)))
+
+    return rows.repartition(receivers, "at").groupBy("at").applyInArrow(run, PACKED)
 
 
 class Kept:
@@ -287,8 +291,12 @@ def find(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def _chunk_pairs(ids: np.ndarray, toks: np.ndarray, end: int, n_blocks: int) -> tuple[np.ndarray, ...]:
     """Of a chunk's neighbouring tokens: the pair of each token, u and w of each pair of known words, its block, and the pairs in order of blocks."""
+    order = np.argsort(ids, kind="stable")
+    place_of = np.empty(len(ids), np.int64)
+    place_of[order] = np.arange(len(ids))
+    ids, toks = ids[order], place_of[toks]  # so that pairs come in order of u, then w
     context = np.empty_like(toks)
-    context[:1], context[1:] = end, toks[:-1]
+    context[:1], context[1:] = place_of[end], toks[:-1]
     pairs, place = np.unique(context * len(ids) + toks, return_inverse=True)
     u, w = ids[pairs // max(1, len(ids))], ids[pairs % max(1, len(ids))]
     block = (mix(u.astype(np.uint64) * _R + w.astype(np.uint64)) % np.uint64(n_blocks)).astype(np.int64)
@@ -323,7 +331,7 @@ def _pairs(table: DataFrame, ids: DataFrame, n_blocks: int) -> DataFrame:
                 for b, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
                     if hi > lo:
                         at = order[lo:hi]
-                        yield from batch_of([row("pair", b, x["chunk"], u[at], w[at], count[at])]).to_batches()
+                        yield from batch_of([row("pair", b, x["chunk"], np.diff(u[at], prepend=0), w[at], count[at])]).to_batches()
 
     return _with_replies(table.select("chunk", "held", "lens", "spot", "toks"), ids).mapInArrow(run, PACKED)
 
@@ -341,7 +349,7 @@ def _block(n_parts: int) -> Callable[[Group], list[tuple]]:
     link: of each part and role (sender: 2 * block + role; 0 context, 1 dish), words with their tables of pairs seen once, and words of cells."""
 
     def f(g: Group) -> list[tuple]:
-        got = [[unpack(r[k]) for k in "abc"] for r in g.of("pair")]
+        got = [[np.cumsum(unpack(r["a"])), unpack(r["b"]), unpack(r["c"])] for r in g.of("pair")]
         u, w, c = (np.concatenate([x[k] for x in got]) for k in range(3))
         u, w, c = u[c > 0], w[c > 0], c[c > 0]
         us, iu = np.unique(u, return_inverse=True)
@@ -434,24 +442,27 @@ def _lookup(d: float, turns: int) -> Callable[[Group], list[tuple]]:
         keys = find(us, u) * max(1, len(ws)) + find(ws, w)
         out = []
         for r in g.of("pair"):
-            iu, iw = find(us, unpack(r["a"])), find(ws, unpack(r["b"]))
+            iu, iw = find(us, np.cumsum(unpack(r["a"]))), find(ws, unpack(r["b"]))
             out.append(row("weight", r["sender"], g.at, weight[np.where((iu < 0) | (iw < 0), -1, find(keys, iu * max(1, len(ws)) + iw))]))
         return out
 
     return f
 
 
-def _told(g: Group) -> list[tuple]:
-    """part, state and ask rows -> word: count, and for each kept turn tu, cw and tw of each word asked for (0 for unknown ones)."""
-    p, states = g.one("part"), [[unpack(r[k]) for k in "abc"] for r in g.of("state")]
-    keys, rank, n = unpack(p["a"]).astype(np.uint64), unpack(p["b"]), unpack(p["c"])
-    out = []
-    for r in g.of("ask"):
-        i = find(keys, unpack(r["a"]).astype(np.uint64))
-        at = np.where(i >= 0, rank[i], -1) if len(keys) else i
-        tell = lambda x: np.append(x, 0)[at]  # noqa: B023, E731
-        out.append(row("word", r["sender"], g.at, tell(n), *(np.concatenate([tell(s[k]) for s in states]) for k in range(3))))
-    return out
+def _told(n_parts: int) -> Callable[[Group], list[tuple]]:
+    """part, state and id rows -> word: count, and for each kept turn tu, cw and tw of each id of a chunk (0 for unknown words)."""
+
+    def f(g: Group) -> list[tuple]:
+        n, states = unpack(g.one("part")["c"]), [[unpack(r[k]) for k in "abc"] for r in g.of("state")]
+        out = []
+        for r in g.of("id"):
+            ids = unpack(r["a"])
+            at = np.where(ids < 0, -1, ids // n_parts)
+            tell = lambda x: np.append(x, 0)[at]  # noqa: B023, E731
+            out.append(row("word", r["sender"], g.at, tell(n), *(np.concatenate([tell(s[k]) for s in states]) for k in range(3))))
+        return out
+
+    return f
 
 
 class Model:
@@ -459,18 +470,22 @@ class Model:
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str):
         self.spark = docs.sparkSession
+        path = f"{shared_dir(self.spark)}/chunks-{uuid.uuid4().hex}"
+        whole = chunked(docs, id_col, text_col)
+        whole.write.parquet(path)
+        whole = self.spark.read.schema(whole.schema).parquet(path)
+        n, v = whole.agg(F.sum("n"), F.sum("v")).first()
         # bucketed by chunk: what is answered to chunks comes to them, and they stay where they are
-        self.table, self.name = bucketed(chunked(docs, id_col, text_col), "chunk", "pitman_yor")
-        table = self.table
-        n, v = table.agg(F.sum("n"), F.sum("v")).first()
+        self.table, self.name = bucketed(whole.drop("dictionary", "own", "n", "v"), "chunk", "pitman_yor")
         bits = max(0, int(np.ceil(np.log2(max(1, (v or 0) / PART)))))
         self.n_parts, self.n_blocks = 1 << bits, max(1, -(-(n or 0) // BLOCK))
-        self.ask = _asking(table, bits)
-        self.parts = Kept(met(self.ask, _number(bits), self.n_parts), "parts")
+        free(self.spark)
+        self.parts = Kept(met(_asking(whole, bits), _number(bits), self.n_parts), "parts")
+        drop(self.spark, path)
         own, v = self.parts.of("part").agg(F.sum("n1"), F.sum("n2")).first()
         self.n_train, self.v = int(own or 0), int(v or 0)
         self.b = 1 / (self.v + 1)
-        self.pairs = Kept(_pairs(table, self.parts.of("id"), self.n_blocks), "pairs")
+        self.pairs = Kept(_pairs(self.table, self.parts.of("id"), self.n_blocks), "pairs")
         free(self.spark)
         self.blocks = Kept(met(self.pairs.of("pair"), _block(self.n_parts), self.n_blocks), "blocks")
         free(self.spark)
@@ -527,7 +542,8 @@ class Model:
         for kept in (self.pairs, self.blocks, *self.seats):
             kept.drop()
         free(self.spark)
-        word = Kept(met(self.parts.of("part").unionByName(states).unionByName(self.ask), _told, self.n_parts), "words")
+        asked = self.parts.of("id").withColumns({"at": F.col("sender"), "sender": F.col("at")})
+        word = Kept(met(self.parts.of("part").unionByName(states).unionByName(asked), _told(self.n_parts), self.n_parts), "words")
         free(self.spark)
         rows = _with_replies(self.table.select("chunk", "ids", "held", "lens", "spot", "toks"), self.parts.of("id").unionByName(word.of("word")).unionByName(weight.of("weight")))
         id_type = self.table.schema["ids"].dataType.elementType.simpleString()
