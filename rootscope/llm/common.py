@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut, drop, shared_dir  # noqa: F401  for the operators
+
 #: White space of all contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 WS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,31 +17,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of input for a bucket.
 BUCKET = 256 << 20
 
-_unset: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir; where it is unset, a temporary one, in local mode only."""
-    conf = spark.sparkContext.getConf()
-    if given := spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir"):
-        return given
-    if not conf.get("spark.master", "").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return _unset.setdefault("dir", tempfile.mkdtemp(prefix="spark-"))
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: computed once, and still there if executors are lost."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    """Frees a folder that cut wrote, once what was made of it has been written."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
-
 
 def free(spark: SparkSession) -> None:
     """Lets go of the shuffle files of jobs that nothing refers to any more; Spark removes them when the driver collects garbage (twice: the last job's plan is still held at first)."""

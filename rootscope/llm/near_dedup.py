@@ -243,6 +243,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that are kept; columns stay as they are."""
+    """The rows of docs that are kept; columns stay as they are.
+
+    A row goes if its component has a smaller doc_id, so rows that repeat the kept doc_id all stay, as do rows without a
+    doc_id and texts that are null or without words.
+    """
     gone = near_duplicates(docs, id_col, text_col, size, percent).filter("NOT kept").select(F.col("doc_id").alias("__n_id"))
     return docs.join(gone, docs[id_col] == gone["__n_id"], "left_anti")

@@ -115,17 +115,29 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 
 def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
-    """docs with every span replaced: <secret> where it looks live, <example-secret> where it is widely copied. Rows and other columns stay."""
+    """docs with every span replaced: <secret> where it looks live, <example-secret> where it is widely copied. Rows and other columns stay.
+
+    Of spans that overlap the first one is replaced. A null text stays null; equal rows are masked alike.
+    """
     scanned = scan_secrets(docs, id_col, text_col, owner_col).filter(F.size("all_spans") > 0).select(F.col("doc_id").alias("__s_id"), F.col("key").alias("__s_key"), F.col("all_spans").alias("__s_spans")).dropDuplicates(["__s_id", "__s_key"])
 
-    def step(acc: Column, s: Column) -> Column:
-        word = F.when(s["live"], F.lit("<secret>")).otherwise(F.lit("<example-secret>"))
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        put = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, word)).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), put.alias("out"))
+    def run(acc: Column, b: Column) -> Column:
+        """RUN spans more: `rest` is the text from `at` on, so that neither text nor output is copied for each span."""
+        part = F.slice("__s_spans", b * RUN + 1, F.lit(RUN))
+
+        def step(own: Column, s: Column) -> Column:
+            word = F.when(s["live"], F.lit("<secret>")).otherwise(F.lit("<example-secret>"))
+            gap = F.substring(acc["rest"], own["at"] - acc["at"] + 1, s["start"] - own["at"])
+            put = F.when(s["start"] >= own["at"], F.concat(own["out"], gap, word)).otherwise(own["out"])
+            return F.struct(F.greatest(own["at"], s["end"]).alias("at"), put.alias("out"))
+
+        end = F.greatest(acc["at"], F.array_max(F.transform(part, lambda s: s["end"])))
+        masked = F.aggregate(part, F.struct(acc["at"].alias("at"), F.lit("").alias("out")), step, lambda own: own["out"])
+        return F.struct(end.alias("at"), F.substring(acc["rest"], end - acc["at"] + 1, F.length(acc["rest"])).alias("rest"), F.array_append(acc["out"], masked).alias("out"))
 
     text = F.col(f"`{text_col}`")
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate("__s_spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    runs = F.sequence(F.lit(0), F.floor((F.size("__s_spans") - 1) / RUN).cast("int"))
+    begin = F.struct(F.lit(0).alias("at"), text.alias("rest"), F.array().cast("array<string>").alias("out"))
+    masked = F.aggregate(runs, begin, run, lambda acc: F.concat(F.array_join(acc["out"], ""), acc["rest"]))
     both = docs.join(scanned, docs[id_col].eqNullSafe(scanned["__s_id"]) & (text_key(text) == scanned["__s_key"]), "left")
     return both.withColumn(text_col, F.when(F.col("__s_spans").isNull(), text).otherwise(masked)).select(*(F.col(f"`{c}`") for c in docs.columns))

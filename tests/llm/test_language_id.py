@@ -34,6 +34,30 @@ def test_nothing_learned(spark):
     assert L.identify(df.limit(0), L.train(df.limit(0))).count() == 0
 
 
+def test_decoding_takes_the_nearest_codeword():
+    """Each text and language one by one: log-odds of its n-grams for each bit, logistic loss against the codeword, weighted."""
+    import math
+    from collections import Counter
+
+    import numpy as np
+    import pandas as pd
+
+    texts = [(t, lang) for _, t, lang, *_ in rows()[:200]]
+    raw = lambda t: np.frombuffer(t.encode(), np.uint8)
+    counts = Counter((lang, int(g)) for t, lang in texts[:120] for g in L.grams(raw(t)))
+    model = L.Model(pd.DataFrame([(lang, g, n) for (lang, g), n in counts.items()], columns=["lang", "bucket", "n"]))
+    asked = [t for t, _ in texts[120:]] + ["", "zzz", "der und the of"]
+    best, score = model.predict([raw(t) for t in asked])
+    for t, b, s in zip(asked, best, score, strict=True):
+        g = L.grams(raw(t))
+        loss = []
+        for code in model.code:
+            margins = [sum(model.odds[x, bit] for x in g) / max(1, len(g)) for bit in range(len(code))]
+            loss.append(sum(w * math.log1p(math.exp(-4 * m * c)) for m, c, w in zip(margins, code, model.weight, strict=True)))
+        near = [math.exp(-math.sqrt(max(1, len(g))) * (x - min(loss))) for x in loss]
+        assert loss[b] <= min(loss) + 1e-12 and abs(s - near[b] / sum(near)) < 1e-9
+
+
 def test_codewords():
     for n in (2, 3, 4, 9, 20):
         code = L.codewords(n)

@@ -64,4 +64,6 @@ def test_very_many_hits(spark):
     """Places in a text of more hits than one run sums up."""
     text = "é" + "".join(f"token=abcdef{k} \n" for k in range(3 * S.RUN + 1))
     got = S.digest(S.scan_secrets(frame(spark, [(1, text, "a")]))).collect()[0]
+    masked = S.mask_secrets(frame(spark, [(1, text, "a")])).first().text
+    assert masked == "é" + "<secret> \n" * (3 * S.RUN + 1)
     assert got.n_assign == 3 * S.RUN + 1 and got.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, _, e, k in base(text)).encode()).hexdigest()
