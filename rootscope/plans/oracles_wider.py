@@ -180,7 +180,7 @@ SELECT a.service, b.score AS before, a.score AS after, a.score > b.score + 0.05
     "a7_undo_order": "SELECT row_number() OVER (ORDER BY seq DESC) AS step, seq, revert_cmd FROM undos WHERE seq % 5 <> 0",
     "a8_screen_commands": r"SELECT seq, CASE seq % 12 WHEN 8 THEN 'destructive — not permitted' WHEN 9 THEN 'forbidden pattern rm\s+-rf' WHEN 10 THEN 'follow mode — not permitted' WHEN 11 THEN 'no action specified' END AS blocked FROM acts",
     "a9_render_actions": f"SELECT action, t AS target, {_TPL} AS command FROM (SELECT action, service AS t FROM acts ORDER BY category <> 'remediation', priority, seq LIMIT 1)",
-    "a10_error_columns": "SELECT column, mean FROM (SELECT unnest(['error_rate', 'http_5xx', 'Errors']) AS column, unnest([round(avg(l_tax), 6), round(avg(l_discount / 100), 6), round(avg(l_discount), 6)]) AS mean, unnest([avg(l_tax), avg(l_discount / 100), avg(l_discount)]) AS m FROM lineitem) WHERE m > 0.01",
+    "a10_error_columns": "SELECT \"column\", mean FROM (SELECT unnest(['error_rate', 'http_5xx', 'Errors']) AS column, unnest([round(avg(l_tax), 6), round(avg(l_discount / 100), 6), round(avg(l_discount), 6)]) AS mean, unnest([avg(l_tax), avg(l_discount / 100), avg(l_discount)]) AS m FROM lineitem) WHERE m > 0.01",
     "a11_cross_check": "SELECT (SELECT count(*) FROM alerts) AS alerts, (SELECT count(*) FROM pod WHERE status = 'CrashLoopBackOff') AS unhealthy, ((SELECT count(*) FROM alerts) > 0) = ((SELECT count(*) FROM pod WHERE status = 'CrashLoopBackOff') > 0) AS agrees",
     "e1_incident_report": """, lg AS (SELECT service_name AS service, printf('[%s] op=%s response=%s duration=%.0fms trace=%s', service_name, operation_name, response, duration_ms, left(trace_id, 8)) AS line FROM (SELECT * FROM spans WHERE has_error AND service_name IN (SELECT service FROM ranked WHERE rank <= 5) ORDER BY ingest_seq LIMIT 60)),
 pt AS (SELECT trim(regexp_replace(line, '(?i)\\b[0-9a-f]{8,}\\b', '<id>', 'g')) AS pattern FROM lg)
