@@ -99,12 +99,12 @@ def i9_orphan_spans(spark, sf):
 
 @query
 def i10_service_stats(spark, sf):
-    return Run(spark, sf).stats
+    return spans.service_stats(Run(spark, sf).written())
 
 
 @query
 def i10_service_stats_by_month(spark, sf):
-    s = Run(spark, sf).spans.withColumn("month", F.date_format(F.timestamp_micros("start_time"), "yyyy-MM"))
+    s = Run(spark, sf).written().withColumn("month", F.date_format(F.timestamp_micros("start_time"), "yyyy-MM"))
     return spans.service_stats(s, by=["month"]).select("month", "service", "span_count", "error_count", "duration_p95_ms")
 
 
@@ -133,7 +133,7 @@ def g1_call_edges(spark, sf):
 
 @query
 def g2_service_nodes(spark, sf):
-    return Run(spark, sf).nodes
+    return Run(spark, sf).small()[4]
 
 
 #: Rounds of the PageRank queries: as many in their SQL.
@@ -217,13 +217,15 @@ def d3_current_latency(spark, sf):
 
 @query
 def d7_detect_anomalies(spark, sf):
-    return Run(spark, sf).alerts.withColumn("current_value", F.round("current_value", 4))
+    r = Run(spark, sf)
+    r.written()
+    return r.alerts.withColumn("current_value", F.round("current_value", 4))
 
 
 @query
 def d8_forest_features(spark, sf):
-    r = Run(spark, sf)
-    return detect.forest_features(r.stats, r.base)
+    stats, base, *_ = Run(spark, sf).small()
+    return detect.forest_features(stats, base)
 
 
 @query
@@ -240,7 +242,7 @@ def d11_primary_service(spark, sf):
 
 @query
 def d12_apply_labels(spark, sf):
-    a = Run(spark, sf).alerts
+    a = Run(spark, sf).small()[2]
     labels = a.select("service", F.when(F.col("service").endswith("-1"), "SYMPTOM").otherwise("ROOT_CAUSE").alias("label"))
     return detect.apply_labels(a, labels).select("service", "label", "score")
 
@@ -252,7 +254,7 @@ def d13_column_means(spark, sf):
 
 @query
 def d16_confirm_anomaly(spark, sf):
-    return detect.confirm_anomaly(Run(spark, sf).alerts)
+    return detect.confirm_anomaly(Run(spark, sf).small()[2])
 
 
 @query
@@ -276,7 +278,7 @@ def r2_candidates(spark, sf):
 
 @query
 def r3_adaptive_weights(spark, sf):
-    return rca.adaptive_weights(Run(spark, sf).alerts)
+    return rca.adaptive_weights(Run(spark, sf).small()[2])
 
 
 @query
@@ -325,7 +327,8 @@ def r15_pick_start(spark, sf):
 @query
 def c1_temporal_order(spark, sf):
     r = Run(spark, sf)
-    return causal.temporal_order(r.spans, r.alerts)
+    alerts = r.small()[2]
+    return causal.temporal_order(r.spans, alerts)
 
 
 def _strength(spark, sf, more=False):
@@ -362,7 +365,7 @@ def n5_infra_edges(spark, sf):
 
 @query
 def n8_noisy_neighbors(spark, sf):
-    return infra.noisy_neighbors(views.pods(spark, sf), Run(spark, sf).alerts).select("pod_a", "pod_b", "shared_node", "alerted_service")
+    return infra.noisy_neighbors(views.pods(spark, sf), Run(spark, sf).small()[2]).select("pod_a", "pod_b", "shared_node", "alerted_service")
 
 
 # T, S: facts and suspects
@@ -370,7 +373,7 @@ def n8_noisy_neighbors(spark, sf):
 
 @query
 def t3_trace_facts(spark, sf):
-    return facts.trace_facts(Run(spark, sf).spans)
+    return facts.trace_facts(Run(spark, sf).written())
 
 
 @query
@@ -400,7 +403,7 @@ def t12_log_facts(spark, sf):
 
 @query
 def t18_decide_incident(spark, sf):
-    f = facts.trace_facts(Run(spark, sf).spans).unionByName(facts.metric_facts(views.metrics(spark, sf)))
+    f = facts.trace_facts(Run(spark, sf).written()).unionByName(facts.metric_facts(views.metrics(spark, sf)))
     return facts.decide_incident(f)
 
 
@@ -482,7 +485,7 @@ def l9_clip_middle(spark, sf):
 @query
 def m1_signature(spark, sf):
     s, a = F.col("service"), F.col("anomaly_type")
-    return Run(spark, sf).alerts.select("service", memory.signature(s, a).alias("signature"), memory.signature(s, a, s).alias("signature_full"))
+    return Run(spark, sf).small()[2].select("service", memory.signature(s, a).alias("signature"), memory.signature(s, a, s).alias("signature_full"))
 
 
 def _incidents(spark, sf):
@@ -524,10 +527,10 @@ def a1_mitigation_plan(spark, sf):
 
 @query
 def a4_health(spark, sf):
-    r = Run(spark, sf)
-    a = r.alerts.groupBy("service").agg(F.count("*").alias("alerts"))
+    stats, _, alerts, *_ = Run(spark, sf).small()
+    a = alerts.groupBy("service").agg(F.count("*").alias("alerts"))
     p = views.pods(spark, sf).filter("status <> 'Running'").groupBy(F.col("service_name").alias("service")).agg(F.count("*").alias("unhealthy"))
-    counts = r.stats.select("service", F.col("error_count").alias("violations")).join(a, "service", "left").join(p, "service", "left").fillna(0)
+    counts = stats.select("service", F.col("error_count").alias("violations")).join(a, "service", "left").join(p, "service", "left").fillna(0)
     return mitigate.health(counts).select("service", "alerts", "violations", "unhealthy", "score")
 
 
