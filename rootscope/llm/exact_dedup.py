@@ -7,7 +7,7 @@ read. No digest that is left has more than about 1/counters of the rows, so thos
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WS, cut, whole
@@ -41,8 +41,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = cut(docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(norm, 256)).alias("digest")), "digests")
     winners = cut(frequent_digests(keyed, counters), "winners")
     hot = keyed.join(F.broadcast(winners), "digest").select("doc_id", "keep_id", "group_size", "digest")
-    w = Window.partitionBy("digest")
     rest = keyed.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
-    cold = rest.select("doc_id", F.min("doc_id").over(w).alias("keep_id"), F.count("*").over(w).alias("group_size"), "digest")
+    # groups are summed up where they are read, and only those of several rows come back to their rows
+    groups = rest.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
+    cold = rest.join(groups, "digest", "left").select("doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), "digest")
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return hot.unionByName(cold).select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
