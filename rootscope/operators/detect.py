@@ -140,7 +140,7 @@ def alert_ranks(alerts: DataFrame, ranks: DataFrame) -> DataFrame:
 
 def kernel_signals(metrics: DataFrame, suspects: DataFrame | None = None, latency_ms: float = 50.0, errors: int = 10) -> DataFrame:
     """service, type, severity, evidence of kernel metrics (service, socket_latency_ms struct, syscall_errors map, tcp_retransmits, fd_exhaustion, open_file_descriptors)."""
-    m = metrics.join(F.broadcast(suspects.select("service").distinct()), "service", "left_semi") if suspects is not None else metrics
+    m = metrics.join(suspects.select("service").distinct(), "service", "left_semi") if suspects is not None else metrics
     p99, total, again = F.coalesce(F.col("socket_latency_ms.p99").cast("double"), F.lit(0.0)), F.coalesce(F.element_at("syscall_errors", "total"), F.lit(0)), F.coalesce("tcp_retransmits", F.lit(0))
     kinds = F.map_entries(F.map_filter("syscall_errors", lambda k, v: k != "total"))
     worst = F.array_max(F.transform(kinds, lambda e: F.struct(e["value"].alias("n"), e["key"].alias("k"))))

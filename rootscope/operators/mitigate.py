@@ -141,11 +141,13 @@ def screen(cmd: Column) -> Column:
     return F.when(cmd.isNull() | (cmd == ""), F.lit("no action specified")).otherwise(out)
 
 
-def screen_commands(actions: DataFrame, policy: DataFrame | None = None) -> DataFrame:
-    """Actions with `blocked`: the reason of the built-in lists, or of a policy table (no, pattern, regex, reason), the lowest no first."""
+def screen_commands(actions: DataFrame, policy: DataFrame | None = None, most: int = 10_000) -> DataFrame:
+    """Actions with `blocked`: the reason of the built-in lists, or of a policy table (no, pattern, regex, reason) of at most `most` rules, the lowest no first."""
     if policy is None:
         return actions.withColumn("blocked", screen(F.col("command")))
     p = policy.select("no", "pattern", "regex", "reason")
+    if p.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rules: they are sent to every task")
     hit = F.when(F.col("regex"), F.rlike("__cmd", "pattern")).otherwise(F.contains("__cmd", "pattern"))
     found = actions.select(F.col("command").alias("__cmd")).distinct().join(F.broadcast(p), hit).groupBy("__cmd").agg(F.min_by("reason", "no").alias("blocked"))  # a short list of rules
     return actions.join(found, F.col("command") == F.col("__cmd"), "left").drop("__cmd")
