@@ -1,4 +1,8 @@
-"""The corpus pipeline: documents through five operators, each stage written as Parquet and read again by the next."""
+"""The corpus pipeline: documents through five operators, each stage written as Parquet and read again by the next.
+
+All stages take empty tables, columns that clash with their own names, nulls in any column, and rows that repeat: equal rows fare
+alike. Rows without a doc_id stay whole in line and near dedup, since they have no place in the order.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +15,7 @@ from rootscope.llm.common import shared_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; the others (no text, no letters, ambiguous) go."""
+    """Documents whose language can be told; the others (null or empty text, no letters, ambiguous) go."""
     return language_id.keep_identified(docs)
 
 
@@ -26,12 +30,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with every secret replaced: owner-specific ones as <secret>, widely copied ones as <example-secret>."""
+    """Texts with every secret replaced: owner-specific ones as <secret>, widely copied ones as <example-secret>; all rows stay, null texts as null."""
     return secret_scan.mask_secrets(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The bin and place of every piece of every document."""
+    """The bin and place of every piece of every document; a null or empty text is one token, its end."""
     return packing.pack(docs)
 
 
