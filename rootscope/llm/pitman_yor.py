@@ -33,7 +33,7 @@ from .common import bucketed, cut, drop, free, shared_dir
 from .tokens import _R, END, chunks, mix, words
 
 #: Tokens of a chunk, unless one text has more; words of a part and tokens of a block, on average (they set how many there are).
-CHUNK, PART, BLOCK = 1 << 20, 1 << 17, 3 << 19
+CHUNK, PART, BLOCK = 1 << 20, 1 << 17, 1 << 20
 #: Customers of a dish up to which tables are drawn from the whole distribution; Metropolis steps of larger ones in a sweep; sweeps in all and dropped ones.
 ROW, STEPS, SWEEPS, BURN_IN = 256, 3, 4, 2
 THETA = 1.0
@@ -323,7 +323,7 @@ def _pairs(table: DataFrame, ids: DataFrame, n_blocks: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in batch.to_pylist():
+            for x in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 own, toks, end = _opened(x, sorted(x["got"], key=lambda r: r["sender"]))
                 place, u, w, block, order = _chunk_pairs(own, toks, end, n_blocks)
                 count = np.bincount(place[np.repeat(unpack(x["held"]) == 0, unpack(x["lens"]))], minlength=len(u))
