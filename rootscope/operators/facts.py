@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import INFRA_SERVICES, ROLE_PRIORS, canonical_service, filled, is_token, linear_relevance, log_relevance, ratio_relevance, service_role, usage_kind
+from ..functions.columns import INFRA_SERVICES, ROLE_PRIORS, canonical_service, is_token, linear_relevance, log_relevance, ratio_relevance, service_role, usage_kind
 from .graph import cut, fact_edges, pagerank
 from .order import numbered, percentiles
 

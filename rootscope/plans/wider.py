@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import pod_of, service_role
-from ..operators import detect, facts, forest, graph, infra, logs, memory, mitigate, rca, report
+from ..operators import detect, facts, forest, infra, logs, memory, mitigate, rca, report
 from ..sources import readers, tables
 from ..sources.shared import shared_dir
 from . import views
