@@ -180,7 +180,7 @@ def draw(c: np.ndarray, a: np.ndarray, d: float, logs: np.ndarray, rng: np.rando
     sizes, first = np.unique(c[order], return_index=True)
     for k, lo, hi in zip(sizes, first, np.append(first, len(c))[1:], strict=True):
         if 1 < k <= ROW:
-            for at in np.array_split(order[lo:hi], max(1, (hi - lo) * int(k) >> 21)):
+            for at in np.array_split(order[lo:hi], max(1, (hi - lo) * int(k) >> 19)):
                 t[at] = 1 + _pick(logs[k, :k] + np.log(a[at])[:, None] * np.arange(1, k + 1), rng)
     big = np.flatnonzero(c > ROW)
     if len(big):
