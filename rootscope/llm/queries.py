@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, line_dedup, near_dedup, packing, pitman_yor, secret_scan, suffix_dedup, topk_search
+from . import bpe, conversation_repair, exact_dedup, hard_negatives, language_id, line_dedup, near_dedup, packing, pitman_yor, quality, secret_scan, suffix_dedup, topk_search
 from .oracles import ORACLES
 
 
@@ -57,5 +58,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model, keep=[language_id.held_out().alias("held_out")])
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scans, op3_exact_dedup, op4_pitman_yor, op5_best_fit_packing, op6_bpe, op7_suffix_array_dedup, op8_topk_search, op9_minhash_near_dedup, op10_language_id)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = _table(spark, sf_dir, "conversations")
+    return conversation_repair.digest(conversation_repair.repair(conversation_repair.damaged(given)), given)
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", shifted.alias("label"), F.col("embedding").alias("vec"))
+    return hard_negatives.hard_negatives(rows, rows.filter("vec_id % 100 = 0"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scans, op3_exact_dedup, op4_pitman_yor, op5_best_fit_packing, op6_bpe, op7_suffix_array_dedup, op8_topk_search, op9_minhash_near_dedup, op10_language_id, op11_conversation_repair, op12_quality_classifier, op13_hard_negatives)}
 ORACLE_SQL = ORACLES
