@@ -1,19 +1,24 @@
-"""Time order and lagged correlation of services, and the fused rank."""
+"""Time order and lagged correlation of services, and the fused rank; with `by`, within each incident."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import cut
+from .incidents import beside, keys, packed, unpacked
 from .order import numbered
 
 
-def temporal_order(spans: DataFrame, alerts: DataFrame) -> DataFrame:
+def temporal_order(spans: DataFrame, alerts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """service, first_seen, idx: alerted services by their earliest span, idx from 0; ties by name."""
-    s = spans.select(F.col("service_name").alias("service"), "start_time").join(alerts.select("service").distinct(), "service", "left_semi")
-    first = s.groupBy("service").agg(F.min("start_time").alias("first_seen"))
-    return first.withColumn("idx", F.row_number().over(Window.orderBy("first_seen", "service")) - 1)
+    k = keys(by)
+    alerted = packed(alerts, by).select(*k, "service").distinct()
+    s = packed(spans.select(*by, F.col("service_name").alias("service"), "start_time"), by).join(alerted, [*k, "service"], "left_semi")
+    first = s.groupBy(*k, "service").agg(F.min("start_time").alias("first_seen"))
+    return unpacked(first.withColumn("idx", F.row_number().over(Window.partitionBy(*k).orderBy("first_seen", "service")) - 1), by)
 
 
 def _correlation(x, y):
@@ -21,42 +26,47 @@ def _correlation(x, y):
     return F.coalesce(F.try_divide(cov, F.when((a > 1e-9) & (b > 1e-9), a * b)), F.lit(0.0))
 
 
-def lagged_strength(spans: DataFrame, services: DataFrame, lag: int = 5, most: int = 1000) -> DataFrame:
+def lagged_strength(spans: DataFrame, services: DataFrame, lag: int = 5, most: int = 1000, by: Sequence[str] = ()) -> DataFrame:
     """a, b, strength for ordered pairs of the services: how much more a's durations lead b's than the reverse, 0 to 1.
 
     Series are in order of arrival (ingest_seq). Of two, the first n = least length count; under max(lag + 2, 5) or
     for constant series the strength is 0. Places are given by ranges, so that no task sorts a service; pairs meet on them:
-    an equi-join for each pair, n rows long. At most `most` services, since their pairs are listed.
+    an equi-join for each pair, n rows long. At most `most` services of an incident, since their pairs are listed.
     """
-    names = services.select("service").distinct()
-    if len(names.head(most + 1)) > most:
+    k = keys(by)
+    names = cut(packed(services, by).select(*k, "service").distinct(), "services")
+    if names.groupBy(*k).count().filter(F.col("count") > most).head(1):
         raise ValueError(f"more than {most} services")
-    s = spans.select(F.col("service_name").alias("service"), F.coalesce("duration_ms", F.lit(0.0)).alias("d"), "ingest_seq").join(F.broadcast(names), "service", "left_semi")
-    s = cut(numbered(s, ["service"], ["ingest_seq"]), "series")
-    a = s.select(F.col("service").alias("a"), F.col("d").alias("da"), "pos", F.col("n").alias("na"))
-    b = s.select(F.col("service").alias("b"), F.col("d").alias("db"), (F.col("pos") - lag).alias("pos"), F.col("n").alias("nb"))
+    s = packed(spans.select(*by, F.col("service_name").alias("service"), F.coalesce("duration_ms", F.lit(0.0)).alias("d"), "ingest_seq"), by).join(names, [*k, "service"], "left_semi")
+    s = cut(numbered(s, [*k, "service"], ["ingest_seq"]), "series")
+    a = s.select(*k, F.col("service").alias("a"), F.col("d").alias("da"), "pos", F.col("n").alias("na"))
+    b = s.select(*k, F.col("service").alias("b"), F.col("d").alias("db"), (F.col("pos") - lag).alias("pos"), F.col("n").alias("nb"))
     # row (a at pos, b at pos + lag), as far as both lie in the first n
-    both = a.join(b, "pos").filter((F.col("a") != F.col("b")) & (F.col("pos") + lag <= F.least("na", "nb")))
-    c = both.groupBy("a", "b").agg(_correlation(F.col("da"), F.col("db")).alias("c"), F.max(F.least("na", "nb")).alias("n"))
-    r = c.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("c").alias("r"))
-    pairs = names.select(F.col("service").alias("a")).crossJoin(names.select(F.col("service").alias("b"))).filter("a <> b")  # few named services
-    p = pairs.join(c, ["a", "b"], "left").join(r, ["a", "b"], "left")
+    both = a.join(b, [*k, "pos"]).filter((F.col("a") != F.col("b")) & (F.col("pos") + lag <= F.least("na", "nb")))
+    c = both.groupBy(*k, "a", "b").agg(_correlation(F.col("da"), F.col("db")).alias("c"), F.max(F.least("na", "nb")).alias("n"))
+    r = c.select(*k, F.col("a").alias("b"), F.col("b").alias("a"), F.col("c").alias("r"))
+    left, right = names.select(*k, F.col("service").alias("a")), names.select(*k, F.col("service").alias("b"))
+    pairs = (left.join(right, k) if by else left.crossJoin(right)).filter("a <> b")  # at most `most` services
+    p = pairs.join(c, [*k, "a", "b"], "left").join(r, [*k, "a", "b"], "left")
     lead = (F.col("c") - F.col("r")) / F.greatest(F.abs("c") + F.abs("r"), F.lit(1e-9))
     ok = (F.col("n") >= max(lag + 2, 5)) & (F.col("c") > F.col("r")) & (F.col("c") > 0)
-    return p.select("a", "b", F.round(F.when(ok, F.greatest(F.lit(0.0), F.least(F.lit(1.0), lead))).otherwise(F.lit(0.0)), 4).alias("strength"))
+    return unpacked(p.select(*k, "a", "b", F.round(F.when(ok, F.greatest(F.lit(0.0), F.least(F.lit(1.0), lead))).otherwise(F.lit(0.0)), 4).alias("strength")), by)
 
 
-def causal_totals(strengths: DataFrame) -> DataFrame:
+def causal_totals(strengths: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """service, score: strengths summed over the others, over the greatest sum."""
-    s = strengths.groupBy(F.col("a").alias("service")).agg(F.sum("strength").alias("sum"))
-    top = s.agg(F.max("sum").alias("top"))
-    return s.crossJoin(F.broadcast(top)).select("service", F.when(F.col("top") > 0, F.round(F.try_divide("sum", "top"), 4)).otherwise(F.lit(0.0)).alias("score"))  # one row
+    k = keys(by)
+    s = packed(strengths, by).groupBy(*k, F.col("a").alias("service")).agg(F.sum("strength").alias("sum"))
+    top = s.groupBy(*k).agg(F.max("sum").alias("top"))
+    return unpacked(beside(s, top, by).select(*k, "service", F.when(F.col("top") > 0, F.round(F.try_divide("sum", "top"), 4)).otherwise(F.lit(0.0)).alias("score")), by)
 
 
-def fuse_rank(cands: DataFrame, order: DataFrame, causal: DataFrame, w_conf: float = 0.5, w_time: float = 0.25, w_cause: float = 0.25) -> DataFrame:
+def fuse_rank(cands: DataFrame, order: DataFrame, causal: DataFrame, w_conf: float = 0.5, w_time: float = 0.25, w_cause: float = 0.25, by: Sequence[str] = ()) -> DataFrame:
     """Ranked candidates with `combined` of confidence, time order and causal score; ranked anew, ties by the old rank."""
-    n = order.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
-    c = cands.join(order.select("service", "idx"), "service", "left").join(causal.select("service", F.col("score").alias("cause")), "service", "left").crossJoin(F.broadcast(n))  # one row
+    k = keys(by)
+    cands, order, causal = (packed(x, by) for x in (cands, order, causal))
+    n = order.groupBy(*k).agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
+    c = cands.join(order.select(*k, "service", "idx"), [*k, "service"], "left").join(causal.select(*k, "service", F.col("score").alias("cause")), [*k, "service"], "left")
     early = F.when(F.col("idx").isNotNull(), 1 - F.col("idx") / F.col("n")).otherwise(F.lit(0.0))
-    c = c.withColumn("combined", F.round(w_conf * F.col("confidence") + w_time * early + w_cause * F.coalesce("cause", F.lit(0.0)), 6))
-    return c.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("combined"), "rank"))).drop("idx", "cause", "n")
+    c = beside(c, n, by).withColumn("combined", F.round(w_conf * F.col("confidence") + w_time * early + w_cause * F.coalesce("cause", F.lit(0.0)), 6))
+    return unpacked(c.withColumn("rank", F.row_number().over(Window.partitionBy(*k).orderBy(F.desc("combined"), "rank"))).drop("idx", "cause", "n"), by)

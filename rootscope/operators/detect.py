@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import filled, is_request
+from .incidents import beside, by_incident
 
 ALERT = ("service", "severity", "anomaly_type", "score", "z_score", "current_value", "baseline_mean", "baseline_std", "details")
 
@@ -26,6 +27,7 @@ def latency_series(spans: DataFrame, most: int, by: Sequence[str] = ()) -> DataF
     return s.withColumn("back", F.row_number().over(Window.partitionBy(*keys).orderBy(*newest))).filter(F.col("back") <= most).select(*keys, "d", "back")
 
 
+@by_incident
 def ewma_baseline(spans: DataFrame, alpha: float = 0.3, window: int = 100, by: Sequence[str] = ()) -> DataFrame:
     """service, metric, ewma_mean, ewma_std, sample_count, alpha. The variance takes the mean that the value itself has moved."""
     keys = [*by, "service"]
@@ -41,6 +43,7 @@ def ewma_baseline(spans: DataFrame, alpha: float = 0.3, window: int = 100, by: S
     return v.select(*keys, F.lit("duration_ms").alias("metric"), F.round("f.m", 3).alias("ewma_mean"), F.round(F.sqrt("f.v"), 3).alias("ewma_std"), F.size("x").cast("long").alias("sample_count"), F.lit(alpha).alias("alpha"))
 
 
+@by_incident
 def current_latency(spans: DataFrame, n: int = 10, by: Sequence[str] = ()) -> DataFrame:
     """service, current_value: mean of the newest n values of the same series."""
     return latency_series(spans, n, by).groupBy(*by, "service").agg(F.avg("d").alias("current_value"))
@@ -66,10 +69,11 @@ def _alerts(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.withColumn("severity", severity(F.col("score"))).withColumn("details", details).select(*by, *ALERT)
 
 
+@by_incident
 def detect_anomalies(spans: DataFrame, stats: DataFrame, baselines: DataFrame, z: float = 3.0, err: float = 0.05, n: int = 10, by: Sequence[str] = ()) -> DataFrame:
     """Alerts of services whose latency or error rate is out of bounds or whose score is over 0.3. Unknown responses alone never alert."""
     keys = [*by, "service"]
-    s = stats.select(*keys, "error_rate", "unknown_response_pct", "duration_mean_ms").join(baselines.select(*keys, F.col("ewma_mean").alias("baseline_mean"), F.col("ewma_std").alias("baseline_std")), keys).join(current_latency(spans, n, by), keys, "left")
+    s = stats.select(*keys, "error_rate", "unknown_response_pct", "duration_mean_ms").join(baselines.select(*keys, F.col("ewma_mean").alias("baseline_mean"), F.col("ewma_std").alias("baseline_std")), keys).join(current_latency(spans, n, by=by), keys, "left")
     s = s.withColumn("current_value", F.coalesce("current_value", "duration_mean_ms"))
     s = s.withColumn("z_score", z_score(F.col("current_value"), F.col("baseline_mean"), F.col("baseline_std")))
     s = s.withColumn("score", anomaly_score(F.col("z_score"), F.col("error_rate"), F.col("unknown_response_pct")))
@@ -79,38 +83,42 @@ def detect_anomalies(spans: DataFrame, stats: DataFrame, baselines: DataFrame, z
     return _alerts(s.filter(slow | bad | (F.col("score") > 0.3)), by)
 
 
+@by_incident
 def forest_features(stats: DataFrame, baselines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """service and five features: mean over baseline, error rate, share of spans, p95 over p50, share of unknown responses."""
     keys = [*by, "service"]
-    most = stats.groupBy(*by).agg(F.sum("span_count").alias("total")) if by else stats.agg(F.sum("span_count").alias("total"))
-    s = stats.join(most, list(by)) if by else stats.crossJoin(F.broadcast(most))  # one row
+    s = beside(stats, stats.groupBy(*by).agg(F.sum("span_count").alias("total")), by)
     s = s.join(baselines.select(*keys, "ewma_mean", "ewma_std"), keys, "left")
     ratio = lambda a, b: F.coalesce(F.try_divide(a, F.when(b > 0, b)), F.lit(1.0))
     return s.select(*keys, ratio(F.col("duration_mean_ms"), F.col("ewma_mean")).alias("latency_ratio"), "error_rate", (F.col("span_count") / F.col("total")).alias("span_share"), ratio(F.col("duration_p95_ms"), F.col("duration_p50_ms")).alias("tail_ratio"), (F.col("unknown_response_pct") / 100).alias("unknown_share"))
 
 
-def primary_service(alerts: DataFrame, stats: DataFrame) -> DataFrame:
-    """service: of the highest alert; without alerts the one of highest error rate; else unknown. Ties by name."""
-    top = alerts.agg(F.min_by("service", F.struct((-F.col("score")).alias("s"), "service")).alias("a"))
-    err = stats.filter("error_rate > 0").agg(F.min_by("service", F.struct((-F.col("error_rate")).alias("s"), "service")).alias("b"))
-    return top.crossJoin(err).select(F.coalesce("a", "b", F.lit("unknown")).alias("service"))
+@by_incident
+def primary_service(alerts: DataFrame, stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """service: of the highest alert; without alerts the one of highest error rate; else unknown. Ties by name. With by, a row for each incident of stats."""
+    first = lambda c: F.min_by("service", F.struct((-F.col(c)).alias("s"), "service"))
+    top = alerts.groupBy(*by).agg(first("score").alias("a"))
+    err = stats.groupBy(*by).agg(F.min_by(F.when(F.col("error_rate") > 0, F.col("service")), F.struct((-F.col("error_rate")).alias("s"), "service")).alias("b"))
+    return beside(err, top, by).select(*by, F.coalesce("a", "b", F.lit("unknown")).alias("service"))
 
 
-def confirm_anomaly(alerts: DataFrame, floor: float = 0.5) -> DataFrame:
+@by_incident
+def confirm_anomaly(alerts: DataFrame, floor: float = 0.5, by: Sequence[str] = ()) -> DataFrame:
     """confirmed, service, top: whether the highest score is over the floor, whose it is, and the first five."""
-    top = alerts.orderBy(F.desc("score"), "service").limit(5)
+    top = alerts.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "service"))).filter("__n <= 5")
     best = F.max("score") > floor
-    return top.agg(F.coalesce(best, F.lit(False)).alias("confirmed"), F.when(best, F.min_by("service", F.struct((-F.col("score")).alias("s"), "service"))).alias("service"), F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "service"))), lambda x: x["service"]).alias("top"))
+    return top.groupBy(*by).agg(F.coalesce(best, F.lit(False)).alias("confirmed"), F.when(best, F.min_by("service", F.struct((-F.col("score")).alias("s"), "service"))).alias("service"), F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "service"))), lambda x: x["service"]).alias("top"))
 
 
-def apply_labels(alerts: DataFrame, labels: DataFrame, top: int = 8) -> DataFrame:
+@by_incident
+def apply_labels(alerts: DataFrame, labels: DataFrame, top: int = 8, by: Sequence[str] = ()) -> DataFrame:
     """Scores of the `top` highest alerts times 1.2, 0.8 or 0.3 by label (missing: ROOT_CAUSE), within 0.01 and 1; these come first. labels: service, label."""
-    ranked = alerts.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("score"), "service")))
-    ranked = ranked.join(labels, "service", "left").withColumn("label", F.when(F.col("pos") <= top, F.coalesce("label", F.lit("ROOT_CAUSE"))))
-    by = F.when(F.col("label") == "ROOT_CAUSE", 1.2).when(F.col("label") == "SYMPTOM", 0.8).when(F.col("label") == "FALSE_POSITIVE", 0.3).otherwise(F.lit(1.0))
-    new = F.when(F.col("pos") <= top, F.round(F.greatest(F.lit(0.01), F.least(F.lit(1.0), F.col("score") * by)), 3)).otherwise(F.col("score"))
+    ranked = alerts.withColumn("pos", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "service")))
+    ranked = ranked.join(labels, [*by, "service"], "left").withColumn("label", F.when(F.col("pos") <= top, F.coalesce("label", F.lit("ROOT_CAUSE"))))
+    factor = F.when(F.col("label") == "ROOT_CAUSE", 1.2).when(F.col("label") == "SYMPTOM", 0.8).when(F.col("label") == "FALSE_POSITIVE", 0.3).otherwise(F.lit(1.0))
+    new = F.when(F.col("pos") <= top, F.round(F.greatest(F.lit(0.01), F.least(F.lit(1.0), F.col("score") * factor)), 3)).otherwise(F.col("score"))
     out = ranked.withColumn("score", new)
-    order = Window.orderBy((F.col("pos") > top).cast("int"), F.when(F.col("pos") <= top, -F.col("score")), "pos")
+    order = Window.partitionBy(*by).orderBy((F.col("pos") > top).cast("int"), F.when(F.col("pos") <= top, -F.col("score")), "pos")
     return out.withColumn("rank", F.row_number().over(order)).drop("pos")
 
 

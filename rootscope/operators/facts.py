@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import INFRA_SERVICES, ROLE_PRIORS, canonical_service, is_token, linear_relevance, log_relevance, ratio_relevance, service_role, usage_kind
 from .graph import cut, fact_edges, pagerank
+from .incidents import beside, by_incident
 from .order import numbered, percentiles
 
 # Signals that decide at any count; words of failed connections; healthy pod states.
@@ -20,25 +23,26 @@ CALLEE_NAME = r"(?i)(?:failed to connect|could not connect|cannot connect to|con
 HEALTHY = ("Running", "Completed", "Succeeded")
 
 
-def _fact(rel: str, target: str | Column, quote: Column, relevance: Column, source: str = "service") -> list[Column]:
+def _fact(rel: str, target: str | Column, quote: Column, relevance: Column, source: str = "service", by: Sequence[str] = ()) -> list[Column]:
     t = F.lit(target) if isinstance(target, str) else target
-    return [F.col(source).alias("source"), F.lit(rel).alias("relationship"), t.alias("target"), quote.alias("citation_quote"), relevance.alias("relevance")]
+    return [*(F.col(b) for b in by), F.col(source).alias("source"), F.lit(rel).alias("relationship"), t.alias("target"), quote.alias("citation_quote"), relevance.alias("relevance")]
 
 
-def trace_facts(spans: DataFrame) -> DataFrame:
-    """calls, emits HTTP_ERROR and blocks HIGH_LATENCY of spans. Durations are compared as they come, in microseconds."""
+@by_incident
+def trace_facts(spans: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """calls, emits HTTP_ERROR and blocks HIGH_LATENCY of spans. Durations are compared as they come, in microseconds, with the median of the incident."""
     svc = canonical_service(F.col("service_name"))
-    s = spans.select(F.trim("span_id").alias("span_id"), F.trim("parent_span").alias("parent"), svc.alias("service"), F.coalesce("has_error", F.lit(False)).alias("bad"), F.col("duration").cast("double").alias("d"), "ingest_seq").filter("service <> ''")
-    parents = s.filter("span_id <> ''").groupBy(F.col("span_id").alias("parent")).agg(F.max_by("service", "ingest_seq").alias("caller"))
-    calls = s.filter("parent <> ''").join(parents, "parent").filter("caller <> service").groupBy("caller", "service").agg(F.count("*").alias("vol"), F.count_if("bad").alias("err"))
+    s = spans.select(*by, F.trim("span_id").alias("span_id"), F.trim("parent_span").alias("parent"), svc.alias("service"), F.coalesce("has_error", F.lit(False)).alias("bad"), F.col("duration").cast("double").alias("d"), "ingest_seq").filter("service <> ''")
+    parents = s.filter("span_id <> ''").groupBy(*by, F.col("span_id").alias("parent")).agg(F.max_by("service", "ingest_seq").alias("caller"))
+    calls = s.filter("parent <> ''").join(parents, [*by, "parent"]).filter("caller <> service").groupBy(*by, "caller", "service").agg(F.count("*").alias("vol"), F.count_if("bad").alias("err"))
     quote = F.concat(F.lit("trace call volume="), F.col("vol").cast("string"), F.lit(" errors="), F.col("err").cast("string"))
-    out = calls.select(*_fact("calls", F.col("service"), quote, linear_relevance(F.col("vol")), "caller"))
-    errs = s.filter("bad").groupBy("service").agg(F.count("*").alias("n"))
-    out = out.union(errs.select(*_fact("emits", "HTTP_ERROR", F.concat(F.lit("trace error_spans="), F.col("n").cast("string")), log_relevance(F.col("n"), 100.0))))
-    med = percentiles(s.withColumn("all", F.lit(0)), ["all"], "d", {"med": 0.5}, between=True).select("med")
-    avg = s.groupBy("service").agg(F.avg("d").alias("avg")).crossJoin(F.broadcast(med))  # one row
+    out = calls.select(*_fact("calls", F.col("service"), quote, linear_relevance(F.col("vol")), "caller", by))
+    errs = s.filter("bad").groupBy(*by, "service").agg(F.count("*").alias("n"))
+    out = out.union(errs.select(*_fact("emits", "HTTP_ERROR", F.concat(F.lit("trace error_spans="), F.col("n").cast("string")), log_relevance(F.col("n"), 100.0), by=by)))
+    med = percentiles(s.withColumn("all", F.lit(0)), [*by, "all"], "d", {"med": 0.5}, between=True).select(*by, "med")
+    avg = beside(s.groupBy(*by, "service").agg(F.avg("d").alias("avg")), med, by)
     slow = avg.filter(F.col("avg") >= F.greatest(F.lit(100.0), 2 * F.col("med"))).withColumn("ratio", F.col("avg") / F.greatest("med", F.lit(1.0)))
-    return out.union(slow.select(*_fact("blocks", "HIGH_LATENCY", F.format_string("trace avg_duration=%.0f median=%.0f (%.1fx)", "avg", "med", "ratio"), ratio_relevance(F.col("ratio")))))
+    return out.union(slow.select(*_fact("blocks", "HIGH_LATENCY", F.format_string("trace avg_duration=%.0f median=%.0f (%.1fx)", "avg", "med", "ratio"), ratio_relevance(F.col("ratio")), by=by)))
 
 
 def pod_facts(pods: DataFrame, restart_floor: int = 8) -> DataFrame:
@@ -87,9 +91,10 @@ def own_outliers(metrics: DataFrame, z_min: float = 3.0, saturate: float = 15.0)
     return best.select(*_fact("emits", _target(), F.format_string("metric %s current=%.3f baseline=%.3f (z=%.1f, own-history)", "metric", "c", "b", "z"), log_relevance(F.abs("z"), saturate)))
 
 
-def best_facts(facts: DataFrame) -> DataFrame:
+@by_incident
+def best_facts(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Of the facts of a (source, relationship, target) the one of highest relevance."""
-    w = Window.partitionBy("source", "relationship", "target").orderBy(F.desc_nulls_last("relevance"), "citation_quote")
+    w = Window.partitionBy(*by, "source", "relationship", "target").orderBy(F.desc_nulls_last("relevance"), "citation_quote")
     return facts.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
@@ -115,21 +120,25 @@ def log_facts(lines: DataFrame) -> DataFrame:
     return out.union(refused.select(*_fact("emits", "CONNECTION_REFUSED", quote("connection_refused_lines", "c"), log_relevance(F.col("c"), 50.0))))
 
 
-def merge_facts(facts: DataFrame, task_type: str = "unknown") -> DataFrame:
-    """The best fact of each triple, stamped with its source's role, and one that marks the task."""
-    mark = facts.sparkSession.createDataFrame([("SYSTEM", "has_task", task_type, "task started", 0.0)], "source string, relationship string, target string, citation_quote string, relevance double")
-    f = best_facts(facts.select(*mark.columns).union(mark))
+@by_incident
+def merge_facts(facts: DataFrame, task_type: str = "unknown", by: Sequence[str] = ()) -> DataFrame:
+    """The best fact of each triple, stamped with its source's role, and one that marks the task (of each incident that has facts)."""
+    names = ("source", "relationship", "target", "citation_quote", "relevance")
+    mark = [F.lit(v).alias(c) for c, v in zip(names, ("SYSTEM", "has_task", task_type, "task started", 0.0), strict=True)]
+    incidents = facts.select(*by).distinct() if by else facts.sparkSession.range(1)
+    f = best_facts(facts.select(*by, *names).union(incidents.select(*by, *mark)), by=by)
     return f.withColumn("source_type", F.when(is_token(F.col("source")), F.lit("UNKNOWN")).otherwise(service_role(F.col("source"))))
 
 
-def decide_incident(facts: DataFrame, floor: float = 0.3, ceiling: float = 0.3) -> DataFrame:
-    """One row: anomaly, concentration. A decisive signal, or strong ones on few enough of the flagged services."""
+@by_incident
+def decide_incident(facts: DataFrame, floor: float = 0.3, ceiling: float = 0.3, by: Sequence[str] = ()) -> DataFrame:
+    """One row (of each incident that has signals): anomaly, concentration. A decisive signal, or strong ones on few enough of the flagged services."""
     shaped = facts.filter(F.col("relationship").isin("emits", "blocks")).filter(~is_token(F.col("source")))
     decisive = F.col("target").isin(*DECISIVE)
     strong = ~decisive & (F.coalesce("relevance", F.lit(0.0)) >= floor)
-    a = shaped.agg(F.coalesce(F.bool_or(decisive), F.lit(False)).alias("d"), F.coalesce(F.bool_or(strong), F.lit(False)).alias("s"), F.count_distinct("source").alias("all"), F.count_distinct(F.when(strong, F.col("source"))).alias("few"))
+    a = shaped.groupBy(*by).agg(F.coalesce(F.bool_or(decisive), F.lit(False)).alias("d"), F.coalesce(F.bool_or(strong), F.lit(False)).alias("s"), F.count_distinct("source").alias("all"), F.count_distinct(F.when(strong, F.col("source"))).alias("few"))
     share = F.coalesce(F.try_divide("few", "all"), F.lit(0.0))
-    return a.select((F.col("d") | (F.col("s") & (share <= ceiling))).alias("anomaly"), F.round(share, 4).alias("concentration"))
+    return a.select(*by, (F.col("d") | (F.col("s") & (share <= ceiling))).alias("anomaly"), F.round(share, 4).alias("concentration"))
 
 
 def fact_rows(facts: DataFrame, session_id: str, agent_id: str = "observer") -> DataFrame:
@@ -151,21 +160,40 @@ def active_facts(facts: DataFrame, session_id: str) -> DataFrame:
     return facts.filter((F.col("session_id") == session_id) & F.col("is_active"))
 
 
-def neighbourhood(facts: DataFrame, seed: str, k: int = 1, most: int = 40) -> DataFrame:
-    """Facts that touch a name within k undirected steps of the seed: an edge_id, else a part of a name; the most relevant first."""
-    ends = F.array("source", "target")
-    hit = facts.filter(F.col("edge_id") == seed)
-    if not hit.head(1):
-        hit = facts.filter(F.lower("source").contains(seed.lower())).unionByName(facts.filter(F.lower("target").contains(seed.lower())))
-        near = hit.select(F.explode(ends).alias("name")).filter(F.lower("name").contains(seed.lower())).distinct()
-    else:
-        near = hit.select(F.explode(ends).alias("name")).distinct()
-    e = facts.select(F.col("source").alias("a"), F.col("target").alias("b"))
-    e = cut(e.union(e.select("b", "a")).distinct())
+def neighbourhoods(facts: DataFrame, seeds: DataFrame, k: int = 1, most: int = 40) -> DataFrame:
+    """session_id, seed and, for each, the facts of its session that touch a name within k undirected steps, the most relevant first (place from 1).
+
+    seeds: session_id, seed. A seed is an edge_id of the session, else a part of a name, in whatever case; the search begins at both ends of every fact that it hits.
+    Names that a seed has reached are rows (session_id, seed, name), so that each step is one join for all seeds.
+    """
+    s = seeds.select("session_id", F.trim("seed").alias("seed")).dropna().filter("seed <> ''").distinct()
+    f = facts.select("session_id", "edge_id", "source", "target")
+    by_id = f.join(s.withColumn("edge_id", F.col("seed")), ["session_id", "edge_id"])
+    parts = s.join(by_id.select("session_id", "seed").distinct(), ["session_id", "seed"], "left_anti")
+    part = F.lower("seed")
+    by_name = f.join(parts, "session_id").filter(F.lower("source").contains(part) | F.lower("target").contains(part))
+    both = by_id.select("session_id", "seed", "source", "target").union(by_name.select("session_id", "seed", "source", "target"))
+    seen = cut(both.select("session_id", "seed", F.explode(F.array("source", "target")).alias("name")).distinct(), "seen")
+    links = f.select("session_id", F.col("source").alias("name"), F.col("target").alias("next"))
+    links = cut(links.union(links.select("session_id", "next", "name")).distinct(), "links")
+    front = seen
     for _ in range(k):
-        near = cut(near.union(near.join(e, near.name == e.a).select("b")).distinct())
-    touch = facts.join(near.withColumnRenamed("name", "source"), "source", "left_semi").unionByName(facts.join(near.withColumnRenamed("name", "target"), "target", "left_semi"))
-    return touch.dropDuplicates(["edge_id"]).orderBy(F.desc("relevance"), "edge_id").limit(most)
+        step = front.join(links, ["session_id", "name"]).select("session_id", "seed", F.col("next").alias("name")).distinct()
+        front = cut(step.join(seen, ["session_id", "seed", "name"], "left_anti"), "front")
+        seen = seen.union(front)
+    ends = f.select("session_id", "edge_id", F.explode(F.array("source", "target")).alias("name"))
+    touched = ends.join(seen, ["session_id", "name"]).select("session_id", "seed", "edge_id").distinct()
+    out = touched.join(facts.dropDuplicates(["session_id", "edge_id"]), ["session_id", "edge_id"])
+    place = F.row_number().over(Window.partitionBy("session_id", "seed").orderBy(F.desc("relevance"), "edge_id"))
+    return out.withColumn("place", place).filter(F.col("place") <= most)
+
+
+def neighbourhood(facts: DataFrame, seed: str, k: int = 1, most: int = 40) -> DataFrame:
+    """The facts of one session that touch a name within k undirected steps of the seed, the most relevant first; see neighbourhoods."""
+    one = facts.withColumn("session_id", F.lit(""))
+    seeds = facts.sparkSession.createDataFrame([("", seed)], "session_id string, seed string")
+    found = neighbourhoods(one, seeds, k, most).select("edge_id", "place")  # blanks around the seed don't count
+    return facts.dropDuplicates(["edge_id"]).join(found, "edge_id").orderBy("place").select(facts.columns)
 
 
 def fact_lines(facts: DataFrame) -> DataFrame:
@@ -182,51 +210,55 @@ def _not_service(c: Column, parity: bool) -> Column:
     return is_token(c) if parity else is_token(c) | c.isin(*KNOWN_TARGETS)
 
 
-def anomaly_scores(facts: DataFrame, suppression: float = 0.5) -> DataFrame:
-    """source, score: weights of its signals by relevance and role; halved for callers of an anomalous service."""
+@by_incident
+def anomaly_scores(facts: DataFrame, suppression: float = 0.5, by: Sequence[str] = ()) -> DataFrame:
+    """source, role, score: weights of its signals by relevance and role; halved for callers of an anomalous service."""
     rel = F.col("relationship")
     f = facts.filter(rel.isin("emits", "blocks"))
     stamped = F.upper(F.coalesce("source_type", F.lit("UNKNOWN")))
-    roles = facts.groupBy("source").agg(F.max(F.when(~stamped.isin("UNKNOWN", "SERVICE"), stamped)).alias("role")).withColumn("role", F.coalesce("role", service_role(F.col("source"))))
+    roles = facts.groupBy(*by, "source").agg(F.max(F.when(~stamped.isin("UNKNOWN", "SERVICE"), stamped)).alias("role")).withColumn("role", F.coalesce("role", service_role(F.col("source"))))
     prior = F.create_map(*(x for k, v in ROLE_PRIORS.items() for x in (F.lit(k), F.lit(v))))
     strength = F.greatest(F.coalesce(F.nullif("relevance", F.lit(0.0)), F.lit(1.0)), F.lit(0.1))
     w = F.when(rel == "emits", emit_weight(F.col("target"))).otherwise(F.lit(4.0)) * strength * F.coalesce(F.element_at(prior, F.col("role")), F.lit(1.0))
-    s = f.join(roles, "source").groupBy("source", "role").agg(F.sum(w).alias("score"))
-    names = s.select(F.col("source").alias("target"))
-    callers = facts.filter("relationship = 'calls'").join(names, "target", "left_semi").select("source").distinct().withColumn("calls_bad", F.lit(True))
-    return s.join(callers, "source", "left").select("source", "role", (F.col("score") * F.when(F.col("calls_bad"), suppression).otherwise(F.lit(1.0))).alias("score"))
+    s = f.join(roles, [*by, "source"]).groupBy(*by, "source", "role").agg(F.sum(w).alias("score"))
+    names = s.select(*by, F.col("source").alias("target"))
+    callers = facts.filter("relationship = 'calls'").join(names, [*by, "target"], "left_semi").select(*by, "source").distinct().withColumn("calls_bad", F.lit(True))
+    return s.join(callers, [*by, "source"], "left").select(*by, "source", "role", (F.col("score") * F.when(F.col("calls_bad"), suppression).otherwise(F.lit(1.0))).alias("score"))
 
 
-def rank_suspects(facts: DataFrame, k: int = 8, alpha: float = 0.85, parity: bool = False, tol: float = 1e-6, max_iter: int = 100) -> DataFrame:
-    """service, score, pagerank, rank: anomalous services and their neighbours, by (score, PageRank of the reversed graph).
+@by_incident
+def rank_suspects(facts: DataFrame, k: int = 8, alpha: float = 0.85, parity: bool = False, tol: float = 1e-6, max_iter: int = 100, by: Sequence[str] = ()) -> DataFrame:
+    """service, score, pagerank, role, rank: of each incident the first k anomalous services and their neighbours, by (score, PageRank of the reversed graph).
 
     facts need `seq`, the order in which they came. Names of signals are never suspects; parity: but CONNECTION_REFUSED,
     which some tools let through. Scores count to nine digits, so that the order doesn't hang on the order of sums.
     """
-    scores = cut(anomaly_scores(facts))
-    bad = facts.filter(F.col("relationship").isin("emits", "blocks")).filter(~is_token(F.col("source"))).select(F.col("source").alias("name")).distinct()
-    e = cut(fact_edges(facts, emit_weight(F.col("target"))))
-    near = e.join(bad, e.src == bad.name, "left_semi").select("dst").union(e.join(bad, e.dst == bad.name, "left_semi").select("src"))
+    scores = cut(anomaly_scores(facts, by=by))
+    bad = facts.filter(F.col("relationship").isin("emits", "blocks")).filter(~is_token(F.col("source"))).select(*by, F.col("source").alias("name")).distinct()
+    e = cut(fact_edges(facts, emit_weight(F.col("target")), by=by))
+    end = lambda c: bad.select(*by, F.col("name").alias(c))
+    near = e.join(end("src"), [*by, "src"], "left_semi").select(*by, "dst").union(e.join(end("dst"), [*by, "dst"], "left_semi").select(*by, "src"))
     cands = bad.union(near).distinct().filter(~_not_service(F.col("name"), parity))
-    ranks = pagerank(e, alpha, "w", tol=tol, max_iter=max_iter).withColumnRenamed("score", "pagerank")
-    out = cands.join(scores, F.col("name") == F.col("source"), "left").join(ranks, F.col("name") == F.col("id"), "left")
-    out = out.select(F.col("name").alias("service"), F.round(F.coalesce("score", F.lit(0.0)), 9).alias("score"), F.round(F.coalesce("pagerank", F.lit(0.0)), 9).alias("pagerank"), F.coalesce("role", F.lit("UNKNOWN")).alias("role"))
-    top = out.orderBy(F.desc("score"), F.desc("pagerank"), "service").limit(k)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("pagerank"), "service")))
+    ranks = pagerank(e, alpha, "w", tol=tol, max_iter=max_iter, by=by).select(*by, F.col("id").alias("name"), F.col("score").alias("pagerank"))
+    out = cands.join(scores.withColumnRenamed("source", "name"), [*by, "name"], "left").join(ranks, [*by, "name"], "left")
+    out = out.select(*by, F.col("name").alias("service"), F.round(F.coalesce("score", F.lit(0.0)), 9).alias("score"), F.round(F.coalesce("pagerank", F.lit(0.0)), 9).alias("pagerank"), F.coalesce("role", F.lit("UNKNOWN")).alias("role"))
+    order = Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("pagerank"), "service")
+    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def rank_facts(suspects: DataFrame) -> DataFrame:
+@by_incident
+def rank_facts(suspects: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Ranks as facts: relationship ranked, target SUSPECT_RANK_i, relevance falling by place."""
-    n = suspects.agg(F.count("*").alias("n"))
-    s = suspects.crossJoin(F.broadcast(n))  # one row
+    s = beside(suspects, suspects.groupBy(*by).agg(F.count("*").alias("n")), by)
     quote = F.format_string("topological diagnoser rank %d/%d, anomaly_score=%.2f, role=%s", "rank", "n", "score", "role")
     rel = F.bround(F.greatest(F.lit(0.1), 1 - (F.col("rank") - 1) / F.col("n") * 0.9), 3)
-    return s.select(F.col("service").alias("source"), F.lit("ranked").alias("relationship"), F.concat(F.lit("SUSPECT_RANK_"), F.col("rank").cast("string")).alias("target"), quote.alias("citation_quote"), rel.alias("relevance"), F.col("role").alias("source_type"))
+    return s.select(*by, F.col("service").alias("source"), F.lit("ranked").alias("relationship"), F.concat(F.lit("SUSPECT_RANK_"), F.col("rank").cast("string")).alias("target"), quote.alias("citation_quote"), rel.alias("relevance"), F.col("role").alias("source_type"))
 
 
-def relabel_suspects(suspects: DataFrame, labels: DataFrame) -> DataFrame:
+@by_incident
+def relabel_suspects(suspects: DataFrame, labels: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Suspects in order of score times 2, 0.6 or 0.25 by label (missing: SYMPTOM, 1 if unknown); ties as they were. labels: service, label."""
-    by = F.when(F.col("label") == "ROOT_CAUSE", 2.0).when(F.col("label") == "SYMPTOM", 0.6).when(F.col("label") == "NORMAL", 0.25).otherwise(F.lit(1.0))
-    s = suspects.join(labels, "service", "left").withColumn("label", F.coalesce("label", F.lit("SYMPTOM")))
-    s = s.withColumn("adjusted", F.col("score") * by)
-    return s.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("adjusted"), "rank")))
+    factor = F.when(F.col("label") == "ROOT_CAUSE", 2.0).when(F.col("label") == "SYMPTOM", 0.6).when(F.col("label") == "NORMAL", 0.25).otherwise(F.lit(1.0))
+    s = suspects.join(labels, [*by, "service"], "left").withColumn("label", F.coalesce("label", F.lit("SYMPTOM")))
+    s = s.withColumn("adjusted", F.col("score") * factor)
+    return s.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("adjusted"), "rank")))

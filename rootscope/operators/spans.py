@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import failed, filled, unknown_response
+from .incidents import by_incident
 from .order import percentiles
 
 
@@ -58,6 +59,7 @@ def orphan_spans(spans: DataFrame) -> DataFrame:
     return spans.filter(parent.isNotNull() & (parent != "ROOT")).join(ids, F.trim(F.col("parent_span")) == F.col("__id"), "left_anti")
 
 
+@by_incident
 def service_stats(spans: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One row for each service (of each incident, with by): counts, rates, durations (nearest-rank percentiles, population deviation), operations.
 
@@ -78,6 +80,7 @@ def service_stats(spans: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return g.withColumn("error_rate", F.round(F.col("error_count") / F.col("span_count"), 4)).withColumn("unknown_response_pct", F.round(F.col("unknown_response_count") / F.col("span_count") * 100, 1))
 
 
+@by_incident
 def overall_stats(spans: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """total_spans, unique_spans, unique_services, unique_traces, error_spans, unknown_response_pct, services."""
     n = lambda c, name: F.count_distinct(filled(F.col(c))).alias(name)

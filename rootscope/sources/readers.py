@@ -26,9 +26,35 @@ ALIASES = {
 }
 
 
-def _order() -> Column:
-    """Order of arrival: files by name, lines by their place in the file's block."""
-    return F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+#: Bits of ingest_seq that hold the place within a file; the file's place is above them.
+LINE_BITS = 40
+
+
+def _located() -> list[Column]:
+    """Where a row comes from: path and block (the part of a file that one task reads), and i, which grows with the rows of a block."""
+    return [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i")]
+
+
+def placed(rows: DataFrame, fill: Column | None = None) -> DataFrame:
+    """rows (path, block, i, ...) with `file` (from 0, by path), `line` (from 1, within the file) and, if asked, `filled`: the last `fill` so far in the file that isn't null.
+
+    A carry scan: each block's count and last `fill` come from partial aggregation, and are carried over a file's blocks on one row for each block.
+    Within a block rows are numbered by a window, so that no window holds more than a block; a file of any size spreads over tasks.
+    """
+    fill = F.lit(None).cast("string") if fill is None else fill
+    own = rows.withColumn("__fill", fill)
+    per = own.groupBy("path", "block").agg(F.count("*").alias("__n"), F.max_by(F.when(F.col("__fill").isNotNull(), F.col("__fill")), F.when(F.col("__fill").isNotNull(), F.col("i"))).alias("__last"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).withColumn("__carried", F.last("__last", ignorenulls=True).over(earlier))
+    files = per.select("path").distinct().withColumn("file", F.row_number().over(Window.orderBy("path")).cast("long") - 1)  # names of files
+    w = Window.partitionBy("path", "block").orderBy("i")
+    local = own.withColumn("__local", F.row_number().over(w)).withColumn("__filled", F.last("__fill", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    both = local.join(per.join(files, "path").select("path", "block", "file", "__before", "__carried"), ["path", "block"])
+    return both.withColumn("line", F.col("__local") + F.col("__before")).withColumn("filled", F.coalesce("__filled", "__carried")).select(*rows.columns, "file", "line", "filled")
+
+
+def _sequence() -> Column:
+    return F.shiftleft(F.col("file"), LINE_BITS) + F.col("line")
 
 
 def normalize_spans(raw: DataFrame, order: Column | None = None) -> DataFrame:
@@ -56,26 +82,32 @@ def normalize_spans(raw: DataFrame, order: Column | None = None) -> DataFrame:
     )
 
 
-def file_formats(spark: SparkSession, path: str) -> DataFrame:
-    """path, fmt of each CSV file: standard or mixed (six fields, two of them blank-separated), by its header and first row."""
-    t = spark.read.text(path, pathGlobFilter="*.csv").select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"))
-    t = t.filter(F.trim("value") != "")
-    # the two first lines of each file; partial minima, so that no file is gathered
-    head = t.groupBy("path").agg(F.min_by("value", F.struct("block", "i")).alias("header"), F.min(F.struct("block", "i")).alias("at"))
-    row = t.join(head.select("path", "at"), "path").filter(F.struct("block", "i") > F.col("at")).groupBy("path").agg(F.min_by("value", F.struct("block", "i")).alias("row"))
+def file_formats(spark: SparkSession, path: str, sample: int = 25) -> DataFrame:
+    """path, fmt of each CSV file: standard or mixed (six fields, two of them blank-separated).
+
+    The header and the first rows of a file decide: of up to `sample` rows the first that is as wide as the header makes it standard,
+    one of six fields below a header of the nine words makes it mixed. They are looked for in the file's first block.
+    """
+    t = spark.read.text(path, pathGlobFilter="*.csv").select("value", *_located()).filter("block = 0").filter(F.trim("value") != "")
+    first = t.withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy("i"))).filter(F.col("n") <= sample + 1)
+    head = first.filter("n = 1").select("path", F.col("value").alias("header"))
+    fields = F.size(F.split("value", ","))
+    rows = first.filter("n > 1").filter(~F.lower(F.trim("value")).startswith("trace_id")).join(head, "path")
     words = F.size(F.filter(F.split("header", r"[,\s]+"), lambda w: F.trim(w, F.lit('"')).isin(*HEADER)))
-    width, fields = F.size(F.split("header", ",")), F.size(F.split("row", ","))
-    mixed = (fields == 6) & (words >= 8) & (width != fields) | (fields == 6) & (width == 6) & (words >= 8)
-    return head.join(row, "path", "left").select("path", F.when(F.coalesce(mixed, F.lit(False)), F.lit("mixed")).otherwise(F.lit("standard")).alias("fmt"))
+    width = F.size(F.split("header", ","))
+    mixed = (fields == 6) & (words == len(HEADER)) & ((width >= 8) | (width == 6))
+    verdict = F.when(mixed, F.lit("mixed")).when(fields == width, F.lit("standard"))
+    told = rows.withColumn("fmt", verdict).filter("fmt IS NOT NULL").groupBy("path").agg(F.min_by("fmt", "n").alias("fmt"))
+    return head.join(told, "path", "left").select("path", F.coalesce("fmt", F.lit("standard")).alias("fmt"))
 
 
 def _mixed(lines: DataFrame) -> DataFrame:
     """Columns of mixed lines: trace_id, "span parent service", "operation start", duration, has_error, response."""
-    p = lines.select("path", "i", F.transform(F.split("value", ",", 6), lambda x: F.trim(F.trim(x), F.lit('"'))).alias("f")).filter(F.size("f") == 6)
+    p = lines.select("path", "block", "i", F.transform(F.split("value", ",", 6), lambda x: F.trim(F.trim(x), F.lit('"'))).alias("f")).filter(F.size("f") == 6)
     ids = F.split(F.get("f", F.lit(1)), r"\s+", 3)
     op, two = r"^(.*)\s+(\d+)$", F.get("f", F.lit(2))
     return p.filter(~F.get("f", F.lit(0)).isin(*HEADER)).select(
-        "path", "i", F.get("f", F.lit(0)).alias("trace_id"), F.get(ids, F.lit(0)).alias("span_id"), F.get(ids, F.lit(1)).alias("parent_span"), F.get(ids, F.lit(2)).alias("service_name"),
+        "path", "block", "i", F.get("f", F.lit(0)).alias("trace_id"), F.get(ids, F.lit(0)).alias("span_id"), F.get(ids, F.lit(1)).alias("parent_span"), F.get(ids, F.lit(2)).alias("service_name"),
         F.when(two.rlike(op), F.regexp_extract(two, op, 1)).otherwise(two).alias("operation_name"), F.regexp_extract(two, op, 2).alias("start_time"), F.get("f", F.lit(3)).alias("duration"), F.get("f", F.lit(4)).alias("has_error"), F.get("f", F.lit(5)).alias("response"),
     )
 
@@ -88,58 +120,51 @@ def read_spans(spark: SparkSession, path: str, fmt: str = "auto") -> DataFrame:
     """
     if fmt in ("json", "jsonl"):
         raw = spark.read.option("multiLine", fmt == "json").option("primitivesAsString", True).json(path)
-        for key in ("data", "traces"):
-            if key in raw.columns:
-                raw = raw.select(F.explode(key).alias("x")).select("x.*")
-                break
-        return normalize_spans(raw)
+        key = next((k for k in ("data", "traces") if k in raw.columns), None)
+        where = [c for c in _located()[:2]]
+        raw = raw.select(*where, F.explode(key).alias("x")).select("path", "block", "x.*") if key else raw.select("*", *where)
+        raw = placed(raw.withColumn("i", F.monotonically_increasing_id()))
+        return normalize_spans(raw.drop("filled"), _sequence())
     if fmt == "auto":
         kinds = {r.fmt: r.paths for r in file_formats(spark, path).groupBy("fmt").agg(F.array_sort(F.collect_list("path")).alias("paths")).collect()}  # file names
     else:
         kinds = {fmt: [path]}
     parts = []
     if "mixed" in kinds:
-        lines = spark.read.text(kinds["mixed"]).select("value", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("i"))
-        parts.append(_mixed(lines))
+        parts.append(_mixed(spark.read.text(kinds["mixed"]).select("value", *_located())))
     if "standard" in kinds:
-        heads = spark.read.text(kinds["standard"], pathGlobFilter="*.csv").select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("n"))
-        by_head = heads.groupBy("path").agg(F.min_by("value", F.struct("b", "n")).alias("head")).groupBy("head").agg(F.array_sort(F.collect_list("path")).alias("paths")).collect()  # file names
+        heads = spark.read.text(kinds["standard"], pathGlobFilter="*.csv").select("value", *_located()).filter("block = 0")
+        by_head = heads.groupBy("path").agg(F.min_by("value", "i").alias("head")).groupBy("head").agg(F.array_sort(F.collect_list("path")).alias("paths")).collect()  # file names
         for r in sorted(by_head, key=lambda r: r.paths):
-            df = spark.read.option("header", True).csv(r.paths)
-            parts.append(df.select("*", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("i")))
+            parts.append(spark.read.option("header", True).csv(r.paths).select("*", *_located()))
     if not parts:
         raise ValueError(f"no span files in {path}")
     raw = parts[0]
     for more in parts[1:]:
         raw = raw.unionByName(more, allowMissingColumns=True)
-    # one order over all files: by path, then line
-    order = F.row_number().over(Window.partitionBy("path").orderBy("i")).cast("long")
-    place = F.pmod(F.xxhash64("path"), F.lit(1 << 22)) * F.lit(1 << 40)
-    return normalize_spans(raw.withColumn("__seq", place + order), F.col("__seq"))
+    return normalize_spans(placed(raw).drop("filled"), _sequence())  # one order over all files: by path, then line
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     """METRIC of a summary CSV (metric, cmdb_id, kpi_name, value[, timestamp]) or of a folder's kpi_*.csv files without header (time, id, name, value); NaN goes, a missing time is the row's place."""
     files = spark.read.option("recursiveFileLookup", True)
     if path.endswith(".csv"):
-        t = spark.read.option("header", True).csv(path).select("*", F.monotonically_increasing_id().alias("i"))
+        t = spark.read.option("header", True).csv(path).select("*", *_located())
         ts = F.col("timestamp").try_cast("double") if "timestamp" in t.columns else F.lit(None).cast("double")
-        t = t.select(F.lower("metric").alias("metric"), pod_of(F.col("cmdb_id")).alias("service"), ts.alias("ts"), F.col("value").try_cast("double").alias("value"), F.lit("").alias("file"), "i")
+        t = t.select(F.lower("metric").alias("metric"), pod_of(F.col("cmdb_id")).alias("service"), ts.alias("ts"), F.col("value").try_cast("double").alias("value"), "path", "block", "i")
     else:
         t = files.option("pathGlobFilter", "kpi_*.csv").schema("c0 string, c1 string, c2 string, c3 string").csv(path)
-        t = t.select(F.lower(F.regexp_extract("_metadata.file_name", r"^kpi_(.*)\.csv$", 1)).alias("metric"), pod_of(F.col("c1")).alias("service"), F.col("c0").try_cast("double").alias("ts"), F.col("c3").try_cast("double").alias("value"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("i"))
-    t = t.filter("value IS NOT NULL AND NOT isnan(value) AND service <> ''")
-    place = (F.row_number().over(Window.partitionBy("file").orderBy("i")) - 1).cast("double")
-    return t.select("metric", "service", F.coalesce("ts", place).alias("ts"), "value")
+        t = t.select(F.lower(F.regexp_extract("_metadata.file_name", r"^kpi_(.*)\.csv$", 1)).alias("metric"), pod_of(F.col("c1")).alias("service"), F.col("c0").try_cast("double").alias("ts"), F.col("c3").try_cast("double").alias("value"), *_located())
+    t = placed(t.filter("value IS NOT NULL AND NOT isnan(value) AND service <> ''"))
+    return t.select("metric", "service", F.coalesce("ts", (F.col("line") - 1).cast("double")).alias("ts"), "value")
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """LOG_LINE of text files: a line `=== service ===` names the service of the lines below it."""
-    t = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("i"))
-    head = F.regexp_extract("line", r"^===\s*(\S.*?)\s*===\s*$", 1)
-    w = Window.partitionBy("file").orderBy("i")
-    t = t.withColumn("head", F.when(head != "", head)).withColumn("service", F.last("head", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("line_no", F.row_number().over(w).cast("long"))
-    return t.filter("head IS NULL AND service IS NOT NULL").select("service", "line_no", "line")
+    """LOG_LINE of text files: a line `=== service ===` names the service of the lines below it, over the borders of the file's blocks."""
+    t = spark.read.text(path).select(F.col("value"), *_located())
+    head = F.regexp_extract("value", r"^===\s*(\S.*?)\s*===\s*$", 1)
+    t = placed(t, F.when(head != "", head))
+    return t.filter((head == "") & F.col("filled").isNotNull()).select(F.col("filled").alias("service"), F.col("line").alias("line_no"), F.col("value").alias("line"))
 
 
 def read_pods(spark: SparkSession, path: str) -> DataFrame:

@@ -106,7 +106,15 @@ def test_fact_store(spark):
     assert rows.count() == 7 and rows.filter("source = 'SYSTEM'").first().target == "analysis"
     again = T.upsert_facts(rows, rows)
     assert again.count() == 7 and T.active_facts(again, "s").count() == 7 and T.active_facts(again, "other").count() == 0
-    assert {r.source for r in T.neighbourhood(rows, "near").collect()} == {"far", "near", "caller"}
+    # both ends of every fact that holds the name are seeds, so that what the other end touches is there too
+    chain = spark.createDataFrame([(f"e{i}", "s", a, b, 1.0, "calls") for i, (a, b) in enumerate(zip("abcd", "bcde", strict=True), 1)] + [("e9", "t", "a", "z", 1.0, "calls")], "edge_id string, session_id string, source string, target string, relevance double, relationship string")
+    s = chain.filter("session_id = 's'")
+    assert [r.edge_id for r in T.neighbourhood(s, "a", 0).collect()] == ["e1", "e2"]
+    assert [r.edge_id for r in T.neighbourhood(s, " A ", 1).collect()] == ["e1", "e2", "e3"]
+    assert [r.edge_id for r in T.neighbourhood(s, "e4", 0).collect()] == ["e3", "e4"] and T.neighbourhood(s, "zzz").count() == 0
+    many = T.neighbourhoods(chain, spark.createDataFrame([("s", "a"), ("s", "e4"), ("t", "a"), ("t", ""), ("u", "a"), (None, "a")], "session_id string, seed string"), 1, most=3)
+    assert sorted((r.session_id, r.seed, r.place, r.edge_id) for r in many.collect()) == [("s", "a", 1, "e1"), ("s", "a", 2, "e2"), ("s", "a", 3, "e3"), ("s", "e4", 1, "e2"), ("s", "e4", 2, "e3"), ("s", "e4", 3, "e4"), ("t", "a", 1, "e9")]
+    assert {r.source for r in T.neighbourhood(rows, "near").collect()} == {"far", "near", "caller", "user-service"}
     assert T.neighbourhood(rows, rows.filter("source = 'far'").first().edge_id, 0).count() == 2
     assert T.fact_lines(rows).filter("text LIKE '[DATASTORE] mongodb -emits-> HIGH_MEM%'").count() == 1
 

@@ -140,3 +140,56 @@ def test_forest(spark):
     assert forest.detect(df, stats, f, "auto", trees=10).filter("service = 's0'").count() == 1
     with pytest.raises(ValueError):
         forest.detect(df, stats, f, "magic")
+
+
+def test_order_of_files(spark, tmp_path):
+    """Spans come by path, then line, so that of equal ids the first path's stays."""
+    head = "trace_id,span_id,parent_span,service_name,operation_name,start_time,duration,has_error,response"
+    for name in "hgfedcba":
+        (tmp_path / f"{name}.csv").write_text(head + "\n" + "".join(f"t,same{k},ROOT,svc-{name},op,{k},5,false,200\n" for k in range(3)))
+    got = readers.read_spans(spark, str(tmp_path)).orderBy("ingest_seq").collect()
+    assert [(r.service_name, r.span_id) for r in got] == [(f"svc-{n}", f"same{k}") for n in "abcdefgh" for k in range(3)]
+    assert {r.service_name for r in S.dedup_spans(readers.read_spans(spark, str(tmp_path))).collect()} == {"svc-a"}
+    j = tmp_path / "j"
+    j.mkdir()
+    for name in "ba":
+        (j / f"{name}.json").write_text("".join(f'{{"data":[{{"trace_id":"t","span_id":"{k}","service":"svc-{name}"}},{{"trace_id":"t","span_id":"{k}x","service":"svc-{name}"}}]}}\n' for k in range(2)))
+    got = readers.read_spans(spark, str(j), "jsonl").orderBy("ingest_seq").collect()
+    assert [(r.service_name, r.span_id) for r in got] == [(f"svc-{n}", k) for n in "ab" for k in ("0", "0x", "1", "1x")]
+
+
+def test_lines_over_blocks(spark, tmp_path):
+    """A file that many tasks read: places and section headers carry over the borders of its blocks."""
+    lines, want, now = [], [], None
+    for i in range(900):
+        if i in (100, 350, 351, 800):
+            now = f"svc{i}"
+            lines.append(f"=== {now} ===")
+        else:
+            lines.append(f"line {i}")
+            want += [(now, i + 1, f"line {i}")] if now else []
+    (tmp_path / "log.txt").write_text("\n".join(lines))
+    (tmp_path / "other.txt").write_text("no header\n=== b ===\nlast")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 5
+        got = sorted(tuple(r) for r in readers.read_logs(spark, str(tmp_path)).collect())
+        assert got == sorted([*want, ("b", 3, "last")])
+        csv = tmp_path / "m"
+        csv.mkdir()
+        (csv / "summary.csv").write_text("metric,cmdb_id,kpi_name,value\n" + "".join(f"cpu,a.pod,k,{'nan' if i % 7 == 0 else i}\n" for i in range(400)))
+        got = readers.read_metrics(spark, str(csv / "summary.csv")).orderBy("value").collect()
+        assert [r.ts for r in got] == list(range(len(got))) and len(got) == sum(i % 7 > 0 for i in range(400))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_format_by_first_decisive_row(spark, tmp_path):
+    head = "trace_id,span_id,parent_span,service_name,operation_name,start_time,duration,has_error,response"
+    (tmp_path / "late.csv").write_text(head + "\nbroken,row\n\ntrace_id again\nt1,s1 p1 svc,op 5,7,false,200\n")
+    (tmp_path / "std.csv").write_text(head + "\nbroken,row\nt2,s2,p2,svc,op,5,7,false,200\nt1,s1 p1 svc,op 5,7,false,200\n")
+    got = {r.path.rsplit("/", 1)[1]: r.fmt for r in readers.file_formats(spark, str(tmp_path)).collect()}
+    assert got == {"late.csv": "mixed", "std.csv": "standard"}
