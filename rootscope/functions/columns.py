@@ -18,7 +18,7 @@ ROLE_WORDS = (
 ROLE_PRIORS = {"APP": 1.0, "GATEWAY": 0.5, "DATASTORE": 0.4, "BROKER": 0.3, "ASYNC_CONSUMER": 0.25, "OBSERVABILITY": 0.1, "LOADGEN": 0.1, "UNKNOWN": 1.0}
 TOKEN_PREFIXES = ("HTTP_", "LOG_", "ERROR", "TIMEOUT", "HIGH_", "POD_", "STATUS_")
 TOKEN_NAMES = ("SYSTEM", "INCIDENT")
-SECRET_KEYS = ("password", "pass", "secret", "token", "authorization", "api_key", "apikey")
+SECRET_KEYS = ("password", "pass", "secret", "token", "authorization", "api_key", "apikey", "openai_api_key", "neo4j_password")
 ANSI = r"\x1B(?:[@-Z\\-_]|\[[0-?]*[ -/]*[@-~])"
 LOG_TIME = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}[\d.:Z+-]*"
 LOG_ID = r"(?i)\b[0-9a-f]{8,}\b"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .detect import _alerts, detect_anomalies, ewma_baseline
+from .incidents import by_incident
 
 FEATURES = ("latency_ratio", "error_rate", "span_share", "tail_ratio", "unknown_share")
 SAMPLE = 256
@@ -107,11 +108,20 @@ def forest_alerts(features: DataFrame, stats: DataFrame, baselines: DataFrame, t
     return _alerts(s.filter(F.col("out") & ((F.col("score") >= 0.3) | (F.col("error_rate") >= err))), ())
 
 
+@by_incident
+def detector_choice(spans: DataFrame, mode: str = "auto", forest_from: int = 30, by: Sequence[str] = ()) -> DataFrame:
+    """span_count, detector (of each incident): the one that mode names; auto is the forest from `forest_from` spans on, else ewma."""
+    if mode not in ("ewma", "forest", "auto"):
+        raise ValueError(f"no detector is named {mode}")
+    n = spans.groupBy(*by).agg(F.count("*").alias("span_count"))
+    return n.withColumn("detector", F.when(F.col("span_count") >= forest_from, F.lit("forest")).otherwise(F.lit("ewma")) if mode == "auto" else F.lit(mode))
+
+
 def detect(spans: DataFrame, stats: DataFrame, features: DataFrame, mode: str = "ewma", forest_from: int = 30, **more) -> DataFrame:
     """Alerts of the detector that mode names: ewma, forest, or auto (the forest from `forest_from` spans on)."""
     if mode not in ("ewma", "forest", "auto"):
         raise ValueError(f"no detector is named {mode}")
     baselines = ewma_baseline(spans)
     if mode == "auto":
-        mode = "forest" if spans.limit(forest_from).count() >= forest_from else "ewma"
+        mode = detector_choice(spans.limit(forest_from), mode, forest_from).first()["detector"]
     return forest_alerts(features, stats, baselines, **more) if mode == "forest" else detect_anomalies(spans, stats, baselines, **more)

@@ -14,8 +14,8 @@ from .incidents import beside, by_incident, keys, packed, unpacked
 NODE_STATS = ("span_count", "error_count", "error_rate", "unknown_response_pct", "duration_mean_ms", "duration_p50_ms", "duration_p95_ms", "duration_p99_ms", "duration_std_ms", "duration_min_ms", "duration_max_ms", "operations")
 
 
-#: Edges and nodes of a graph whose PageRank is one job.
-SMALL = 20_000
+#: Edges and nodes of a graph whose PageRank is one job; steps of a search between two tables that are written.
+SMALL, HOPS = 20_000, 3
 
 
 @by_incident
@@ -89,21 +89,25 @@ def strong_components(edges: DataFrame) -> DataFrame:
             e = left.union(gone.filter("src <> dst").select("src", "dst")).distinct()
     while n:
         colour = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().withColumn("colour", F.col("node"))
-        changed = 1
-        while changed:
-            sent = e.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("new"))
-            grown = cut(colour.join(sent, "node", "left").select("node", F.greatest("colour", "new").alias("colour"), (F.col("new") > F.col("colour")).alias("changed")), "colours")
-            changed, colour = grown.filter("changed").count(), grown.select("node", "colour")
+        while True:
+            new = colour
+            for _ in range(HOPS):
+                sent = e.join(new.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "colour")
+                new = new.union(sent).groupBy("node").agg(F.max("colour").alias("colour"))
+            new, old = cut(new, "colours"), colour
+            colour = new
+            if not new.join(old.withColumnRenamed("colour", "old"), "node").filter("colour <> old").head(1):
+                break
         inner = e.join(colour.withColumnRenamed("node", "src"), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("c")), "dst").filter("colour = c").select("src", "dst", "colour")
         inner = cut(inner, "edges")
-        front = colour.filter("node = colour")
-        comp = front
+        comp, n_comp = colour.filter("node = colour"), 0
         while True:
-            step = inner.join(front.withColumnRenamed("node", "dst"), ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct()
-            front = cut(step.join(comp, "node", "left_anti"), "front")
-            if not front.head(1):
+            for _ in range(HOPS):
+                comp = comp.union(inner.join(comp.withColumnRenamed("node", "dst"), ["dst", "colour"]).select(F.col("src").alias("node"), "colour")).distinct()
+            comp = cut(comp, "component")
+            before, n_comp = n_comp, comp.count()
+            if n_comp == before:
                 break
-            comp = cut(comp.union(front), "component")
         names = comp.groupBy("colour").agg(F.min("node").alias("component"), F.count("*").alias("n")).filter("n > 1")
         found = found.union(comp.join(names, "colour").select("node", "component"))
         e = cut(inner.join(comp.withColumnRenamed("node", "src"), "src", "left_anti").join(comp.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), "edges")

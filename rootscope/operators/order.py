@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import cut
 
+#: Rows up to which a plain window serves: what one task sorts at most. Beyond, ranges give the same places.
+PLAIN = 1_000_000
+
 
 def _ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], weight: Column) -> tuple[DataFrame, DataFrame]:
     """df in ranges of (keys, order) with the range's number __range, and for each range and key __before and __all: the weight in earlier ranges and in all."""
@@ -23,6 +26,9 @@ def _ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], w
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], pos: str = "pos", n: str = "n") -> DataFrame:
     """df with each row's place in its group, from 1, by the columns of `order`, and the group's number of rows. Rows without a key column are left out."""
     df = df.dropna(subset=list(keys))
+    if df.count() <= PLAIN:
+        w = Window.partitionBy(*keys)
+        return df.withColumn(pos, F.row_number().over(w.orderBy(*order)).cast("long")).withColumn(n, F.count("*").over(w))
     placed, per = _ranges(df, keys, order, F.lit(1).cast("long"))
     local = placed.withColumn("__local", F.row_number().over(Window.partitionBy(*keys, "__range").orderBy(*order)))
     both = local.join(per, [*keys, "__range"])
@@ -34,7 +40,9 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str
 
     Values are counted first, so that a range holds each distinct one once. Nulls don't count.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    counted = cut(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n")), "counted")
+    if counted.count() <= PLAIN:
+        return _by_window(counted, keys, value, wanted, between)
     placed, per = _ranges(counted, keys, [value], F.col("__n"))
     spot = {k: F.col("__all").cast("double") * p for k, p in wanted.items()}
     if between:
@@ -57,3 +65,19 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str
         part = F.max((F.col("__all") - 1).cast("double") * p)
         cols.append((lo + (found(k, "hi") - lo) * (part - F.floor(part)) if between else lo).alias(k))
     return hit.groupBy(*keys).agg(*cols)
+
+
+def _by_window(counted: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float], between: bool) -> DataFrame:
+    """percentiles of counted values by running sums in a window."""
+    w = Window.partitionBy(*keys)
+    v = counted.withColumn("__upto", F.sum("__n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("__all", F.sum("__n").over(w))
+    at = lambda place: F.min(F.when(F.col("__upto") >= place, F.col(value)))
+    cols = []
+    for name, p in wanted.items():
+        if not between:
+            cols.append(at(F.greatest(F.ceil(F.col("__all").cast("double") * p).cast("long"), F.lit(1).cast("long"))).alias(name))
+            continue
+        spot = (F.col("__all") - 1).cast("double") * p
+        lo, part = at(F.floor(spot).cast("long") + 1), F.max(spot - F.floor(spot))
+        cols.append((lo + (at(F.ceil(spot).cast("long") + 1) - lo) * part).alias(name))
+    return v.groupBy(*keys).agg(*cols)

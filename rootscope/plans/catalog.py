@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import oracles, registry, wider  # noqa: F401  wider registers its queries
+from . import incidents, oracles, registry, wider  # noqa: F401  wider and incidents register theirs
 
 QUERIES = registry.QUERIES
 FLAGSHIP = registry.FLAGSHIP

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from . import oracles_wider
+from . import oracles_incidents, oracles_wider
 
 CTE = {
     "raw": """SELECT 't' || l_orderkey AS trace_id, 's' || l_orderkey || '-' || l_linenumber AS span_id,
@@ -78,6 +78,7 @@ CTE = {
 }
 
 CTE |= oracles_wider.CTE
+CTE |= oracles_incidents.CTE
 
 
 def _reads(text: str) -> set[str]:
@@ -110,8 +111,12 @@ STATEMENTS = {
     "i10_service_stats": "SELECT * FROM stats",
     "i10_service_stats_by_month": """SELECT strftime(make_timestamp(start_time), '%Y-%m') AS month, service_name AS service, count(*) AS span_count, count(*) FILTER (has_error OR response = '500') AS error_count, round(quantile_disc(duration_ms, 0.95), 2) AS duration_p95_ms FROM spans GROUP BY 1, 2""",
     "i12_overall_stats": "SELECT count(*) AS total_spans, count(DISTINCT span_id) AS unique_spans, count(DISTINCT service_name) AS unique_services, count(DISTINCT trace_id) AS unique_traces, count(*) FILTER (has_error OR response = '500') AS error_spans, count(*) FILTER (response = 'Unknown') / count(*) * 100 AS unknown_response_pct, list_sort(list(DISTINCT service_name)) AS services FROM spans",
-    "i13_ingest_summary": """SELECT (SELECT count(*) FROM resp) AS original_count, count(*) AS unique_count, (SELECT count(*) FROM resp) - count(*) AS duplicates_removed, true AS is_valid, 100.0::DOUBLE AS validation_rate,
-  count(*) FILTER (parent_span <> 'ROOT' AND parent_span NOT IN (SELECT span_id FROM spans)) AS orphan_count, count(DISTINCT service_name) AS unique_services, count(DISTINCT trace_id) AS unique_traces, count(*) FILTER (has_error OR response = '500') AS error_spans, count(*) FILTER (response = 'Unknown') / count(*) * 100 AS unknown_response_pct FROM spans""",
+    "i13_ingest_summary": """, odd AS (SELECT CASE WHEN ingest_seq % 90 <> 2 THEN trace_id END AS trace_id, CASE WHEN ingest_seq % 50 = 0 THEN '' ELSE span_id END AS span_id, CASE WHEN ingest_seq % 70 = 1 THEN '' ELSE service_name END AS service_name,
+  parent_span, operation_name, CASE WHEN has_error THEN 'ERROR' WHEN response = 'Unknown' THEN 'UNKNOWN' ELSE response END AS status, start_time, duration_ms, has_error, response, ingest_seq FROM resp),
+once AS (SELECT * FROM odd QUALIFY row_number() OVER (PARTITION BY coalesce(trace_id, ''), span_id, CASE WHEN span_id = '' THEN (parent_span, service_name, operation_name, status, start_time, duration_ms) END ORDER BY ingest_seq) = 1)
+SELECT (SELECT count(*) FROM odd) AS original_count, count(*) AS unique_count, (SELECT count(*) FROM odd) - count(*) AS duplicates_removed, count(*) FILTER (trace_id IS NOT NULL AND span_id <> '' AND service_name <> '') = count(*) AS is_valid,
+  count(*) FILTER (trace_id IS NOT NULL AND span_id <> '' AND service_name <> '') / count(*) * 100 AS validation_rate, count(*) FILTER (parent_span <> 'ROOT' AND parent_span NOT IN (SELECT span_id FROM once WHERE span_id <> '')) AS orphan_count,
+  count(DISTINCT nullif(service_name, '')) AS unique_services, count(DISTINCT trace_id) AS unique_traces, count(*) FILTER (has_error OR response = '500') AS error_spans, count(*) FILTER (response = 'Unknown') / count(*) * 100 AS unknown_response_pct FROM once""",
     "i19_discover_services": r"SELECT DISTINCT service FROM (SELECT regexp_replace(service_name, '-\d+$', '') AS service FROM spans UNION ALL SELECT regexp_replace(name, '-\d+$', '') FROM pod)",
     "g1_call_edges": "SELECT * FROM edges",
     "g2_service_nodes": f"SELECT id, {_STATS}, 'service' AS node_type FROM nodes",
@@ -147,9 +152,9 @@ SELECT array_to_string(path, '>') AS path FROM fw WHERE last = 'svc-5-1' ORDER B
     "t3_trace_facts": "SELECT * FROM tfacts",
     "t6_pod_facts": """SELECT 'pod' AS source, 'emits' AS relationship, 'POD_UNHEALTHY' AS target, 'kubectl pods ' || (SELECT string_agg(w, ', ' ORDER BY w) FROM (SELECT DISTINCT w FROM (SELECT 'status=' || status AS w FROM pod WHERE status <> 'Running' UNION ALL SELECT 'ready=' || ready FROM pod WHERE ready = '0/1' UNION ALL SELECT 'restarts=' || restarts FROM pod WHERE restarts >= 8 OR (restarts >= 3 AND (status <> 'Running' OR ready = '0/1'))))) AS citation_quote,
   round_even(least(1.0, ln(1 + count(*)) / ln(11)), 3)::DOUBLE AS relevance FROM pod WHERE status <> 'Running' OR ready = '0/1' OR restarts >= 8 HAVING count(*) > 0""",
-    "t9_peer_outliers": "SELECT * FROM peer",
-    "t10_own_outliers": "SELECT * FROM own",
-    "t11_metric_facts": "SELECT source, relationship, target, max(relevance) AS relevance FROM (SELECT * FROM peer UNION ALL SELECT * FROM own) GROUP BY 1, 2, 3",
+    "t9_peer_outliers": "SELECT * FROM peerq",
+    "t10_own_outliers": "SELECT * FROM ownq",
+    "t11_metric_facts": "SELECT * FROM (SELECT * FROM peerq UNION ALL SELECT * FROM ownq) QUALIFY row_number() OVER (PARTITION BY source, relationship, target ORDER BY relevance DESC, citation_quote) = 1",
     "t18_decide_incident": """, shaped AS (SELECT source, target, relevance FROM tfacts WHERE relationship <> 'calls' UNION ALL SELECT source, target, relevance FROM (SELECT source, target, max(relevance) AS relevance FROM (SELECT * FROM peer UNION ALL SELECT * FROM own) GROUP BY 1, 2))
 SELECT count(*) FILTER (relevance >= 0.3) > 0 AND count(DISTINCT source) FILTER (relevance >= 0.3) / greatest(count(DISTINCT source), 1) <= 0.3 AS anomaly, round(count(DISTINCT source) FILTER (relevance >= 0.3) / greatest(count(DISTINCT source), 1), 4) AS concentration FROM shaped""",
     "l1_error_lines": "SELECT service_name AS service, printf('[%s] op=%s response=%s duration=%.0fms trace=%s', service_name, operation_name, response, duration_ms, left(trace_id, 8)) AS line FROM (SELECT * FROM spans WHERE has_error AND service_name IN (SELECT service FROM ranked WHERE rank <= 5) ORDER BY ingest_seq LIMIT 60)",
@@ -169,6 +174,7 @@ SELECT case_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY case_id
     "e5_token_usage": "SELECT role AS caller, 'conversation' AS model, count(*) AS calls, sum(length(text))::BIGINT AS in_tokens, sum(turn)::BIGINT AS out_tokens, round(sum(turn) / 10.0, 3)::DOUBLE AS seconds FROM conversations GROUP BY 1",
 }
 STATEMENTS |= oracles_wider.STATEMENTS
+STATEMENTS |= oracles_incidents.STATEMENTS
 
 
 def build() -> dict[str, str]:

@@ -76,8 +76,15 @@ CTE = {
     "bad": f"SELECT DISTINCT source AS name FROM afacts WHERE relationship IN ('emits', 'blocks') AND NOT {_token('source')}",
     "suspects": f"""SELECT *, row_number() OVER (ORDER BY score DESC, pagerank DESC, service)::INT AS rank FROM (SELECT name AS service, round(coalesce(score, 0), 9) AS score, round(coalesce(s, 0), 9) AS pagerank, coalesce(role, 'UNKNOWN') AS role
   FROM (SELECT name FROM bad UNION SELECT dst FROM afedges WHERE src IN (SELECT name FROM bad) UNION SELECT src FROM afedges WHERE dst IN (SELECT name FROM bad)) LEFT JOIN ascores ON source = name LEFT JOIN frank ON id = name WHERE NOT {_token('name')} AND name NOT IN {_KNOWN} ORDER BY score DESC, pagerank DESC, service LIMIT 8)""",
-    "rows1": "SELECT substr(sha1(concat_ws('|', 's1', source, relationship, target)), 1, 16) AS edge_id, source, relationship, target, citation_quote, relevance, source_type FROM nofacts",
-    "near0": "SELECT name FROM (SELECT source AS name FROM rows1 UNION SELECT target FROM rows1) WHERE contains(lower(name), 'svc-5')",
+    "peerq": """SELECT service AS source, 'emits' AS relationship, CASE WHEN kind = 'cpu' THEN 'HIGH_CPU' ELSE 'HIGH_MEM' END AS target, printf('metric %s max=%.3f mean=%.3f (%.1fx, cross-sectional)', metric, mx, round(round(mean, 9)::DECIMAL(30, 12), 3)::DOUBLE, ratio) AS citation_quote, round_even(least(1.0, log10(greatest(ratio, 1.0001)) / 3), 3)::DOUBLE AS relevance
+  FROM (SELECT m.service, m.kind, m.metric, max(value) AS mx, any_value(mean) AS mean, max(value) / any_value(mean) AS ratio FROM metric m JOIN (SELECT metric, avg(value) AS mean FROM metric GROUP BY 1 HAVING avg(value) > 0) USING (metric) GROUP BY 1, 2, 3 HAVING max(value) >= 2 * any_value(mean)) QUALIFY row_number() OVER (PARTITION BY service, kind ORDER BY ratio DESC, metric DESC) = 1""",
+    "ownq": """SELECT service AS source, 'emits' AS relationship, CASE WHEN kind = 'cpu' THEN 'HIGH_CPU' ELSE 'HIGH_MEM' END AS target, printf('metric %s current=%.3f baseline=%.3f (z=%.1f, own-history)', metric, round(round(c, 9)::DECIMAL(30, 12), 3)::DOUBLE, round(round(b, 9)::DECIMAL(30, 12), 3)::DOUBLE, z) AS citation_quote, round_even(least(1.0, ln(1 + abs(z)) / ln(16)), 3)::DOUBLE AS relevance
+  FROM (SELECT *, (c - b) / greatest(sd, abs(b) * 0.05, 1e-6) AS z FROM (SELECT service, kind, metric, avg(value) FILTER (i > n - cur) AS c, avg(value) FILTER (i <= n - cur) AS b, stddev_pop(value) FILTER (i <= n - cur) AS sd FROM (SELECT *, least(greatest(3, floor(n * 0.3)), n - 3) AS cur FROM hist WHERE n >= 6) GROUP BY 1, 2, 3))
+  WHERE NOT (b = 0 AND sd = 0) AND abs(z) >= 3 QUALIFY row_number() OVER (PARTITION BY service, kind ORDER BY abs(z) DESC, metric DESC) = 1""",
+    "quoted": f"""SELECT source, relationship, target, citation_quote, relevance, CASE WHEN {_token('source')} THEN 'UNKNOWN' ELSE {role('source')} END AS source_type FROM (SELECT source, relationship, target, citation_quote, relevance FROM nofacts UNION ALL SELECT * FROM peerq UNION ALL SELECT * FROM ownq)
+  QUALIFY row_number() OVER (PARTITION BY source, relationship, target ORDER BY relevance DESC NULLS LAST, citation_quote) = 1""",
+    "rows1": "SELECT substr(sha1(concat_ws('|', 's1', source, relationship, target)), 1, 16) AS edge_id, source, relationship, target, citation_quote, relevance, source_type FROM quoted",
+    "near0": "SELECT source AS name FROM rows1 WHERE contains(lower(source), 'svc-5') OR contains(lower(target), 'svc-5') UNION SELECT target FROM rows1 WHERE contains(lower(source), 'svc-5') OR contains(lower(target), 'svc-5')",
     "near1": "SELECT name FROM near0 UNION SELECT target FROM rows1 WHERE source IN (SELECT name FROM near0) UNION SELECT source FROM rows1 WHERE target IN (SELECT name FROM near0)",
     "pats": r"""SELECT service, trim(regexp_replace(regexp_replace(regexp_replace(line, '\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}[\d.:Z+-]*', '', 'g'), '(?i)\b[0-9a-f]{8,}\b', '<id>', 'g'), '\b\d+\.\d+\.\d+\.\d+(:\d+)?\b', '<ip>', 'g')) AS pattern FROM flines""",
     "tops": "SELECT pattern, count(*) AS count, array_to_string(list_sort(list(DISTINCT service)), ',') AS services, count(DISTINCT service) AS n, count(*) / (SELECT count(*) FROM pats) AS share FROM pats GROUP BY 1",
@@ -111,9 +118,9 @@ _RED = "least(1.0, we * least(1.0, er * 3) + wl * (CASE WHEN abs(z) > 2 THEN lea
 _TPL = "CASE action WHEN 'rollout_restart' THEN 'kubectl rollout restart deployment/' || t || ' -n prod' WHEN 'rollback' THEN 'kubectl rollout undo deployment/' || t || ' -n prod' WHEN 'scale' THEN 'kubectl scale deployment/' || t || ' -n prod --replicas=1' WHEN 'patch_port' THEN 'kubectl patch deployment/' || t || ' -n prod --type=''json'' -p=''[{\"op\":\"replace\",\"path\":\"/spec/template/spec/containers/0/ports/0/containerPort\",\"value\":8080}]''' WHEN 'set_image' THEN 'kubectl set image deployment/' || t || ' ' || t || '=' || t || ':latest -n prod' WHEN 'wait_ready' THEN 'kubectl wait --for=condition=ready pod --all -n prod --timeout=180s' ELSE 'kubectl rollout restart deployment/' || t || ' -n prod' END"
 _FMT = "printf('[%s] %s -%s-> %s (%s): %s', source_type, source, relationship, target, printf('%.2f', round(relevance::DECIMAL(8, 3), 2)::DOUBLE), citation_quote) AS text"
 STATEMENTS = {
-    "i1_read_csv": "SELECT * FROM stdspans",
-    "i2_read_mixed": "SELECT * FROM stdspans",
-    "i3_read_auto": "SELECT * FROM stdspans",
+    "i1_read_csv": "SELECT *, row_number() OVER (ORDER BY trace_id, span_id, start_time, duration_ms, service_name, has_error, response) AS arrival FROM stdspans",
+    "i2_read_mixed": "SELECT *, row_number() OVER (ORDER BY trace_id, span_id, start_time, duration_ms, service_name, has_error, response) AS arrival FROM stdspans",
+    "i3_read_auto": "SELECT *, row_number() OVER (ORDER BY start_time % 2, trace_id, span_id, start_time, duration_ms, service_name, has_error, response) AS arrival FROM stdspans",
     "i4_read_json": "SELECT * FROM stdspans",
     "i5_normalize_spans": """SELECT 't' || l_orderkey AS trace_id, l_partkey::VARCHAR AS span_id, CASE WHEN k % 3 = 0 THEN 'ROOT' ELSE k::VARCHAR END AS parent_span, CASE WHEN k % 4 = 0 THEN 'unknown' ELSE 'svc-' || k END AS service_name, 'op' AS operation_name, CASE WHEN k = 5 THEN 0 ELSE l_suppkey END AS start_time,
   CASE WHEN k % 2 = 0 THEN 1.5 ELSE k END::DOUBLE AS duration_ms, CASE WHEN k % 2 = 0 THEN 1500 ELSE k * 1000 END::BIGINT AS duration, k <= 4 AS has_error, CASE WHEN k IN (2, 3, 4, 6) THEN 'Unknown' ELSE (['200', '', '', '', '503', '', 'ok'])[k] END AS response,
@@ -130,7 +137,9 @@ SELECT count(*) FILTER (missing = '') = count(*) AS is_valid, count(*) FILTER (m
     "g5_personal_pagerank": "SELECT id, round(s, 6) AS score FROM arank",
     "g6_fact_pagerank": "SELECT id, round(s, 6) AS score FROM trank",
     "g9_graph_json": """SELECT '{"directed":true,"nodes":[' || (SELECT string_agg('{"id":"' || id || '","node_type":"service"}', ',' ORDER BY id) FROM nodes) || '],"links":[' || (SELECT string_agg('{"source":"' || src || '","target":"' || dst || '","call_count":' || call_count || ',"error_rate":' || error_rate || '}', ',' ORDER BY src, dst) FROM edges) || ']}' AS json""",
-    "g10_graph_summary": "SELECT (SELECT count(*) FROM nodes) AS node_count, (SELECT count(*) FROM redges) AS edge_count, (SELECT count(*) FROM loops l WHERE len(string_split(l.cycle, '>')) <= 8) AS cycle_count, (SELECT string_agg(id, ',' ORDER BY s DESC, id) FROM (SELECT id, round(s, 9) AS s FROM crank ORDER BY 2 DESC, id LIMIT 5)) AS top",
+    "g3_strong_components": """, reach AS (SELECT src AS a, dst AS b FROM redges UNION SELECT a, dst FROM reach JOIN redges ON b = src)
+SELECT x.a AS node, min(x.b) AS component FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a GROUP BY 1""",
+    "g10_graph_summary": "SELECT (SELECT count(*) FROM nodes) AS node_count, (SELECT count(*) FROM redges) AS edge_count, (SELECT count(*) FROM loops) AS cycle_count, (SELECT string_agg(id, ',' ORDER BY s DESC, id) FROM (SELECT id, round(s, 9) AS s FROM crank ORDER BY 2 DESC, id LIMIT 5)) AS top",
     "g11_graph_sink": "SELECT id AS a, '' AS b, 'service' AS kind, CASE WHEN id LIKE '%-1' THEN 0 ELSE span_count END AS n FROM nodes UNION ALL SELECT src, dst, 'CALLS', CASE WHEN src LIKE 'svc-1-%' THEN -call_count ELSE call_count END FROM edges",
     "g12_trace_sink": "SELECT trace_id AS src, span_id AS dst, 'CONTAINS' AS edge_type FROM spans UNION ALL SELECT span_id, service_name, 'EXECUTED_BY' FROM spans UNION ALL SELECT span_id, parent_span, 'CHILD_OF' FROM spans WHERE parent_span <> 'ROOT'",
     "r12_rca_sink": "SELECT 'inc-1' AS incident_id, rank, service, CASE WHEN rank <= 2 THEN 0 ELSE confidence END::DOUBLE AS confidence FROM ranked WHERE rank <= 10 UNION ALL SELECT 'inc-2', rank, service, confidence FROM ranked WHERE rank <= 3",
@@ -159,12 +168,19 @@ SELECT src, dst FROM edges WHERE src IN (SELECT service FROM tree) AND dst IN (S
     "t2_service_role": f"SELECT id, {role('CASE WHEN word = chr(0) THEN word ELSE word END').replace('CASE WHEN word = chr(0) THEN word ELSE word END', 'name')} AS role FROM (SELECT id, CASE WHEN word = '' THEN '' ELSE word || '-' || id END AS name FROM words)",
     "t8_pod_of": "SELECT o_orderkey, 'pod-' || o_custkey AS pod FROM orders",
     "t12_log_facts": "SELECT * FROM lfacts",
-    "t17_merge_facts": "SELECT * FROM afacts",
-    "t19_fact_rows": "SELECT substr(sha1(concat_ws('|', 's1', source, relationship, target)), 1, 16) AS edge_id, 's1' AS session_id, 'observer' AS agent_id, source, relationship, target, 1 AS hierarchy_level, relevance, true AS is_active, source_type FROM afacts",
+    "t17_merge_facts": "SELECT * FROM quoted",
+    "t19_fact_rows": "SELECT substr(sha1(concat_ws('|', 's1', source, relationship, target)), 1, 16) AS edge_id, 's1' AS session_id, 'observer' AS agent_id, source, relationship, target, citation_quote, 1 AS hierarchy_level, relevance, true AS is_active, source_type FROM quoted",
     "t22_neighbourhood": f"SELECT {_FMT} FROM (SELECT * FROM rows1 WHERE source IN (SELECT name FROM near1) OR target IN (SELECT name FROM near1) ORDER BY relevance DESC, edge_id LIMIT 40)",
+    "t22_many_seeds": """, sd AS (SELECT DISTINCT source AS seed FROM rows1 WHERE source NOT LIKE 'user%'), hit AS (SELECT seed, source, target FROM sd JOIN rows1 ON contains(lower(source), lower(seed)) OR contains(lower(target), lower(seed))),
+  n0 AS (SELECT seed, source AS name FROM hit UNION SELECT seed, target FROM hit), n1 AS (SELECT * FROM n0 UNION SELECT seed, target FROM n0 JOIN rows1 ON source = name UNION SELECT seed, source FROM n0 JOIN rows1 ON target = name),
+  touch AS (SELECT DISTINCT seed, edge_id, relevance FROM n1 JOIN rows1 ON source = name OR target = name)
+SELECT seed, row_number() OVER (PARTITION BY seed ORDER BY relevance DESC, edge_id)::INT AS place, edge_id FROM touch QUALIFY place <= 40""",
+    "t18_decide_with_logs": f"""SELECT kind, count(*) FILTER (d) > 0 OR (count(*) FILTER (NOT d AND relevance >= 0.3) > 0 AND count(DISTINCT source) FILTER (NOT d AND relevance >= 0.3) / count(DISTINCT source) <= 0.3) AS anomaly, round(count(DISTINCT source) FILTER (NOT d AND relevance >= 0.3) / count(DISTINCT source), 4) AS concentration
+FROM (SELECT *, target IN ('CONNECTION_REFUSED', 'LOG_ERROR', 'TIMEOUT', 'POD_UNHEALTHY') AS d FROM (SELECT 'spans' AS kind, source, relationship, target, relevance FROM tfacts UNION ALL SELECT 'logs', source, relationship, target, relevance FROM lfacts UNION ALL SELECT 'pods', source, relationship, target, relevance FROM pfacts) WHERE relationship IN ('emits', 'blocks') AND NOT {_token('source')}) GROUP BY 1""",
+    "d10_choice_by_day": "SELECT strftime(make_timestamp(start_time), '%Y-%m-%d') AS day, count(*) AS span_count, CASE WHEN count(*) >= 30 THEN 'forest' ELSE 'ewma' END AS detector FROM spans GROUP BY 1",
     "t23_fact_lines": f"SELECT {_FMT} FROM rows1",
     "s1_rank_suspects": "SELECT service, round(score, 6) AS score, round(pagerank, 6) AS pagerank, role, rank FROM suspects",
-    "s7_rank_facts": "SELECT service AS source, 'ranked' AS relationship, 'SUSPECT_RANK_' || rank AS target, round_even(greatest(0.1, 1 - (rank - 1) / (SELECT count(*) FROM suspects) * 0.9), 3)::DOUBLE AS relevance, role AS source_type FROM suspects",
+    "s7_rank_facts": "SELECT service AS source, 'ranked' AS relationship, 'SUSPECT_RANK_' || rank AS target, printf('topological diagnoser rank %d/%d, anomaly_score=%.2f, role=%s', rank, (SELECT count(*) FROM suspects), score, role) AS citation_quote, round_even(greatest(0.1, 1 - (rank - 1) / (SELECT count(*) FROM suspects) * 0.9), 3)::DOUBLE AS relevance, role AS source_type FROM suspects",
     "s8_relabel_suspects": "SELECT service, label, round(adjusted, 6) AS adjusted, row_number() OVER (ORDER BY adjusted DESC, rank)::INT AS rank FROM (SELECT *, score * CASE label WHEN 'ROOT_CAUSE' THEN 2.0 WHEN 'SYMPTOM' THEN 0.6 WHEN 'NORMAL' THEN 0.25 ELSE 1.0 END::DOUBLE AS adjusted FROM (SELECT service, score, rank, CASE WHEN rank = 1 THEN 'SYMPTOM' WHEN rank % 3 = 0 THEN 'ROOT_CAUSE' WHEN rank % 3 = 1 THEN 'NORMAL' ELSE 'odd' END AS label FROM suspects))",
     "l5_clusters": "SELECT pattern, count, CASE WHEN share >= 0.5 THEN 'CRITICAL' WHEN share >= 0.25 THEN 'HIGH' WHEN share >= 0.1 THEN 'MEDIUM' ELSE 'LOW' END AS severity, services, printf('%d of %d lines in %d services', count, (SELECT count(*) FROM pats), n) AS summary FROM tops ORDER BY count DESC, pattern LIMIT 5",
     "l6_cluster_fault_type": "SELECT coalesce((SELECT CASE WHEN regexp_matches(lower(pattern), 'network|connection') THEN 'Network' WHEN regexp_matches(lower(pattern), 'auth|permission') THEN 'Auth Issue' ELSE 'Misconfiguration' END FROM (SELECT * FROM tops ORDER BY count DESC, pattern LIMIT 12) WHERE regexp_matches(lower(pattern), 'network|connection|auth|permission|config') ORDER BY count, pattern DESC LIMIT 1), 'Misconfiguration') AS fault_type",

@@ -115,7 +115,7 @@ def i12_overall_stats(spark, sf):
 
 @query
 def i13_ingest_summary(spark, sf):
-    return spans.ingest_summary(Run(spark, sf).raw)
+    return spans.ingest_summary(views.flawed_spans(spark, sf))
 
 
 @query
@@ -150,9 +150,12 @@ def _ranks(edges: DataFrame, **more) -> DataFrame:
 
 @query
 def g3_cycles(spark, sf):
-    edges = graph.cut(_ring(Run(spark, sf)))
-    most = edges.select("src").union(edges.select("dst")).distinct().count()  # no simple cycle is longer
-    return graph.cycles(edges, most).select(F.array_join("cycle", ">").alias("cycle"))
+    return graph.cycles(graph.cut(_ring(Run(spark, sf)))).select(F.array_join("cycle", ">").alias("cycle"))
+
+
+@query
+def g3_strong_components(spark, sf):
+    return graph.strong_components(graph.cut(_ring(Run(spark, sf))))
 
 
 @query
@@ -306,7 +309,8 @@ def r9_rank(spark, sf):
 @query
 def r10_shortest_path(spark, sf):
     cands, _, _, _, edges, _ = Run(spark, sf).ranked()
-    return rca.shortest_path(edges, cands.filter("rank = 1").first()["service"], START).select(F.array_join("path", ">").alias("path"))
+    pairs = cands.filter("rank = 1").select(F.col("service").alias("a"), F.lit(START).alias("b"))
+    return rca.shortest_paths(edges, pairs).select(F.array_join("path", ">").alias("path"))
 
 
 @query
@@ -383,17 +387,17 @@ def t6_pod_facts(spark, sf):
 
 @query
 def t9_peer_outliers(spark, sf):
-    return facts.peer_outliers(views.metrics(spark, sf)).drop("citation_quote")
+    return facts.peer_outliers(views.metrics(spark, sf))
 
 
 @query
 def t10_own_outliers(spark, sf):
-    return facts.own_outliers(views.metrics(spark, sf)).drop("citation_quote")
+    return facts.own_outliers(views.metrics(spark, sf))
 
 
 @query
 def t11_metric_facts(spark, sf):
-    return facts.metric_facts(views.metrics(spark, sf)).drop("citation_quote")
+    return facts.metric_facts(views.metrics(spark, sf))
 
 
 @query
@@ -407,29 +411,43 @@ def t18_decide_incident(spark, sf):
     return facts.decide_incident(f)
 
 
-def _all_facts(spark, sf, metrics=True):
+@query
+def t18_decide_with_logs(spark, sf):
+    """One row for the shape of spans and metrics beside logs and pods: each source of lines is an incident of its own, by the kind of fact."""
+    f = facts.trace_facts(Run(spark, sf).written()).withColumn("kind", F.lit("spans")).unionByName(facts.log_facts(views.fault_lines(spark, sf)).withColumn("kind", F.lit("logs"))).unionByName(facts.pod_facts(views.pods(spark, sf)).withColumn("kind", F.lit("pods")))
+    return facts.decide_incident(f, by=["kind"])
+
+
+def _all_facts(spark, sf):
     f = facts.trace_facts(Run(spark, sf).written()).unionByName(facts.pod_facts(views.pods(spark, sf))).unionByName(facts.log_facts(views.fault_lines(spark, sf)))
-    if metrics:
-        f = f.unionByName(facts.metric_facts(views.metrics(spark, sf)))
+    f = f.unionByName(facts.metric_facts(views.metrics(spark, sf)))
     return graph.cut(facts.merge_facts(f, "analysis").withColumn("seq", F.concat_ws("|", "source", "relationship", "target")))
 
 
 @query
 def t17_merge_facts(spark, sf):
-    return _all_facts(spark, sf).drop("seq", "citation_quote")
+    return _all_facts(spark, sf).drop("seq")
 
 
 @query
 def t19_fact_rows(spark, sf):
-    return facts.fact_rows(_all_facts(spark, sf), "s1").drop("extracted_at", "citation_quote")
+    return facts.fact_rows(_all_facts(spark, sf), "s1").drop("extracted_at")
 
 
 @query
 def t22_neighbourhood(spark, sf):
-    rows = graph.cut(facts.fact_rows(_all_facts(spark, sf, False), "s1"))
+    rows = graph.cut(facts.fact_rows(_all_facts(spark, sf), "s1"))
     return facts.fact_lines(facts.neighbourhood(rows, "svc-5", 1))
 
 
+@query
+def t22_many_seeds(spark, sf):
+    """Every source of a fact as a seed, none of whose facts is left out."""
+    rows = graph.cut(facts.fact_rows(_all_facts(spark, sf), "s1"))
+    seeds = rows.filter("source NOT LIKE 'user%'").select("session_id", F.col("source").alias("seed")).distinct()
+    return facts.neighbourhoods(rows, seeds, 1).select("seed", "place", "edge_id")
+
+
 def _suspects(spark, sf):
     return graph.cut(facts.rank_suspects(_all_facts(spark, sf), tol=0.0, max_iter=ROUNDS))
 
@@ -441,7 +459,7 @@ def s1_rank_suspects(spark, sf):
 
 @query
 def s7_rank_facts(spark, sf):
-    return facts.rank_facts(_suspects(spark, sf)).drop("citation_quote")
+    return facts.rank_facts(_suspects(spark, sf))
 
 
 # L: logs

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import pod_of, service_role
 from ..operators import detect, facts, forest, infra, logs, memory, mitigate, rca, report
+from ..operators.order import numbered
 from ..sources import readers, tables
 from ..sources.shared import shared_dir
 from . import views
@@ -25,26 +26,37 @@ def _folder(spark: SparkSession, label: str) -> str:
 
 
 def _standard(spark, sf, folder: str, keep: Column) -> str:
-    s = views.raw_spans(spark, sf).filter(keep)
+    s = _in_order(views.raw_spans(spark, sf).filter(keep))
     s.select("trace_id", "span_id", "parent_span", "service_name", "operation_name", "start_time", "duration", "has_error", "response").write.option("header", True).csv(folder)
     return folder
 
 
+def _in_order(s: DataFrame) -> DataFrame:
+    """Spans as files whose names are in the order of ids; of spans with an id those that are equal in all else may change places."""
+    order = ("trace_id", "span_id", "start_time", "duration", "service_name", "has_error", "response")
+    return s.repartitionByRange(4, *order).sortWithinPartitions(*order)
+
+
+def _arrived(s: DataFrame) -> DataFrame:
+    """Spans with their place in order of arrival."""
+    return numbered(s.withColumn("all", F.lit(0)), ["all"], ["ingest_seq"], "arrival", "n").select(*SPAN_COLUMNS, "arrival")
+
+
 def _mixed(spark, sf, folder: str, keep: Column) -> str:
     """trace, "span parent service", "operation start", duration, error, response: header and values are blank-separated in two fields."""
-    s = views.raw_spans(spark, sf).filter(keep)
+    s = _in_order(views.raw_spans(spark, sf).filter(keep))
     s.select("trace_id", F.concat_ws(" ", "span_id", "parent_span", "service_name").alias("span_id parent_span service_name"), F.concat_ws(" ", "operation_name", F.col("start_time").cast("string")).alias("operation_name start_time"), "duration", "has_error", "response").write.option("header", True).csv(folder)
     return folder
 
 
 @query
 def i1_read_csv(spark, sf):
-    return readers.read_spans(spark, _standard(spark, sf, _folder(spark, "csv"), F.lit(True)), "standard").select(*SPAN_COLUMNS)
+    return _arrived(readers.read_spans(spark, _standard(spark, sf, _folder(spark, "csv"), F.lit(True)), "standard"))
 
 
 @query
 def i2_read_mixed(spark, sf):
-    return readers.read_spans(spark, _mixed(spark, sf, _folder(spark, "mixed"), F.lit(True)), "mixed").select(*SPAN_COLUMNS)
+    return _arrived(readers.read_spans(spark, _mixed(spark, sf, _folder(spark, "mixed"), F.lit(True)), "mixed"))
 
 
 @query
@@ -53,7 +65,7 @@ def i3_read_auto(spark, sf):
     base, odd = _folder(spark, "auto"), F.col("start_time") % 2 == 1
     _standard(spark, sf, f"{base}/a", ~odd)
     _mixed(spark, sf, f"{base}/b", odd)
-    return readers.read_spans(spark, f"{base}/*").select(*SPAN_COLUMNS)
+    return _arrived(readers.read_spans(spark, f"{base}/*"))
 
 
 @query
@@ -247,6 +259,13 @@ def d10_detector_choice(spark, sf):
     return forest.detect(r.spans, stats, detect.forest_features(stats, base), "ewma").select("service", "score", "z_score")
 
 
+@query
+def d10_choice_by_day(spark, sf):
+    """Each day of spans is an incident: those of 30 spans and more go to the forest."""
+    s = Run(spark, sf).spans.withColumn("day", F.date_format(F.timestamp_micros("start_time"), "yyyy-MM-dd"))
+    return forest.detector_choice(s, "auto", by=["day"])
+
+
 @query
 def d14_kernel_signals(spark, sf):
     return detect.kernel_signals(views.kernel_metrics(spark, sf))
@@ -316,7 +335,7 @@ def t8_pod_of(spark, sf):
 
 @query
 def t23_fact_lines(spark, sf):
-    return facts.fact_lines(facts.fact_rows(_all_facts(spark, sf, False), "s1"))
+    return facts.fact_lines(facts.fact_rows(_all_facts(spark, sf), "s1"))
 
 
 @query
