@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+
 
 def signature(service: Column, anomaly: Column, root_cause: Column | None = None) -> Column:
     """md5 over the parts that there are. Lookups know no root cause; so incidents keep both forms."""
@@ -34,18 +36,24 @@ def store_incidents(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n", "__new")
 
 
+def latest(incidents: DataFrame) -> DataFrame:
+    """Of the rows of an id the one of the latest time, of equal times the greatest by its other values; by partial aggregation."""
+    rest = [F.col(c) for c, kind in incidents.dtypes if "map<" not in kind and c not in ("id", "ts")]
+    return incidents.groupBy("id").agg(F.max_by(F.struct(*incidents.columns), F.struct("ts", *rest)).alias("i")).select("i.*")
+
+
 def find_similar(incidents: DataFrame, asked: DataFrame, limit: int = 5) -> DataFrame:
-    """For each row of asked (case_id, signature, root_cause) its incidents of that signature or root cause, the newest first.
+    """For each row of asked (case_id, signature, root_cause) the incidents of that signature or root cause, the newest first.
 
-    Each key's incidents are cut to the newest `limit` ids before they are joined: a case's best ones are among the best
-    of each of its keys. Of an id that repeats its latest row counts.
+    The latest row of an id holds: one whose root cause has changed since is found by the new one only. Each key's incidents are cut to the
+    newest `limit` before they are joined: a case's best ones are among the best of each of its keys.
     """
-    key = F.col("__key")
+    now = cut(latest(incidents), "incidents")
 
     def newest(col: str) -> DataFrame:
-        latest = incidents.withColumn("__key", F.col(col)).filter(key.isNotNull()).groupBy(key, F.col("id").alias("__id")).agg(F.max("ts").alias("__ts"), F.max_by(F.struct(*incidents.columns), "ts").alias("__i"))
-        w = Window.partitionBy("__key").orderBy(F.desc("__ts"), "__id")
-        return latest.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= limit).select("__key", "__i.*")
+        w = Window.partitionBy("__key").orderBy(F.desc("ts"), "id")
+        rows = now.withColumn("__key", F.col(col)).filter(F.col("__key").isNotNull())
+        return rows.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= limit).drop("__n")
 
     by_sig = asked.select("case_id", F.col("signature").alias("__key")).join(newest("signature"), "__key")
     by_full = asked.select("case_id", F.col("signature").alias("__key")).join(newest("signature_full"), "__key")

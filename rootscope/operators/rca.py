@@ -5,13 +5,14 @@ Every operator takes `by`, the incident keys of its tables; a rank, a maximum or
 
 from __future__ import annotations
 
+import uuid
 import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import cut
+from ..sources.shared import cut, shared_dir
 from .incidents import beside, everywhere, keys, packed, unpacked
 
 CANDIDATE = ("service", "confidence", "error_rate", "latency_z_score", "traversal_depth", "evidence", "components")
@@ -213,25 +214,34 @@ def apply_deltas(cands: DataFrame, deltas: DataFrame, parity: bool = False, by:
 
 
 class _Side:
-    """One side of a two-sided breadth-first search: the level of each node it has reached, for each pair."""
+    """One side of a two-sided breadth-first search: a table of the nodes that it has reached, a part for each level."""
 
-    def __init__(self, pairs: DataFrame, col: str, edges: DataFrame, here: str, there: str):
-        self.front = pairs.select("pair", F.col(col).alias("node"))
-        self.levels, self.size = [self.front], 1
+    COLUMNS = "node string, met boolean, f integer, g integer, level integer"
+
+    def __init__(self, pairs: DataFrame, col: str, met: Column, edges: DataFrame, here: str, there: str):
+        spark = pairs.sparkSession
+        self.base, self.schema, self.n, self.size = f"{shared_dir(spark)}/levels-{uuid.uuid4().hex}", pairs.select("pair").schema, 0, 1
+        for part in self.COLUMNS.split(", "):
+            self.schema = self.schema.add(*part.split())
         self.edges = edges.select(F.col("by").alias("b"), F.col(here).alias("node"), F.col(there).alias("next"))
+        self._add(pairs.select("pair", F.col(col).alias("node"), met.alias("met"), F.lit(0).alias("f"), F.lit(0).alias("g")))
+
+    def _add(self, rows: DataFrame) -> None:
+        rows.write.parquet(f"{self.base}/level={self.n}")
+        self.front, self.n = self.reached().filter(F.col("level") == self.n), self.n + 1
 
     def reached(self) -> DataFrame:
-        out = self.levels[0].withColumn("level", F.lit(0))
-        for i, x in enumerate(self.levels[1:], 1):
-            out = out.union(x.withColumn("level", F.lit(i)))
-        return out
+        spark = self.edges.sparkSession
+        return spark.read.schema(self.schema).parquet(self.base)
 
-    def grow(self, open_pairs: DataFrame) -> None:
-        """One level more, for the pairs that haven't met."""
+    def grow(self, open_pairs: DataFrame, other: _Side, ahead: bool) -> None:
+        """One level more for the pairs that haven't met, marked where the other side already is."""
         now = self.front.join(open_pairs, "pair", "left_semi").withColumn("b", F.col("pair")["by"])
         step = now.join(self.edges, ["b", "node"]).select("pair", F.col("next").alias("node")).distinct()
-        self.front = cut(step.join(self.reached().select("pair", "node"), ["pair", "node"], "left_anti"), "level")
-        self.levels.append(self.front)
+        step = step.join(self.reached().select("pair", "node"), ["pair", "node"], "left_anti")
+        there = other.front.select("pair", "node", F.lit(True).alias("met"))
+        f, g = (self.n, other.n - 1) if ahead else (other.n - 1, self.n)
+        self._add(step.join(there, ["pair", "node"], "left").select("pair", "node", F.coalesce("met", F.lit(False)).alias("met"), F.lit(f).alias("f"), F.lit(g).alias("g")))
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -243,39 +253,35 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, by: Sequence[str] = ()) -
     one = F.struct(F.lit(0).alias("none")) if not by else F.struct(*(F.col(b).alias(b) for b in by))
     e = cut(edges.select(one.alias("by"), "src", "dst").distinct())
     p = cut(pairs.select(F.struct(one.alias("by"), "a", "b").alias("pair"), "a", "b").distinct(), "pairs")
-    met = p.filter("a = b").select("pair", F.col("a").alias("node"), F.lit(0).alias("f"), F.lit(0).alias("g"))
-    ahead, back = _Side(p, "a", e, "src", "dst"), _Side(p, "b", e, "dst", "src")
+    ahead, back = _Side(p, "a", F.col("a") == F.col("b"), e, "src", "dst"), _Side(p, "b", F.lit(False), e, "dst", "src")
     open_pairs = p.filter("a <> b").select("pair")
     while True:
         side, other = (ahead, back) if ahead.size <= back.size else (back, ahead)
-        side.grow(open_pairs)
-        both = side.front.join(other.levels[-1], ["pair", "node"])
-        now = cut(both.select("pair", "node", F.lit(len(ahead.levels) - 1).alias("f"), F.lit(len(back.levels) - 1).alias("g")), "met")
-        met = met.union(now)
+        side.grow(open_pairs, other, side is ahead)
         # pairs that neither met nor came to an end
-        open_pairs = side.front.select("pair").distinct().join(now, "pair", "left_anti")
+        open_pairs = side.front.groupBy("pair").agg(F.bool_or("met").alias("met")).filter("NOT met").select("pair")
         side.size = side.front.join(open_pairs, "pair", "left_semi").count()
         if not side.size:
             break
+    met = cut(ahead.reached().unionByName(back.reached()).filter("met").select("pair", "node", "f", "g"), "met")
     # nodes of the first part that lead to where the sides met, from there back
     into = e.select(F.col("by").alias("b"), F.col("src").alias("node"), F.col("dst").alias("next"))
-    marked = {}
-    for i in range(len(ahead.levels) - 1, -1, -1):
+    marked: dict[int, DataFrame] = {}
+    for i in range(ahead.n - 1, -1, -1):
         on = met.filter(F.col("f") == i).select("pair", "node")
         if i + 1 in marked:
-            after = marked[i + 1].withColumnRenamed("node", "next").withColumn("b", F.col("pair")["by"])
-            here = ahead.levels[i].withColumn("b", F.col("pair")["by"]).join(into, ["b", "node"])
-            on = on.union(here.join(after.select("pair", "next"), ["pair", "next"], "left_semi").select("pair", "node")).distinct()
+            here = ahead.reached().filter(F.col("level") == i).select("pair", "node").withColumn("b", F.col("pair")["by"]).join(into, ["b", "node"])
+            on = on.union(here.join(marked[i + 1].withColumnRenamed("node", "next"), ["pair", "next"], "left_semi").select("pair", "node")).distinct()
         marked[i] = cut(on, "marked")
     lengths = met.select("pair", "f", (F.col("f") + F.col("g")).alias("n")).distinct()
-    walk = cut(p.join(lengths, "pair").select("pair", "f", "n", F.col("a").alias("node"), F.array("a").alias("path")), "walk")
-    rest = cut(back.reached(), "rest")
-    for i in range(len(ahead.levels) + len(back.levels) - 2):
+    walk = p.join(lengths, "pair").select("pair", "f", "n", F.col("a").alias("node"), F.array("a").alias("path"))
+    rest = back.reached().select("pair", F.col("node").alias("next"), "level")
+    for i in range(ahead.n + back.n - 2):
         step = walk.filter(F.col("n") > i).withColumn("b", F.col("pair")["by"]).join(into, ["b", "node"]).drop("node", "b")
-        before = step.filter(F.col("f") > i).join(marked[i + 1].withColumnRenamed("node", "next"), ["pair", "next"], "left_semi") if i + 1 in marked else None
-        later = step.filter(F.col("f") <= i).withColumn("level", F.col("n") - i - 1).join(rest.withColumnRenamed("node", "next"), ["pair", "next", "level"], "left_semi").drop("level")
-        both = later if before is None else later.unionByName(before)
-        least = both.groupBy("pair", "f", "n", "path").agg(F.min("next").alias("node")).withColumn("path", F.array_append("path", F.col("node")))
+        on = step.filter(F.col("f") <= i).withColumn("level", F.col("n") - i - 1).join(rest, ["pair", "next", "level"], "left_semi").drop("level")
+        if i + 1 in marked:
+            on = on.unionByName(step.filter(F.col("f") > i).join(marked[i + 1].withColumnRenamed("node", "next"), ["pair", "next"], "left_semi"))
+        least = on.groupBy("pair", "f", "n", "path").agg(F.min("next").alias("node")).withColumn("path", F.array_append("path", F.col("node")))
         walk = cut(walk.filter(F.col("n") <= i).unionByName(least), "walk")
     return walk.select(*(F.col("pair")["by"][b].alias(b) for b in by), F.col("pair")["a"].alias("a"), F.col("pair")["b"].alias("b"), "path")
 

@@ -23,12 +23,25 @@ def span_key() -> Column:
     return F.when(span.isNotNull(), F.array(F.lit("id"), F.coalesce(trace, F.lit("")), span)).otherwise(F.array(F.lit("row"), F.coalesce(trace, F.lit("")), *rest, *times))
 
 
-def dedup_spans(spans: DataFrame) -> DataFrame:
-    """Of the spans of a key the one that came in first (ingest_seq). The long key is made for the few spans without an id only."""
+def _key_columns() -> dict[str, Column]:
+    """The key of span_key() as columns; the long one is made for the few spans without an id only."""
     span = filled(F.col("span_id"))
-    keys = {"__trace": F.coalesce(filled(F.col("trace_id")), F.lit("")), "__span": span, "__rest": F.when(span.isNull(), span_key())}
-    w = Window.partitionBy(*keys).orderBy("ingest_seq")
-    return spans.withColumns(keys).withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop(*keys, "__n")
+    return {"__trace": F.coalesce(filled(F.col("trace_id")), F.lit("")), "__span": F.coalesce(span, F.lit("")), "__rest": F.when(span.isNull(), F.to_json(span_key())).otherwise(F.lit(""))}
+
+
+def dedup_spans(spans: DataFrame) -> DataFrame:
+    """Of the spans of a key the one that came in first (ingest_seq).
+
+    Keys are counted first, by partial aggregation over the key's columns alone. Spans of the keys that occur once stay where they are, and only
+    those of repeated keys are ordered in a window, so that wide rows of spans that don't repeat are neither shuffled nor sorted.
+    """
+    keys = list(_key_columns())
+    keyed = spans.withColumns(_key_columns())
+    often = keyed.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(*keys)
+    once = keyed.join(often, keys, "left_anti").select(spans.columns)
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy("ingest_seq"))
+    again = keyed.join(often, keys, "left_semi").withColumn("__n", first).filter("__n = 1").select(spans.columns)
+    return once.unionByName(again)
 
 
 def dedup_stats(raw: DataFrame) -> DataFrame:
