@@ -77,21 +77,17 @@ def test_similar_cases_of_a_hot_root_cause(spark):
     """Each key's list is short, repeated ids count once, and the best ones are those of all incidents."""
     rng = random.Random(3)
     rows = [(f"i{rng.randrange(150)}", rng.randrange(60), f"s{rng.randrange(6)}", "full", "hot" if rng.random() < 0.7 else "cold") for _ in range(400)]
-    latest = {}
+    latest = {}  # the row of an id that holds
     for r in rows:
-        for key in (("sig", r[2]), ("root", r[4])):
-            latest[key, r[0]] = max(latest.get((key, r[0]), -1), r[1])
+        latest[r[0]] = max(latest.get(r[0], (-1,)), r[1:])
     i = spark.createDataFrame(rows, "id string, ts int, signature string, signature_full string, root_cause string")
     asked = spark.createDataFrame([("c1", "s1", "hot"), ("c2", "s2", None), ("c3", "none", "cold")], "case_id string, signature string, root_cause string")
     got = defaultdict(list)
     for r in memory.find_similar(i, asked).orderBy("case_id", "rank").collect():
         got[r.case_id].append(r.ts)
     for case, keys in (("c1", [("sig", "s1"), ("root", "hot")]), ("c2", [("sig", "s2")]), ("c3", [("root", "cold")])):
-        best = {}
-        for (key, name), ts in latest.items():
-            if key in keys:
-                best[name] = max(best.get(name, -1), ts)
-        assert sorted(got[case], reverse=True) == sorted(best.values(), reverse=True)[:5]
+        best = [ts for ts, sig, _, root in latest.values() if ("sig", sig) in keys or ("root", root) in keys]
+        assert sorted(got[case], reverse=True) == sorted(best, reverse=True)[:5]
 
 
 def test_trees_as_arrays():
