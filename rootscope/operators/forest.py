@@ -1,12 +1,18 @@
-"""Isolation-forest alerts: trees are grown in tasks on seeded samples, then sent to where the rows are scored."""
+"""Isolation-forest alerts: trees are grown in tasks on seeded samples, then sent to where the rows are scored.
+
+Samples and splits are drawn from md5 of the seed, the tree and the service or node, so a forest is the same on any
+cluster, and SQL can grow it too.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .detect import _alerts, detect_anomalies, ewma_baseline
@@ -20,15 +26,21 @@ def _path_norm(n: float) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
-def _grow(x: np.ndarray, depth: int, rng: np.random.Generator) -> list:
-    """A tree as nested lists: [size] for a leaf, [feature, cut, left, right] else."""
+def _uniform(*key: object) -> float:
+    """A number in [0, 1) from the first 32 bits of the md5 of the key's parts, joined by colons."""
+    return int(hashlib.md5(":".join(map(str, key)).encode(), usedforsecurity=False).hexdigest()[:8], 16) / 2.0**32
+
+
+def _grow(x: np.ndarray, depth: int, seed: int, tree: int, node: int = 1) -> list:
+    """A tree as nested lists: [size] for a leaf, [feature, cut, left, right] else. The children of a node are 2 * node and 2 * node + 1."""
     wide = np.flatnonzero(x.max(axis=0) > x.min(axis=0)) if len(x) > 1 and depth > 0 else []
     if not len(wide):
         return [len(x)]
-    f = int(rng.choice(wide))
-    cut = float(rng.uniform(x[:, f].min(), x[:, f].max()))
+    f = int(wide[int(_uniform(seed, tree, node, "feature") * len(wide))])
+    lo, hi = float(x[:, f].min()), float(x[:, f].max())
+    cut = lo + _uniform(seed, tree, node, "cut") * (hi - lo)
     low = x[:, f] < cut
-    return [f, cut, _grow(x[low], depth - 1, rng), _grow(x[~low], depth - 1, rng)]
+    return [f, cut, _grow(x[low], depth - 1, seed, tree, 2 * node), _grow(x[~low], depth - 1, seed, tree, 2 * node + 1)]
 
 
 def _flat(trees: list[list]) -> tuple[np.ndarray, ...]:
@@ -67,21 +79,17 @@ def forest_alerts(features: DataFrame, stats: DataFrame, baselines: DataFrame, t
     tools print it, where raw is the decision value; that isn't bound to [0, 1]. Skipped: scores under 0.3 with an
     error rate under err.
     """
-    import json
-
     spark = features.sparkSession
     cols = list(FEATURES)
     # each tree takes the SAMPLE rows whose hash with the tree's number is least: seeded, whatever the partitions are
     ids = spark.range(trees).withColumnRenamed("id", "tree")
-    picks = features.select("service", *cols).crossJoin(F.broadcast(ids)).withColumn("o", F.xxhash64("service", "tree", F.lit(seed)))  # `trees` numbers
-    from pyspark.sql import Window
-
+    picks = features.select("service", *cols).crossJoin(F.broadcast(ids)).withColumn("o", F.md5(F.concat_ws(":", F.lit(seed), "tree", "service")))  # `trees` numbers
     picks = picks.withColumn("n", F.row_number().over(Window.partitionBy("tree").orderBy("o", "service"))).filter(F.col("n") <= SAMPLE)
 
     def grow(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("n")
         x = part[cols].to_numpy(np.float64)
-        tree = _grow(x, int(np.ceil(np.log2(max(2, len(x))))), np.random.default_rng([seed, int(key[0])]))
+        tree = _grow(x, int(np.ceil(np.log2(max(2, len(x))))), seed, int(key[0]))
         return pd.DataFrame({"tree": [key[0]], "size": [len(x)], "body": [json.dumps(tree)]})
 
     grown = picks.groupBy("tree").applyInPandas(grow, "tree long, size long, body string").toPandas()  # `trees` rows, each of at most 2 * SAMPLE nodes
@@ -93,7 +101,8 @@ def forest_alerts(features: DataFrame, stats: DataFrame, baselines: DataFrame, t
             mean = np.concatenate([_mean_depth(flat, x[lo : lo + 4096]) for lo in range(0, len(x), 4096)]) if len(x) else np.zeros(0)
             yield pd.DataFrame({"service": part["service"], "iso": np.power(2.0, -mean / max(_path_norm(size), 1e-9))})
 
-    iso = features.select("service", *cols).mapInPandas(score, "service string, iso double")
+    # twelve digits, so that the bar doesn't hang on the order of sums
+    iso = features.select("service", *cols).mapInPandas(score, "service string, iso double").withColumn("iso", F.round("iso", 12))
     ends = iso.agg(F.min("iso").alias("lo"), F.max("iso").alias("hi"), F.expr(f"percentile(iso, {1 - contamination})").alias("bar"))
     s = iso.crossJoin(F.broadcast(ends)).withColumn("out", (F.col("iso") >= F.col("bar")) & (F.col("hi") > F.col("lo")))  # one row
     span = F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-9))

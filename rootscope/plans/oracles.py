@@ -127,6 +127,23 @@ SELECT (SELECT count(*) FROM odd) AS original_count, count(*) AS unique_count, (
     "d3_current_latency": "SELECT service, round(current_value, 4) AS current_value FROM current_lat",
     "d7_detect_anomalies": "SELECT service, severity, anomaly_type, score, z_score, round(current_value, 4) AS current_value, baseline_mean, baseline_std, printf('%s: %s detected. Current=%.1fms, Baseline=%.1fms ± %.1fms, Z-score=%.2f, Score=%.3f', service, anomaly_type, current_value, baseline_mean, baseline_std, z_score, score) AS details FROM alerts",
     "d8_forest_features": """SELECT s.service, CASE WHEN ewma_mean > 0 THEN duration_mean_ms / ewma_mean ELSE 1 END AS latency_ratio, error_rate, span_count / (SELECT sum(span_count) FROM stats) AS span_share, CASE WHEN duration_p50_ms > 0 THEN duration_p95_ms / duration_p50_ms ELSE 1 END AS tail_ratio, unknown_response_pct / 100 AS unknown_share FROM stats s LEFT JOIN baselines USING (service)""",
+    "d9_forest_alerts": """, features AS (SELECT s.service, [CASE WHEN ewma_mean > 0 THEN duration_mean_ms / ewma_mean ELSE 1 END, error_rate, span_count / (SELECT sum(span_count) FROM stats), CASE WHEN duration_p50_ms > 0 THEN duration_p95_ms / duration_p50_ms ELSE 1 END, unknown_response_pct / 100]::DOUBLE[] AS x FROM stats s LEFT JOIN baselines USING (service)),
+dealt AS (SELECT tree, service, x, row_number() OVER (PARTITION BY tree ORDER BY md5(concat('42:', tree, ':', service)), service) <= 256 AS own FROM features, range(100) t(tree)),
+size AS (SELECT least(256, count(*)) AS n FROM features),
+grown AS (SELECT tree, 1::BIGINT AS node, 0 AS depth, service, x, own, false AS leaf, 0::BIGINT AS left_here FROM dealt UNION ALL
+  SELECT tree, CASE WHEN stop THEN node WHEN x[f] < lo[f] + cut * (hi[f] - lo[f]) THEN 2 * node ELSE 2 * node + 1 END, CASE WHEN stop THEN depth ELSE depth + 1 END, service, x, own, stop, n
+  FROM (SELECT *, wide[1 + floor(pick * len(wide))::INT] AS f, n <= 1 OR depth >= ceil(log2((SELECT greatest(2, n) FROM size))) OR len(wide) = 0 AS stop
+    FROM (SELECT *, list_filter([1, 2, 3, 4, 5], lambda i: hi[i] > lo[i]) AS wide, ('0x' || left(md5(concat('42:', tree, ':', node, ':feature')), 8))::BIGINT / 4294967296.0::DOUBLE AS pick, ('0x' || left(md5(concat('42:', tree, ':', node, ':cut')), 8))::BIGINT / 4294967296.0::DOUBLE AS cut
+      FROM (SELECT *, count(*) FILTER (own) OVER w AS n, [min(x[1]) FILTER (own) OVER w, min(x[2]) FILTER (own) OVER w, min(x[3]) FILTER (own) OVER w, min(x[4]) FILTER (own) OVER w, min(x[5]) FILTER (own) OVER w] AS lo,
+        [max(x[1]) FILTER (own) OVER w, max(x[2]) FILTER (own) OVER w, max(x[3]) FILTER (own) OVER w, max(x[4]) FILTER (own) OVER w, max(x[5]) FILTER (own) OVER w] AS hi FROM grown WHERE NOT leaf WINDOW w AS (PARTITION BY tree, node))))),
+depths AS (SELECT n, CASE WHEN n <= 1 THEN 0 WHEN n = 2 THEN 1 ELSE 2 * (ln(n - 1) + 0.5772156649) - 2 * (n - 1) / n END::DOUBLE AS more FROM range(257) t(n)),
+iso AS (SELECT service, round(pow(2.0, -avg(depth + more) / greatest((SELECT more FROM depths JOIN size USING (n)), 1e-9)), 12) AS iso FROM grown JOIN depths ON left_here = n WHERE leaf GROUP BY 1),
+ends AS (SELECT min(iso) AS lo, max(iso) AS hi, quantile_cont(iso, 0.9) AS bar FROM iso),
+found AS (SELECT service, round((iso - lo) / greatest(hi - lo, 1e-9), 3)::DOUBLE AS score, error_rate, unknown_response_pct, duration_mean_ms AS cv, ewma_mean AS bm, ewma_std AS bs, coalesce(CASE WHEN ewma_std > 0.001 THEN round((duration_mean_ms - ewma_mean) / ewma_std, 3) END, 0)::DOUBLE AS z
+  FROM iso CROSS JOIN ends JOIN stats USING (service) JOIN baselines USING (service) WHERE iso >= bar AND hi > lo),
+told AS (SELECT *, coalesce(nullif(concat_ws('+', CASE WHEN abs(z) >= 3 THEN 'latency_spike' END, CASE WHEN error_rate >= 0.05 THEN 'error_rate_high' END, CASE WHEN unknown_response_pct > 80 THEN 'unknown_response_gap' END), ''), 'if_multivariate') AS kind FROM found WHERE score >= 0.3 OR error_rate >= 0.05)
+SELECT service, CASE WHEN score >= 0.8 THEN 'CRITICAL' WHEN score >= 0.6 THEN 'HIGH' WHEN score >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS severity, kind AS anomaly_type, score, z AS z_score, round(cv, 4) AS current_value, bm AS baseline_mean, bs AS baseline_std,
+  printf('%s: %s detected. Current=%.1fms, Baseline=%.1fms ± %.1fms, Z-score=%.2f, Score=%.3f', service, kind, cv, bm, bs, z, score) AS details FROM told""",
     "d11_primary_service": "SELECT * FROM primary_s",
     "d12_apply_labels": """SELECT service, label, CASE WHEN pos <= 8 THEN round(greatest(0.01, least(1.0, score * (CASE label WHEN 'ROOT_CAUSE' THEN 1.2 WHEN 'SYMPTOM' THEN 0.8 WHEN 'FALSE_POSITIVE' THEN 0.3 ELSE 1.0 END))), 3)::DOUBLE ELSE score END AS score
   FROM (SELECT service, score, row_number() OVER (ORDER BY score DESC, service) AS pos, CASE WHEN row_number() OVER (ORDER BY score DESC, service) <= 8 THEN (CASE WHEN service LIKE '%-1' THEN 'SYMPTOM' ELSE 'ROOT_CAUSE' END) END AS label FROM alerts)""",

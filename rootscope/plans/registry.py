@@ -234,7 +234,7 @@ def d8_forest_features(spark, sf):
 @query
 def d9_forest_alerts(spark, sf):
     stats, base, *_ = Run(spark, sf).small()
-    return forest.forest_alerts(graph.cut(detect.forest_features(stats, base)), stats, base)
+    return forest.forest_alerts(graph.cut(detect.forest_features(stats, base)), stats, base).withColumn("current_value", F.round("current_value", 4))
 
 
 @query

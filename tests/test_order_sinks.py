@@ -93,7 +93,7 @@ def test_similar_cases_of_a_hot_root_cause(spark):
 def test_trees_as_arrays():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(200, 3))
-    trees = [forest._grow(x[rng.choice(200, 64)], 6, rng) for _ in range(5)]
+    trees = [forest._grow(x[rng.choice(200, 64)], 6, 42, k) for k in range(5)]
 
     def depth(tree, row):
         d = 0
