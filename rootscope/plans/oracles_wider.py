@@ -187,6 +187,9 @@ FROM (SELECT *, target IN ('CONNECTION_REFUSED', 'LOG_ERROR', 'TIMEOUT', 'POD_UN
     "l7_redact_map": "SELECT o_orderkey, '[REDACTED]' AS password, 'api_key=[REDACTED] ok' AS note, o_orderstatus AS status FROM orders",
     "m4_update_outcome": """SELECT 'o' || k AS id, CASE WHEN k % 4 = 0 THEN coalesce(CASE WHEN st = 'P' THEN 'false_positive' WHEN k % 3 = 0 THEN 'resolved' END, 'pending') WHEN (k + 3) % 3 = 0 THEN 'resolved' ELSE 'failed' END AS outcome, round(0.5 + CASE WHEN k % 4 = 0 THEN 0 ELSE -0.1 END, 4)::DOUBLE AS confidence FROM (SELECT o_orderkey AS k, o_orderstatus AS st FROM orders)""",
     "m7_anomaly_type": "SELECT array_to_string(list_sort(list(DISTINCT anomaly_type)), '+') AS anomaly_type FROM (SELECT * FROM alerts ORDER BY score DESC, service LIMIT 3)",
+    "m3_similar_from_lists": """, inc AS (SELECT 'o' || o_orderkey AS id, o_orderdate + INTERVAL 1 DAY * (o_orderkey % 5 = 0)::INT AS ts, 'svc-' || (o_custkey % 50) AS service, 'svc-' || (CASE WHEN o_orderkey % 5 = 0 THEN o_custkey % 50 % 3 ELSE o_custkey % 7 END) AS root_cause FROM orders),
+asked AS (SELECT 'o' || o_orderkey AS case_id, 'svc-' || (o_custkey % 50) AS service, 'svc-' || (o_custkey % 7) AS root_cause FROM orders WHERE o_orderkey % 50 = 0)
+SELECT case_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY ts DESC, id)::INT AS rank FROM (SELECT DISTINCT case_id, inc.id, inc.ts FROM asked JOIN inc ON inc.service = asked.service OR inc.root_cause = asked.root_cause)) WHERE rank <= 5""",
     "m8_similar_links": """, inc AS (SELECT 'o' || o_orderkey AS id, o_orderdate AS ts, 'svc-' || (o_custkey % 50) AS service, 'svc-' || (o_custkey % 7) AS root_cause, o_orderkey AS k FROM orders), asked AS (SELECT id AS case_id, service, root_cause FROM inc WHERE k % 50 = 0)
 SELECT case_id AS src, id AS dst, 'SIMILAR_TO' AS edge_type FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY ts DESC, id) AS rank FROM (SELECT DISTINCT case_id, inc.id, inc.ts FROM asked JOIN inc ON inc.service = asked.service OR inc.root_cause = asked.root_cause)) WHERE rank <= 5 AND case_id <> id""",
     "a1_mitigation_plan": "SELECT *, true AS approved, CASE WHEN category = 'diagnostic' THEN 'Auto-approved (diagnostic)' ELSE 'Auto-approved (benchmark mode)' END AS approval_note, NULL::VARCHAR AS blocked FROM plan",

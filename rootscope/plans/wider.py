@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import pod_of, service_role
 from ..operators import detect, facts, forest, infra, logs, memory, mitigate, rca, report
 from ..operators.order import numbered
-from ..sources import readers, tables
+from ..sources import history, readers, tables
 from ..sources.shared import shared_dir
 from . import views
 from .registry import Run, _all_facts, _incidents, _ranks, _suspects, query
@@ -181,6 +181,18 @@ def m2_store_incidents(spark, sf):
     return out.select("id", "root_cause", "outcome", "signature")
 
 
+@query
+def m3_similar_from_lists(spark, sf):
+    """All incidents put into a history; then every fifth order's is found to have another root cause, a day later."""
+    o = _incidents(spark, sf).withColumn("anomaly_type", F.lit(""))
+    path = _folder(spark, "history")
+    history.add(memory.incident_rows(o).drop("metadata"), path)
+    moved = o.filter(F.substring("id", 2, 20).cast("long") % 5 == 0).withColumn("root_cause", F.concat(F.lit("svc-"), (F.substring("service", 5, 9).cast("int") % 3).cast("string"))).withColumn("ts", F.col("ts") + F.expr("interval 1 day"))
+    history.add(memory.incident_rows(moved).drop("metadata"), path)
+    asked = o.filter("asked").select(F.col("id").alias("case_id"), memory.signature(F.col("service"), F.lit("")).alias("signature"), "root_cause")
+    return history.find_similar(spark, path, asked).select("case_id", "id", "rank")
+
+
 @query
 def t19_store_facts(spark, sf):
     """Facts of two sessions stored, one of them twice."""

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from rootscope.operators import detect, forest, graph, memory, order, rca, spans
-from rootscope.sources import tables
+from rootscope.sources import history, tables
 from tests.test_spans import frame
 
 EDGE = "src string, dst string, call_count long, error_rate double"
@@ -90,6 +90,34 @@ def test_similar_cases_of_a_hot_root_cause(spark):
         assert sorted(got[case], reverse=True) == sorted(best, reverse=True)[:5]
 
 
+@pytest.mark.parametrize("merge", [16, 4])
+def test_similar_cases_from_lists(spark, tmp_path, monkeypatch, merge):
+    """After any writes the lists give what a search of all incidents gives: ids that move, leave a full list, come late or come twice."""
+    monkeypatch.setattr(history, "MERGE", merge)
+    rng, path, schema = random.Random(merge), str(tmp_path / "h"), "id string, ts int, signature string, signature_full string, root_cause string, note string"
+    made = []
+    asked = spark.createDataFrame([("c1", "s1", "hot"), ("c2", "s2", None), ("c3", "none", "cold"), ("c4", "f3", ""), ("c5", None, "rare")], "case_id string, signature string, root_cause string")
+    with pytest.raises(ValueError):
+        history.find_similar(spark, path, asked)
+    for turn in range(4):
+        at = rng.sample(range(30), 30)
+        rows = [(f"i{rng.randrange(40)}", 4 * (300 * rng.randrange(turn + 2) + t) + turn, rng.choice(["s1", "s2", "s3", None]), f"f{rng.randrange(4)}", rng.choice(["hot", "hot", "cold", "rare"]), f"{turn}-{t}") for t in at]
+        if turn == 2:  # the newest of a full list all move away
+            top = sorted(history.incidents(spark, path).filter("root_cause = 'hot'").collect(), key=lambda r: -r.ts)[:4]
+            rows = [(r.id, 5000 + k, "s9", "f9", "moved", "m") for k, r in enumerate(top)]
+        made += rows
+        history.add(spark.createDataFrame(rows, schema), path)
+        every = spark.createDataFrame(made, schema)
+        key = lambda df: sorted((r.case_id, r["rank"], r.id, r.ts, r.note) for r in df.collect())
+        assert key(history.find_similar(spark, path, asked)) == key(memory.find_similar(every, asked))
+        assert sorted(map(str, history.incidents(spark, path).collect())) == sorted(map(str, memory.latest(every).collect()))
+    history.add(spark.createDataFrame([], schema), path)
+    assert key(history.find_similar(spark, path, asked)) == key(memory.find_similar(every, asked))
+    assert len(history._parts(spark, path)[1]) < merge
+    with pytest.raises(ValueError):
+        history.find_similar(spark, path, asked, limit=6)
+
+
 def test_trees_as_arrays():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(200, 3))
