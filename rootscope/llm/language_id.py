@@ -20,6 +20,8 @@ from .tokens import chunks
 
 #: Hash buckets of the n-grams; a model has languages x BUCKETS counts.
 BUCKETS = 1 << 13
+#: Languages that a model may have: what the driver and each task hold. ISO 639-1 names 184.
+LANGUAGES = 256
 #: Of a text whose best codeword's share of the score is less, the language is open.
 AMBIGUOUS = 0.6
 _FOLD = np.arange(256, dtype=np.uint32)
@@ -39,7 +41,7 @@ def grams(data: np.ndarray) -> np.ndarray:
 
 
 def language_counts(labelled: DataFrame, text_col: str, lang_col: str) -> pd.DataFrame:
-    """lang, bucket, n over every labelled row: at most languages x BUCKETS rows, the only thing that the driver sees."""
+    """lang, bucket, n over every labelled row: at most LANGUAGES x BUCKETS rows, the only thing that the driver sees. More labels are an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -54,6 +56,8 @@ def language_counts(labelled: DataFrame, text_col: str, lang_col: str) -> pd.Dat
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(b), pa.string()), pa.array(b), pa.array(n[b])], names=["lang", "bucket", "n"])
 
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
+    if (found := rows.select("lang").distinct().limit(LANGUAGES + 1).count()) > LANGUAGES:
+        raise ValueError(f"{lang_col} has over {found - 1} values; a model holds {LANGUAGES} languages")
     return rows.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
 
 
@@ -105,7 +109,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """One row for each row of docs: doc_id, the columns of keep, lang_pred, score (0 to 1), ambiguous.
 
     A text that is null or has no letter is `und` with score 0, and so is every text if no language was learned.
-    The model has languages x BUCKETS x bits numbers and is sent to the tasks. Only the text decides; rows are
+    The model has BUCKETS x bits numbers, of at most LANGUAGES languages, and is sent to the tasks. Only the text decides; rows are
     independent of each other.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))

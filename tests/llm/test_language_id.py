@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from rootscope.llm import language_id as L
 
 WORDS = {"en": "the of and that house with this from water".split(), "de": "der und nicht über schön haus wasser straße zeit".split(), "fr": "les été dans une être maison avec eau français".split(), "es": "los año niño casa agua también según más con".split()}
@@ -62,3 +64,11 @@ def test_codewords():
     for n in (2, 3, 4, 9, 20):
         code = L.codewords(n)
         assert len({tuple(r) for r in code.tolist()}) == n
+
+
+def test_more_labels_than_a_model_holds(spark, monkeypatch):
+    monkeypatch.setattr(L, "LANGUAGES", 3)
+    df = spark.createDataFrame([(f"text {k}", f"l{k % n}", n) for n in (3, 4) for k in range(12)], "text string, lang string, n int")
+    assert len(L.train(df.filter("n = 3")).langs) == 3
+    with pytest.raises(ValueError, match="lang has over 3 values"):
+        L.train(df.filter("n = 4"))
