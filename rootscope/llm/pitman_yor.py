@@ -4,13 +4,14 @@ Restaurants: one for each word that stands before another one (END stands before
 that follow it. They share one parent over all words, whose base is uniform over the words and one unknown word. No word
 is merged with another, and every pair (context, word) keeps its own tables.
 
-Seating is sampled by an approximate blocked Gibbs step. A restaurant of T tables gets an auxiliary Gamma(theta / d + T) variable z; given
-all z and the parent's probabilities, the numbers of tables of its dishes are independent, each in proportion to S(c, t) (d z p) ** t, where c are the
-dish's customers, p is the parent's probability and S are generalised Stirling numbers. The step is not exact: p is the parent's predictive of
-the last state, which still holds the cell's own tables and isn't drawn (expected tables of small two-level cases are off by 0.6 to 3.4 %). So a hot context is parted over
-tasks like any other pairs. Up to ROW customers the number is drawn from that distribution itself; beyond, by a Metropolis step,
-whose proposals are exact draws of a Pitman-Yor process of the matching strength. The parent gets a customer for each
-table and is sampled in the same way. Predictive probabilities are averaged over the sweeps after the first ones.
+Seating is sampled by blocked Gibbs steps. A restaurant of T tables gets an auxiliary Gamma(theta / d + T) variable z; given all z and
+the parent's probabilities p of words, drawn as well, the numbers of tables of its dishes are independent, each in proportion to
+S(c, t) (d z p) ** t, where c are the dish's customers and S are generalised Stirling numbers. So a hot context is parted over tasks like any
+other pairs. The parent gets a customer for each table. It is a process of independent masses of words, normalised: given its own auxiliary
+variable z0, its tables are drawn in the same way, and then a word's mass is Gamma(c - d0 t) for what its tables hold, and a tilted stable variable
+of exponent z0 b for the rest, b the base's probability. Up to ROW customers tables are drawn from their distribution itself; beyond, by
+Metropolis steps, whose proposals are exact draws of a Pitman-Yor process of the matching strength. Scores don't use the drawn masses,
+but the predictive probabilities of the seatings, averaged over the sweeps after the first ones.
 
 Where things are: texts become chunks (a dictionary of word hashes, tokens by their place in it). Words are parted by
 hash; a part numbers its words by frequency, and number and part make a word's id. Pairs are parted into blocks by the
@@ -199,6 +200,26 @@ def draw(c: np.ndarray, a: np.ndarray, d: float, logs: np.ndarray, rng: np.rando
     return t
 
 
+def tilted_stable(a: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Variables with E exp(-x s) = exp(-a ((1 + x) ** d - 1)): sums of stable variables of exponents up to 1, each kept with the chance exp(-s)."""
+    pieces = np.maximum(1, np.ceil(a)).astype(np.int64)
+    place = np.repeat(np.arange(len(a)), pieces)
+    scale, out = (a / pieces) ** (1 / d), np.zeros(len(a))
+    while len(place):
+        u, e = rng.uniform(0, np.pi, len(place)), rng.standard_exponential(len(place))
+        with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+            s = scale[place] * np.sin(d * u) / np.sin(u) ** (1 / d) * (np.sin((1 - d) * u) / e) ** ((1 - d) / d)
+        yes = rng.random(len(place)) < np.exp(-np.nan_to_num(s, nan=np.inf))
+        out += np.bincount(place[yes], weights=s[yes], minlength=len(a))
+        place = place[~yes]
+    return out
+
+
+def masses(cw: np.ndarray, tw: np.ndarray, a: np.ndarray, d0: float, rng: np.random.Generator) -> np.ndarray:
+    """The parent's masses of words with cw customers at tw tables; a: z0 b."""
+    return rng.gamma(np.maximum(cw - d0 * tw, 0)) + tilted_stable(a, d0, rng)
+
+
 def discount(ones: float, twos: float) -> float:
     return float(np.clip(ones / max(1.0, ones + 2 * twos), 0.1, 0.95))
 
@@ -347,7 +368,8 @@ def _runs(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 def _block(n_parts: int) -> Callable[[Group], list[tuple]]:
     """pair rows of a block -> block: u (differences), w, c; solo and cell: u and w of its pairs seen once, or more often; base and
-    link: of each part and role (sender: 2 * block + role; 0 context, 1 dish), words with their tables of pairs seen once, and words of cells."""
+    link: of each part and role (sender: 2 * block + role; 0 context, 1 dish), words with their tables of pairs seen once, and words of cells
+    with their numbers of cells and tables to start with, drawn from Pitman-Yor processes without strength by the block's own discount."""
 
     def f(g: Group) -> list[tuple]:
         got = [[np.cumsum(unpack(r["a"])), unpack(r["b"]), unpack(r["c"])] for r in g.of("pair")]
@@ -359,22 +381,23 @@ def _block(n_parts: int) -> Callable[[Group], list[tuple]]:
         c = np.bincount(place, weights=c, minlength=len(key)).astype(np.int64)
         u, w = us[key // max(1, len(ws))], ws[key % max(1, len(ws))]
         out = [row("block", g.at, 0, np.diff(u, prepend=0), w, c, n1=(c == 1).sum(), n2=(c == 2).sum())]
-        for kind, at in (("base", c == 1), ("cell", c > 1)):
+        cells, d = c > 1, discount((c == 1).sum(), (c == 2).sum())
+        t = process_tables(c[cells], np.full(cells.sum(), 1e-9), d, stirling(d, ROW), np.random.default_rng([ROW, g.at]))
+        for kind, at in (("base", ~cells), ("link", cells)):
             for role, x in ((0, u[at]), (1, w[at])):
-                own, n = np.unique(x, return_counts=True)
+                own, place, n = np.unique(x, return_inverse=True, return_counts=True)
+                first = np.bincount(place, weights=t, minlength=len(own)).astype(np.int64) if kind == "link" else n
                 for j, to in _runs(own % n_parts):
-                    out.append(row("link" if kind == "cell" else kind, j, 2 * g.at + role, np.diff(own[to] // n_parts, prepend=0), n[to]))
-        cells = c > 1
+                    out.append(row(kind, j, 2 * g.at + role, np.diff(own[to] // n_parts, prepend=0), n[to], first[to] if kind == "link" else None))
         return [*out, row("cell", g.at, 0, np.diff(u[cells], prepend=0), w[cells], c[cells])]
 
     return f
 
 
-def _summed(d0: float, b: float, z0: float, d: float, seed: int) -> Callable[[Group], list[tuple]]:
+def _summed(d0: float, a0: float, seed: int) -> Callable[[Group], list[tuple]]:
     """A part's turn. base: tables of pairs seen once; link: the words that each block asks for; sum: their tables now.
 
-    state: tables tu of each word as a context and cw as a dish (the parent's customers), its tables tw in the parent.
-    value: for each link, z of a context, or cw and tw of a dish.
+    state: tables tu of each word as a context and cw as a dish (the parent's customers), its tables tw in the parent. a0: d0 z0 b.
     """
     logs = stirling(d0, ROW)
 
@@ -383,17 +406,28 @@ def _summed(d0: float, b: float, z0: float, d: float, seed: int) -> Callable[[Gr
         tables = [np.zeros(size, np.int64), np.zeros(size, np.int64)]
         for r in g.of("base"):
             tables[r["sender"] % 2][np.cumsum(unpack(r["a"]))] += unpack(r["b"])
-        links = {r["sender"]: (np.cumsum(unpack(r["a"])), unpack(r["b"])) for r in g.of("link")}
+        links = {r["sender"]: (np.cumsum(unpack(r["a"])), unpack(r["c"])) for r in g.of("link")}
         now = {r["sender"]: unpack(r["a"]) for r in g.of("sum")}
         for k, (at, first) in links.items():
             tables[k % 2][at] += now.get(k, first)
         tu, cw = tables
         rng = np.random.default_rng([seed, g.at])
         last = g.one("state")
-        tw = draw(cw, np.full(size, d0 * z0 * b), d0, logs, rng, last and np.minimum(unpack(last["c"]), cw))
-        z = rng.gamma(THETA / d + tu).astype(np.float32)
-        out = [row("state", g.at, 0, tu, cw, tw, n1=cw.sum(), n2=tw.sum())]
-        return out + [row("value", k // 2, 2 * g.at + k % 2, *((z[at],) if k % 2 == 0 else (cw[at], tw[at]))) for k, (at, _) in links.items()]
+        tw = draw(cw, np.full(size, a0), d0, logs, rng, last and np.minimum(unpack(last["c"]), cw))
+        return [row("state", g.at, 0, tu, cw, tw, n1=cw.sum(), n2=tw.sum())]
+
+    return f
+
+
+def _massed(d0: float, a: float, d: float, seed: int) -> Callable[[Group], list[tuple]]:
+    """A part's second turn, state and link rows -> value: for each link, z of contexts or the parent's masses of dishes; mass: the sum of all masses."""
+
+    def f(g: Group) -> list[tuple]:
+        tu, cw, tw = (unpack(g.one("state")[k]) for k in "abc")
+        rng = np.random.default_rng([seed, g.at])
+        own = [rng.gamma(THETA / d + tu).astype(np.float32), masses(cw, tw, np.full(len(cw), a), d0, rng).astype(np.float32)]
+        out = [row("mass", g.at, n1=own[1].sum(dtype=np.float64))]
+        return out + [row("value", r["sender"] // 2, 2 * g.at + r["sender"] % 2, own[r["sender"] % 2][np.cumsum(unpack(r["a"]))]) for r in g.of("link")]
 
     return f
 
@@ -403,7 +437,7 @@ def parent(cw: np.ndarray, tw: np.ndarray, d0: float, b: float, customers: float
     return (cw - d0 * tw + (THETA + d0 * tables) * b) / (THETA + customers)
 
 
-def _seated(n_parts: int, d: float, d0: float, b: float, totals: tuple[float, float], seed: int) -> Callable[[Group], list[tuple]]:
+def _seated(n_parts: int, d: float, mass: float, seed: int) -> Callable[[Group], list[tuple]]:
     """A block's turn: cell and value rows -> seat: the tables of each cell; sum: those of each word that it asks for."""
     logs = stirling(d, ROW)
 
@@ -416,12 +450,11 @@ def _seated(n_parts: int, d: float, d0: float, b: float, totals: tuple[float, fl
             own, place = np.unique(x, return_inverse=True)
             parts, value = list(_runs(own % n_parts)), np.empty(len(own))
             for j, to in parts:
-                r = values[2 * j + role]
-                value[to] = d * unpack(r["a"]) if role == 0 else parent(unpack(r["a"]), unpack(r["b"]), d0, b, *totals)
+                value[to] = unpack(values[2 * j + role]["a"]) * (d if role == 0 else 1 / mass)
             per.append((place, parts, value))
         last = g.one("seat")
         t = draw(c, per[0][2][per[0][0]] * per[1][2][per[1][0]], d, logs, np.random.default_rng([seed, g.at]), last and unpack(last["a"]))
-        out = [row("seat", g.at, 0, t)]
+        out = [row("seat", g.at, 0, t, n1=t.sum())]
         for role, (place, parts, value) in enumerate(per):
             sums = np.bincount(place, weights=t, minlength=len(value)).astype(np.int64)
             out += [row("sum", j, 2 * g.at + role, sums[to]) for j, to in parts]
@@ -490,31 +523,41 @@ class Model:
         free(self.spark)
         self.blocks = Kept(met(self.pairs.of("pair"), _block(self.n_parts), self.n_blocks), "blocks")
         free(self.spark)
-        self.d = discount(*(x or 0.0 for x in self.blocks.of("block").agg(F.sum("n1"), F.sum("n2")).first()))
+        once, twice = (x or 0.0 for x in self.blocks.of("block").agg(F.sum("n1"), F.sum("n2")).first())
+        self.d = discount(once, twice)
         self.d0 = discount(*(x or 0.0 for x in self.singles()))
         self.seats: list[Kept] = []
         self.states: list[tuple[Kept, tuple[float, float]]] = []
-        rng, tables = np.random.default_rng(11), float(self.v)
-        fixed, state, seats = self.parts.of("part").unionByName(self.blocks.of("base", "link")), None, None
+        rng = np.random.default_rng(11)
+        z0 = float(rng.gamma(THETA / self.d0 + self.v))
+        fixed, state, seats, tilt = self.parts.of("part").unionByName(self.blocks.of("base", "link")), None, None, None
+        links = self.blocks.of("link").withColumns({k: F.lit(None).cast("binary") for k in "bc"})
         for turn in range(SWEEPS + 1):
-            z0 = float(rng.gamma(THETA / self.d0 + tables))
             rows = fixed if seats is None else fixed.unionByName(seats.of("sum")).unionByName(state.of("state"))
-            last, state = state, Kept(met(rows, _summed(self.d0, self.b, z0, self.d, 2 * turn), self.n_parts), "state")
-            totals = tuple(x or 0.0 for x in state.of("state").agg(F.sum("n1"), F.sum("n2")).first())
-            tables = totals[1]
+            last, state = state, Kept(met(rows, _summed(self.d0, self.d0 * z0 * self.b, 3 * turn), self.n_parts), "state")
+            customers, tables = totals = tuple(x or 0.0 for x in state.of("state").agg(F.sum("n1"), F.sum("n2")).first())
             if last and turn - 1 <= BURN_IN:
                 last.drop()
             if turn > BURN_IN:
                 self.states.append((state, totals))
             if turn < SWEEPS:
-                rows = self.blocks.of("cell").unionByName(state.of("value"))
+                tilt = 1 + rng.gamma(customers) / rng.gamma(THETA) if tilt is None else tilt
+                z0 = float(rng.gamma(THETA / self.d0 + tables))
+                zeta = z0 / tilt**self.d0
+                values = Kept(met(state.of("state").unionByName(links), _massed(self.d0, z0 * self.b, self.d, 3 * turn + 1), self.n_parts), "values")
+                # a sum of decimals: the same in any order
+                mass = float(values.of("mass").agg(F.sum(F.col("n1").cast("decimal(30,6)"))).first()[0] or 0) + float(tilted_stable(np.array([z0 * self.b]), self.d0, rng)[0])
+                rows = self.blocks.of("cell").unionByName(values.of("value"))
                 rows = rows if seats is None else rows.unionByName(seats.of("seat"))
-                last, seats = seats, Kept(met(rows, _seated(self.n_parts, self.d, self.d0, self.b, totals, 2 * turn + 1), self.n_blocks), "seats")
+                last, seats = seats, Kept(met(rows, _seated(self.n_parts, self.d, mass, 3 * turn + 2), self.n_blocks), "seats")
                 if last and turn - 1 < BURN_IN:
                     last.drop()
                 if turn >= BURN_IN:
                     self.seats.append(seats)
-                state.drop("value")
+                values.drop()
+                # masses are those of tilt 1 over the tilt; its new value, given them and the new tables
+                tilt = 1 + rng.gamma(once + float(seats.of("seat").agg(F.sum("n1")).first()[0] or 0)) * tilt / mass
+                z0 = zeta * tilt**self.d0
             free(self.spark)
         self.blocks.drop("base", "link", "cell")
 

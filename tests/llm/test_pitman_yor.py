@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 import re
@@ -177,6 +178,59 @@ def test_process_tables_follow_the_process():
     assert abs(got - t.mean()) < 0.1
 
 
+def test_tilted_stable_has_its_transform():
+    rng = np.random.default_rng(4)
+    for d, a in ((0.5, 0.3), (0.8, 2.5), (0.2, 1.0), (0.95, 7.0)):
+        s = M.tilted_stable(np.full(100_000, a), d, rng)
+        for x in (0.2, 1.0, 5.0):
+            assert abs(np.exp(-x * s).mean() - math.exp(-a * ((1 + x) ** d - 1))) < 0.006
+
+
+def rising(theta, d, n):
+    return math.prod(theta + d * i for i in range(n))
+
+
+@pytest.mark.parametrize("d, d0", [(0.5, 0.5), (0.7, 0.3), (0.3, 0.8)])
+def test_sweeps_draw_from_the_posterior(d, d0):
+    """Two contexts that share dishes: tables settle at what all seatings of both levels, weighed one by one, give."""
+    cells = [(0, 0, 3), (0, 1, 1), (1, 0, 2), (1, 1, 2)]  # context, dish, customers
+    b, dishes = 1 / 3, 2
+    logs, logs0 = M.stirling(d, 8), M.stirling(d0, 16)
+    want, total = np.zeros(len(cells) + dishes), 0.0
+    for t in itertools.product(*(range(1, c + 1) for *_, c in cells)):
+        weight = math.prod(math.exp(logs[c, x - 1]) for (*_, c), x in zip(cells, t, strict=True))
+        for u in (0, 1):
+            weight *= rising(M.THETA, d, sum(x for (v, *_), x in zip(cells, t, strict=True) if v == u))
+        cw = [sum(x for (_, w, _), x in zip(cells, t, strict=True) if w == k) for k in range(dishes)]
+        for tw in itertools.product(*(range(1, c + 1) for c in cw)):
+            full = weight * rising(M.THETA, d0, sum(tw)) / rising(M.THETA, 1, sum(cw)) * math.prod(math.exp(logs0[c, x - 1]) * b**x for c, x in zip(cw, tw, strict=True))
+            want += full * np.array([*t, *tw])
+            total += full
+    want /= total
+
+    # many copies of the case at once, each with its own parent: what the parts and blocks of a sweep do
+    n, rng = 20_000, np.random.default_rng(5)
+    u, w, c = (np.array(x) for x in zip(*cells, strict=True))
+    t, got, kept = np.ones((n, len(cells)), np.int64), np.zeros(len(want)), 0
+    z0, tilt = rng.gamma(M.THETA / d0 + 2, size=n), None
+    by = lambda x, of, k: np.stack([x[:, of == i].sum(axis=1) for i in range(k)], axis=1)
+    for turn in range(60):
+        cw, tu = by(t, w, dishes), by(t, u, 2)
+        tw = M.draw(cw.ravel(), np.repeat(d0 * z0 * b, dishes), d0, logs0, rng).reshape(n, dishes)
+        if turn >= 15:
+            got, kept = got + np.concatenate([t, tw], axis=1).mean(axis=0), kept + 1
+        tilt = 1 + rng.gamma(cw.sum(axis=1)) / rng.gamma(M.THETA, size=n) if tilt is None else tilt
+        z0 = rng.gamma(M.THETA / d0 + tw.sum(axis=1))
+        zeta = z0 / tilt**d0
+        m = M.masses(cw.ravel(), tw.ravel(), np.repeat(z0 * b, dishes), d0, rng).reshape(n, dishes)
+        mass = m.sum(axis=1) + M.tilted_stable(z0 * b, d0, rng)
+        z = rng.gamma(M.THETA / d + tu)
+        t = M.draw(np.tile(c, n), (d * z[:, u] * m[:, w] / mass[:, None]).ravel(), d, logs, rng).reshape(n, -1)
+        tilt = 1 + rng.gamma(t.sum(axis=1)) * tilt / mass
+        z0 = zeta * tilt**d0
+    assert np.abs(got / kept / want - 1).max() < 0.005
+
+
 def test_arrays_travel_whole():
     for x in (np.array([], np.int64), np.array([-1, 300]), np.array([0, 2**40]), np.array([0.5, 1e-300]), np.array([2**64 - 1, 0], np.uint64)):
         assert (M.unpack(M.pack(x)) == x).all()
