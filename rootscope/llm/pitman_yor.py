@@ -200,24 +200,54 @@ def draw(c: np.ndarray, a: np.ndarray, d: float, logs: np.ndarray, rng: np.rando
     return t
 
 
-def tilted_stable(a: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+def keys_of(ids: np.ndarray, seed: int) -> np.ndarray:
+    """What the variables of ids are drawn from: whoever draws for an id, a part or a block, draws the same."""
+    return mix(mix(ids.astype(np.uint64)) + np.uint64(seed))
+
+
+def uniform(keys: np.ndarray, k: int) -> np.ndarray:
+    """The k-th uniform variable of each key."""
+    return ((mix(keys + np.uint64(k * int(_R) & (1 << 64) - 1)) >> np.uint64(11)) + 0.5) / 2.0**53
+
+
+def gamma(shape: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Gamma variables of the keys, by rejection from the cube of a normal one; shapes below 1 from those above."""
+    shape = shape.astype(np.float64)
+    low = shape < 1
+    top = shape + low - 1 / 3
+    out, left, k = np.zeros(len(shape)), np.arange(len(shape)), 1
+    while len(left):
+        x = np.sqrt(-2 * np.log(uniform(keys[left], k))) * np.cos(2 * np.pi * uniform(keys[left], k + 1))
+        m = top[left]
+        v = np.maximum(1 + x / np.sqrt(9 * m), 1e-300) ** 3
+        with np.errstate(divide="ignore"):
+            yes = (v > 0) & (np.log(uniform(keys[left], k + 2)) < x * x / 2 + m * (1 - v + np.log(v)))
+        out[left[yes]] = (m * v)[yes]
+        left, k = left[~yes], k + 3
+    out[low] *= uniform(keys[low], 0) ** (1 / shape[low])
+    return out
+
+
+def tilted_stable(a: np.ndarray, d: float, keys: np.ndarray) -> np.ndarray:
     """Variables with E exp(-x s) = exp(-a ((1 + x) ** d - 1)): sums of stable variables of exponents up to 1, each kept with the chance exp(-s)."""
     pieces = np.maximum(1, np.ceil(a)).astype(np.int64)
     place = np.repeat(np.arange(len(a)), pieces)
-    scale, out = (a / pieces) ** (1 / d), np.zeros(len(a))
+    nth = np.arange(len(place)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    keys = mix(keys[place] + mix(nth.astype(np.uint64) + np.uint64(1)))
+    scale, out, k = (a / pieces) ** (1 / d), np.zeros(len(a)), 0
     while len(place):
-        u, e = rng.uniform(0, np.pi, len(place)), rng.standard_exponential(len(place))
+        u, e = np.pi * uniform(keys, k), -np.log(uniform(keys, k + 1))
         with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
             s = scale[place] * np.sin(d * u) / np.sin(u) ** (1 / d) * (np.sin((1 - d) * u) / e) ** ((1 - d) / d)
-        yes = rng.random(len(place)) < np.exp(-np.nan_to_num(s, nan=np.inf))
+        yes = uniform(keys, k + 2) < np.exp(-np.nan_to_num(s, nan=np.inf))
         out += np.bincount(place[yes], weights=s[yes], minlength=len(a))
-        place = place[~yes]
+        place, keys, k = place[~yes], keys[~yes], k + 3
     return out
 
 
-def masses(cw: np.ndarray, tw: np.ndarray, a: np.ndarray, d0: float, rng: np.random.Generator) -> np.ndarray:
+def masses(cw: np.ndarray, tw: np.ndarray, a: np.ndarray, d0: float, keys: np.ndarray) -> np.ndarray:
     """The parent's masses of words with cw customers at tw tables; a: z0 b."""
-    return rng.gamma(np.maximum(cw - d0 * tw, 0)) + tilted_stable(a, d0, rng)
+    return gamma(cw - d0 * tw, keys) + tilted_stable(a, d0, keys)
 
 
 def discount(ones: float, twos: float) -> float:
@@ -394,18 +424,25 @@ def _block(n_parts: int) -> Callable[[Group], list[tuple]]:
     return f
 
 
-def _summed(d0: float, a0: float, seed: int) -> Callable[[Group], list[tuple]]:
-    """A part's turn. base: tables of pairs seen once; link: the words that each block asks for; sum: their tables now.
+def _summed(d0: float, a0: float, d: float, seed: int) -> Callable[[Group], list[tuple]]:
+    """A part's turn. base: tables of pairs seen once, summed up in start after the first turn; link: the words that each block asks for; sum: their tables now.
 
     state: tables tu of each word as a context and cw as a dish (the parent's customers), its tables tw in the parent. a0: d0 z0 b.
+    value: for each link, z of a context, or cw and tw of a dish.
     """
     logs = stirling(d0, ROW)
 
     def f(g: Group) -> list[tuple]:
-        size = int(g.one("part")["n2"])
-        tables = [np.zeros(size, np.int64), np.zeros(size, np.int64)]
-        for r in g.of("base"):
-            tables[r["sender"] % 2][np.cumsum(unpack(r["a"]))] += unpack(r["b"])
+        out, start = [], g.one("start")
+        if start is None:
+            size = int(g.one("part")["n2"])
+            tables = [np.zeros(size, np.int64), np.zeros(size, np.int64)]
+            for r in g.of("base"):
+                tables[r["sender"] % 2][np.cumsum(unpack(r["a"]))] += unpack(r["b"])
+            out.append(row("start", g.at, 0, *tables))
+        else:
+            tables = [unpack(start["a"]), unpack(start["b"])]
+            size = len(tables[0])
         links = {r["sender"]: (np.cumsum(unpack(r["a"])), unpack(r["c"])) for r in g.of("link")}
         now = {r["sender"]: unpack(r["a"]) for r in g.of("sum")}
         for k, (at, first) in links.items():
@@ -414,20 +451,20 @@ def _summed(d0: float, a0: float, seed: int) -> Callable[[Group], list[tuple]]:
         rng = np.random.default_rng([seed, g.at])
         last = g.one("state")
         tw = draw(cw, np.full(size, a0), d0, logs, rng, last and np.minimum(unpack(last["c"]), cw))
-        return [row("state", g.at, 0, tu, cw, tw, n1=cw.sum(), n2=tw.sum())]
+        z = rng.gamma(THETA / d + tu).astype(np.float32)
+        out.append(row("state", g.at, 0, tu, cw, tw, n1=cw.sum(), n2=tw.sum()))
+        return out + [row("value", k // 2, 2 * g.at + k % 2, *((z[at],) if k % 2 == 0 else (cw[at], tw[at]))) for k, (at, _) in links.items()]
 
     return f
 
 
-def _massed(d0: float, a: float, d: float, seed: int) -> Callable[[Group], list[tuple]]:
-    """A part's second turn, state and link rows -> value: for each link, z of contexts or the parent's masses of dishes; mass: the sum of all masses."""
+def _massed(n_parts: int, d0: float, a: float, seed: int) -> Callable[[Group], list[tuple]]:
+    """state rows -> mass: the sum of the parent's masses of a part's words, which blocks draw alike."""
 
     def f(g: Group) -> list[tuple]:
-        tu, cw, tw = (unpack(g.one("state")[k]) for k in "abc")
-        rng = np.random.default_rng([seed, g.at])
-        own = [rng.gamma(THETA / d + tu).astype(np.float32), masses(cw, tw, np.full(len(cw), a), d0, rng).astype(np.float32)]
-        out = [row("mass", g.at, n1=own[1].sum(dtype=np.float64))]
-        return out + [row("value", r["sender"] // 2, 2 * g.at + r["sender"] % 2, own[r["sender"] % 2][np.cumsum(unpack(r["a"]))]) for r in g.of("link")]
+        cw, tw = (unpack(g.one("state")[k]) for k in "bc")
+        m = masses(cw, tw, np.full(len(cw), a), d0, keys_of(np.arange(len(cw)) * n_parts + g.at, seed))
+        return [row("mass", g.at, n1=m.sum())]
 
     return f
 
@@ -437,7 +474,7 @@ def parent(cw: np.ndarray, tw: np.ndarray, d0: float, b: float, customers: float
     return (cw - d0 * tw + (THETA + d0 * tables) * b) / (THETA + customers)
 
 
-def _seated(n_parts: int, d: float, mass: float, seed: int) -> Callable[[Group], list[tuple]]:
+def _seated(n_parts: int, d: float, d0: float, a: float, mass: float, seeds: tuple[int, int]) -> Callable[[Group], list[tuple]]:
     """A block's turn: cell and value rows -> seat: the tables of each cell; sum: those of each word that it asks for."""
     logs = stirling(d, ROW)
 
@@ -448,12 +485,14 @@ def _seated(n_parts: int, d: float, mass: float, seed: int) -> Callable[[Group],
         per = []
         for role, x in ((0, u), (1, w)):
             own, place = np.unique(x, return_inverse=True)
-            parts, value = list(_runs(own % n_parts)), np.empty(len(own))
+            parts, got = list(_runs(own % n_parts)), np.zeros((2, len(own)))
             for j, to in parts:
-                value[to] = unpack(values[2 * j + role]["a"]) * (d if role == 0 else 1 / mass)
+                for k, key in enumerate("ab"[: role + 1]):
+                    got[k, to] = unpack(values[2 * j + role][key])
+            value = d * got[0] if role == 0 else masses(*got, np.full(len(own), a), d0, keys_of(own, seeds[0])) / mass
             per.append((place, parts, value))
         last = g.one("seat")
-        t = draw(c, per[0][2][per[0][0]] * per[1][2][per[1][0]], d, logs, np.random.default_rng([seed, g.at]), last and unpack(last["a"]))
+        t = draw(c, per[0][2][per[0][0]] * per[1][2][per[1][0]], d, logs, np.random.default_rng([seeds[1], g.at]), last and unpack(last["a"]))
         out = [row("seat", g.at, 0, t, n1=t.sum())]
         for role, (place, parts, value) in enumerate(per):
             sums = np.bincount(place, weights=t, minlength=len(value)).astype(np.int64)
@@ -530,36 +569,40 @@ class Model:
         self.states: list[tuple[Kept, tuple[float, float]]] = []
         rng = np.random.default_rng(11)
         z0 = float(rng.gamma(THETA / self.d0 + self.v))
-        fixed, state, seats, tilt = self.parts.of("part").unionByName(self.blocks.of("base", "link")), None, None, None
+        fixed, state, start, seats, tilt = self.parts.of("part").unionByName(self.blocks.of("base", "link")), None, None, None, None
         links = self.blocks.of("link").withColumns({k: F.lit(None).cast("binary") for k in "bc"})
         for turn in range(SWEEPS + 1):
-            rows = fixed if seats is None else fixed.unionByName(seats.of("sum")).unionByName(state.of("state"))
-            last, state = state, Kept(met(rows, _summed(self.d0, self.d0 * z0 * self.b, 3 * turn), self.n_parts), "state")
-            customers, tables = totals = tuple(x or 0.0 for x in state.of("state").agg(F.sum("n1"), F.sum("n2")).first())
+            rows = fixed if seats is None else start.of("start").unionByName(links).unionByName(seats.of("sum")).unionByName(state.of("state"))
+            last, state = state, Kept(met(rows, _summed(self.d0, self.d0 * z0 * self.b, self.d, 3 * turn), self.n_parts), "state")
+            start = start or state
+            totals = tuple(x or 0.0 for x in state.of("state").agg(F.sum("n1"), F.sum("n2")).first())
+            customers, tables = totals
             if last and turn - 1 <= BURN_IN:
-                last.drop()
+                last.drop(*(["state"] if last is start else []))
             if turn > BURN_IN:
                 self.states.append((state, totals))
             if turn < SWEEPS:
                 tilt = 1 + rng.gamma(customers) / rng.gamma(THETA) if tilt is None else tilt
                 z0 = float(rng.gamma(THETA / self.d0 + tables))
                 zeta = z0 / tilt**self.d0
-                values = Kept(met(state.of("state").unionByName(links), _massed(self.d0, z0 * self.b, self.d, 3 * turn + 1), self.n_parts), "values")
-                # a sum of decimals: the same in any order
-                mass = float(values.of("mass").agg(F.sum(F.col("n1").cast("decimal(30,6)"))).first()[0] or 0) + float(tilted_stable(np.array([z0 * self.b]), self.d0, rng)[0])
-                rows = self.blocks.of("cell").unionByName(values.of("value"))
+                a, seed = z0 * self.b, 3 * turn + 1
+                summed = met(state.of("state"), _massed(self.n_parts, self.d0, a, seed), self.n_parts).agg(F.sum(F.col("n1").cast("decimal(30,6)"))).first()[0]
+                # a sum of decimals is the same in any order; the unknown word's mass goes with it
+                mass = float(summed or 0) + float(tilted_stable(np.array([a]), self.d0, keys_of(np.array([-1]), seed))[0])
+                rows = self.blocks.of("cell").unionByName(state.of("value"))
                 rows = rows if seats is None else rows.unionByName(seats.of("seat"))
-                last, seats = seats, Kept(met(rows, _seated(self.n_parts, self.d, mass, 3 * turn + 2), self.n_blocks), "seats")
+                last, seats = seats, Kept(met(rows, _seated(self.n_parts, self.d, self.d0, a, mass, (seed, 3 * turn + 2)), self.n_blocks), "seats")
                 if last and turn - 1 < BURN_IN:
                     last.drop()
                 if turn >= BURN_IN:
                     self.seats.append(seats)
-                values.drop()
+                state.drop("value")
                 # masses are those of tilt 1 over the tilt; its new value, given them and the new tables
                 tilt = 1 + rng.gamma(once + float(seats.of("seat").agg(F.sum("n1")).first()[0] or 0)) * tilt / mass
                 z0 = zeta * tilt**self.d0
             free(self.spark)
         self.blocks.drop("base", "link", "cell")
+        start.drop("start")
 
     def singles(self) -> tuple[float, float]:
         """Words that follow one word only, and two."""

@@ -179,13 +179,21 @@ def test_process_tables_follow_the_process():
 
 
 def test_tilted_stable_has_its_transform():
-    rng = np.random.default_rng(4)
+    keys = M.keys_of(np.arange(100_000), 4)
     for d, a in ((0.5, 0.3), (0.8, 2.5), (0.2, 1.0), (0.95, 7.0)):
-        s = M.tilted_stable(np.full(100_000, a), d, rng)
+        s = M.tilted_stable(np.full(100_000, a), d, keys)
         for x in (0.2, 1.0, 5.0):
             assert abs(np.exp(-x * s).mean() - math.exp(-a * ((1 + x) ** d - 1))) < 0.006
 
 
+def test_gamma_has_its_moments():
+    keys = M.keys_of(np.arange(200_000), 9)
+    for shape in (0.05, 0.6, 1.0, 3.5, 4000.0):
+        x = M.gamma(np.full(len(keys), shape), keys)
+        assert abs(x.mean() / shape - 1) < 0.03 and abs(x.var() / shape - 1) < 0.06
+        assert (M.gamma(np.full(5, shape), keys[7:12]) == x[7:12]).all()  # an id's variable, whoever draws it
+
+
 def rising(theta, d, n):
     return math.prod(theta + d * i for i in range(n))
 
@@ -222,8 +230,8 @@ def test_sweeps_draw_from_the_posterior(d, d0):
         tilt = 1 + rng.gamma(cw.sum(axis=1)) / rng.gamma(M.THETA, size=n) if tilt is None else tilt
         z0 = rng.gamma(M.THETA / d0 + tw.sum(axis=1))
         zeta = z0 / tilt**d0
-        m = M.masses(cw.ravel(), tw.ravel(), np.repeat(z0 * b, dishes), d0, rng).reshape(n, dishes)
-        mass = m.sum(axis=1) + M.tilted_stable(z0 * b, d0, rng)
+        m = M.masses(cw.ravel(), tw.ravel(), np.repeat(z0 * b, dishes), d0, M.keys_of(np.arange(n * dishes), 2 * turn)).reshape(n, dishes)
+        mass = m.sum(axis=1) + M.tilted_stable(z0 * b, d0, M.keys_of(np.arange(n), 2 * turn + 1))
         z = rng.gamma(M.THETA / d + tu)
         t = M.draw(np.tile(c, n), (d * z[:, u] * m[:, w] / mass[:, None]).ravel(), d, logs, rng).reshape(n, -1)
         tilt = 1 + rng.gamma(t.sum(axis=1)) * tilt / mass
