@@ -28,8 +28,10 @@ def call_edges(spans: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     service = F.coalesce(filled(F.col("service_name")), F.lit("unknown"))
     parents = spans.filter(filled(F.col("span_id")).isNotNull()).groupBy(*by, F.trim("span_id").alias("p_id")).agg(F.max_by(service, F.col("ingest_seq")).alias("src"))
     calls = spans.select(*by, F.trim("parent_span").alias("p_id"), service.alias("dst"), "duration_ms", "has_error", filled(F.col("operation_name")).alias("op")).filter("p_id <> '' AND p_id <> 'ROOT'")
-    g = calls.join(parents, [*by, "p_id"]).filter("src <> dst").groupBy(*by, "src", "dst")
-    e = g.agg(F.count("*").alias("call_count"), F.sum(F.coalesce("duration_ms", F.lit(0.0)).cast("decimal(20,3)")).alias("total"), F.count_if(F.coalesce("has_error", F.lit(False))).alias("error_count"), F.array_sort(F.collect_set("op")).alias("operations"))
+    g = calls.join(parents, [*by, "p_id"]).filter("src <> dst").groupBy(*by, "src", "dst", "op")
+    # exact sums by operation first, so that sets are made of few rows
+    e = g.agg(F.count("*").alias("call_count"), F.sum(F.coalesce("duration_ms", F.lit(0.0)).cast("decimal(20,3)")).alias("total"), F.count_if(F.coalesce("has_error", F.lit(False))).alias("error_count"))
+    e = e.groupBy(*by, "src", "dst").agg(F.sum("call_count").alias("call_count"), F.sum("total").alias("total"), F.sum("error_count").alias("error_count"), F.array_sort(F.collect_set("op")).alias("operations"))
     return e.select(*by, "src", "dst", "call_count", F.round(F.col("total").cast("double") / F.col("call_count"), 2).alias("avg_duration_ms"), F.round("total", 2).cast("double").alias("total_duration_ms"), "error_count", F.round(F.col("error_count") / F.col("call_count"), 4).alias("error_rate"), "operations")
 
 

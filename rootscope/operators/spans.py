@@ -30,18 +30,14 @@ def _key_columns() -> dict[str, Column]:
 
 
 def dedup_spans(spans: DataFrame) -> DataFrame:
-    """Of the spans of a key the one that came in first (ingest_seq).
+    """Of the spans of a key the one that came in first (ingest_seq); among equal places the least by the other columns, so that every run and step keeps the same row.
 
-    Keys are counted first, by partial aggregation over the key's columns alone. Spans of the keys that occur once stay where they are, and only
-    those of repeated keys are ordered in a window, so that wide rows of spans that don't repeat are neither shuffled nor sorted.
+    Rows are shuffled once, by key. Only the first place is asked for, so that each task drops its own repeats before the shuffle and a key
+    that fills the table is no task's whole work.
     """
-    keys = list(_key_columns())
-    keyed = spans.withColumns(_key_columns())
-    often = keyed.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(*keys)
-    once = keyed.join(often, keys, "left_anti").select(spans.columns)
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy("ingest_seq"))
-    again = keyed.join(often, keys, "left_semi").withColumn("__n", first).filter("__n = 1").select(spans.columns)
-    return once.unionByName(again)
+    ties = [f.name for f in spans.schema if f.name != "ingest_seq" and "map<" not in f.dataType.simpleString()]  # maps have no order
+    first = F.row_number().over(Window.partitionBy(*_key_columns()).orderBy("ingest_seq", *ties))
+    return spans.withColumns(_key_columns()).withColumn("__n", first).filter("__n = 1").select(spans.columns)
 
 
 def dedup_stats(raw: DataFrame) -> DataFrame:
@@ -84,12 +80,13 @@ def service_stats(spans: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     g = s.groupBy(*by, "service").agg(
         F.count("*").alias("span_count"), F.count_if("bad").alias("error_count"), F.count_if("unk").alias("unknown_response_count"),
         F.round(F.min("d"), 2).alias("duration_min_ms"), F.round(F.max("d"), 2).alias("duration_max_ms"), F.round(F.avg("d"), 2).alias("duration_mean_ms"), F.round(F.stddev_pop("d"), 2).alias("duration_std_ms"),
-        F.array_sort(F.collect_set("op")).alias("operations"),
     )
     keys = [*by, "service"]
+    # sets are gathered from distinct rows, beside the figures, since a set among them would take the generated code from all of these
+    ops = s.select(*keys, "op").distinct().groupBy(*keys).agg(F.array_sort(F.collect_set("op")).alias("operations"))
     names = {"duration_p50_ms": 0.5, "duration_p95_ms": 0.95, "duration_p99_ms": 0.99}
     p = percentiles(s, keys, "d", names).select(*keys, *(F.round(c, 2).alias(c) for c in names))
-    g = g.join(p, keys).select(*keys, *g.columns[len(keys) : -1], *names, "operations")
+    g = g.join(p, keys).join(ops, keys).select(*keys, *g.columns[len(keys) :], *names, "operations")
     return g.withColumn("error_rate", F.round(F.col("error_count") / F.col("span_count"), 4)).withColumn("unknown_response_pct", F.round(F.col("unknown_response_count") / F.col("span_count") * 100, 1))
 
 

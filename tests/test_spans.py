@@ -3,7 +3,7 @@ import math
 
 import pytest
 
-from rootscope.operators import detect, spans as S
+from rootscope.operators import detect, graph, spans as S
 from rootscope.schemas import SPAN
 from rootscope.sources import readers
 
@@ -56,6 +56,14 @@ def test_dedup_and_validation(spark):
     assert none.is_valid and none.validation_rate == 100.0
 
 
+def test_dedup_of_equal_places_and_in_one_shuffle(spark):
+    rows = [{"span_id": "1", "ingest_seq": 7, "service_name": n} for n in ("b", "a", "c")]
+    for order in (rows, rows[::-1], rows[1:] + rows[:1]):
+        assert [r.service_name for r in S.dedup_spans(frame(spark, order).coalesce(1)).collect()] == ["a"]
+    plan = S.dedup_spans(frame(spark, rows))._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and "WindowGroupLimit" in plan  # a task drops its own repeats before the shuffle
+
+
 def test_orphans_look_at_all_traces(spark):
     df = frame(spark, [{"span_id": "1"}, {"trace_id": "t2", "span_id": "2", "parent_span": "1"}, {"span_id": "3", "parent_span": "gone"}, {"span_id": "4", "parent_span": ""}])
     assert [r.span_id for r in S.orphan_spans(df).collect()] == ["3"]
@@ -67,6 +75,17 @@ def test_service_stats(spark):
     assert (r.span_count, r.error_count, r.error_rate, r.unknown_response_count, r.unknown_response_pct) == (10, 2, 0.2, 3, 30.0)
     assert (r.duration_p50_ms, r.duration_p95_ms, r.duration_mean_ms) == (5.0, 10.0, 5.5) and r.duration_std_ms == round(math.sqrt(8.25), 2) and r.operations == ["op0", "op1"]
     assert S.service_stats(frame(spark, rows), by=["trace_id"]).count() == 1
+    none = S.service_stats(frame(spark, [{"operation_name": " "}, {"operation_name": None, "service_name": "b"}])).collect()
+    assert sorted((r.service, r.operations) for r in none) == [("a", []), ("b", [])]
+
+
+def test_figures_of_spans_use_generated_code(spark):
+    """A set among a group's figures takes the generated code from all of them: sets come from few rows instead."""
+    df = frame(spark, [{"span_id": "1"}, {"span_id": "2", "parent_span": "1", "service_name": "b"}])
+    for out, figure in ((S.service_stats(df), "stddev_pop"), (graph.call_edges(df), "decimal(20,3)")):
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        assert not [x for x in plan.splitlines() if "ObjectHashAggregate" in x and figure in x]
+        assert [x for x in plan.splitlines() if "HashAggregate" in x and figure in x]
 
 
 def ewma(values, a=0.3):
