@@ -15,7 +15,7 @@ class Months:
     """What Run.small() makes, by month; written once."""
 
     def __init__(self, spark, sf: str):
-        self.spans = graph.cut(Run(spark, sf).written().withColumn("month", F.date_format(F.timestamp_micros("start_time"), "yyyy-MM")), "spans")
+        self.spans = Run(spark, sf).written(month=F.date_format(F.timestamp_micros("start_time"), "yyyy-MM"))
         self.stats, self.base = graph.cut(spans.service_stats(self.spans, by=BY), "stats"), graph.cut(detect.ewma_baseline(self.spans, by=BY), "base")
         self.edges = graph.cut(graph.call_edges(self.spans, by=BY), "edges")
         self.alerts = graph.cut(detect.detect_anomalies(self.spans, self.stats, self.base, by=BY), "alerts")

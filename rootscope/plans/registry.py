@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip_middle, is_request, redact, strip_ansi
@@ -33,11 +33,11 @@ class Run:
         self.raw = views.raw_spans(spark, sf_dir)
         self.spans, self.is_written = spans.dedup_spans(self.raw), False
 
-    def written(self) -> DataFrame:
-        """The spans, deduplicated and written once."""
+    def written(self, **more: Column) -> DataFrame:
+        """The spans, deduplicated and written once, with `more` columns."""
         if not self.is_written:
             keep = ("trace_id", "span_id", "parent_span", "service_name", "operation_name", "start_time", "duration", "duration_ms", "has_error", "response", "status", "ingest_seq")
-            self.spans, self.is_written = graph.cut(self.spans.select(*keep), "spans"), True
+            self.spans, self.is_written = graph.cut(self.spans.select(*keep, *(c.alias(n) for n, c in more.items())), "spans"), True
         return self.spans
 
     @property
