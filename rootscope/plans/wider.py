@@ -31,10 +31,14 @@ def _standard(spark, sf, folder: str, keep: Column) -> str:
     return folder
 
 
+#: Spans of a file at most, about: files grow in number with the table, so that no task's sort grows with it.
+FILE_ROWS = 250_000
+
+
 def _in_order(s: DataFrame) -> DataFrame:
     """Spans as files whose names are in the order of ids; of spans with an id those that are equal in all else may change places."""
     order = ("trace_id", "span_id", "start_time", "duration", "service_name", "has_error", "response")
-    return s.repartitionByRange(4, *order).sortWithinPartitions(*order)
+    return s.repartitionByRange(max(4, -(-s.count() // FILE_ROWS)), *order).sortWithinPartitions(*order)
 
 
 def _arrived(s: DataFrame) -> DataFrame:

@@ -212,3 +212,14 @@ def test_format_by_first_decisive_row(spark, tmp_path):
     (tmp_path / "std.csv").write_text(head + "\nbroken,row\nt2,s2,p2,svc,op,5,7,false,200\nt1,s1 p1 svc,op 5,7,false,200\n")
     got = {r.path.rsplit("/", 1)[1]: r.fmt for r in readers.file_formats(spark, str(tmp_path)).collect()}
     assert got == {"late.csv": "mixed", "std.csv": "standard"}
+
+
+def test_files_grow_in_number_with_the_table(spark, monkeypatch):
+    from rootscope.plans import wider
+
+    monkeypatch.setattr(wider, "FILE_ROWS", 10)
+    rows = [{"trace_id": f"t{i % 50:03}", "span_id": str(i)} for i in range(100)]
+    s = wider._in_order(frame(spark, rows))
+    assert s.rdd.getNumPartitions() == 10
+    parts = [[r.trace_id for r in p] for p in s.rdd.glom().collect()]
+    assert max(map(len, parts)) <= 30 and sum(parts, []) == sorted(r["trace_id"] for r in rows)
