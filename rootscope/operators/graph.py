@@ -14,8 +14,8 @@ from .incidents import beside, by_incident, keys, packed, unpacked
 NODE_STATS = ("span_count", "error_count", "error_rate", "unknown_response_pct", "duration_mean_ms", "duration_p50_ms", "duration_p95_ms", "duration_p99_ms", "duration_std_ms", "duration_min_ms", "duration_max_ms", "operations")
 
 
-#: Edges and nodes of a graph whose PageRank is one job; steps of a search between two tables that are written.
-SMALL, HOPS = 20_000, 3
+#: Edges and nodes of a graph whose PageRank is one job; steps of a search between two tables that are written; nodes of a graph all of whose pairs are listed.
+SMALL, HOPS, FEW = 20_000, 3, 100
 
 
 @by_incident
@@ -58,15 +58,30 @@ def column_call_graph(df: DataFrame, fixed: bool = False) -> DataFrame:
     return df.select(F.col(a).cast("string").alias("src"), F.col(b).cast("string").alias("dst")).dropna().filter("src <> dst").distinct()
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def _reaches(e: DataFrame, n: int) -> DataFrame:
+    """src, dst of all pairs of a graph of n nodes, few, of which one reaches the other; each step doubles the length of the walks."""
+    pairs, length = e, 1
+    while length < n:
+        further = pairs.withColumnRenamed("dst", "mid").join(pairs.withColumnRenamed("src", "mid"), "mid").select("src", "dst")
+        pairs, length = cut(pairs.union(further).distinct().coalesce(1), "reach"), 2 * length  # n * n rows at most
+    return pairs
+
+
+def strong_components(edges: DataFrame, few: int = FEW) -> DataFrame:
     """node, component (its least node) for each node that lies on a cycle.
 
-    First nodes that nothing enters or leaves are dropped, and of nodes with one caller and one callee those whose hash is least among
+    In a graph of `few` nodes at most, as counted once its edges are written, all pairs of which one reaches the other are listed. In
+    larger ones first nodes that nothing enters or leaves are dropped, and of nodes with one caller and one callee those whose hash is least among
     such neighbours are passed over (the caller calls the callee), until neither changes anything: chains shrink by a share in each
     round, and vanish. In what is left the greatest name that reaches a node colours it; of a colour, what reaches the node of that
     name is a component; the rest is coloured again. Nodes that were passed over belong where both their neighbours do.
     """
     e = cut(edges.select("src", "dst").distinct(), "edges")
+    size = e.select("src").union(e.select("dst")).distinct().count()
+    if size <= few:
+        pairs = _reaches(e, size)
+        both = pairs.join(pairs.select(F.col("src").alias("dst"), F.col("dst").alias("src")), ["src", "dst"])
+        return both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("component"))
     found = e.filter("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
     e, passed, n = e.filter("src <> dst"), [], None
     while True:
@@ -132,16 +147,23 @@ def cycles(edges: DataFrame, max_len: int | None = None) -> DataFrame:
     parts = cut(strong_components(all_edges), "components")
     at = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
     e = cut(all_edges.join(at("src"), "src").join(at("dst"), "dst").filter("c_src = c_dst").select("src", "dst"), "edges")
-    paths = e.filter("src < dst").select(F.array("src", "dst").alias("path"))
     found = e.filter("src = dst").select(F.array("src").alias("cycle"))
+    paths = e.filter("src < dst").select(F.array("src", "dst").alias("path"), F.lit(False).alias("closed"))
     e, size = e.filter("src <> dst"), 2
+    last, first = F.element_at("path", -1), F.element_at("path", 1)
     while max_len is None or size <= max_len:
-        step = paths.join(e, F.element_at("path", -1) == F.col("src"))
-        found = found.union(step.filter(F.col("dst") == F.element_at("path", 1)).select(F.col("path").alias("cycle")))
-        paths = cut(step.filter((F.col("dst") > F.element_at("path", 1)) & ~F.array_contains("path", F.col("dst"))).select(F.array_append("path", F.col("dst")).alias("path")), "paths")
+        # HOPS steps between two tables that are written; a path that has closed stays as it is
+        for _ in range(HOPS if max_len is None else min(HOPS, max_len - size + 1)):
+            step = paths.join(e, ~F.col("closed") & (last == F.col("src")), "left")
+            step = step.filter("closed OR dst IS NOT NULL").withColumn("closes", F.col("closed") | (F.col("dst") == first))
+            step = step.filter(F.col("closes") | ((F.col("dst") > first) & ~F.array_contains("path", F.col("dst"))))
+            paths = step.select(F.when(F.col("closes"), F.col("path")).otherwise(F.array_append("path", F.col("dst"))).alias("path"), F.col("closes").alias("closed"))
+            size += 1
+        paths = cut(paths, "paths")
+        found = found.union(paths.filter("closed").select(F.col("path").alias("cycle")))
+        paths = paths.filter("NOT closed")
         if not paths.head(1):
             break
-        size += 1
     return found
 
 

@@ -164,3 +164,28 @@ def test_causal_pairs_of_the_first_eight(spark, monkeypatch):
     pairs = registry.c2_lagged_strength(spark, "").collect()
     assert len(pairs) == 56 and {p.a for p in pairs} == {f"s{i}" for i in range(1, 9)}
     assert registry.c3_causal_totals(spark, "").count() == 8
+
+
+def test_small_graphs_take_few_jobs(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = sorted({(rng.choice("abcdefghijklmn"), rng.choice("abcdefghijklmn")) for _ in range(30)})
+    e = G.cut(spark.createDataFrame(rows, "src string, dst string"))
+
+    def jobs(group, f):
+        spark.sparkContext.setJobGroup(group, "")
+        out = f()
+        n = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return out, n
+
+    pairs = lambda few: {(r.node, r.component) for r in G.strong_components(e, few).collect()}
+    few, n_few = jobs("few", lambda: pairs(G.FEW))
+    many, n_many = jobs("many", lambda: pairs(0))
+    assert few == many and len(few) > 3
+    assert n_few * 2 < n_many
+    ring = [(chr(97 + i), chr(97 + (i + 1) % 12)) for i in range(12)]
+    found, n = jobs("ring", lambda: {tuple(r.cycle) for r in G.cycles(G.cut(spark.createDataFrame(ring, "src string, dst string"))).collect()})
+    assert found == {tuple("abcdefghijkl")}
+    assert n < 60
