@@ -8,30 +8,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import filled, is_request
+from ..sources.shared import cut
 from .incidents import beside, by_incident
 
+#: An hour in microseconds; the hour of spans without a start, before all others.
+HOUR, BEFORE_ALL = 3_600_000_000, -(2**62)
 ALERT = ("service", "severity", "anomaly_type", "score", "z_score", "current_value", "baseline_mean", "baseline_std", "details")
 
 
+@by_incident
 def latency_series(spans: DataFrame, most: int, by: Sequence[str] = ()) -> DataFrame:
     """service, d (ms), back (1 is the newest): a service's request spans if there are two at least, else all; the newest `most`.
 
-    Ordered by (start_time, ingest_seq). The cut comes before anything is gathered, so that a service that owns most
-    spans costs `most` rows.
+    Ordered by (start_time, ingest_seq). Spans are counted by hour first, so that only those of the hours that hold the newest `most` of
+    a service are sorted; the cut comes before anything is gathered, so that a service that owns most spans costs `most` rows.
     """
     s = spans.select(*by, F.coalesce(filled(F.col("service_name")), F.lit("unknown")).alias("service"), F.coalesce("duration_ms", F.lit(0.0)).alias("d"), F.coalesce(is_request(F.col("operation_name")), F.lit(False)).alias("req"), "start_time", "ingest_seq")
     keys = [*by, "service"]
+    hour = F.coalesce(F.floor(F.col("start_time") / HOUR), F.lit(BEFORE_ALL))
+    all_of, up_to = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(F.desc("hour")).rowsBetween(Window.unboundedPreceding, 0)
+    n = s.groupBy(*keys, hour.alias("hour")).agg(F.count("*").alias("n"), F.count_if("req").alias("n_req"))
+    n = n.withColumn("use_req", F.sum("n_req").over(all_of) >= 2).withColumn("n", F.when(F.col("use_req"), F.col("n_req")).otherwise(F.col("n")))
+    n = n.withColumn("newer", F.sum("n").over(up_to) - F.col("n")).filter(F.col("newer") < most)
+    # one row for each service, written so that its size is known before it meets the spans
+    since = cut(n.groupBy(*keys).agg(F.first("use_req").alias("use_req"), F.min("hour").alias("since")), "since")
+    s = s.join(since, keys).filter((F.col("req") | ~F.col("use_req")) & (hour >= F.col("since")))
     newest = [F.desc("start_time"), F.desc("ingest_seq")]
-    two = s.groupBy(*keys).agg((F.count_if("req") >= 2).alias("use_req"))
-    s = s.join(two, keys).filter("req OR NOT use_req")
-    return s.withColumn("back", F.row_number().over(Window.partitionBy(*keys).orderBy(*newest))).filter(F.col("back") <= most).select(*keys, "d", "back")
+    return s.withColumn("back", F.row_number().over(all_of.orderBy(*newest))).filter(F.col("back") <= most).select(*keys, "d", "back")
 
 
 @by_incident
-def ewma_baseline(spans: DataFrame, alpha: float = 0.3, window: int = 100, by: Sequence[str] = ()) -> DataFrame:
-    """service, metric, ewma_mean, ewma_std, sample_count, alpha. The variance takes the mean that the value itself has moved."""
+def ewma_baseline(spans: DataFrame, alpha: float = 0.3, window: int = 100, by: Sequence[str] = (), series: DataFrame | None = None) -> DataFrame:
+    """service, metric, ewma_mean, ewma_std, sample_count, alpha. The variance takes the mean that the value itself has moved.
+
+    series: latency_series of the spans, of `window` values or more, where it is at hand.
+    """
     keys = [*by, "service"]
-    v = latency_series(spans, window, by).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("o"), "d"))).alias("x"))
+    newest = latency_series(spans, window, by=by) if series is None else series.filter(F.col("back") <= window)
+    v = newest.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("o"), "d"))).alias("x"))
     v = v.withColumn("x", F.transform("x", lambda e: e["d"]))
 
     def step(acc: Column, d: Column) -> Column:
@@ -44,9 +58,10 @@ def ewma_baseline(spans: DataFrame, alpha: float = 0.3, window: int = 100, by: S
 
 
 @by_incident
-def current_latency(spans: DataFrame, n: int = 10, by: Sequence[str] = ()) -> DataFrame:
+def current_latency(spans: DataFrame, n: int = 10, by: Sequence[str] = (), series: DataFrame | None = None) -> DataFrame:
     """service, current_value: mean of the newest n values of the same series."""
-    return latency_series(spans, n, by).groupBy(*by, "service").agg(F.avg("d").alias("current_value"))
+    newest = latency_series(spans, n, by=by) if series is None else series.filter(F.col("back") <= n)
+    return newest.groupBy(*by, "service").agg(F.avg("d").alias("current_value"))
 
 
 def z_score(value: Column, mean: Column, std: Column) -> Column:
@@ -70,10 +85,10 @@ def _alerts(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 @by_incident
-def detect_anomalies(spans: DataFrame, stats: DataFrame, baselines: DataFrame, z: float = 3.0, err: float = 0.05, n: int = 10, by: Sequence[str] = ()) -> DataFrame:
+def detect_anomalies(spans: DataFrame, stats: DataFrame, baselines: DataFrame, z: float = 3.0, err: float = 0.05, n: int = 10, by: Sequence[str] = (), series: DataFrame | None = None) -> DataFrame:
     """Alerts of services whose latency or error rate is out of bounds or whose score is over 0.3. Unknown responses alone never alert."""
     keys = [*by, "service"]
-    s = stats.select(*keys, "error_rate", "unknown_response_pct", "duration_mean_ms").join(baselines.select(*keys, F.col("ewma_mean").alias("baseline_mean"), F.col("ewma_std").alias("baseline_std")), keys).join(current_latency(spans, n, by=by), keys, "left")
+    s = stats.select(*keys, "error_rate", "unknown_response_pct", "duration_mean_ms").join(baselines.select(*keys, F.col("ewma_mean").alias("baseline_mean"), F.col("ewma_std").alias("baseline_std")), keys).join(current_latency(spans, n, by=by, series=series), keys, "left")
     s = s.withColumn("current_value", F.coalesce("current_value", "duration_mean_ms"))
     s = s.withColumn("z_score", z_score(F.col("current_value"), F.col("baseline_mean"), F.col("baseline_std")))
     s = s.withColumn("score", anomaly_score(F.col("z_score"), F.col("error_rate"), F.col("unknown_response_pct")))

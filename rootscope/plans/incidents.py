@@ -16,9 +16,10 @@ class Months:
 
     def __init__(self, spark, sf: str):
         self.spans = Run(spark, sf).written(month=F.date_format(F.timestamp_micros("start_time"), "yyyy-MM"))
-        self.stats, self.base = graph.cut(spans.service_stats(self.spans, by=BY), "stats"), graph.cut(detect.ewma_baseline(self.spans, by=BY), "base")
+        series = graph.cut(detect.latency_series(self.spans, 100, by=BY), "series")
+        self.stats, self.base = graph.cut(spans.service_stats(self.spans, by=BY), "stats"), graph.cut(detect.ewma_baseline(self.spans, by=BY, series=series), "base")
         self.edges = graph.cut(graph.call_edges(self.spans, by=BY), "edges")
-        self.alerts = graph.cut(detect.detect_anomalies(self.spans, self.stats, self.base, by=BY), "alerts")
+        self.alerts = graph.cut(detect.detect_anomalies(self.spans, self.stats, self.base, by=BY, series=series), "alerts")
 
     def ranked(self) -> DataFrame:
         nodes = graph.service_nodes(self.edges, self.stats, by=BY)

@@ -5,6 +5,7 @@ Each reads its tables whole. START is the service from which the upstream search
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,20 +38,26 @@ class Run:
         """The spans, deduplicated and written once, with `more` columns."""
         if not self.is_written:
             keep = ("trace_id", "span_id", "parent_span", "service_name", "operation_name", "start_time", "duration", "duration_ms", "has_error", "response", "status", "ingest_seq")
-            self.spans, self.is_written = graph.cut(self.spans.select(*keep, *(c.alias(n) for n, c in more.items())), "spans"), True
+            once = spans.dedup_spans(self.raw.select(*keep))  # what is not kept isn't shuffled
+            self.spans, self.is_written = graph.cut(once.select(*keep, *(c.alias(n) for n, c in more.items())), "spans"), True
         return self.spans
 
     @property
     def stats(self) -> DataFrame:
         return spans.service_stats(self.spans)
 
+    @functools.cached_property
+    def series(self) -> DataFrame:
+        """The newest 100 values of each service, written once: of them come baselines and current values."""
+        return graph.cut(detect.latency_series(self.written(), 100), "series")
+
     @property
     def base(self) -> DataFrame:
-        return detect.ewma_baseline(self.spans)
+        return detect.ewma_baseline(self.spans, series=self.series)
 
     @property
     def alerts(self) -> DataFrame:
-        return detect.detect_anomalies(self.spans, self.stats, self.base)
+        return detect.detect_anomalies(self.spans, self.stats, self.base, series=self.series)
 
     @property
     def edges(self) -> DataFrame:
@@ -64,7 +71,7 @@ class Run:
         """stats, baselines, alerts, edges and nodes, written once: one row for each service or pair of services. The spans that they read are written first."""
         self.written()
         stats, base, edges = graph.cut(self.stats, "stats"), graph.cut(self.base, "base"), graph.cut(self.edges, "edges")
-        alerts = graph.cut(detect.detect_anomalies(self.spans, stats, base), "alerts")
+        alerts = graph.cut(detect.detect_anomalies(self.spans, stats, base, series=self.series), "alerts")
         return stats, base, alerts, edges, graph.cut(graph.service_nodes(edges, stats), "nodes")
 
     def ranked(self) -> tuple[DataFrame, ...]:
@@ -141,7 +148,8 @@ ROUNDS = 40
 
 
 def _ring(r: Run) -> DataFrame:
-    return graph.call_edges(views.ring(r.spans))
+    """Edges of the closed traces; spans are read twice, so that they are written first."""
+    return graph.call_edges(views.ring(r.written()))
 
 
 def _ranks(edges: DataFrame, **more) -> DataFrame:
@@ -215,7 +223,7 @@ def d2_ewma_baseline(spark, sf):
 
 @query
 def d3_current_latency(spark, sf):
-    return detect.current_latency(Run(spark, sf).spans).select("service", F.round("current_value", 4).alias("current_value"))
+    return detect.current_latency(Run(spark, sf).written()).select("service", F.round("current_value", 4).alias("current_value"))
 
 
 @query

@@ -223,3 +223,23 @@ def test_files_grow_in_number_with_the_table(spark, monkeypatch):
     assert s.rdd.getNumPartitions() == 10
     parts = [[r.trace_id for r in p] for p in s.rdd.glom().collect()]
     assert max(map(len, parts)) <= 30 and sum(parts, []) == sorted(r["trace_id"] for r in rows)
+
+
+def test_only_the_newest_hours_are_sorted(spark, monkeypatch):
+    import random
+
+    rng, hour = random.Random(5), 3_600_000_000
+    rows = [("a" if i % 3 else "b", "/x" if i % 5 else "q", rng.choice([None, *range(0, 40 * hour, hour // 3)]), float(i), i) for i in range(600)] + [("c", "q", None, 1.0, 700), ("c", "/x", 5, 2.0, 701), (None, "/x", hour, 3.0, 702)]
+    df = spark.createDataFrame(rows, "service_name string, operation_name string, start_time long, duration_ms double, ingest_seq long")
+    want = set()
+    for s in ("a", "b", "c", None):
+        own = [r for r in rows if r[0] == s]
+        own = [r for r in own if r[1] == "/x"] if sum(r[1] == "/x" for r in own) >= 2 else own
+        own.sort(key=lambda r: (r[2] is not None, r[2] or 0, r[4]), reverse=True)
+        want |= {(s or "unknown", r[3], i + 1) for i, r in enumerate(own[:7])}
+    since, cut = [], detect.cut
+    monkeypatch.setattr(detect, "cut", lambda t, label: since.append(cut(t, label)) or since[-1])
+    assert {tuple(r) for r in detect.latency_series(df, 7).collect()} == want
+    hours = {r.service: r.since for r in since[0].collect()}
+    assert hours["a"] > 30 and hours["b"] > 25  # all earlier hours stay unsorted
+    assert {tuple(r) for r in detect.latency_series(df, 10_000).filter("back <= 7").collect()} == want
