@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.shared import cut
 from .incidents import beside, keys, packed, unpacked
@@ -21,29 +24,73 @@ def temporal_order(spans: DataFrame, alerts: DataFrame, by: Sequence[str] = ())
     return unpacked(first.withColumn("idx", F.row_number().over(Window.partitionBy(*k).orderBy("first_seen", "service")) - 1), by)
 
 
-def _correlation(x, y):
-    cov, a, b = F.covar_pop(x, y), F.stddev_pop(x), F.stddev_pop(y)
-    return F.coalesce(F.try_divide(cov, F.when((a > 1e-9) & (b > 1e-9), a * b)), F.lit(0.0))
+#: Places of the series that are set side by side at a time.
+BLOCK = 4096
+
+
+def _block_moments(lag: int, size: int, k: Sequence[str], schema):
+    """Of one block of places (columns block, service, d, pos, n): for each pair (a at a place, b `lag` later) the number of places, means and sums of centred squares and products."""
+
+    def moments(rows: pa.Table) -> pa.Table:
+        start = rows.column("block")[0].as_py() * size  # places before the block
+        names = rows.column("service").combine_chunks().dictionary_encode()
+        code, names = names.indices.to_numpy(), np.array(names.dictionary.to_pylist(), dtype=object)
+        at = np.zeros((len(names), size + lag))
+        at[code, rows.column("pos").to_numpy() - 1 - start] = rows.column("d").to_numpy()
+        n = np.zeros(len(names), dtype=np.int64)
+        n[code] = rows.column("n").to_numpy()
+        long = np.clip(n - lag - start, 0, size)  # places of the block at which a service may lead or follow
+        out = []
+        for m in np.unique(long[long > 0]):
+            own, over = np.flatnonzero(long == m), np.flatnonzero(long > m)
+            for xs, ys in ((own, own), *([(own, over), (over, own)] if len(over) else [])):
+                x, y = at[xs, :m], at[ys, lag : lag + m]
+                mx, my = x.mean(1), y.mean(1)
+                x, y = x - mx[:, None], y - my[:, None]
+                i, j = (g.ravel() for g in np.meshgrid(np.arange(len(xs)), np.arange(len(ys)), indexing="ij"))
+                xx, yy, xy = (x * x).sum(1), (y * y).sum(1), (x @ y.T).ravel()
+                keep = xs[i] != ys[j]
+                cols = names[xs[i]], names[ys[j]], np.minimum(n[xs[i]], n[ys[j]]), np.full(len(i), float(m)), mx[i], my[j], xx[i], yy[j], xy
+                out.append([c[keep] for c in cols])
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[]] * 9
+        same = [pa.chunked_array([pa.array([rows.column(c)[0].as_py()] * len(cols[0]), rows.column(c).type)]) for c in k]
+        return pa.table([*same, *(pa.array(c, t) for c, t in zip(cols, [pa.string()] * 2 + [pa.int64()] + [pa.float64()] * 6, strict=True))], names=schema.names)
+
+    return moments
+
+
+def _correlations(s: DataFrame, lag: int, k: Sequence[str]) -> DataFrame:
+    """a, b, c, n: the correlation of a's values with those of b `lag` places later, as far as both lie in the first n, the lesser length. s: service, d, pos, n.
+
+    A block of places goes to one task with the `lag` places after it; moments of blocks are put together around the means of the whole.
+    """
+    size = max(BLOCK, lag)
+    block = F.floor((F.col("pos") - 1) / size)
+    too = F.when((block > 0) & (F.pmod(F.col("pos") - 1, F.lit(size)) < lag), F.array(block, block - 1)).otherwise(F.array(block))
+    schema = T.StructType([s.schema[c] for c in k] + [T.StructField(c, T.StringType()) for c in "ab"] + [T.StructField("n", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in ("m", "mx", "my", "xx", "yy", "xy")])
+    m = s.withColumn("block", F.explode(too)).groupBy(*k, "block").applyInArrow(_block_moments(lag, size, k, schema), schema)
+    m, pair = cut(m, "moments"), [*k, "a", "b"]
+    mean = lambda c: (F.sum(F.col("m") * F.col(c)) / F.sum("m")).alias(f"{c}_all")
+    m = m.join(m.groupBy(*pair).agg(mean("mx"), mean("my")), pair).select(*pair, "n", "m", "xx", "yy", "xy", (F.col("mx") - F.col("mx_all")).alias("dx"), (F.col("my") - F.col("my_all")).alias("dy"))
+    whole = lambda own, p, q: F.sum(F.col(own) + F.col("m") * F.col(p) * F.col(q)) / F.sum("m")
+    g = m.groupBy(*pair).agg(F.max("n").alias("n"), whole("xy", "dx", "dy").alias("cov"), F.sqrt(whole("xx", "dx", "dx")).alias("sx"), F.sqrt(whole("yy", "dy", "dy")).alias("sy"))
+    c = F.try_divide("cov", F.when((F.col("sx") > 1e-9) & (F.col("sy") > 1e-9), F.col("sx") * F.col("sy")))
+    return g.select(*pair, F.coalesce(c, F.lit(0.0)).alias("c"), "n")
 
 
 def lagged_strength(spans: DataFrame, services: DataFrame, lag: int = 5, most: int = 1000, by: Sequence[str] = ()) -> DataFrame:
     """a, b, strength for ordered pairs of the services: how much more a's durations lead b's than the reverse, 0 to 1.
 
     Series are in order of arrival (ingest_seq). Of two, the first n = least length count; under max(lag + 2, 5) or
-    for constant series the strength is 0. Places are given by ranges, so that no task sorts a service; pairs meet on them:
-    an equi-join for each pair, n rows long. At most `most` services of an incident, since their pairs are listed.
+    for constant series the strength is 0. Places are given by ranges, so that no task sorts a service; pairs meet in blocks of
+    places. At most `most` services of an incident, since their pairs are listed.
     """
     k = keys(by)
     names = cut(packed(services, by).select(*k, "service").distinct(), "services")
     if names.groupBy(*k).count().filter(F.col("count") > most).head(1):
         raise ValueError(f"more than {most} services")
     s = packed(spans.select(*by, F.col("service_name").alias("service"), F.coalesce("duration_ms", F.lit(0.0)).alias("d"), "ingest_seq"), by).join(names, [*k, "service"], "left_semi")
-    s = cut(numbered(s, [*k, "service"], ["ingest_seq"]), "series")
-    a = s.select(*k, F.col("service").alias("a"), F.col("d").alias("da"), "pos", F.col("n").alias("na"))
-    b = s.select(*k, F.col("service").alias("b"), F.col("d").alias("db"), (F.col("pos") - lag).alias("pos"), F.col("n").alias("nb"))
-    # row (a at pos, b at pos + lag), as far as both lie in the first n
-    both = a.join(b, [*k, "pos"]).filter((F.col("a") != F.col("b")) & (F.col("pos") + lag <= F.least("na", "nb")))
-    c = both.groupBy(*k, "a", "b").agg(_correlation(F.col("da"), F.col("db")).alias("c"), F.max(F.least("na", "nb")).alias("n"))
+    c = cut(_correlations(numbered(s, [*k, "service"], ["ingest_seq"]).drop("ingest_seq"), lag, k), "correlations")
     r = c.select(*k, F.col("a").alias("b"), F.col("b").alias("a"), F.col("c").alias("r"))
     left, right = names.select(*k, F.col("service").alias("a")), names.select(*k, F.col("service").alias("b"))
     pairs = (left.join(right, k) if by else left.crossJoin(right)).filter("a <> b")  # at most `most` services

@@ -29,10 +29,15 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], pos: str
     if df.count() <= PLAIN:
         w = Window.partitionBy(*keys)
         return df.withColumn(pos, F.row_number().over(w.orderBy(*order)).cast("long")).withColumn(n, F.count("*").over(w))
-    placed, per = _ranges(df, keys, order, F.lit(1).cast("long"))
-    local = placed.withColumn("__local", F.row_number().over(Window.partitionBy(*keys, "__range").orderBy(*order)))
-    both = local.join(per, [*keys, "__range"])
-    return both.withColumn(pos, F.col("__local") + F.col("__before")).withColumn(n, F.col("__all")).select(*df.columns, pos, n)
+    # ids rise by one within a range that is sorted as it is written, so that places need no window over it
+    placed = cut(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("__id", F.monotonically_increasing_id()), "ranges")
+    in_range = F.shiftright("__id", 33)
+    per = placed.groupBy(*keys, in_range.alias("__range")).agg(F.count("*").alias("__own"), F.min("__id").alias("__first"))
+    w = Window.partitionBy(*keys)
+    per = per.withColumn("__skip", F.sum("__own").over(w.orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__own") - F.col("__first")).withColumn("__all", F.sum("__own").over(w))
+    # a row for each range that a key reaches into, written so that its size is known before it meets the rows
+    both = placed.withColumn("__range", in_range).join(cut(per, "per"), [*keys, "__range"])
+    return both.withColumn(pos, F.col("__id") + F.col("__skip") + 1).withColumn(n, F.col("__all")).select(*df.columns, pos, n)
 
 
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float], between: bool = False) -> DataFrame:

@@ -189,3 +189,29 @@ def test_small_graphs_take_few_jobs(spark):
     found, n = jobs("ring", lambda: {tuple(r.cycle) for r in G.cycles(G.cut(spark.createDataFrame(ring, "src string, dst string"))).collect()})
     assert found == {tuple("abcdefghijkl")}
     assert n < 60
+
+
+def test_lagged_strength_in_blocks_is_that_of_all_places(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(5)
+    long = {"a": 61, "b": 61, "c": 40, "d": 9, "e": 6, "flat": 50}
+    values = {s: [1e6 if s == "flat" else rng.random() * 9 for _ in range(n)] for s, n in long.items()}
+    values["b"][5:] = values["a"][:-5]
+    rows = [(s, v, 1000 * i + j) for j, (s, x) in enumerate(values.items()) for i, v in enumerate(x)]
+    spans = spark.createDataFrame(rows, "service_name string, duration_ms double, ingest_seq long").repartition(5)
+
+    def corr(a, b):
+        n = min(long[a], long[b])
+        x, y = np.array(values[a][: n - 5]), np.array(values[b][5:n])
+        return np.mean((x - x.mean()) * (y - y.mean())) / (x.std() * y.std()) if x.std() > 1e-9 and y.std() > 1e-9 else 0.0
+
+    want = {(a, b): round(max(0.0, min(1.0, (corr(a, b) - corr(b, a)) / max(abs(corr(a, b)) + abs(corr(b, a)), 1e-9))), 4) if min(long[a], long[b]) >= 7 and corr(a, b) > max(corr(b, a), 0) else 0.0 for a in long for b in long if a != b}
+    assert want["a", "b"] > 0.5
+    monkeypatch.setattr("rootscope.operators.causal.BLOCK", 8)
+    for plain in (1_000_000, 0):
+        monkeypatch.setattr("rootscope.operators.order.PLAIN", plain)
+        got = {(r.a, r.b): r.strength for r in causal.lagged_strength(spans, spans.select("service_name").toDF("service")).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - v) < 2e-4 for k, v in want.items())
