@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import failed, filled, unknown_response
 from .incidents import by_incident
-from .order import percentiles
+from .order import PLAIN, percentiles
+
+#: Buckets in which keys are counted.
+BUCKETS = 65_536
 
 
 def span_key() -> Column:
@@ -29,15 +32,26 @@ def _key_columns() -> dict[str, Column]:
     return {"__trace": F.coalesce(filled(F.col("trace_id")), F.lit("")), "__span": F.coalesce(span, F.lit("")), "__rest": F.when(span.isNull(), F.to_json(span_key())).otherwise(F.lit(""))}
 
 
-def dedup_spans(spans: DataFrame) -> DataFrame:
+def is_crowded(spans: DataFrame) -> bool:
+    """Whether a key may have over PLAIN spans: they are counted by hash of their key, in BUCKETS."""
+    at = F.pmod(F.xxhash64(*_key_columns().values()), F.lit(BUCKETS))
+    return (spans.groupBy(at.alias("at")).count().agg(F.max("count")).first()[0] or 0) > PLAIN
+
+
+def dedup_spans(spans: DataFrame, crowded: bool = True) -> DataFrame:
     """Of the spans of a key the one that came in first (ingest_seq); among equal places the least by the other columns, so that every run and step keeps the same row.
 
     Rows are shuffled once, by key. Only the first place is asked for, so that each task drops its own repeats before the shuffle and a key
-    that fills the table is no task's whole work.
+    that fills the table is no task's whole work. Where no key is so long (crowded: False), tasks don't sort before the shuffle; the same rows stay.
     """
     ties = [f.name for f in spans.schema if f.name != "ingest_seq" and "map<" not in f.dataType.simpleString()]  # maps have no order
-    first = F.row_number().over(Window.partitionBy(*_key_columns()).orderBy("ingest_seq", *ties))
-    return spans.withColumns(_key_columns()).withColumn("__n", first).filter("__n = 1").select(spans.columns)
+    k = _key_columns()
+    if crowded:
+        first = F.row_number().over(Window.partitionBy(*k).orderBy("ingest_seq", *ties))
+        return spans.withColumns(k).withColumn("__n", first).filter("__n = 1").select(spans.columns)
+    # a hash leads the key, so that most comparisons of the sort are of two numbers
+    before = F.lag(F.lit(1)).over(Window.partitionBy("__hash", *k).orderBy("ingest_seq", *ties))
+    return spans.withColumns(k).withColumn("__hash", F.xxhash64(*k)).withColumn("__before", before).filter("__before IS NULL").select(spans.columns)
 
 
 def dedup_stats(raw: DataFrame) -> DataFrame:

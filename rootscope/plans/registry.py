@@ -38,7 +38,8 @@ class Run:
         """The spans, deduplicated and written once, with `more` columns."""
         if not self.is_written:
             keep = ("trace_id", "span_id", "parent_span", "service_name", "operation_name", "start_time", "duration", "duration_ms", "has_error", "response", "status", "ingest_seq")
-            once = spans.dedup_spans(self.raw.select(*keep))  # what is not kept isn't shuffled
+            raw = self.raw.select(*keep)  # what is not kept isn't shuffled
+            once = spans.dedup_spans(raw, spans.is_crowded(raw))
             self.spans, self.is_written = graph.cut(once.select(*keep, *(c.alias(n) for n, c in more.items())), "spans"), True
         return self.spans
 

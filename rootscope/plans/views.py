@@ -10,15 +10,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _whole(x: Column) -> Column:
+    """A double to the nearest whole number, halves away from zero; F.round takes each value through its decimal digits."""
+    up = lambda v: F.floor(v) + (v - F.floor(v) >= 0.5).cast("long")
+    return F.when(x < 0, -up(-x)).otherwise(up(x))
+
+
 def raw_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SPAN: a trace for each order, a span for each line, whose parent is the line before; duplicates as they are.
 
     ingest_seq is made of the columns, so that it is the same whatever the partitions are.
     """
     c = F.col
-    seq = (c("l_orderkey") * 8 + c("l_linenumber")) * 1_000_000 + F.pmod(c("l_partkey") * 7919 + c("l_suppkey") * 104729 + F.round(c("l_extendedprice") * 100).cast("long") + F.round(c("l_quantity")).cast("long") * 31, F.lit(1_000_000))
+    seq = (c("l_orderkey") * 8 + c("l_linenumber")) * 1_000_000 + F.pmod(c("l_partkey") * 7919 + c("l_suppkey") * 104729 + _whole(c("l_extendedprice") * 100) + _whole(c("l_quantity")) * 31, F.lit(1_000_000))
     err = (c("l_returnflag") == "R") & ((c("l_linenumber") == 5) | (c("l_tax") >= 0.08))
-    dur = F.round("l_extendedprice").cast("long")
+    dur = _whole(c("l_extendedprice"))
     resp = F.when(err, "500").when(c("l_linestatus") == "F", "200").otherwise(F.lit("Unknown"))
     return table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("t"), c("l_orderkey").cast("string")).alias("trace_id"),

@@ -2,6 +2,7 @@ import json
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from rootscope.operators import detect, graph, spans as S
 from rootscope.schemas import SPAN
@@ -243,3 +244,23 @@ def test_only_the_newest_hours_are_sorted(spark, monkeypatch):
     hours = {r.service: r.since for r in since[0].collect()}
     assert hours["a"] > 30 and hours["b"] > 25  # all earlier hours stay unsorted
     assert {tuple(r) for r in detect.latency_series(df, 10_000).filter("back <= 7").collect()} == want
+
+
+def test_dedup_without_a_crowded_key_sorts_after_the_shuffle_only(spark, monkeypatch):
+    rows = [{"trace_id": f"t{i % 7}", "span_id": ["", " s1 ", "s1", f"x{i % 5}"][i % 4], "start_time": i % 3, "ingest_seq": 40 - i // 2, "duration": i} for i in range(80)]
+    df = frame(spark, rows).repartition(6)
+    once = S.dedup_spans(df, crowded=False)
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" not in plan and "__hash" in plan
+    kept = lambda d: sorted((r.trace_id, r.span_id, r.ingest_seq, r.duration) for r in d.collect())
+    assert kept(once) == kept(S.dedup_spans(df)) and 0 < once.count() < 80
+    assert not S.is_crowded(df) and not S.is_crowded(df.limit(0))
+    monkeypatch.setattr(S, "PLAIN", 15)
+    assert S.is_crowded(df.withColumn("span_id", F.lit("s")).withColumn("trace_id", F.lit("t")))
+
+
+def test_whole_numbers_are_those_of_round(spark):
+    from rootscope.plans.views import _whole
+
+    df = spark.createDataFrame([(x,) for x in (0.0, 0.49999999999999994, 0.5, 1.5, 2.5, -0.5, -2.5, -2.4, 8419704.000000001, 901.5, 104949.49999999999, None)], "x double")
+    assert all(r.a == r.b for r in df.select(_whole(F.col("x")).alias("a"), F.round("x").cast("long").alias("b")).collect())
