@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import failed, filled, unknown_response
+from ..functions.columns import failed, filled, rounded, unknown_response
 from .incidents import by_incident
 from .order import PLAIN, percentiles
 
@@ -93,15 +93,15 @@ def service_stats(spans: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     s = spans.select(*by, service.alias("service"), d.alias("d"), failed(F.col("has_error"), F.col("response")).alias("bad"), unknown_response(F.col("response")).alias("unk"), filled(F.col("operation_name")).alias("op"))
     g = s.groupBy(*by, "service").agg(
         F.count("*").alias("span_count"), F.count_if("bad").alias("error_count"), F.count_if("unk").alias("unknown_response_count"),
-        F.round(F.min("d"), 2).alias("duration_min_ms"), F.round(F.max("d"), 2).alias("duration_max_ms"), F.round(F.avg("d"), 2).alias("duration_mean_ms"), F.round(F.stddev_pop("d"), 2).alias("duration_std_ms"),
+        rounded(F.min("d"), 2).alias("duration_min_ms"), rounded(F.max("d"), 2).alias("duration_max_ms"), rounded(F.avg("d"), 2).alias("duration_mean_ms"), rounded(F.stddev_pop("d"), 2).alias("duration_std_ms"),
     )
     keys = [*by, "service"]
     # sets are gathered from distinct rows, beside the figures, since a set among them would take the generated code from all of these
     ops = s.select(*keys, "op").distinct().groupBy(*keys).agg(F.array_sort(F.collect_set("op")).alias("operations"))
     names = {"duration_p50_ms": 0.5, "duration_p95_ms": 0.95, "duration_p99_ms": 0.99}
-    p = percentiles(s, keys, "d", names).select(*keys, *(F.round(c, 2).alias(c) for c in names))
+    p = percentiles(s, keys, "d", names).select(*keys, *(rounded(F.col(c), 2).alias(c) for c in names))
     g = g.join(p, keys).join(ops, keys).select(*keys, *g.columns[len(keys) :], *names, "operations")
-    return g.withColumn("error_rate", F.round(F.col("error_count") / F.col("span_count"), 4)).withColumn("unknown_response_pct", F.round(F.col("unknown_response_count") / F.col("span_count") * 100, 1))
+    return g.withColumn("error_rate", rounded(F.col("error_count") / F.col("span_count"), 4)).withColumn("unknown_response_pct", rounded(F.col("unknown_response_count") / F.col("span_count") * 100, 1))
 
 
 @by_incident

@@ -264,3 +264,16 @@ def test_whole_numbers_are_those_of_round(spark):
 
     df = spark.createDataFrame([(x,) for x in (0.0, 0.49999999999999994, 0.5, 1.5, 2.5, -0.5, -2.5, -2.4, 8419704.000000001, 901.5, 104949.49999999999, None)], "x double")
     assert all(r.a == r.b for r in df.select(_whole(F.col("x")).alias("a"), F.round("x").cast("long").alias("b")).collect())
+
+
+def test_statistics_round_as_their_sql(spark):
+    import duckdb
+
+    # 0.145, 0.285 and 1.005 lie below the half as doubles, 0.125 on it; 1e307 has no product, NaN and infinity are as they come
+    ms = [0.145, 0.285, 1.005, 0.125, 8.345, 69.005, 2.0, -0.125, 0.0, 1e307]
+    got = {r.service: r for r in S.service_stats(frame(spark, [{"service_name": f"s{i}", "span_id": f"x{i}", "duration_ms": d} for i, d in enumerate([*ms, math.inf, math.nan])])).collect()}
+    for i, d in enumerate(ms):
+        want = duckdb.sql(f"SELECT round({d!r}::DOUBLE, 2)").fetchall()[0][0]
+        r = got[f"s{i}"]
+        assert {r.duration_min_ms, r.duration_max_ms, r.duration_mean_ms, r.duration_p50_ms, r.duration_p99_ms} == {want}, d
+    assert got["s10"].duration_max_ms == math.inf and math.isnan(got["s11"].duration_max_ms)
