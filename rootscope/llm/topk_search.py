@@ -146,16 +146,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     lanes = max(1, math.ceil(shards.count() / LANE))
     block = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int").alias("block")
     ask = F.collect_list(F.struct("query_id", "vec", "cutoff")).alias("asked")
-    # phase 1: every block meets every shard
+    # phase 1: every block meets every shard; Spark takes the copies of the blocks for small and would gather them on the driver, which grows with the square of the rows
     s = shards.withColumn("lane", F.pmod("shard", F.lit(lanes))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     b = asked.select("query_id", "vec", F.lit(None).cast("long").alias("cutoff"), F.size("vec").cast("long").alias("dim"), block).groupBy("dim", "block").agg(ask)
-    lists = cut(_gather(s.join(b.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))), ["dim", "block", "lane"]), k, depth), "lists")
+    lists = cut(_gather(s.join(b.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).hint("merge"), ["dim", "block", "lane"]), k, depth), "lists")
     gathered = lists.select("query_id", "shard", F.explode("found").alias("x")).select("query_id", "shard", "x.*")
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     cutoffs = cut(gathered.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") == k).select("query_id", F.col("score").alias("cutoff")), "cutoffs")
     # phases 2 and 3 for the shards that may hold more; where rows are left, k were gathered, so that there is a cutoff
-    still = cut(open_pairs(lists, cutoffs), "open")
-    again = still.join(asked, "query_id").groupBy("shard", block).agg(ask).join(shards, "shard")
+    still = cut(open_pairs(lists, cutoffs), "open").hint("merge")  # up to all pairs
+    again = still.join(asked, "query_id").groupBy("shard", block).agg(ask).join(shards.hint("merge"), "shard")
     # of an open shard all rows of at least the cutoff come back, those that it gathered among them
     both = gathered.join(still, ["query_id", "shard"], "left_anti").select("query_id", "vec_id", "score").unionByName(_resolve(again, k))
     return both.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

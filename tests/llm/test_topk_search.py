@@ -57,3 +57,15 @@ def test_the_cutoff_settles_shards(spark, monkeypatch):
 def test_empty(spark):
     df = spark.createDataFrame([(0, [1.0], "", "")], SCHEMA)
     assert T.top_k(df, df).count() == 0 and T.top_k(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_no_pairs_go_through_the_driver(spark, monkeypatch):
+    """Copies of query blocks and open pairs grow with the square of the rows, so that no join may broadcast them, however small Spark takes them to be."""
+    plans, gather, resolve = [], T._gather, T._resolve
+    seen = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(T, "SHARD", 64)
+    monkeypatch.setattr(T, "_gather", lambda pairs, k, depth: seen(pairs) or gather(pairs, k, depth))
+    monkeypatch.setattr(T, "_resolve", lambda pairs, k: seen(pairs) or resolve(pairs, k))
+    df = clustered(spark)
+    seen(T.top_k(df, df.filter("vec_id % 64 = 0"), depth=8))
+    assert len(plans) == 3 and all("Join" in p and "Broadcast" not in p for p in plans)
