@@ -26,10 +26,15 @@ def temporal_order(spans: DataFrame, alerts: DataFrame, by: Sequence[str] = ())
 
 #: Places of the series that are set side by side at a time.
 BLOCK = 4096
+#: Services of a part, about: a task sets two parts side by side at most.
+PART = 128
 
 
 def _block_moments(lag: int, size: int, k: Sequence[str], schema):
-    """Of one block of places (columns block, service, d, pos, n): for each pair (a at a place, b `lag` later) the number of places, means and sums of centred squares and products."""
+    """Of one block of places and two parts of services (columns block, low, high, part, service, d, pos, n): for each pair (a at a place, b `lag` later) the number of places, means and sums of centred squares and products.
+
+    Where the parts differ, only pairs across them.
+    """
 
     def moments(rows: pa.Table) -> pa.Table:
         start = rows.column("block")[0].as_py() * size  # places before the block
@@ -39,6 +44,9 @@ def _block_moments(lag: int, size: int, k: Sequence[str], schema):
         at[code, rows.column("pos").to_numpy() - 1 - start] = rows.column("d").to_numpy()
         n = np.zeros(len(names), dtype=np.int64)
         n[code] = rows.column("n").to_numpy()
+        part = np.zeros(len(names), dtype=np.int64)
+        part[code] = rows.column("part").to_numpy()
+        across = rows.column("low")[0].as_py() != rows.column("high")[0].as_py()
         long = np.clip(n - lag - start, 0, size)  # places of the block at which a service may lead or follow
         out = []
         for m in np.unique(long[long > 0]):
@@ -49,7 +57,7 @@ def _block_moments(lag: int, size: int, k: Sequence[str], schema):
                 x, y = x - mx[:, None], y - my[:, None]
                 i, j = (g.ravel() for g in np.meshgrid(np.arange(len(xs)), np.arange(len(ys)), indexing="ij"))
                 xx, yy, xy = (x * x).sum(1), (y * y).sum(1), (x @ y.T).ravel()
-                keep = xs[i] != ys[j]
+                keep = part[xs[i]] != part[ys[j]] if across else xs[i] != ys[j]
                 cols = names[xs[i]], names[ys[j]], np.minimum(n[xs[i]], n[ys[j]]), np.full(len(i), float(m)), mx[i], my[j], xx[i], yy[j], xy
                 out.append([c[keep] for c in cols])
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[]] * 9
@@ -60,15 +68,17 @@ def _block_moments(lag: int, size: int, k: Sequence[str], schema):
 
 
 def _correlations(s: DataFrame, lag: int, k: Sequence[str]) -> DataFrame:
-    """a, b, c, n: the correlation of a's values with those of b `lag` places later, as far as both lie in the first n, the lesser length. s: service, d, pos, n.
+    """a, b, c, n: the correlation of a's values with those of b `lag` places later, as far as both lie in the first n, the lesser length. s: service, part of parts, d, pos, n.
 
-    A block of places goes to one task with the `lag` places after it; moments of blocks are put together around the means of the whole.
+    A block of places goes to one task with the `lag` places after it, once for each two parts of the services; moments of blocks are put together around the means of the whole.
     """
     size = max(BLOCK, lag)
     block = F.floor((F.col("pos") - 1) / size)
     too = F.when((block > 0) & (F.pmod(F.col("pos") - 1, F.lit(size)) < lag), F.array(block, block - 1)).otherwise(F.array(block))
     schema = T.StructType([s.schema[c] for c in k] + [T.StructField(c, T.StringType()) for c in "ab"] + [T.StructField("n", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in ("m", "mx", "my", "xx", "yy", "xy")])
-    m = s.withColumn("block", F.explode(too)).groupBy(*k, "block").applyInArrow(_block_moments(lag, size, k, schema), schema)
+    m = s.withColumn("block", F.explode(too)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    m = m.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")}).drop("other", "parts")
+    m = m.groupBy(*k, "block", "low", "high").applyInArrow(_block_moments(lag, size, k, schema), schema)
     m, pair = cut(m, "moments"), [*k, "a", "b"]
     mean = lambda c: (F.sum(F.col("m") * F.col(c)) / F.sum("m")).alias(f"{c}_all")
     m = m.join(m.groupBy(*pair).agg(mean("mx"), mean("my")), pair).select(*pair, "n", "m", "xx", "yy", "xy", (F.col("mx") - F.col("mx_all")).alias("dx"), (F.col("my") - F.col("my_all")).alias("dy"))
@@ -78,22 +88,22 @@ def _correlations(s: DataFrame, lag: int, k: Sequence[str]) -> DataFrame:
     return g.select(*pair, F.coalesce(c, F.lit(0.0)).alias("c"), "n")
 
 
-def lagged_strength(spans: DataFrame, services: DataFrame, lag: int = 5, most: int = 1000, by: Sequence[str] = ()) -> DataFrame:
+def lagged_strength(spans: DataFrame, services: DataFrame, lag: int = 5, by: Sequence[str] = ()) -> DataFrame:
     """a, b, strength for ordered pairs of the services: how much more a's durations lead b's than the reverse, 0 to 1.
 
     Series are in order of arrival (ingest_seq). Of two, the first n = least length count; under max(lag + 2, 5) or
     for constant series the strength is 0. Places are given by ranges, so that no task sorts a service; pairs meet in blocks of
-    places. At most `most` services of an incident, since their pairs are listed.
+    places and parts of services, so that no task holds all pairs of a long list.
     """
     k = keys(by)
     names = cut(packed(services, by).select(*k, "service").distinct(), "services")
-    if names.groupBy(*k).count().filter(F.col("count") > most).head(1):
-        raise ValueError(f"more than {most} services")
-    s = packed(spans.select(*by, F.col("service_name").alias("service"), F.coalesce("duration_ms", F.lit(0.0)).alias("d"), "ingest_seq"), by).join(names, [*k, "service"], "left_semi")
+    parts = names.groupBy(*k).agg(F.ceil(F.count("*") / PART).alias("parts"))
+    dealt = beside(names, parts, by).withColumn("part", F.pmod(F.xxhash64("service"), F.col("parts")))
+    s = packed(spans.select(*by, F.col("service_name").alias("service"), F.coalesce("duration_ms", F.lit(0.0)).alias("d"), "ingest_seq"), by).join(dealt, [*k, "service"])
     c = cut(_correlations(numbered(s, [*k, "service"], ["ingest_seq"]).drop("ingest_seq"), lag, k), "correlations")
     r = c.select(*k, F.col("a").alias("b"), F.col("b").alias("a"), F.col("c").alias("r"))
     left, right = names.select(*k, F.col("service").alias("a")), names.select(*k, F.col("service").alias("b"))
-    pairs = (left.join(right, k) if by else left.crossJoin(right)).filter("a <> b")  # at most `most` services
+    pairs = (left.join(right, k) if by else left.crossJoin(right)).filter("a <> b")  # they are the result's rows
     p = pairs.join(c, [*k, "a", "b"], "left").join(r, [*k, "a", "b"], "left")
     lead = (F.col("c") - F.col("r")) / F.greatest(F.abs("c") + F.abs("r"), F.lit(1e-9))
     ok = (F.col("n") >= max(lag + 2, 5)) & (F.col("c") > F.col("r")) & (F.col("c") > 0)

@@ -62,7 +62,7 @@ def r11_fault_tree_by_month(spark, sf):
 def c4_fuse_rank_by_month(spark, sf):
     m = Months(spark, sf)
     ranked = m.ranked()
-    s = graph.cut(causal.lagged_strength(m.spans, ranked.filter("rank <= 8").select("month", "service"), by=BY), "strength")
+    s = graph.cut(causal.lagged_strength(m.spans, ranked.select("month", "service"), by=BY), "strength")
     order = causal.temporal_order(m.spans, m.alerts, by=BY)
     return causal.fuse_rank(ranked, order, causal.causal_totals(s, by=BY), by=BY).select("month", "service", "combined", "rank")
 

@@ -53,7 +53,7 @@ CTE = {
     "mchain": "SELECT month, path FROM mways WHERE last = 'svc-5-1' QUALIFY row_number() OVER (PARTITION BY month ORDER BY len(path), path) = 1",
     "mtree": "SELECT month, service FROM mranked WHERE rank <= 5 UNION SELECT month, 'svc-5-1' FROM mranked UNION SELECT month, unnest(path) FROM mchain",
     "mtorder": "SELECT s.month, service_name AS service, row_number() OVER (PARTITION BY s.month ORDER BY min(start_time), service_name) - 1 AS idx FROM mspans s JOIN malerts a ON a.month = s.month AND a.service = s.service_name GROUP BY 1, 2",
-    "mpos": """SELECT s.month, service_name AS service, duration_ms AS d, row_number() OVER w AS pos, count(*) OVER (PARTITION BY s.month, service_name) AS n FROM mspans s JOIN (SELECT month, service FROM mranked WHERE rank <= 8) r ON r.month = s.month AND r.service = s.service_name
+    "mpos": """SELECT s.month, service_name AS service, duration_ms AS d, row_number() OVER w AS pos, count(*) OVER (PARTITION BY s.month, service_name) AS n FROM mspans s JOIN mranked r ON r.month = s.month AND r.service = s.service_name
   WINDOW w AS (PARTITION BY s.month, service_name ORDER BY ingest_seq)""",
     "mcorrs": """SELECT a.month, a.service AS a, b.service AS b, coalesce(covar_pop(a.d, b.d) / nullif(stddev_pop(a.d) * stddev_pop(b.d), 0), 0) AS c, max(least(a.n, b.n)) AS n FROM mpos a JOIN mpos b ON b.month = a.month AND b.pos = a.pos + 5 AND a.service <> b.service
   WHERE b.pos <= least(a.n, b.n) GROUP BY 1, 2, 3""",

@@ -215,3 +215,34 @@ def test_lagged_strength_in_blocks_is_that_of_all_places(spark, monkeypatch):
         monkeypatch.setattr("rootscope.operators.order.PLAIN", plain)
         got = {(r.a, r.b): r.strength for r in causal.lagged_strength(spans, spans.select("service_name").toDF("service")).collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - v) < 2e-4 for k, v in want.items())
+
+
+def test_lagged_strength_takes_any_number_of_services(spark, monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    rows = [(f"s{i:04}", rng.random(), 2000 * k + i) for i in range(1010) for k in range(8)]
+    many = spark.createDataFrame(rows, "service_name string, duration_ms double, ingest_seq long")
+    assert causal.lagged_strength(many, many.select("service_name").toDF("service")).count() == 1010 * 1009
+    # parts of services give what one part gives
+    few = many.filter("service_name < 's0030'")
+    strengths = lambda: sorted(tuple(r) for r in causal.lagged_strength(few, few.select("service_name").toDF("service")).collect())
+    whole = strengths()
+    monkeypatch.setattr(causal, "PART", 7)
+    assert strengths() == whole and len(whole) == 30 * 29 and len({x for *_, x in whole}) > 100
+
+
+def test_fusion_by_month_takes_all_candidates(spark, monkeypatch):
+    import random
+
+    from rootscope.plans import incidents
+
+    rng = random.Random(9)
+    x = {i: [rng.random() for _ in range(40)] for i in range(1, 11)}
+    x[10][5:] = x[9][:-5]  # the ninth leads the tenth
+    spans = spark.createDataFrame([("m", f"s{i}", v, 100 * k + i, k) for i, y in x.items() for k, v in enumerate(y)], "month string, service_name string, duration_ms double, ingest_seq long, start_time long")
+    cands = spark.createDataFrame([("m", f"s{i}", 0.1, i) for i in x], "month string, service string, confidence double, rank int")
+    alerts = cands.select("month", "service").limit(0)
+    monkeypatch.setattr(incidents, "Months", lambda spark, sf: type("M", (), {"spans": spans, "alerts": alerts, "ranked": lambda self: cands})())
+    got = {r.service: r.combined for r in incidents.c4_fuse_rank_by_month(spark, "").collect()}
+    assert len(got) == 10 and got["s9"] > 0.1
