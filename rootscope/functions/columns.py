@@ -86,10 +86,14 @@ def pod_of(cmdb_id: Column) -> Column:
 def rounded(x: Column, digits: int) -> Column:
     """A double to so many decimals by its product, halves away from zero: 0.145 * 100 lies below 14.5 and gives 0.14, where F.round takes the printed digits and gives 0.15."""
     scale = 10.0**digits
-    v = x.cast("double") * scale
-    near = F.rint(v)  # halves to even, so that they are set apart
-    r = F.when(F.abs(v - near) == 0.5, v + F.signum(v) * 0.5).otherwise(near) / scale
-    return F.when(F.abs(r) < float("inf"), r).otherwise(x)
+
+    def at(x: Column) -> Column:
+        v = x * scale
+        near = F.rint(v)  # halves to even, so that they are set apart
+        r = F.when(F.abs(v - near) == 0.5, v + F.signum(v) * 0.5).otherwise(near) / scale
+        return F.when(F.abs(r) < float("inf"), r).otherwise(x)
+
+    return F.transform(F.array(x.cast("double")), at)[0]  # x as a variable: roundings of roundings would repeat it many times over
 
 
 def linear_relevance(count: Column, cap: int = 10) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import rounded
 from ..sources.shared import cut
 from .incidents import beside, keys, packed, unpacked
 from .order import numbered
@@ -107,7 +108,7 @@ def lagged_strength(spans: DataFrame, services: DataFrame, lag: int = 5, by: Seq
     p = pairs.join(c, [*k, "a", "b"], "left").join(r, [*k, "a", "b"], "left")
     lead = (F.col("c") - F.col("r")) / F.greatest(F.abs("c") + F.abs("r"), F.lit(1e-9))
     ok = (F.col("n") >= max(lag + 2, 5)) & (F.col("c") > F.col("r")) & (F.col("c") > 0)
-    return unpacked(p.select(*k, "a", "b", F.round(F.when(ok, F.greatest(F.lit(0.0), F.least(F.lit(1.0), lead))).otherwise(F.lit(0.0)), 4).alias("strength")), by)
+    return unpacked(p.select(*k, "a", "b", rounded(F.when(ok, F.greatest(F.lit(0.0), F.least(F.lit(1.0), lead))).otherwise(F.lit(0.0)), 4).alias("strength")), by)
 
 
 def causal_totals(strengths: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -115,7 +116,7 @@ def causal_totals(strengths: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     k = keys(by)
     s = packed(strengths, by).groupBy(*k, F.col("a").alias("service")).agg(F.sum("strength").alias("sum"))
     top = s.groupBy(*k).agg(F.max("sum").alias("top"))
-    return unpacked(beside(s, top, by).select(*k, "service", F.when(F.col("top") > 0, F.round(F.try_divide("sum", "top"), 4)).otherwise(F.lit(0.0)).alias("score")), by)
+    return unpacked(beside(s, top, by).select(*k, "service", F.when(F.col("top") > 0, rounded(F.try_divide("sum", "top"), 4)).otherwise(F.lit(0.0)).alias("score")), by)
 
 
 def fuse_rank(cands: DataFrame, order: DataFrame, causal: DataFrame, w_conf: float = 0.5, w_time: float = 0.25, w_cause: float = 0.25, by: Sequence[str] = ()) -> DataFrame:
@@ -125,5 +126,5 @@ def fuse_rank(cands: DataFrame, order: DataFrame, causal: DataFrame, w_conf: flo
     n = order.groupBy(*k).agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
     c = cands.join(order.select(*k, "service", "idx"), [*k, "service"], "left").join(causal.select(*k, "service", F.col("score").alias("cause")), [*k, "service"], "left")
     early = F.when(F.col("idx").isNotNull(), 1 - F.col("idx") / F.col("n")).otherwise(F.lit(0.0))
-    c = beside(c, n, by).withColumn("combined", F.round(w_conf * F.col("confidence") + w_time * early + w_cause * F.coalesce("cause", F.lit(0.0)), 6))
+    c = beside(c, n, by).withColumn("combined", rounded(w_conf * F.col("confidence") + w_time * early + w_cause * F.coalesce("cause", F.lit(0.0)), 6))
     return unpacked(c.withColumn("rank", F.row_number().over(Window.partitionBy(*k).orderBy(F.desc("combined"), "rank"))).drop("idx", "cause", "n"), by)

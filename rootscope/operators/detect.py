@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import filled, is_request
+from ..functions.columns import filled, is_request, rounded
 from ..sources.shared import cut
 from .incidents import beside, by_incident
 
@@ -54,7 +54,7 @@ def ewma_baseline(spans: DataFrame, alpha: float = 0.3, window: int = 100, by: S
 
     fold = F.aggregate(F.slice("x", 2, window), F.struct(F.get("x", F.lit(0)).alias("m"), F.lit(0.0).alias("v")), step)
     v = v.withColumn("f", fold)
-    return v.select(*keys, F.lit("duration_ms").alias("metric"), F.round("f.m", 3).alias("ewma_mean"), F.round(F.sqrt("f.v"), 3).alias("ewma_std"), F.size("x").cast("long").alias("sample_count"), F.lit(alpha).alias("alpha"))
+    return v.select(*keys, F.lit("duration_ms").alias("metric"), rounded(F.col("f.m"), 3).alias("ewma_mean"), rounded(F.sqrt("f.v"), 3).alias("ewma_std"), F.size("x").cast("long").alias("sample_count"), F.lit(alpha).alias("alpha"))
 
 
 @by_incident
@@ -66,13 +66,13 @@ def current_latency(spans: DataFrame, n: int = 10, by: Sequence[str] = (), serie
 
 def z_score(value: Column, mean: Column, std: Column) -> Column:
     flat = F.coalesce(std, F.lit(0.0)) < 0.001
-    return F.when(flat, F.when(F.abs(value - mean) > 0.001, F.lit(10.0)).otherwise(F.lit(0.0))).otherwise(F.round(F.try_divide(value - mean, std), 3))
+    return F.when(flat, F.when(F.abs(value - mean) > 0.001, F.lit(10.0)).otherwise(F.lit(0.0))).otherwise(rounded(F.try_divide(value - mean, std), 3))
 
 
 def anomaly_score(z: Column, error_rate: Column, unknown_pct: Column) -> Column:
     zc = F.when(F.abs(z) > 2, F.least(F.lit(1.0), F.abs(z) / 10)).otherwise(F.lit(0.0))
     unk = F.when(unknown_pct > 80, F.lit(0.2)).otherwise(F.lit(0.0))
-    return F.round(F.least(F.lit(1.0), 0.40 * zc + 0.45 * F.least(F.lit(1.0), error_rate * 2) + 0.15 * unk), 3)
+    return rounded(F.least(F.lit(1.0), 0.40 * zc + 0.45 * F.least(F.lit(1.0), error_rate * 2) + 0.15 * unk), 3)
 
 
 def severity(score: Column) -> Column:
@@ -131,7 +131,7 @@ def apply_labels(alerts: DataFrame, labels: DataFrame, top: int = 8, by: Sequenc
     ranked = alerts.withColumn("pos", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "service")))
     ranked = ranked.join(labels, [*by, "service"], "left").withColumn("label", F.when(F.col("pos") <= top, F.coalesce("label", F.lit("ROOT_CAUSE"))))
     factor = F.when(F.col("label") == "ROOT_CAUSE", 1.2).when(F.col("label") == "SYMPTOM", 0.8).when(F.col("label") == "FALSE_POSITIVE", 0.3).otherwise(F.lit(1.0))
-    new = F.when(F.col("pos") <= top, F.round(F.greatest(F.lit(0.01), F.least(F.lit(1.0), F.col("score") * factor)), 3)).otherwise(F.col("score"))
+    new = F.when(F.col("pos") <= top, rounded(F.greatest(F.lit(0.01), F.least(F.lit(1.0), F.col("score") * factor)), 3)).otherwise(F.col("score"))
     out = ranked.withColumn("score", new)
     order = Window.partitionBy(*by).orderBy((F.col("pos") > top).cast("int"), F.when(F.col("pos") <= top, -F.col("score")), "pos")
     return out.withColumn("rank", F.row_number().over(order)).drop("pos")

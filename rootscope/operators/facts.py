@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import INFRA_SERVICES, ROLE_PRIORS, canonical_service, is_token, linear_relevance, log_relevance, ratio_relevance, service_role, usage_kind
+from ..functions.columns import INFRA_SERVICES, ROLE_PRIORS, canonical_service, is_token, linear_relevance, log_relevance, ratio_relevance, rounded, service_role, usage_kind
 from .graph import cut, fact_edges, pagerank
 from .incidents import beside, by_incident
 from .order import numbered, percentiles
@@ -138,7 +138,7 @@ def decide_incident(facts: DataFrame, floor: float = 0.3, ceiling: float = 0.3,
     strong = ~decisive & (F.coalesce("relevance", F.lit(0.0)) >= floor)
     a = shaped.groupBy(*by).agg(F.coalesce(F.bool_or(decisive), F.lit(False)).alias("d"), F.coalesce(F.bool_or(strong), F.lit(False)).alias("s"), F.count_distinct("source").alias("all"), F.count_distinct(F.when(strong, F.col("source"))).alias("few"))
     share = F.coalesce(F.try_divide("few", "all"), F.lit(0.0))
-    return a.select(*by, (F.col("d") | (F.col("s") & (share <= ceiling))).alias("anomaly"), F.round(share, 4).alias("concentration"))
+    return a.select(*by, (F.col("d") | (F.col("s") & (share <= ceiling))).alias("anomaly"), rounded(share, 4).alias("concentration"))
 
 
 def fact_rows(facts: DataFrame, session_id: str, agent_id: str = "observer") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import filled
+from ..functions.columns import filled, rounded
 from ..sources.shared import cut
 from .incidents import beside, by_incident, keys, packed, unpacked
 
@@ -32,7 +32,7 @@ def call_edges(spans: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     # exact sums by operation first, so that sets are made of few rows
     e = g.agg(F.count("*").alias("call_count"), F.sum(F.coalesce("duration_ms", F.lit(0.0)).cast("decimal(20,3)")).alias("total"), F.count_if(F.coalesce("has_error", F.lit(False))).alias("error_count"))
     e = e.groupBy(*by, "src", "dst").agg(F.sum("call_count").alias("call_count"), F.sum("total").alias("total"), F.sum("error_count").alias("error_count"), F.array_sort(F.collect_set("op")).alias("operations"))
-    return e.select(*by, "src", "dst", "call_count", F.round(F.col("total").cast("double") / F.col("call_count"), 2).alias("avg_duration_ms"), F.round("total", 2).cast("double").alias("total_duration_ms"), "error_count", F.round(F.col("error_count") / F.col("call_count"), 4).alias("error_rate"), "operations")
+    return e.select(*by, "src", "dst", "call_count", rounded(F.col("total").cast("double") / F.col("call_count"), 2).alias("avg_duration_ms"), F.round("total", 2).cast("double").alias("total_duration_ms"), "error_count", rounded(F.col("error_count") / F.col("call_count"), 4).alias("error_rate"), "operations")
 
 
 @by_incident

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import rounded
 from ..sources.shared import cut, shared_dir
 from .incidents import beside, everywhere, keys, packed, unpacked
 
@@ -140,7 +141,7 @@ def score_candidates(cands: DataFrame, nodes: DataFrame, baselines: DataFrame, a
     by_service = alerts.groupBy(*k, "service").agg(F.max("score").alias("alert"), F.slice(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "anomaly_type"))), lambda x: x["anomaly_type"]), 1, 2).alias("kinds"))
     c = cands.join(n, [*k, "service"], "left").fillna({"error_rate": 0.0, "mean": 0.0, "span_count": 0})
     if spans is not None:
-        s = packed(spans, by).groupBy(*k, F.col("service_name").alias("service")).agg(F.round(F.count_if("has_error") / F.count("*"), 4).alias("s_err"), F.round(F.avg("duration_ms"), 3).alias("s_mean"))
+        s = packed(spans, by).groupBy(*k, F.col("service_name").alias("service")).agg(rounded(F.count_if("has_error") / F.count("*"), 4).alias("s_err"), rounded(F.avg("duration_ms"), 3).alias("s_mean"))
         c = c.join(s, [*k, "service"], "left").withColumn("error_rate", F.coalesce(F.nullif("error_rate", F.lit(0.0)), "s_err", F.lit(0.0))).withColumn("mean", F.coalesce(F.nullif("mean", F.lit(0.0)), "s_mean", F.lit(0.0)))
     c = c.join(baselines.select(*k, "service", "ewma_mean", "ewma_std"), [*k, "service"], "left").join(by_service, [*k, "service"], "left")
     c = beside(beside(c, top, by), weights, by).fillna({"w_error": 0.35, "w_latency": 0.35, "w_alerts": 0.15, "w_volume": 0.10, "top": 1})
@@ -151,7 +152,7 @@ def score_candidates(cands: DataFrame, nodes: DataFrame, baselines: DataFrame, a
     else:
         c = c.withColumn("infra", F.lit(0.0))
     base, std = F.coalesce("ewma_mean", "mean"), F.coalesce("ewma_std", F.lit(0.0))
-    z = F.when(std <= 0.001, F.when(F.abs(F.col("mean") - base) > 0.001, F.lit(10.0)).otherwise(F.lit(0.0))).otherwise(F.round(F.try_divide(F.col("mean") - base, std), 3))
+    z = F.when(std <= 0.001, F.when(F.abs(F.col("mean") - base) > 0.001, F.lit(10.0)).otherwise(F.lit(0.0))).otherwise(rounded(F.try_divide(F.col("mean") - base, std), 3))
     c = c.withColumn("z", z).withColumn("alert", F.coalesce("alert", F.lit(0.0)))
     err = F.least(F.lit(1.0), F.col("error_rate") * 3)
     lat = F.when(F.abs("z") > 2, F.least(F.lit(1.0), F.abs("z") / 10)).otherwise(F.lit(0.0))
@@ -166,7 +167,7 @@ def score_candidates(cands: DataFrame, nodes: DataFrame, baselines: DataFrame, a
         F.when(F.size(F.coalesce("kinds", F.array().cast("array<string>"))) > 0, F.concat(F.lit("Alerts: "), F.array_join("kinds", ", "))),
         F.when(F.col("depth") > 0, F.concat(F.lit("Upstream depth="), F.col("depth").cast("string"))),
     ))
-    out = c.select(*k, "service", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 4).alias("confidence"), F.round("error_rate", 4).alias("error_rate"), F.col("z").alias("latency_z_score"), F.col("depth").cast("int").alias("traversal_depth"), evidence.alias("evidence"), F.struct(*(F.round(v, 4).alias(name) for name, v in parts.items())).alias("components"))
+    out = c.select(*k, "service", rounded(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 4).alias("confidence"), rounded(F.col("error_rate"), 4).alias("error_rate"), F.col("z").alias("latency_z_score"), F.col("depth").cast("int").alias("traversal_depth"), evidence.alias("evidence"), F.struct(*(rounded(v, 4).alias(name) for name, v in parts.items())).alias("components"))
     return unpacked(out, by)
 
 
@@ -177,7 +178,7 @@ def silent_bottlenecks(edges: DataFrame, nodes: DataFrame, by: Sequence[str] = (
     e = packed(edges, by).select(*k, "src", "dst", "avg_duration_ms").join(n.select(*k, F.col("id").alias("src"), F.col("duration_mean_ms").alias("mean")), [*k, "src"]).join(n.select(*k, F.col("id").alias("dst"), F.coalesce("error_rate", F.lit(0.0)).alias("err")), [*k, "dst"])
     e = e.filter("mean > 0 AND avg_duration_ms > 0").withColumn("a", F.least(F.lit(1.5), F.col("avg_duration_ms") / F.col("mean")))
     verdict = F.when((F.col("a") >= 0.75) & (F.col("err") < 0.05), F.lit("SILENT_BOTTLENECK")).when(F.col("a") >= 0.6, F.lit("POSSIBLE_BOTTLENECK"))
-    out = e.select(*k, F.col("src").alias("parent"), F.col("dst").alias("child"), F.round("a", 3).alias("absorption"), F.round("err", 4).alias("child_error_rate"), verdict.alias("verdict"))
+    out = e.select(*k, F.col("src").alias("parent"), F.col("dst").alias("child"), rounded(F.col("a"), 3).alias("absorption"), rounded(F.col("err"), 4).alias("child_error_rate"), verdict.alias("verdict"))
     return unpacked(out.filter("verdict IS NOT NULL"), by)
 
 
@@ -187,7 +188,7 @@ def boost_silent(cands: DataFrame, bottlenecks: DataFrame, factor: float = 1.15,
     hit = packed(bottlenecks, by).filter("verdict = 'SILENT_BOTTLENECK'").groupBy(*k, F.col("child").alias("service")).agg(F.max("absorption").alias("a"))
     c = packed(cands, by).join(hit, [*k, "service"], "left")
     note = F.format_string("Silent bottleneck: absorption=%.2f", "a")
-    c = c.withColumn("confidence", F.when(F.col("a").isNotNull(), F.round(F.least(F.lit(1.0), F.col("confidence") * factor), 4)).otherwise(F.col("confidence"))).withColumn("evidence", F.when(F.col("a").isNotNull(), F.array_append("evidence", note)).otherwise(F.col("evidence"))).drop("a")
+    c = c.withColumn("confidence", F.when(F.col("a").isNotNull(), rounded(F.least(F.lit(1.0), F.col("confidence") * factor), 4)).otherwise(F.col("confidence"))).withColumn("evidence", F.when(F.col("a").isNotNull(), F.array_append("evidence", note)).otherwise(F.col("evidence"))).drop("a")
     return unpacked(c, by)
 
 
@@ -208,7 +209,7 @@ def apply_deltas(cands: DataFrame, deltas: DataFrame, parity: bool = False, by:
     """Confidence plus delta within 0 and 1, ranked anew. deltas: service, delta, first (puts a service at the head; parity: ignored)."""
     k = keys(by)
     d = packed(deltas, by).groupBy(*k, "service").agg(F.sum("delta").alias("delta"), F.bool_or("first").alias("first"))
-    c = packed(cands, by).join(d, [*k, "service"], "left").withColumn("confidence", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence") + F.coalesce("delta", F.lit(0.0)))), 4))
+    c = packed(cands, by).join(d, [*k, "service"], "left").withColumn("confidence", rounded(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence") + F.coalesce("delta", F.lit(0.0)))), 4))
     lead = F.lit(0) if parity else F.when(F.coalesce("first", F.lit(False)), 0).otherwise(1)
     return unpacked(c.withColumn("rank", F.row_number().over(Window.partitionBy(*k).orderBy(lead, F.desc("confidence"), "service"))).drop("delta", "first"), by)
 

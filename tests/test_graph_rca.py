@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from rootscope.operators import causal, graph as G, infra, rca
 from rootscope.sources import tables
@@ -246,3 +247,11 @@ def test_fusion_by_month_takes_all_candidates(spark, monkeypatch):
     monkeypatch.setattr(incidents, "Months", lambda spark, sf: type("M", (), {"spans": spans, "alerts": alerts, "ranked": lambda self: cands})())
     got = {r.service: r.combined for r in incidents.c4_fuse_rank_by_month(spark, "").collect()}
     assert len(got) == 10 and got["s9"] > 0.1
+
+
+def test_scores_round_their_product_as_the_sql_does(spark):
+    """0.60635 * 10,000 lies below 6,063.5: SQL's round gives 0.6063, the printed digits 0.6064."""
+    totals = causal.causal_totals(spark.createDataFrame([("a", 1.2127), ("b", 2.0)], "a string, strength double"))
+    assert {r.service: r.score for r in totals.collect()} == {"a": 0.6063, "b": 1.0}
+    cands = spark.createDataFrame([("a", 0.60635, 1)], "service string, confidence double, rank int")
+    assert rca.apply_deltas(cands, cands.select("service", F.lit(0.0).alias("delta"), F.lit(False).alias("first"))).first().confidence == 0.6063
