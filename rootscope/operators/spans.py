@@ -13,6 +13,8 @@ from .order import PLAIN, percentiles
 
 #: Buckets in which keys are counted.
 BUCKETS = 65_536
+#: Columns that a table may have for dedup only: the file and the row in it, from which a span came.
+ARRIVAL = ("__path", "__row")
 
 
 def span_key() -> Column:
@@ -39,19 +41,20 @@ def is_crowded(spans: DataFrame) -> bool:
 
 
 def dedup_spans(spans: DataFrame, crowded: bool = True) -> DataFrame:
-    """Of the spans of a key the one that came in first (ingest_seq); among equal places the least by the other columns, so that every run and step keeps the same row.
+    """Of the spans of a key the one that came in first (ingest_seq); among equal places the first in the files (ARRIVAL, where the table has it, which is dropped) and then the least by the other columns, so that every run and step keeps the same row.
 
     Rows are shuffled once, by key. Only the first place is asked for, so that each task drops its own repeats before the shuffle and a key
     that fills the table is no task's whole work. Where no key is so long (crowded: False), tasks don't sort before the shuffle; the same rows stay.
     """
     ties = [f.name for f in spans.schema if f.name != "ingest_seq" and "map<" not in f.dataType.simpleString()]  # maps have no order
+    ties, kept = sorted(ties, key=lambda c: c not in ARRIVAL), [c for c in spans.columns if c not in ARRIVAL]
     k = _key_columns()
     if crowded:
         first = F.row_number().over(Window.partitionBy(*k).orderBy("ingest_seq", *ties))
-        return spans.withColumns(k).withColumn("__n", first).filter("__n = 1").select(spans.columns)
+        return spans.withColumns(k).withColumn("__n", first).filter("__n = 1").select(kept)
     # a hash leads the key, so that most comparisons of the sort are of two numbers
     before = F.lag(F.lit(1)).over(Window.partitionBy("__hash", *k).orderBy("ingest_seq", *ties))
-    return spans.withColumns(k).withColumn("__hash", F.xxhash64(*k)).withColumn("__before", before).filter("__before IS NULL").select(spans.columns)
+    return spans.withColumns(k).withColumn("__hash", F.xxhash64(*k)).withColumn("__before", before).filter("__before IS NULL").select(kept)
 
 
 def dedup_stats(raw: DataFrame) -> DataFrame:

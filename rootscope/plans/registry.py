@@ -31,14 +31,14 @@ class Run:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        self.raw = views.raw_spans(spark, sf_dir)
+        self.raw = views.raw_spans(spark, sf_dir, placed=True)
         self.spans, self.is_written = spans.dedup_spans(self.raw), False
 
     def written(self, **more: Column) -> DataFrame:
         """The spans, deduplicated and written once, with `more` columns."""
         if not self.is_written:
             keep = ("trace_id", "span_id", "parent_span", "service_name", "operation_name", "start_time", "duration", "duration_ms", "has_error", "response", "status", "ingest_seq")
-            raw = self.raw.select(*keep)  # what is not kept isn't shuffled
+            raw = self.raw.select(*keep, *spans.ARRIVAL)  # what is not kept isn't shuffled
             once = spans.dedup_spans(raw, spans.is_crowded(raw))
             self.spans, self.is_written = graph.cut(once.select(*keep, *(c.alias(n) for n, c in more.items())), "spans"), True
         return self.spans
@@ -123,7 +123,7 @@ def i12_overall_stats(spark, sf):
 
 @query
 def i13_ingest_summary(spark, sf):
-    return spans.ingest_summary(views.flawed_spans(spark, sf))
+    return spans.ingest_summary(views.flawed_spans(spark, sf, placed=True))
 
 
 @query

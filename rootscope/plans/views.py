@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.spans import ARRIVAL
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,11 +18,12 @@ def _whole(x: Column) -> Column:
     return F.when(x < 0, -up(-x)).otherwise(up(x))
 
 
-def raw_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_spans(spark: SparkSession, sf_dir: str, placed: bool = False) -> DataFrame:
     """SPAN: a trace for each order, a span for each line, whose parent is the line before; duplicates as they are.
 
-    ingest_seq is made of the columns, so that it is the same whatever the partitions are.
+    ingest_seq is made of the columns, so that it is the same whatever the partitions are. placed: with the file and the row of each line, which settle equal ones.
     """
+    place = [F.col("_metadata.file_path").alias(ARRIVAL[0]), F.col("_metadata.row_index").alias(ARRIVAL[1])] if placed else []
     c = F.col
     seq = (c("l_orderkey") * 8 + c("l_linenumber")) * 1_000_000 + F.pmod(c("l_partkey") * 7919 + c("l_suppkey") * 104729 + _whole(c("l_extendedprice") * 100) + _whole(c("l_quantity")) * 31, F.lit(1_000_000))
     err = (c("l_returnflag") == "R") & ((c("l_linenumber") == 5) | (c("l_tax") >= 0.08))
@@ -35,7 +38,7 @@ def raw_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.unix_micros(c("l_shipdate").cast("timestamp")) + 1000 * c("l_linenumber")).alias("start_time"),
         dur.alias("duration"), (dur / 1000.0).alias("duration_ms"), err.alias("has_error"), resp.alias("response"),
         F.when(err, "ERROR").when(resp == "Unknown", "UNKNOWN").otherwise(resp).alias("status"),
-        F.lit("").alias("end_time"), F.create_map().cast("map<string,string>").alias("tags"), seq.cast("long").alias("ingest_seq"),
+        F.lit("").alias("end_time"), F.create_map().cast("map<string,string>").alias("tags"), seq.cast("long").alias("ingest_seq"), *place,
     )
 
 
@@ -82,9 +85,9 @@ def fault_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(service.alias("service"), F.col("event_id").alias("line_no"), line.alias("line"))
 
 
-def flawed_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def flawed_spans(spark: SparkSession, sf_dir: str, placed: bool = False) -> DataFrame:
     """Raw spans, some without a span id, a service or a trace."""
-    s, n = raw_spans(spark, sf_dir), F.col("ingest_seq")
+    s, n = raw_spans(spark, sf_dir, placed), F.col("ingest_seq")
     return s.withColumns({"span_id": F.when(n % 50 == 0, "").otherwise(F.col("span_id")), "service_name": F.when(n % 70 == 1, " ").otherwise(F.col("service_name")), "trace_id": F.when(n % 90 != 2, F.col("trace_id"))})
 
 

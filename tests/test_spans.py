@@ -277,3 +277,24 @@ def test_statistics_round_as_their_sql(spark):
         r = got[f"s{i}"]
         assert {r.duration_min_ms, r.duration_max_ms, r.duration_mean_ms, r.duration_p50_ms, r.duration_p99_ms} == {want}, d
     assert got["s10"].duration_max_ms == math.inf and math.isnan(got["s11"].duration_max_ms)
+
+
+def test_equal_places_go_by_the_file(spark, tmp_path):
+    """Of lines with one key and one ingest_seq the first in the files stays, as in the SQL read by one thread, whatever else they hold."""
+    import duckdb
+
+    from rootscope.plans import catalog
+
+    # 100 more of quantity weigh 31.00 of price in ingest_seq
+    line = lambda k, more: (k, 1, 1, 1, 1.0 + 100 * more, 2031.0 - 31 * more, 0.0, 0.0, "N", "F", f"1995-01-{10 + more:02}")
+    files = [[line(1, 0), line(2, 1), line(1, 1), line(3, 1)], [line(2, 0), line(3, 0), line(4, 0)]]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate string"
+    (folder := tmp_path / "lineitem.parquet").mkdir()
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, names).withColumn("l_shipdate", F.to_timestamp("l_shipdate")).toPandas().to_parquet(folder / f"part-{i}.parquet", coerce_timestamps="us")
+    con = duckdb.connect()
+    con.execute("SET threads=1")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{folder}/*.parquet')")
+    got = {q: sorted(map(tuple, catalog.QUERIES[q](spark, str(tmp_path)).collect())) for q in ("i6_dedup_spans", "d10_choice_by_day")}
+    assert got == {q: sorted(con.execute(catalog.ORACLE_SQL[q]).fetchall()) for q in got}
+    assert [r[4] for r in got["i6_dedup_spans"]] == [2031, 2000, 2000, 2031]
